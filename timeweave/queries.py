@@ -2,5 +2,10 @@
 
 from __future__ import annotations
 
+from .plans import intervals
+
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
+for part in (intervals,):
+    QUERIES |= part.QUERIES
+    ORACLES |= part.ORACLES
