@@ -7,19 +7,10 @@ from pyspark.sql import functions as F
 from ..operators import intervals as op
 from ..sources import derived as d
 from ..sources.derived import with_tables
+from .registry import Register
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str | None = None, *tables: str):
-    def register(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = with_tables(*tables, body=sql) if tables else sql
-        return f
-
-    return register
+_R = Register()
+QUERIES, ORACLES, query = _R.queries, _R.oracles, _R.query
 
 
 def _kind(i, kind):

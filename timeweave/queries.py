@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from .plans import intervals
+from .plans import intervals, transcript
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
-for part in (intervals,):
+for part in (intervals, transcript):
     QUERIES |= part.QUERIES
     ORACLES |= part.ORACLES
