@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from .plans import intervals, transcript
+from .plans import evidence, intervals, rank, transcript
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
-for part in (intervals, transcript):
+for part in (intervals, transcript, evidence, rank):
     QUERIES |= part.QUERIES
     ORACLES |= part.ORACLES
