@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from .plans import evidence, intervals, rank, transcript
+from .plans import audit, evidence, intervals, rank, transcript
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
-for part in (intervals, transcript, evidence, rank):
+for part in (intervals, transcript, evidence, rank, audit):
     QUERIES |= part.QUERIES
     ORACLES |= part.ORACLES
