@@ -13,7 +13,7 @@ SF = "/root/testdata/sf0.001"
 
 @pytest.fixture(scope="module")
 def con():
-    c = duckdb.connect()
+    c = duckdb.connect(config={"memory_limit": "4GB", "max_temp_directory_size": "1GB"})
     for f in os.listdir(SF):
         c.sql(f"create view {f.split('.')[0]} as select * from '{SF}/{f}'")
     return c
