@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from .plans import audit, evidence, folds, intervals, rank, streams, transcript
+from .plans import audit, evidence, folds, intervals, rank, streams, transcript, visual
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
-for part in (intervals, transcript, evidence, rank, audit, folds, streams):
+for part in (intervals, transcript, evidence, rank, audit, folds, streams, visual):
     QUERIES |= part.QUERIES
     ORACLES |= part.ORACLES
