@@ -14,7 +14,7 @@ _R = Register()
 QUERIES, ORACLES, query = _R.queries, _R.oracles, _R.query
 
 #: A small lexicon for the driver's texts.
-CUES = [("license", "license[sd]?"), ("offer", "(?:the|a) [a-z]*tion"), ("contact", r"[a-z0-9._]+@[a-z0-9.]+"), ("code", r"token = "), ("and", r"\band\b"), ("negation", r"\b(?:not|nicht|ne|no)\b")]
+CUES = [("license", "license[sd]?"), ("offer", "(?:the|a) [a-z]*tion"), ("contact", r"[a-z0-9._]+@[a-z0-9.]+"), ("code", r"token = "), ("and", r"(?:^| )and(?: |\z)"), ("negation", r"(?:^| )(?:not|nicht|ne|no)(?:[ .,]|\z)")]
 RULES = [("leak", ("code", "contact")), ("legal", ("license",)), ("secret", ("code",)), ("offer", ("offer", "and"))]
 _STOP = ", ".join(f"'{w}'" for w in t.STOP_WORDS)
 _FOLD = f"translate(lower(text), '{t.ACCENTED}', '{t.PLAIN}')"
@@ -89,12 +89,16 @@ def c2_classify_commercial(spark, sf_dir):
     return s.select("doc_id", F.array_join("s", ",").alias("signals"), op.classify(F.col("s"), RULES, "editorial").alias("kind"))
 
 
-@query("""select segment_id, case when regexp_matches(l, '\\b(?:why|pourquoi|warum)\\b') then 'reason' when regexp_matches(l, '\\b(?:que|what|was)\\b') then 'open' when regexp_matches(l, '\\b(?:is|est|ist)\\b') then 'closed' else 'none' end as kind, regexp_matches(l, '\\b(?:que|what|was|why|pourquoi|warum)\\b') as answer_expected from (select segment_id, lower(text) as l from segments)""", "segments")
+_WORD = r"(?:^|[ \n])(?:{})(?:[ \n.,]|\z)"
+_REASON, _OPEN, _CLOSED = "why|pourquoi|warum", "que|what|was", "is|est|ist"
+_HAS = {k: f"regexp_matches(l, '{_WORD.format(k)}')" for k in (_REASON, _OPEN, _CLOSED, f"{_OPEN}|{_REASON}")}
+
+
+@query(f"select segment_id, case when {_HAS[_REASON]} then 'reason' when {_HAS[_OPEN]} then 'open' when {_HAS[_CLOSED]} then 'closed' else 'none' end as kind, {_HAS[f'{_OPEN}|{_REASON}']} as answer_expected from (select segment_id, lower(text) as l from segments)", "segments")
 def c7_classify_question(spark, sf_dir):
-    low = F.lower("text")
-    has = lambda p: low.rlike(r"\b(?:" + p + r")\b")
-    kind = F.when(has("why|pourquoi|warum"), "reason").when(has("que|what|was"), "open").when(has("is|est|ist"), "closed").otherwise("none")
-    return d.segments(spark, sf_dir).select("segment_id", kind.alias("kind"), has("que|what|was|why|pourquoi|warum").alias("answer_expected"))
+    has = lambda p: F.lower("text").rlike(_WORD.format(p))
+    kind = F.when(has(_REASON), "reason").when(has(_OPEN), "open").when(has(_CLOSED), "closed").otherwise("none")
+    return d.segments(spark, sf_dir).select("segment_id", kind.alias("kind"), has(f"{_OPEN}|{_REASON}").alias("answer_expected"))
 
 
 @query(f"""select doc_id, len(list_distinct(e)) >= 3 and len(e) > 2 * len(g) as mismatch from (select doc_id, list_filter(k, lambda x: x in ({', '.join(f"'{w}'" for w in t.ENGLISH)})) as e, list_filter(k, lambda x: x in ({', '.join(f"'{w}'" for w in t.GERMAN)})) as g from (select doc_id, {_TOKENS} as k from documents))""")
@@ -172,9 +176,9 @@ def n18_opening_ending(spark, sf_dir):
     return d.segments(spark, sf_dir).select("segment_id", ((F.lower(first) == first) | low.rlike("^(?:and|but|et|und|or) ")).alias("dangling"), (F.col("text").rlike(r"[.?!]\s*$") & ~low.rlike(r"\b(?:and|et|und)[.?!]?\s*$")).alias("clean_ending"))
 
 
-@query("""select doc_id, case when length(text) <= 300 then text else regexp_replace(substr(text, 1, 300), '\\s+\\S*$', '') end as quote, substr(sha256(text), 1, 16) as reference from documents where length(text) > 0""")
+@query("""select doc_id, case when length(text) <= 300 then text else regexp_replace(substr(text, 1, 300), '[ \\n]+[^ \\n]*\\z', '') end as quote, substr(sha256(text), 1, 16) as reference from documents where length(text) > 0""")
 def t16_quote_catalog(spark, sf_dir):
-    q = F.when(F.length("text") <= 300, F.col("text")).otherwise(F.regexp_replace(F.substring("text", 1, 300), r"\s+\S*$", ""))
+    q = F.when(F.length("text") <= 300, F.col("text")).otherwise(F.regexp_replace(F.substring("text", 1, 300), r"[ \n]+[^ \n]*\z", ""))
     return docs(spark, sf_dir).where(F.length("text") > 0).select("doc_id", q.alias("quote"), F.substring(F.sha2("text", 256), 1, 16).alias("reference"))
 
 
