@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from . import common as c
 
 #: Encoded pieces that a worker keeps; beyond it the store starts anew. It only saves time.
-KEPT_PIECES = 600_000
+KEPT_PIECES = 250_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -82,7 +82,7 @@ class Bpe:
     def extend(self, piece: bytes, last: list[int], to: int | None = None) -> None:
         """Appends to `last`, the last tokens of piece's shorter prefixes, those of the prefixes of up to `to` bytes."""
         size, known, settled = self.size, self.known, len(last) - 1
-        if len(known) > 600_000:
+        if len(known) > KEPT_PIECES:
             known.clear()
         to = len(piece) if to is None else to
         lo = max(0, settled + 1 - self.longest)

@@ -13,7 +13,7 @@ from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text that one vectorised step works on. A longer document is one step of its own.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 
 
 # ---------------------------------------------------------------- shared folder
