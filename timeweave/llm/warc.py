@@ -131,7 +131,8 @@ def records(archive: bytes):
 
 def train_dictionary(pages: DataFrame, payload_col: str, sample: int = 400, size: int = 16_384, most: int = 32_768) -> bytes:
     """A dictionary from at most `sample` payloads (first `most` bytes each): those with the smallest hash."""
-    rows = pages.select(F.encode(F.substring(F.col(payload_col), 1, most), "UTF-8").alias("p")).where("length(p) > 0").orderBy(F.xxhash64("p")).limit(sample).collect()
+    one_in = max(1, pages.count() // (4 * sample))  # about four times the sample is sorted, not all payloads
+    rows = pages.select(F.encode(F.substring(F.col(payload_col), 1, most), "UTF-8").alias("p")).where("length(p) > 0").where(F.pmod(F.xxhash64("p", F.lit(1)), F.lit(one_in)) == 0).orderBy(F.xxhash64("p")).limit(sample).collect()
     parts = [bytes(r["p"]) for r in rows]
     try:
         return zstandard.train_dictionary(size, parts).as_bytes()
@@ -142,11 +143,13 @@ def train_dictionary(pages: DataFrame, payload_col: str, sample: int = 400, size
 def with_record_types(pages: DataFrame, id_col: str = "page_id", payload_col: str = "html", url_col: str = "url", least_bytes: int = 0) -> DataFrame:
     """rid, url, payload, kind, refers_to: which pages are responses, and what the others revisit."""
     keyed = pages.select(F.col(id_col).cast("long").alias("rid"), F.col(url_col).cast("string").alias("url"), F.encode(F.coalesce(F.col(payload_col), F.lit("")), "UTF-8").alias("payload")).withColumn("digest", F.sha1("payload"))
-    light = keyed.where(F.length("payload") >= least_bytes).select("rid", "digest")
+    # a key without nulls, so that join and window share one shuffle of the payloads
+    keyed = keyed.withColumn("rk", F.coalesce(F.col("rid").cast("string"), F.lit("")))
+    light = keyed.where(F.length("payload") >= least_bytes).select("rid", "rk", "digest")
     first = light.groupBy("digest").agg(F.min("rid").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("digest", "first")
-    marks = light.join(first, "digest").groupBy(F.col("rid").alias("rid_m"), F.col("digest").alias("digest_m")).agg(F.first("first").alias("first"))
-    joined = keyed.join(marks, (F.col("digest") == F.col("digest_m")) & F.col("rid").eqNullSafe(F.col("rid_m")), "left")
-    copy = F.row_number().over(Window.partitionBy("digest", "rid").orderBy("digest", "rid"))
+    marks = light.join(first, "digest").groupBy(F.col("rk").alias("rk_m"), F.col("digest").alias("digest_m")).agg(F.first("first").alias("first"))
+    joined = keyed.join(marks, (F.col("digest") == F.col("digest_m")) & (F.col("rk") == F.col("rk_m")), "left")
+    copy = F.row_number().over(Window.partitionBy("digest", "rk").orderBy("digest", "rk"))
     alone = F.col("digest_m").isNull() | (F.col("rid").eqNullSafe(F.col("first")) & (F.col("copy") == 1))
     return joined.withColumn("copy", copy).select("rid", "copy", "url", "payload", F.when(alone, "response").otherwise("revisit").alias("kind"), F.when(~alone, F.col("first")).alias("refers_to"))
 
