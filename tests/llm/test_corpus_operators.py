@@ -298,3 +298,40 @@ def test_pipeline_stages(spark, tmp_path):
     empty = spark.read.parquet(f"{tmp_path}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, str(tmp_path)).count() == 0
+
+
+@pytest.mark.parametrize("bucket", [4, 32])
+def test_near_copies_of_the_pipeline(spark, bucket):
+    import corpus_pipeline
+    from timeweave.llm import near_copies
+
+    r = random.Random(21)
+    word = lambda: "".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=6))
+    rows = []
+    for k in range(40):
+        base = [word() for _ in range(300)]
+        rows.append(" ".join(base))
+        # edits at 1 to 6 places change 5 shingles each: similarity (296 - 5 e) / (296 + 5 e), 0.816 and more
+        for e in range(1, 7 if k else 40):
+            w = list(base)
+            for at in r.sample(range(5, 295, 10), min(e, 6) if k else 2):
+                w[at] = word()
+            rows.append(" ".join(w))
+        rows.append(" ".join(base[:100] + [word() for _ in range(200)]))
+    rows += [None, "", "one", "ONE", "two words", "two  Words"]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+
+    def shingles(t):
+        w = (t or "").lower().split()
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+    sets, root = [shingles(t) for t in rows], list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if (not sets[i] and not sets[j]) or len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                a, b = root[i], root[j]
+                root = [min(a, b) if x in (a, b) else x for x in root]
+    want = sorted(set(root))
+    stage = corpus_pipeline.near_dedup(spark, docs, "") if bucket == 32 else near_copies.drop(docs.union(docs.limit(50)), bucket=bucket)
+    assert sorted(x.doc_id for x in stage.collect()) == want
+    assert near_copies.drop(docs.limit(0)).count() == 0
