@@ -162,6 +162,29 @@ def test_secret_network_on_held_out_findings(spark):
     assert [r.text for r in out] == ["see [secret] here", None, "plain words"] and out[0].n_chars == len(out[0].text)
 
 
+def test_secrets_inside_long_runs_and_after_credential_words(spark):
+    net = secrets.train(frame(spark, [LOREM * 3] * 5 + ['the token = "' + "0123456789abcdef" * 2 + '" fox']))
+    key, path = "a8Kd02LmQz7Xw5Rt1Yb9Pq4Vn6Hs3Jc", "static/assets/images/common/header"
+    hidden = f"see {path}/{key}/{path}/{path}/v2 here"
+    at = hidden.index(key)
+    letters = "qWzXkVbTmPlRsDfGhJyN"
+    for text, secret in ((hidden, key), ("db_pwd=Xk7!pQ2z now", "Xk7!pQ2z"), (f"auth: {letters} end", letters), ("pass: 84736251940372615 end", "84736251940372615")):
+        found = secrets.spans_of([text], net)[0]
+        at = text.index(secret)
+        assert any(a <= at and at + len(secret) <= e for a, _, e in found), text
+    assert secrets.spans_of(["auth: required by the mill, pass: over the hill " + path], net) == [[]]
+    s = net.s
+    covered = {i for a, e in secrets.windows(5, 5 + 3 * s.inside + 7, s) for i in range(a, e)}
+    assert covered == set(range(5, 5 + 3 * s.inside + 7)) and all(e - a == s.inside for a, e in secrets.windows(5, 500, s))
+
+
+def test_plain_words_are_drawn_from_whole_texts(spark):
+    r = random.Random(6)
+    words = ["".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=20)) for _ in range(60)]
+    drawn = [t[a:e] for t, a, e, y in secrets.corpus_findings(frame(spark, [" ".join(words)]), secrets.Settings()) if not y]
+    assert sorted(drawn) == sorted(words)
+
+
 def test_toxicity_learns_and_handles_edges(spark):
     r = random.Random(3)
     bad = ["idiot", "scum", "moron"]
