@@ -106,7 +106,7 @@ def frame_end(data: memoryview, at: int) -> int:
 
 
 def records(archive: bytes):
-    """Each record of an archive, as parse() has it. A frame that can't be read ends the archive with an error."""
+    """Each record of an archive, as parse() has it. A frame that can't be read gives an error; the next frame follows, or, where its end is not known, what next looks like a frame's start."""
     data, at, given = memoryview(archive), 0, None
     if len(data) >= 8 and (head := struct.unpack_from("<II", data))[0] == DICT_MAGIC:
         at = 8 + head[1]
@@ -116,13 +116,18 @@ def records(archive: bytes):
         given = zstandard.ZstdCompressionDict(raw)
     z = zstandard.ZstdDecompressor(dict_data=given) if given else zstandard.ZstdDecompressor()
     while at < len(data):
+        end = None
         try:
             end = frame_end(data, at)
             raw = z.decompressobj().decompress(data[at:end])
         except (ValueError, zstandard.ZstdError) as e:
             yield dict.fromkeys(("record_id", "record_type", "url", "payload_digest", "refers_to", "payload_bytes", "payload")) | {"error": str(e)}
-            return
-        yield parse(raw)
+            start = struct.pack("<I", FRAME_MAGIC)
+            if end is None or end < len(data) and data[end : end + 4] != start:
+                end = archive.find(start, at + 4)
+                end = len(data) if end < 0 else end
+        else:
+            yield parse(raw)
         at = end
 
 
