@@ -6,7 +6,8 @@ every parent domain that were active when it was fetched: the latest entry at th
 decides; of lists at one domain an allow list wins, then the list first by name.
 
 Intervals and captures meet by domain and time bucket, so a hot host with many dated entries meets only those near in time.
-A capture without host or time is allowed, with no match. Entries without list, domain or date are ignored; of equal
+A numeric address (also one in brackets) is its own domain only. Of the captures' columns id, url and fetched are read; others,
+whatever their names, are not. A capture without host or time is allowed, with no match; no captures give no rows. Entries without list, domain or date are ignored; of equal
 entries one counts, and of an addition and a removal at one instant the removal. Repeated captures give repeated rows.
 """
 
@@ -23,7 +24,7 @@ MOST_LABELS = 127
 
 def host(url: Column) -> Column:
     """The host of an absolute URL: lower case, without user, port and a final dot; null if there is none."""
-    h = F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#@:]+)", 1))
+    h = F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?(\[[^\]/?#@]*\]|[^/?#@:\[\]]+)", 1))
     return F.nullif(F.regexp_replace(h, r"\.$", ""), F.lit(""))
 
 
@@ -45,17 +46,18 @@ def filter_captures(captures: DataFrame, entries: DataFrame, until: Column, days
 
     until: a time after every capture, at which open intervals are cut into buckets.
     """
-    h = captures.withColumn("host", host(F.col("url"))).withColumn("row", F.struct("id", "fetched", "host"))
-    labels = F.split("host", r"\.")
+    h = captures.select("id", "url", "fetched", host(F.col("url")).alias("host"))
+    # a numeric or bracketed address has no parent domains
+    labels = F.when(F.col("host").rlike(r"^([0-9.]+|\[.*)$"), F.array("host")).otherwise(F.split("host", r"\."))
     suffixes = F.transform(F.sequence(F.greatest(F.lit(1), F.size(labels) - MOST_LABELS), F.size(labels)), lambda k: F.array_join(F.slice(labels, k, F.size(labels)), "."))
     # distinct captures are judged once; what repeats is joined back by value
     asked = h.where("host is not null and fetched is not null").select("host", "fetched").distinct()
     looked = asked.select("host", "fetched", F.explode(suffixes).alias("domain"), bucket(F.col("fetched"), days).alias("b"))
     spans = intervals(entries).withColumn("b", F.explode(F.sequence(bucket(F.col("start"), days), bucket(F.greatest(F.coalesce("end", until), F.col("start")), days))))
     hits = looked.join(spans, ["domain", "b"]).where("fetched >= start and (end is null or fetched < end)")
-    best = F.max_by(F.struct("list", "kind", "domain", "start"), F.struct(F.length("domain"), (F.col("kind") == "allow").cast("int"), F.expr("transform(split(list, ''), x -> -ascii(x))"))).alias("hit")
+    best = F.min_by(F.struct("list", "kind", "domain", "start"), F.struct(-F.length("domain"), (F.col("kind") != "allow").cast("int"), "list")).alias("hit")
     judged = hits.groupBy("host", "fetched").agg(best)
-    out = h.drop("row").join(judged, ["host", "fetched"], "left")
+    out = h.join(judged, ["host", "fetched"], "left")
     return out.select("id", "url", "fetched", "host", F.coalesce("hit.kind", F.lit("none")).alias("verdict"), F.col("hit.list").alias("list"), F.col("hit.domain").alias("domain"), F.col("hit.start").alias("entry_start"))
 
 
@@ -84,7 +86,7 @@ def entries_of(pages: DataFrame) -> DataFrame:
 
 ORACLE_SQL = r"""
 with cap as (select page_id, url, to_timestamp(1704067200 + ((page_id * 7919) % (366 * 1440)) * 60) at time zone 'UTC' as fetched,
-    nullif(regexp_replace(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#@:]+)', 1)), '\.$', ''), '') as host from pages),
+    nullif(regexp_replace(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?(\[[^\]/?#@]*\]|[^/?#@:\[\]]+)', 1)), '\.$', ''), '') as host from pages),
 hosts as (select distinct host as domain from cap where host is not null),
 names as (select distinct domain from (select domain from hosts union all select regexp_extract(domain, '^[^.]+\.(.+)$', 1) from hosts) where domain like '%.%'),
 tab as (select i, list_reduce(list_prepend(i::bigint, range(8)), lambda a, k: case when a % 2 = 1 then xor(a >> 1, 3988292384) else a >> 1 end) as v from range(256) t(i)),
@@ -99,7 +101,7 @@ entries as (
   union all select 'good', 'allow', domain, 'remove', x % 100 + 200 from sums where x % 7 = 2),
 dated as (select list, kind, domain, action, to_timestamp(1704067200 + (d % 366) * 86400) at time zone 'UTC' as since from entries),
 latest as (select c.page_id, e.list, e.kind, e.domain, arg_max(e.action, e.since) as action, max(e.since) as entry_start
-    from cap c join dated e on (c.host = e.domain or c.host like '%.' || e.domain) and e.since <= c.fetched group by all),
+    from cap c join dated e on (c.host = e.domain or c.host like '%.' || e.domain and not regexp_matches(c.host, '^([0-9.]+|\[.*)$')) and e.since <= c.fetched group by all),
 ranked as (select *, row_number() over (partition by page_id order by length(domain) desc, kind, list) as k from latest where action = 'add')
 select c.page_id, c.url, c.fetched, c.host, coalesce(r.kind, 'none') as verdict, r.list, r.domain, r.entry_start
 from cap c left join ranked r on c.page_id = r.page_id and r.k = 1
