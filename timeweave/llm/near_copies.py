@@ -1,14 +1,20 @@
 """Near copies of whole texts: Jaccard similarity of their 5-word shingles of `least` or more.
 
-A Hamming radius on 64 bits wide enough for a similarity of 0.8 (about 10 bits on average) has no index that stays small, so
-candidates come from MinHash: 100 minima in 20 bands of 5, by which a pair of similarity 0.8 meets with a chance of 0.9996 and
-one of 0.9 nearly always. Each candidate is verified by the exact similarity of its two sets of shingles, so no pair
-below the bound is a link. Words are those of op10 (runs without white space, A-Z lower); a text of fewer than five words is
-one shingle.
-
-A bucket with more than `bucket` distinct texts is not compared pair by pair: each of its texts meets one of them, another
-one in every band. One text of each group then goes through the same again, until no crowded bucket is left or a round finds
-no link; so a pair that met in crowded buckets only can stay unlinked. Texts without words are copies of each other.
+Candidates come from two sources. SimHash fingerprints of the 5-word shingles are probed by the generalised pigeonhole
+(`simhash.links`): copies with few edits differ in two bits or fewer. A similarity of 0.8 differs by about 10 of 64 bits,
+for which no such index stays small, so MinHash adds the wider pairs: 100 minima in 20 bands of 5, by which a pair of
+similarity 0.8 meets with a chance of 0.9996 and one of 0.9 nearly always. Each candidate is verified by the exact
+similarity of its two sets of shingles, so no pair below the bound is a link. Words are those of op10 (runs without white
+space, A-Z lower); a text of fewer than five words is one shingle.
+
+A bucket of a band with more than `bucket` distinct texts is not compared pair by pair. Each of its texts meets one of them;
+then `turns` times the bucket is cut by the texts' value in another band: the smaller buckets are compared pair by pair, of
+larger ones a text of each group found so far meets one of them. A pair of similarity 0.8 that meets in crowded buckets only
+is missed with a chance of about 0.07 ** turns.
+
+Texts without words are copies of each other; a null text is one. Rows that share an id but not the text are documents of
+their own. Rows equal in id and text are one. Ties go to the smaller id, then to the smaller hash of the text. Rows without
+an id all stay. An empty table gives no rows. Other columns, whatever their names, go along.
 """
 
 from __future__ import annotations
@@ -19,6 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common as c
+from . import simhash
 from .components import connected_components
 
 WIDTH, BANDS, ROWS = 5, 20, 5
@@ -69,9 +76,10 @@ def _signatures(docs: DataFrame) -> DataFrame:
                 row, s, same = shingles(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
                 keys = pa.array(bands(row, s, hi - lo).view(np.int64).ravel())
                 listed = pa.ListArray.from_arrays(pa.array(np.arange(0, (hi - lo + 1) * BANDS, BANDS), pa.int32()), keys)
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array(same.view(np.int64)), listed], names=["doc_id", "same", "bands"])
+                fp = simhash.majority(row, s, hi - lo)
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), b.column(2).slice(lo, hi - lo), pa.array(same.view(np.int64)), pa.array(fp.view(np.int64)), listed], names=["doc_id", "row_key", "same", "fp", "bands"])
 
-    return docs.mapInArrow(run, "doc_id long, same long, bands array<long>")
+    return docs.mapInArrow(run, "doc_id long, row_key long, same long, fp long, bands array<long>")
 
 
 def _sets(docs: DataFrame) -> DataFrame:
@@ -89,18 +97,42 @@ def _sets(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "same long, shingles array<long>")
 
 
-def _candidates(live: DataFrame, crowd: DataFrame | None, bucket: int, turn: int) -> tuple[DataFrame, DataFrame]:
-    """u < v: texts that meet (in the buckets that were crowded before, if any), and the crowded buckets."""
-    index = live.where("same <> 0").select("same", F.posexplode("bands").alias("band", "key"))
-    if crowd is not None:
-        index = index.join(crowd.select("band", "key"), ["band", "key"], "left_semi")
-    sizes = index.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(F.xxhash64("same", "band", F.lit(turn)).alias("h"), "same")).alias("first")).where("n > 1")
-    sizes = c.cut(sizes.select("band", "key", "n", F.col("first.same").alias("pivot")))
-    small = index.join(sizes.where(F.col("n") <= bucket), ["band", "key"]).groupBy("band", "key").agg(F.sort_array(F.collect_list("same")).alias("all"))
+def _ordered(pairs: DataFrame, a: str, b: str) -> DataFrame:
+    return pairs.where(f"{a} <> {b}").select(F.least(a, b).alias("u"), F.greatest(a, b).alias("v"))
+
+
+def _by_fingerprint(nodes: DataFrame) -> DataFrame:
+    """u < v: texts with equal fingerprints, or with such as differ in two bits or fewer; one text stands for a fingerprint."""
+    own = nodes.where("same <> 0").select("same", "fp")
+    heads = c.cut(own.groupBy("fp").agg(F.min("same").alias("head")))
+    equal = _ordered(own.join(heads, "fp"), "same", "head")
+    near = simhash.links(heads.select("fp"))
+    ends = near.join(heads.select(F.col("fp").alias("u"), F.col("head").alias("a")), "u").join(heads.select(F.col("fp").alias("v"), F.col("head").alias("b")), "v")
+    return equal.union(_ordered(ends, "a", "b"))
+
+
+def _in_buckets(index: DataFrame, key: list[str], bucket: int, seed: int) -> tuple[DataFrame, DataFrame]:
+    """u < v of index (same, alone, key columns): all pairs of small buckets; in others each text that is not alone with one of them. And the crowded buckets."""
+    pivot = F.min(F.when(~F.col("alone"), F.struct(F.xxhash64("same", F.lit(seed)).alias("h"), "same")))
+    sizes = c.cut(index.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), pivot.alias("first")).where("n > 1").select(*key, "n", F.col("first.same").alias("pivot")))
+    small = index.join(sizes.where(F.col("n") <= bucket).select(*key), key).groupBy(*key).agg(F.sort_array(F.collect_list("same")).alias("all"))
     pairs = small.select("all", F.posexplode("all").alias("i", "u")).select("u", F.explode(F.expr("slice(all, i + 2, size(all))")).alias("v"))
     crowd = sizes.where(F.col("n") > bucket)
-    stars = index.join(crowd, ["band", "key"]).where("same <> pivot").select(F.least("same", "pivot").alias("u"), F.greatest("same", "pivot").alias("v"))
-    return c.cut(pairs.union(stars).distinct()), crowd
+    stars = index.where("not alone").join(crowd.select(*key, "pivot"), key)
+    return pairs.union(_ordered(stars, "same", "pivot")), crowd.select(*key)
+
+
+def _index(nodes: DataFrame, turn: int) -> DataFrame:
+    """same, alone, band, key: a row for each band; cut: the value of the band `turn` further on."""
+    other = F.expr(f"bands[(band + {turn}) % {BANDS}]")
+    return nodes.where("same <> 0").select("same", "alone", "bands", F.posexplode("bands").alias("band", "key")).select("same", "alone", "band", "key", other.alias("cut"))
+
+
+def _across(pairs: DataFrame, rooted: DataFrame) -> DataFrame:
+    """The pairs that no links connect yet."""
+    a, b = rooted.select(F.col("node").alias("u"), F.col("root").alias("ru")), rooted.select(F.col("node").alias("v"), F.col("root").alias("rv"))
+    both = pairs.join(a, "u", "left").join(b, "v", "left")
+    return both.where(F.coalesce("ru", "u") != F.coalesce("rv", "v")).select("u", "v")
 
 
 def _sets_of(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -122,27 +154,31 @@ def _verified(sets: DataFrame, pairs: DataFrame, least: float) -> DataFrame:
     return both.where(F.col("shared") >= F.lit(least) * (F.col("nu") + F.col("nv") - F.col("shared")) - 1e-9).select("u", "v")
 
 
-def drop(docs: DataFrame, least: float = 0.8, bucket: int = 32) -> DataFrame:
-    """One document of each group stays: that with the least doc_id; of rows that share it, one. Rows without an id all stay."""
-    known = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    nodes = c.cut(_signatures(known).groupBy("same").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands")))
-    live, crowd, sets, edges, rooted, turn = nodes, None, None, None, None, 0
-    while True:
-        pairs, crowd = _candidates(live, crowd, bucket, turn)
-        sets = _sets_of(known, nodes, pairs) if sets is None else sets
-        found = c.cut(_verified(sets, pairs, least))
-        if found.isEmpty():
-            break
-        edges = found if edges is None else edges.union(found)
-        rooted = connected_components(edges)
-        if crowd.isEmpty():
-            break
-        live, turn = c.cut(nodes.join(rooted.where("node <> root").select(F.col("node").alias("same")), "same", "left_anti")), turn + 1
-    stay = nodes.select("same", "doc_id")
-    if rooted is not None:
-        stay = stay.join(rooted, F.col("same") == F.col("node"), "left").groupBy(F.coalesce("root", "same").alias("root")).agg(F.min("doc_id").alias("doc_id"))
-    stay = stay.select("doc_id").distinct()
-    # the join leaves each partition sorted by doc_id, so the first row of an id costs no other sort or shuffle
-    first = F.row_number().over(Window.partitionBy("doc_id").orderBy("doc_id"))
-    kept = docs.join(stay.hint("merge"), "doc_id", "left_semi").withColumn("first_of_doc_id", first).where("first_of_doc_id = 1")
-    return kept.select(*docs.columns).unionByName(docs.where(F.col("doc_id").isNull()))
+def drop(docs: DataFrame, least: float = 0.8, bucket: int = 32, turns: int = 4) -> DataFrame:
+    """One document of each group stays: that with the least doc_id. Rows without an id all stay."""
+    whole = F.struct(*(F.col(f"`{x}`") for x in docs.columns)).alias("row")
+    rows = docs.select(whole, F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("row_key"))
+    known = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64("text").alias("row_key"))
+    nodes = _signatures(known.select("doc_id", "text", "row_key")).groupBy("same").agg(F.min(F.struct("doc_id", "row_key")).alias("least"), F.first("fp").alias("fp"), F.first("bands").alias("bands"))
+    nodes = c.cut(nodes.select("same", "least", F.col("least.doc_id").alias("doc_id"), "fp", "bands"))
+    pairs, crowd = _in_buckets(_index(nodes.withColumn("alone", F.lit(False)), 0).drop("cut"), ["band", "key"], bucket, 0)
+    pairs, crowd = c.cut(pairs.union(_by_fingerprint(nodes)).distinct()), c.cut(crowd)
+    sets = _sets_of(known, nodes, pairs)
+    edges = c.cut(_verified(sets, pairs, least))
+    rooted = c.cut(connected_components(edges))
+    for turn in range(1, turns + 1 if not crowd.isEmpty() else 1):
+        # of each group found so far one text goes on into crowded buckets; pairs that links connect already are left out
+        linked = rooted.where("node <> root").select(F.col("node").alias("same"), F.lit(True).alias("alone"))
+        marked = nodes.join(linked, "same", "left").withColumn("alone", F.coalesce("alone", F.lit(False)))
+        index = c.cut(_index(marked, turn).join(crowd, ["band", "key"], "left_semi"))
+        more = c.cut(_across(_in_buckets(index, ["band", "key", "cut"], bucket, turn)[0].distinct(), rooted))
+        found = c.cut(_verified(sets, more, least))
+        if not found.isEmpty():
+            edges = edges.union(found)
+            rooted = c.cut(connected_components(edges))
+    kept = nodes.join(rooted, F.col("same") == F.col("node"), "left").groupBy(F.coalesce("root", "same").alias("root")).agg(F.min("least").alias("least")).select("least.doc_id", "least.row_key")
+    # the join leaves each partition sorted by both, so the first of equal rows costs no other sort or shuffle
+    first = F.row_number().over(Window.partitionBy("doc_id", "row_key").orderBy("doc_id"))
+    stay = rows.join(kept.distinct().hint("merge"), ["doc_id", "row_key"], "left_semi").withColumn("place", first).where("place = 1")
+    fields = [F.col(f"row.`{x}`").alias(x) for x in docs.columns]
+    return stay.select(*fields).unionByName(rows.where(F.col("doc_id").isNull()).select(*fields))

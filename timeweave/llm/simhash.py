@@ -44,17 +44,32 @@ def fingerprint(text: bytes, width: int = 3, seed: int = 42) -> int:
     return int.from_bytes(np.packbits(counts * 2 > n).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
-    """doc_id and fp, the fingerprint as a signed long."""
+def majority(row: np.ndarray, hashes: np.ndarray, n: int) -> np.ndarray:
+    """Fingerprints of n rows from the hashes of their shingles, which are sorted by row; zero for a row without any."""
+    out = np.zeros(n, np.uint64)
+    own, first, count = np.unique(row, return_index=True, return_counts=True)
+    if len(own):
+        counts = np.zeros((len(own), BITS), np.int64)
+        for bit in range(0, BITS, 8):
+            part = np.unpackbits((hashes >> np.uint64(BITS - 8 - bit)).astype(np.uint8)[:, None], axis=1)
+            counts[:, bit : bit + 8] = np.add.reduceat(part, first, axis=0, dtype=np.int64)
+        out[own] = np.packbits(counts * 2 > count[:, None], axis=1).view(">u8").ravel()
+    return out
+
+
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, keep_key: bool = False) -> DataFrame:
+    """doc_id and fp, the fingerprint as a signed long; with keep_key also row_key, a hash of the text."""
+    names = ["doc_id", "fp"] + ["row_key"] * keep_key
 
     def run(batches):
         for b in batches:
             ids, data = b.column(0), c.texts(b.column(1))
             raw, off = c.byte_view(data)
             fp = np.array([fingerprint(raw[off[i] : off[i + 1]].tobytes(), width) for i in range(len(data))], np.uint64)
-            yield pa.RecordBatch.from_arrays([ids, pa.array(fp.view(np.int64))], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([ids, pa.array(fp.view(np.int64)), *b.columns[2:]], names=names)
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
+    key = [F.xxhash64(F.col(text_col)).alias("row_key")] * keep_key
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *key).mapInArrow(run, ", ".join(f"{x} long" for x in names))
 
 
 # ---------------------------------------------------------------- partitions and thresholds
@@ -187,23 +202,30 @@ def links(fps: DataFrame, distance: int = 2, bucket: int = 32) -> DataFrame:
     return reduce(DataFrame.union, [*found, stars.where(near(F.col("u"), F.col("v")))]).where("u <> v").distinct()
 
 
+def _rooted(prints: DataFrame, value: str, distance: int, bucket: int) -> DataFrame:
+    """fp, least: of every fingerprint the least value in its component."""
+    distinct = c.cut(prints.groupBy("fp").agg(F.min(value).alias("least")))
+    cc = connected_components(links(distinct, distance, bucket))
+    # one row a fingerprint: its root, and the least value of that root
+    rooted = distinct.join(cc, distinct.fp == cc.node, "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")
+    return rooted.drop("least").join(rooted.groupBy("root").agg(F.min("least").alias("least")), "root").select("fp", "least")
+
+
 def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = 2, bucket: int = 32) -> DataFrame:
     """doc_id, fp, component_id: the least doc_id that is reachable over links."""
     prints = c.cut(fingerprints(docs, id_col, text_col))
-    distinct = c.cut(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    cc = connected_components(links(distinct, distance, bucket))
-    # one row a fingerprint: its root, and the least doc_id of that root
-    rooted = distinct.join(cc, distinct.fp == cc.node, "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")
-    of_root = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = rooted.join(of_root, "root").select("fp", "component_id")
-    return prints.join(named, "fp").select("doc_id", "fp", "component_id")
-
-
-def drop_near_duplicates(docs: DataFrame, distance: int = 2) -> DataFrame:
-    """One document of each group stays: that with the least doc_id; of rows that share it, one. Rows without an id all stay."""
-    found = components(docs.where(F.col("doc_id").isNotNull()), distance=distance)
-    stay = found.where("doc_id = component_id").select("doc_id").distinct()
-    # the join leaves each partition sorted by doc_id, so the first row of an id costs no other sort or shuffle
-    first = F.row_number().over(Window.partitionBy("doc_id").orderBy("doc_id"))
-    kept = docs.join(stay.hint("merge"), "doc_id", "left_semi").withColumn("first_of_doc_id", first).where("first_of_doc_id = 1")
-    return kept.select(*docs.columns).unionByName(docs.where(F.col("doc_id").isNull()))
+    return prints.join(_rooted(prints, "doc_id", distance, bucket), "fp").select("doc_id", "fp", F.col("least").alias("component_id"))
+
+
+def drop_near_duplicates(docs: DataFrame, distance: int = 2, bucket: int = 32) -> DataFrame:
+    """One document of each group stays: that with the least doc_id. Rows that share an id but not the text are documents of their own; rows equal in both are one. Rows without an id all stay."""
+    whole = F.struct(*(F.col(f"`{x}`") for x in docs.columns)).alias("row")
+    rows = docs.select(whole, F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("row_key"))
+    # a fingerprint's documents are those of its texts: ids and hashes of texts stand for them
+    prints = fingerprints(docs.where(F.col("doc_id").isNotNull()).select("doc_id", "text"), keep_key=True)
+    prints = c.cut(prints.select("fp", F.struct("doc_id", "row_key").alias("document")))
+    kept = _rooted(prints, "document", distance, bucket).select("least.doc_id", "least.row_key").distinct()
+    first = F.row_number().over(Window.partitionBy("doc_id", "row_key").orderBy("doc_id"))
+    stay = rows.join(kept.hint("merge"), ["doc_id", "row_key"], "left_semi").withColumn("place", first).where("place = 1")
+    fields = [F.col(f"row.`{x}`").alias(x) for x in docs.columns]
+    return stay.select(*fields).unionByName(rows.where(F.col("doc_id").isNull()).select(*fields))
