@@ -155,32 +155,54 @@ def test_threshold_plans_keep_the_pigeonhole_sum():
 
 
 def test_forest_recall_and_edges(spark):
-    g = np.random.default_rng(7)
-    x = g.normal(size=(3000, 32)).astype(np.float32)
-    x[100:140] = x[100]
-    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(5000, None), (5050, [0.0] * 32), (5100, [float("nan")] * 32), (None, x[0].tolist()), (5150, [None] * 32), (0, x[0].tolist())]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
-    forest = ann_forest.Forest(least=64)
-    got = ann_forest.nearest(df, F.col("vec_id") % 50 == 0, 5, forest).collect()
-    found = defaultdict(list)
-    for r in sorted(got, key=lambda r: (r.query_id, r["rank"])):
-        found[r.query_id].append((r.vec_id, r.score))
+    r = np.random.default_rng(5)
+    centers = r.normal(size=(30, 24))
+    x = (centers[r.integers(0, 30, 3000)] + 0.7 * r.normal(size=(3000, 24))).astype(np.float32)
+    x[100:140] = x[100]  # equal vectors
+    rows = [(i, [float(v) for v in x[i]], "mine") for i in range(3000)] + [(3000, None, ""), (3050, [0.0] * 24, ""), (3100, [float("nan")] * 24, ""), (3150, [1.0, None], ""), (None, [1.0] * 24, ""), (150, [float(v) for v in x[150]], "again")]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, h1 string").repartition(3)
     u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1)[:, None]
-    hit = 0
-    for q in range(0, 3000, 50):
-        s = u @ u[q]
-        s[q] = -9
-        want = sorted(range(3000), key=lambda i: (-round(s[i], 12), i))[:5]
-        assert len(found[q]) == 5 and q not in [v for v, _ in found[q]]
-        assert all(abs(sc - s[v]) < 1e-9 for v, sc in found[q])
-        hit += len({v for v, _ in found[q]} & set(want))
-    assert set(found) == set(range(0, 3000, 50)) and hit / 300 >= 0.9
-    assert [v for v, _ in found[100]] == [101, 102, 103, 104, 105]
+    # also with parts so small that a tree is cut often, and a sample of a part of the rows
+    for forest in (ann_forest.Forest(), ann_forest.Forest(gather=3.0, sample=1000, part_rows=500)):
+        found = defaultdict(list)
+        for q in sorted(ann_forest.nearest(df, F.col("vec_id") % 50 == 0, 5, forest).collect(), key=lambda q: (q.query_id, q["rank"])):
+            found[q.query_id].append((q.vec_id, q.score))
+            assert 0 <= q.level <= 8 and q.gathered > 0
+        hit = 0
+        for q in range(0, 3000, 50):
+            s = u @ u[q]
+            s[q] = -9
+            want = sorted(range(3000), key=lambda i: (-round(s[i], 12), i))[:5]  # noqa: B023
+            assert len(found[q]) == 5 and q not in [v for v, _ in found[q]]
+            assert all(abs(sc - s[v]) < 1e-9 for v, sc in found[q])
+            hit += len({v for v, _ in found[q]} & set(want))
+        assert set(found) == set(range(0, 3000, 50)) and hit / 300 >= 0.9
+        assert [v for v, _ in found[100]] == [101, 102, 103, 104, 105]
     few = ann_forest.nearest(df.where("vec_id in (50, 51)"), F.col("vec_id") % 50 == 0, 5).collect()
-    assert [(r.query_id, r["rank"], r.vec_id) for r in few] == [(50, 1, 51)]
+    assert [(q.query_id, q["rank"], q.vec_id) for q in few] == [(50, 1, 51)]
     assert ann_forest.nearest(df.limit(0), F.lit(True)).count() == 0
 
 
+def test_forest_scales_before_it_squares(spark):
+    rows = [(0, [1e200, 1e-200, 0.0]), (1, [1.0, 0.0, 0.0]), (2, [0.0, 1e-200, 0.0]), (3, [1e200, 1e200, 0.0]), (4, [1.0, 2.0]), (4, [5.0, 5.0, 5.0]), (5, [1.0, 2.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = ann_forest.nearest(df, F.col("vec_id").isin(0, 5), 5).orderBy("query_id", "rank").collect()
+    assert [(r.query_id, r.vec_id, round(r.score, 6)) for r in got] == [(0, 1, 1.0), (0, 3, 0.707107), (0, 4, 0.57735), (0, 2, 0.0), (5, 4, 1.0)]
+
+
+def test_forest_ascends_to_longer_prefixes_of_near_vectors():
+    r = np.random.default_rng(2)
+    x = np.concatenate([r.normal(size=(4000, 64)), r.normal(size=64) + 0.01 * r.normal(size=(4000, 64))])
+    router = ann_forest.Router(x, len(x), ann_forest.Forest(), 64)
+    far, near = router.ascend(ann_forest.unit(x[:50])), router.ascend(ann_forest.unit(x[-50:]))
+    assert {k for k, _, _ in far} <= {1, 2} and all(k > 2 for k, _, _ in near)
+    # strings of one prefix lie side by side, and every part that may hold one is asked
+    t = ann_forest.hash_strings(ann_forest.unit(x), router.turns[0])
+    for _, _, ranges in far[:5]:
+        (low, high) = ranges[0]
+        assert all(a <= b for a, b in zip(low, high, strict=True)) and sum(((t >= a) & (t <= b)).sum() for a, b in zip(low, high, strict=True)) > 0
+
+
 def test_warc_round_trip(spark):
     rows = [(3, "http://a/", "<p>x</p>"), (1, "http://b/", "<p>x</p>"), (2, None, None), (4, "http://c/\r\nX: y", ""), (7, "u", "é" * 5000), (7, "u", "é" * 5000), (8, "u", "z" * 300000)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
@@ -206,6 +228,43 @@ def test_warc_reader_validates():
     assert [bool(r["error"]) for r in warc.records(head + z.compress(good) + z.compress(good)[:-9])] == [False, True]
 
 
+def test_warc_reader_goes_on_after_a_bad_frame():
+    z = zstandard.ZstdCompressor(write_checksum=True)
+    good = [z.compress(warc.record(f"urn:x-page:{i}", "response", "http://a/", b"body", None, "2024-01-01T00:00:00Z")) for i in range(4)]
+    flipped = good[1][:-1] + bytes([good[1][-1] ^ 1])
+    got = [(r["record_id"], bool(r["error"])) for r in warc.records(good[0] + flipped + good[2] + good[3])]
+    assert got == [("urn:x-page:0", False), (None, True), ("urn:x-page:2", False), ("urn:x-page:3", False)]
+    got = [(r["record_id"], bool(r["error"])) for r in warc.records(good[0] + b"no frame at all" + good[2])]
+    assert got == [("urn:x-page:0", False), (None, True), ("urn:x-page:2", False)]
+
+
+def test_url_filter_ties_and_addresses(spark):
+    caps = spark.createDataFrame([(1, "http://a.example/", "x"), (2, "http://[2001:DB8::1]:80/p", "x"), (3, "http://1.2.3.4/", "x"), (4, "nothing", "x"), (5, None, "x")], "id long, url string, host string").withColumn("fetched", F.lit("2024-06-01").cast("timestamp"))
+    day = F.lit("2024-01-01").cast("timestamp")
+    entries = spark.createDataFrame([("ab", "block", "a.example"), ("a", "block", "a.example"), ("v6", "block", "[2001:db8::1]"), ("tail", "block", "3.4")], "list string, kind string, domain string").withColumn("action", F.lit("add")).withColumn("at", day)
+    got = {r.id: (r.host, r.list) for r in url_filters.filter_captures(caps, entries, F.lit("2025-01-01").cast("timestamp")).collect()}
+    assert got == {1: ("a.example", "a"), 2: ("[2001:db8::1]", "v6"), 3: ("1.2.3.4", None), 4: (None, None), 5: (None, None)}
+    assert url_filters.filter_captures(caps.limit(0), entries, day).count() == 0
+
+
+def test_mix_keeps_clashing_columns_and_repeated_ids(spark):
+    rows = [(1, f"word{i} " * 40, "a", i, "u", {"k": i}) for i in range(20)] + [(1, "word0 " * 40, "a", 0, "u", {"k": 0}), (2, "x y z", None, 5, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, words_of_row int, doc_id_of_row string, row_key map<string,int>")
+    mixed = mixing.mix_documents(docs)
+    once, again = sorted(map(repr, mixed.collect())), sorted(map(repr, mixing.mix_documents(docs.repartition(5)).collect()))
+    assert mixed.columns == docs.columns and once == again
+    assert {r.words_of_row for r in mixed.collect()} == {*range(20), 5}
+
+
+def test_running_sums(spark):
+    df = spark.createDataFrame([(i % 7, i, 1 + i % 3) for i in range(500)], "a int, b int, n long")
+    got = {(r.a, r.b): r.before for r in mixing.running(df, ["a", "b"], before="n").collect()}
+    at = 0
+    for a, b, n in sorted((i % 7, i, 1 + i % 3) for i in range(500)):
+        assert got[a, b] == at
+        at += n
+
+
 def test_mixture_targets_and_bounds(spark):
     r = random.Random(6)
     rows = [(i, " ".join("w" * 1 for _ in range(r.randrange(0, 400))), r.choice(["a", "b", "c", None, "big", "big", "big"])) for i in range(300)] + [(300, None, "a"), (301, "x " * 5000, "b"), (5, "dup dup", "a"), (5, "dup dup", "a"), (None, "no id", "c"), (400, "", "empty")]
@@ -335,3 +394,23 @@ def test_near_copies_of_the_pipeline(spark, bucket):
     stage = corpus_pipeline.near_dedup(spark, docs, "") if bucket == 32 else near_copies.drop(docs.union(docs.limit(50)), bucket=bucket)
     assert sorted(x.doc_id for x in stage.collect()) == want
     assert near_copies.drop(docs.limit(0)).count() == 0
+
+
+def test_rows_that_share_an_id_are_documents_of_their_own(spark):
+    from timeweave.llm import near_copies
+
+    texts = ["one two three four five six", "seven eight nine ten eleven twelve", "one two three four five six", None, ""]
+    docs = spark.createDataFrame([(1, texts[0], "a"), (1, texts[1], "b"), (1, texts[0], "a"), (2, texts[2], "c"), (None, texts[0], "d"), (3, texts[3], "e"), (4, texts[4], "f")], "doc_id long, text string, row_key string")
+    got = [(r.doc_id or 0, r.text, r.row_key) for r in near_copies.drop(docs).collect()]
+    assert sorted(got, key=lambda r: (r[0], r[1] or "", r[2])) == sorted([(0, texts[0], "d"), (1, texts[0], "a"), (1, texts[1], "b"), (3, None, "e")], key=lambda r: (r[0], r[1] or "", r[2]))
+
+
+def test_majority_of_hashes():
+    from timeweave.llm import simhash
+
+    r = np.random.default_rng(4)
+    row, h = np.sort(r.integers(0, 9, 300)), r.integers(0, 2**64, 300, dtype=np.uint64)
+    row[row == 4] = 5
+    for k, fp in enumerate(simhash.majority(row, h, 10).tolist()):
+        own = [int(x) for x in h[row == k]]
+        assert fp == sum((2 * sum(x >> b & 1 for x in own) > len(own)) << b for b in range(64))
