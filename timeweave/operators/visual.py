@@ -71,13 +71,3 @@ def commercial_blocks(segments: DataFrame, most_gap_us: int = 2_000_000) -> Data
     fresh = (F.lag("pos").over(v).isNull() | (F.col("pos") - F.lag("pos").over(v) > 1) | (F.col("start_us") - F.lag("end_us").over(v) > most_gap_us)).cast("int")
     runs = s.withColumn("fresh", fresh).withColumn("block_no", F.sum("fresh").over(v))
     return runs.groupBy("source_id", "block_no").agg(F.min("start_us").alias("start_us"), F.max("end_us").alias("end_us"), F.count(F.lit(1)).alias("n"), F.when(F.countDistinct("speaker") > 1, "review").otherwise("excluded").alias("state"))
-
-
-def master_timeline(windows: DataFrame, words: DataFrame, segments: DataFrame) -> DataFrame:
-    """Per window its words (by midpoint), overlapping segments and speakers, and whether voices overlap."""
-    from .intervals import midpoint_assign
-
-    own = midpoint_assign(words.select("source_id", "word_id", "start_us", "end_us"), windows).groupBy(F.col("source_id"), F.col("b_window_id").alias("window_id")).agg(F.count(F.lit(1)).alias("n_words"))
-    seg = interval_join(windows, segments.select("source_id", "segment_id", "speaker", "start_us", "end_us")).groupBy("source_id", "window_id").agg(F.count(F.lit(1)).alias("n_segments"), F.array_join(F.array_sort(F.collect_set("b_speaker")), ",").alias("speakers"))
-    out = windows.select("source_id", "window_id").join(own, ["source_id", "window_id"], "left").join(seg, ["source_id", "window_id"], "left")
-    return out.select("source_id", "window_id", F.coalesce("n_words", F.lit(0)).alias("n_words"), F.coalesce("n_segments", F.lit(0)).alias("n_segments"), F.coalesce("speakers", F.lit("")).alias("speakers"))

@@ -79,15 +79,6 @@ def c3_commercial_blocks(spark, sf_dir):
     return op.commercial_blocks(d.segments(spark, sf_dir).withColumn("marked", F.length("text") % 3 != 0), 3_000_000)
 
 
-@query("""select g.source_id, g.window_id, (select count(*) from words w where w.source_id = g.source_id and (w.start_us + w.end_us) // 2 // 4000000 = g.window_id) as n_words, count(s.segment_id) as n_segments, coalesce(string_agg(distinct s.speaker, ',' order by s.speaker), '') as speakers
- from (select source_id, unnest(range(0, max(end_us) // 4000000 + 1)) as window_id from segments group by 1) g left join segments s on s.source_id = g.source_id and s.start_us < (g.window_id + 1) * 4000000 and s.end_us > g.window_id * 4000000 group by 1, 2""", "words")
-def j26_master_timeline(spark, sf_dir):
-    s = d.segments(spark, sf_dir)
-    g = s.groupBy("source_id").agg(F.max("end_us").alias("e")).select("source_id", F.explode(F.sequence(F.lit(0).cast("long"), F.expr("e div 4000000"))).alias("window_id"))
-    windows = g.select("source_id", "window_id", (F.col("window_id") * 4_000_000).alias("start_us"), ((F.col("window_id") + 1) * 4_000_000).alias("end_us"))
-    return op.master_timeline(windows, d.words(spark, sf_dir), s)
-
-
 @query("""select source_id, moment_id, array_to_string(list_sort(list_distinct(list_filter([case when n_lines = 0 then 'no_evidence' end, case when score < 0.3 then 'low_score' end, case when format = 'P' then 'pending' end], lambda x: x is not null))), ',') as reasons, n_lines > 0 and score >= 0.3 and format <> 'P' as ready from candidates""", "candidates")
 def c25_review_plan(spark, sf_dir):
     why = F.array_compact(F.array(F.when(F.col("n_lines") == 0, "no_evidence"), F.when(F.col("score") < 0.3, "low_score"), F.when(F.col("format") == "P", "pending")))

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from .plans import audit, contracts, evidence, folds, intervals, rank, streams, transcript, visual
+from .plans import audit, contracts, evidence, folds, intervals, rank, streams, timeline, transcript, visual
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
-for part in (intervals, transcript, evidence, rank, audit, folds, streams, visual, contracts):
+for part in (intervals, transcript, evidence, rank, audit, folds, streams, visual, contracts, timeline):
     QUERIES |= part.QUERIES
     ORACLES |= part.ORACLES

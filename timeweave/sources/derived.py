@@ -52,6 +52,42 @@ def words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return w.select("source_id", F.concat_ws("-", "segment_id", "k").alias("word_id"), "segment_id", "k", "word", cut("k").alias("start_us"), cut("k + 1").alias("end_us"), ((F.col("k") * 37 + F.col("turn")) % 100 / 100.0).alias("confidence"), "speaker")
 
 
+def scene_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """source_id, scene_id, start_us, end_us: three turns of a conversation are a scene."""
+    return _cells(segments(spark, sf_dir), 3, "S", "scene_id")
+
+
+def topic_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """source_id, topic_id, start_us, end_us: five turns of a conversation are a topic."""
+    return _cells(segments(spark, sf_dir), 5, "T", "topic_id")
+
+
+def _cells(s: DataFrame, turns: int, mark: str, name: str) -> DataFrame:
+    cell = F.concat("source_id", F.lit(f"-{mark}"), F.expr(f"turn div {turns}"))
+    return s.groupBy("source_id", cell.alias(name)).agg(F.min("start_us").alias("start_us"), F.max("end_us").alias("end_us"))
+
+
+def voices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """source_id, speaker, start_us, end_us: turns that last three seconds longer than their text, so neighbours overlap."""
+    return segments(spark, sf_dir).select("source_id", "speaker", "start_us", (F.col("end_us") + 3_000_000).alias("end_us"))
+
+
+def pictures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """source_id, time_us, scene_id, people: a frame two seconds into each turn, with one to three people by the turn's number."""
+    people = F.expr("array(array('p0'), array('p0', 'p1'), array('p1'), array('p0', 'p1', 'p2'))[cast(turn % 4 as int)]")
+    return segments(spark, sf_dir).select("source_id", (F.col("start_us") + 2_000_000).alias("time_us"), F.concat("source_id", F.lit("-S"), F.expr("turn div 3")).alias("scene_id"), people.alias("people"))
+
+
+def speaker_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """source_id, speaker, person_id, start_us, end_us: who is seen speaking; every seventh turn has no link."""
+    return segments(spark, sf_dir).where("turn % 7 <> 6").select("source_id", "speaker", F.when(F.col("speaker") == "user", "p0").otherwise("p1").alias("person_id"), "start_us", "end_us")
+
+
+def spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """source_id, duration_us of conversations: to the end of the last turn's slot."""
+    return segments(spark, sf_dir).groupBy("source_id").agg((F.max("turn") * 10_000_000 + 10_000_000).alias("duration_us"))
+
+
 def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """source_id, moment_id, start_us, end_us, score, topic, format, n_lines, evidence: orders as clip candidates."""
     lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("n_lines"))
@@ -68,11 +104,18 @@ SQL = {
     "durations": "select user_id as source_id, max(epoch_us(ts) + round(value * 60e6)::bigint) as duration_us from events where value > 0 group by 1",
     "segments": "select conv_id as source_id, conv_id || '-' || turn as segment_id, turn, turn * 10000000 as start_us, turn * 10000000 + least(9000000, length(text) * 50000) as end_us, role as speaker, text from conversations",
     "words": "select source_id, segment_id || '-' || k as word_id, segment_id, k, w[k + 1] as word, start_us + ((end_us - start_us) * k) // n as start_us, start_us + ((end_us - start_us) * (k + 1)) // n as end_us, ((k * 37 + turn) % 100) / 100.0::double as confidence, speaker from (select *, len(w) as n, unnest(range(len(w))) as k from (select *, string_split(trim(regexp_replace(text, '\\s+', ' ', 'g')), ' ') as w from segments))",
+    "scene_cells": "select source_id, source_id || '-S' || (turn // 3) as scene_id, min(start_us) as start_us, max(end_us) as end_us from segments group by 1, 2",
+    "topic_cells": "select source_id, source_id || '-T' || (turn // 5) as topic_id, min(start_us) as start_us, max(end_us) as end_us from segments group by 1, 2",
+    "voices": "select source_id, speaker, start_us, end_us + 3000000 as end_us from segments",
+    "pictures": "select source_id, start_us + 2000000 as time_us, source_id || '-S' || (turn // 3) as scene_id, [['p0'], ['p0', 'p1'], ['p1'], ['p0', 'p1', 'p2']][(turn % 4 + 1)::int] as people from segments",
+    "speaker_links": "select source_id, speaker, case when speaker = 'user' then 'p0' else 'p1' end as person_id, start_us, end_us from segments where turn % 7 <> 6",
+    "spans": "select source_id, max(turn) * 10000000 + 10000000 as duration_us from segments group by 1",
     "candidates": "select o_custkey // 10 as source_id, o_orderkey as moment_id, date_diff('day', date '1995-01-01', o_orderdate::date) * 10000000 as start_us, date_diff('day', date '1995-01-01', o_orderdate::date) * 10000000 + (15 + o_orderkey % 90) * 1000000 as end_us, round(o_totalprice % 1000 / 1000, 6) as score, o_orderpriority as topic, o_orderstatus as format, coalesce(n_lines, 0) as n_lines from orders left join (select l_orderkey, count(*) as n_lines from lineitem group by 1) on o_orderkey = l_orderkey",
 }
 
 
 def with_tables(*names: str, body: str) -> str:
     """A query over the named logical tables, for DuckDB."""
-    need = [n for n in SQL if n in names or n == "segments" and "words" in names]
+    of_segments = {"words", "scene_cells", "topic_cells", "voices", "pictures", "speaker_links", "spans"}
+    need = [n for n in SQL if n in names or n == "segments" and of_segments & set(names)]
     return "with " + ",\n".join(f"{n} as ({SQL[n]})" for n in need) + "\n" + body
