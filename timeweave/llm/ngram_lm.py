@@ -2,7 +2,7 @@
 
 Counting: each task counts the distinct n-grams of its texts and deals them, as packed arrays, to shards by a hash of the
 n-gram. A shard adds them up, writes its arrays to the shared folder and passes on the (n-1)-grams with the number of
-distinct words before each (their adjusted counts), and so on down to single words. N-grams of one context go to up to 8
+distinct words before each (their adjusted counts), and so on down to single words. N-grams of one context go to up to 64
 shards, so that no frequent word fills one; what a context needs is added up in a second, small shuffle.
 
 Arrays of a level: `key` (sorted 64-bit hashes of n-grams) and `count`, cut into shards by ranges of the key; `context`
@@ -31,7 +31,9 @@ from . import common as c
 BEGIN, END = np.uint64(0x5BD1E995A1B2C3), np.uint64(0x1B873593D4E5F6)
 _LOW56 = np.uint64((1 << 56) - 1)
 #: A context's n-grams are dealt to so many key ranges.
-FAN = 8
+FAN = 64
+#: Bytes of text for each shard of the counts: shards grow with the corpus, so that none does.
+SHARD_BYTES = 4 << 20
 #: Tokens that a task counts before it hands on what it has.
 TASK_TOKENS = 6_000_000
 
@@ -74,7 +76,7 @@ def context_key(columns: list[np.ndarray]) -> np.ndarray:
 
 
 def ngram_key(columns: list[np.ndarray]) -> np.ndarray:
-    """The upper 24 bits follow from the context and 3 bits of the word, so that a context lies in few places."""
+    """The upper 24 bits follow from the context and 6 bits of the word, so that a context lies in few places."""
     if len(columns) == 1:
         return c.mix(columns[0])
     context, word = context_key(columns[:-1]), columns[-1]
@@ -202,7 +204,7 @@ def _settle(level: int, shards: int, folder: str):
                 (context,), values = _joined(blobs)
                 context, _, values = summed(context, [], values)
                 for name, x in zip(("context", "total", "n1", "n2", "n3"), (context, *values), strict=True):
-                    c.write_bytes(f"{folder}/{level + 1}-{name}-{shard}", x.astype("<u8" if name in ("context", "total") else "<u4").tobytes())
+                    c.write_bytes(f"{folder}/{level + 1}-{name}-{shard}", x.astype("<u8").tobytes())
                 continue
             columns, values = _joined(blobs)
             key, columns, (count, raw) = summed(ngram_key(columns), columns, values)
@@ -212,7 +214,7 @@ def _settle(level: int, shards: int, folder: str):
             c.write_bytes(f"{folder}/{level}-count-{shard}", small.tobytes())
             c.write_bytes(f"{folder}/{level}-big-{shard}", np.stack([key[big], count[big]]).astype("<u8").tobytes())
             if level == 1:
-                c.write_bytes(f"{folder}/1-raw-{shard}", raw.astype("<u4").tobytes())
+                c.write_bytes(f"{folder}/1-raw-{shard}", raw.astype("<u8").tobytes())
             facts = [len(key), int(count.sum()), *(int((count == k).sum()) for k in (1, 2, 3, 4)), int(raw.sum()), int((count >= 3).sum())]
             yield _row_batch("facts", level, shard, np.array(facts, "<u8").tobytes())
             if level > 1:
@@ -256,15 +258,17 @@ def discounts(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, float]:
 
 
 def train(docs: DataFrame, order: int = 2, shards: int | None = None, text_col: str = "text") -> Model:
-    """Counts every text of docs. shards: key ranges, by default as many as the session's shuffle partitions."""
+    """Counts every text of docs. shards: key ranges, by default one for every SHARD_BYTES of text, and at least the session's shuffle partitions."""
     spark = docs.sparkSession
-    shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if not shards:
+        size = docs.agg(F.sum(F.octet_length(F.col(text_col).cast("string")).cast("long"))).first()[0] or 0
+        shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // SHARD_BYTES))
     folder = c.new_path(spark, "lm")
     rows = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(_count_texts(order, shards), _ROWS)
     facts: dict[int, np.ndarray] = {}
     for level in range(order, 0, -1):
         path = c.new_path(spark, f"lm-level{level}")
-        rows.repartition(shards, "shard").sortWithinPartitions("kind", "shard").mapInArrow(_settle(level, shards, folder), _ROWS).write.partitionBy("kind").parquet(path)
+        rows.repartitionById(shards, "shard").sortWithinPartitions("kind", "shard").mapInArrow(_settle(level, shards, folder), _ROWS).write.partitionBy("kind").parquet(path)
         settled = spark.read.schema(_ROWS).parquet(path)
         facts[level] = np.sum([np.frombuffer(r[0], "<u8") for r in settled.where("kind = 'facts'").select("blob").collect()] or [np.zeros(8)], axis=0).astype(np.int64)
         rows = settled.where(F.col("kind") != "facts").select("kind", "level", "shard", "blob")
@@ -311,11 +315,11 @@ class Arrays:
         return out
 
     def counts(self, level: int, columns: list[np.ndarray], raw: bool = False) -> list[np.ndarray]:
-        names = [(f"{level}-count", "u1")] + [("1-raw", "<u4")] * raw
+        names = [(f"{level}-count", "u1")] + [("1-raw", "<u8")] * raw
         return self._spread(ngram_key(columns), f"{level}-key", names)
 
     def contexts(self, level: int, columns: list[np.ndarray]) -> list[np.ndarray]:
-        return self._spread(context_key(columns), f"{level}-context", [(f"{level}-total", "<u8"), *((f"{level}-n{k}", "<u4") for k in (1, 2, 3))])
+        return self._spread(context_key(columns), f"{level}-context", [(f"{level}-total", "<u8"), *((f"{level}-n{k}", "<u8") for k in (1, 2, 3))])
 
     def _spread(self, key: np.ndarray, name: str, values: list[tuple[str, str]]) -> list[np.ndarray]:
         known, at = np.unique(key, return_inverse=True)
