@@ -5,10 +5,15 @@ prior - is toxic too. Its risk is prior * R+(positives) plus the negatives' risk
 R-(positives) and held at zero or more: a step that would push it below goes the other way. A second, one-variable fit on
 labelled training rows turns margins into probabilities.
 
-Features are hashed words and pairs of neighbouring words (runs of letters and digits, A-Z lower), counted once a text with weights
-only where they stand out among the positives. Labels come only from training rows; the model is fitted on bounded samples (Limits) of those
-with the smallest hashes. A null text is empty; an empty text has the score of a text without known features. Rows are
-scored one by one. Without any confirmed toxic row all scores are the prior's floor, 0.
+Features are hashed words and pairs of neighbouring words (runs of letters and digits, A-Z lower), counted once a text with
+weights only where they stand out among the positives. Labels come only from training rows. The model is fitted on bounded
+samples (Limits) of whole texts, those with the smallest hashes of their ids, drawn together in one pass over the texts;
+features are chosen by counts over the samples, and only then do the texts' chosen features go to the driver.
+
+A null text is empty; an empty text has the score of a text without known features. Rows are scored one by one, repeated
+rows alike. Of repeated labels of a document the largest counts; of a repeated id in a sample, the text with the smallest
+hash. Rows without an id are scored, not learned from. Without any confirmed toxic row all scores are 0; an empty table
+gives no rows. Other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -25,12 +30,11 @@ from . import common as c
 
 @dataclass(frozen=True)
 class Limits:
-    """Most rows of each kind that the model is fitted on, and most distinct features of one of them."""
+    """Most rows of each kind that the model is fitted on: confirmed toxic, unlabelled (all training rows alike), and labelled for the calibration."""
 
     positives: int = 2_000
     unlabelled: int = 6_000
     calibration: int = 4_000
-    features: int = 1_500
 
 
 DIM = 1 << 18
@@ -61,76 +65,89 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.slope * z + self.shift, -40, 40)))
 
 
-def _csr(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    n = np.array([len(r) for r in rows], np.int64)
-    return np.repeat(np.arange(len(rows)), n), np.concatenate([*rows, np.empty(0, np.int32)]).astype(np.int64)
+def band_keys(row: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+    """n x 3 hashes of runs of eight min-hashes of each row's features: near copies share one nearly always."""
+    out = np.zeros((n, 3), np.uint64)
+    own, first = np.unique(row, return_index=True)
+    if len(own):
+        x = at.astype(np.uint64)
+        for k in range(24):
+            low = np.minimum.reduceat(c.mix(x * np.uint64(2 * k + 3) + np.uint64(k + 1)), first)
+            out[own, k // 8] = c.mix(out[own, k // 8] * np.uint64(0x9E3779B97F4A7C15) + low)
+    return out
 
 
-def without_copies(rows: list[np.ndarray]) -> list[np.ndarray]:
-    """Of sampled texts that share one of three runs of eight min-hashes only the first: near copies would lend their words weight."""
-    seen: set[tuple[int, ...]] = set()
+def without_copies(keys: list[tuple[int, ...]]) -> list[int]:
+    """Places of the first of rows that share any of their keys: near copies would lend their words weight."""
+    seen: set[tuple[int, int]] = set()
     out = []
-    for r in rows:
-        x = np.array(r, np.uint64)
-        low = [int(c.mix(x * np.uint64(2 * k + 1) + np.uint64(k)).min()) for k in range(1, 25)] if len(x) else [0] * 24
-        keys = {(k, *low[8 * k : 8 * k + 8]) for k in range(3)}
-        if not keys & seen:
-            out.append(r)
-        seen |= keys
+    for i, own in enumerate(keys):
+        pairs = set(enumerate(own))
+        if not pairs & seen:
+            out.append(i)
+        seen |= pairs
     return out
 
 
-def telling(positives: list[np.ndarray], unlabelled: list[np.ndarray], least: float = 6.0) -> np.ndarray:
-    """Features whose share of positives is above that of unlabelled texts by `least` standard errors or more; in a fiftieth of the positives, and in four, so that copies of one text do not count."""
-    n, m = max(len(positives), 1), max(len(unlabelled), 1)
-    p, u = np.bincount(_csr(positives)[1], minlength=DIM), np.bincount(_csr(unlabelled)[1], minlength=DIM)
+def telling(p: np.ndarray, u: np.ndarray, n: int, m: int, least: float = 6.0) -> np.ndarray:
+    """Which features' share of n positives (counts p) is above that of m unlabelled texts (counts u) by `least` standard errors or more; in four positives at least."""
+    n, m = max(n, 1), max(m, 1)
     both = (p + u + 1) / (n + m + 2)
     z = (p / n - u / m) / np.sqrt(both * (1 - both) * (1 / n + 1 / m))
-    return np.flatnonzero((z >= least) & (p >= max(4, 0.02 * n)))
-
-
-def fit_nnpu(positives: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, epochs: int = 40, batch: int = 256, rate: float = 0.05, decay: float = 1e-3, seed: int = 5) -> tuple[np.ndarray, float]:
-    """Weights and bias that minimise the non-negative risk with the logistic loss; Adam on mini-batches of both samples."""
-    rng = np.random.default_rng(seed)
-    kept = telling(positives, unlabelled)
-    place = np.full(DIM, -1)
-    place[kept] = np.arange(len(kept))
-
-    def matrix(rows: list[np.ndarray]) -> np.ndarray:
-        r, at = _csr(rows)
-        x = np.zeros((len(rows), len(kept)), np.float32)
-        known = place[at] >= 0
-        x[r[known], place[at[known]]] = 1
-        return x
-
-    xs_p, xs_u = matrix(positives), matrix(unlabelled)
-    w, b = np.zeros(len(kept)), 0.0
-    m, v, mb, vb, t = np.zeros(len(kept)), np.zeros(len(kept)), 0.0, 0.0, 0
-    sig = lambda z: 1 / (1 + np.exp(-np.clip(z, -40, 40)))
-    steps = max(1, -(-len(unlabelled) // batch))
-    size_p = min(len(positives), batch)
+    return np.flatnonzero((z >= least) & (p >= 4))
+
+
+def matrix(rows: list[np.ndarray], kept: np.ndarray) -> np.ndarray:
+    """Rows of features as 0 and 1 for each kept feature (sorted); others are left out."""
+    x = np.zeros((len(rows), len(kept)), np.float32)
+    for i, r in enumerate(rows):
+        at = np.searchsorted(kept, r)
+        at[at == len(kept)] = 0
+        if len(kept):
+            x[i, at[kept[at] == r]] = 1
+    return x
+
+
+def _sigmoid(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
+
+
+def risk(w: np.ndarray, b: float, xp: np.ndarray, xu: np.ndarray, prior: float) -> tuple[float, float]:
+    """The positives' risk times the prior, and the negatives' risk before it is held at zero; logistic loss."""
+    zp, zu = xp @ w + b, xu @ w + b
+    return prior * float(np.logaddexp(0, -zp).mean()), float(np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean())
+
+
+def step(w: np.ndarray, b: float, xp: np.ndarray, xu: np.ndarray, prior: float) -> tuple[np.ndarray, float]:
+    """The gradient to follow: that of the whole risk, or, where the negatives' risk is below zero, that of its rise alone."""
+    zp, zu = xp @ w + b, xu @ w + b
+    gu, gp = _sigmoid(zu) / len(zu), prior * _sigmoid(zp) / len(zp)
+    if risk(w, b, xp, xu, prior)[1] < 0:
+        gu = -gu
+    else:
+        gp = -prior * _sigmoid(-zp) / len(zp) - gp
+    return gu @ xu + gp @ xp, float(gu.sum() + gp.sum())
+
+
+def fit_nnpu(xs_p: np.ndarray, xs_u: np.ndarray, prior: float, epochs: int = 40, batch: int = 256, rate: float = 0.05, decay: float = 1e-3, seed: int = 5) -> tuple[np.ndarray, float]:
+    """Weights and bias that minimise the non-negative risk; Adam on mini-batches of both samples."""
+    rng, k = np.random.default_rng(seed), xs_p.shape[1]
+    w, b = np.zeros(k), 0.0
+    m, v, mb, vb, t = np.zeros(k), np.zeros(k), 0.0, 0.0, 0
+    steps = max(1, -(-len(xs_u) // batch))
+    size_p = min(len(xs_p), batch)
     for _ in range(epochs):
-        order_u, order_p = rng.permutation(len(unlabelled)), rng.permutation(len(positives))
-        for k in range(steps):
-            xu = xs_u[order_u[k * batch : (k + 1) * batch]]
-            xp = xs_p[np.take(order_p, range(k * size_p, (k + 1) * size_p), mode="wrap")]
-            zu, zp = xu @ w + b, xp @ w + b
-            # losses: log(1 + e^-z) of a positive, log(1 + e^z) of a negative
-            negative = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
-            gu, gp = sig(zu) / len(zu), prior * sig(zp) / len(zp)
-            if negative < 0:
-                gu = -gu  # only the negatives' risk, upwards
-            else:
-                gp = -prior * sig(-zp) / len(zp) - gp
-            g, gb = gu @ xu + gp @ xp + decay * w, gu.sum() + gp.sum()
-            t += 1
+        order_u, order_p = rng.permutation(len(xs_u)), rng.permutation(len(xs_p))
+        for j in range(steps):
+            xu = xs_u[order_u[j * batch : (j + 1) * batch]]
+            xp = xs_p[np.take(order_p, range(j * size_p, (j + 1) * size_p), mode="wrap")]
+            g, gb = step(w, b, xp, xu, prior)
+            g, t = g + decay * w, t + 1
             m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
             mb, vb = 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb * gb
-            w -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
+            w = w - rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
             b -= rate * (mb / (1 - 0.9**t)) / (np.sqrt(vb / (1 - 0.999**t)) + 1e-8)
-    out = np.zeros(DIM)
-    out[kept] = w
-    return out, b
+    return w, b
 
 
 def fit_slope(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
@@ -155,26 +172,34 @@ def fit_slope(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(a / scale), float(s)
 
 
-_SAMPLE = "toxic int, features array<int>"
+#: Bits that say which samples a row is in.
+POSITIVE, UNLABELLED, CALIBRATION = 1, 2, 4
+
+
+def _drawn(ids: DataFrame, known: DataFrame, limits: Limits) -> DataFrame:
+    """doc_id, toxic, kinds: the training rows of the three samples, by the smallest hashes of ids; at most the sum of the limits."""
+    first = lambda rows, n, kind: rows.select("doc_id").distinct().orderBy(F.xxhash64("doc_id", F.lit(7)), "doc_id").limit(n).withColumn("kind", F.lit(kind))
+    labelled = ids.join(known, "doc_id")
+    samples = first(labelled.where("toxic = 1"), limits.positives, POSITIVE).union(first(ids, limits.unlabelled, UNLABELLED)).union(first(labelled, limits.calibration, CALIBRATION))
+    return c.cut(samples.groupBy("doc_id").agg(F.sum("kind").cast("int").alias("kinds")).join(known, "doc_id", "left").select("doc_id", "kinds", F.col("toxic").cast("int").alias("toxic")))
 
 
-def _sample(docs: DataFrame, ids: DataFrame, n: int, most: int) -> list[tuple[int | None, np.ndarray]]:
-    """(label, features) of the n documents of ids (doc_id, toxic) with the smallest hash; the features of those with very many are those of smallest number."""
+def _sampled(rows: DataFrame, drawn: DataFrame) -> DataFrame:
+    """doc_id, kinds, toxic, keys (of near copies) and features of the drawn rows' whole texts; written once."""
 
     def run(batches):
         for b in batches:
-            data, offsets = c.byte_view(c.texts(b.column(1)))
+            data, offsets = c.byte_view(c.texts(b.column(3)))
             for lo, hi in c.slices(offsets):
                 row, at = features(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
-                cuts = np.searchsorted(row, np.arange(hi - lo + 1))
-                kept = [at[x : min(y, x + most)].astype(np.int32) for x, y in zip(cuts[:-1], cuts[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array(kept, pa.list_(pa.int32()))], names=["toxic", "features"])
+                n, cuts = hi - lo, np.searchsorted(row, np.arange(hi - lo + 1))
+                listed = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(at.astype(np.int32)))
+                keys = pa.ListArray.from_arrays(pa.array(np.arange(0, 3 * n + 1, 3), pa.int32()), pa.array(band_keys(row, at, n).view(np.int64).ravel()))
+                yield pa.RecordBatch.from_arrays([*(b.column(i).slice(lo, n) for i in range(3)), keys, listed], names=["doc_id", "kinds", "toxic", "keys", "features"])
 
-    # the sample is drawn by ids; at most n of them are sent to the texts, which are not shuffled
-    drawn = ids.where("doc_id is not null").dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id", F.lit(7)), "doc_id").limit(n)
-    drawn = docs.join(F.broadcast(drawn), "doc_id").dropDuplicates(["doc_id"]).select(F.col("toxic").cast("int").alias("toxic"), "text")
-    got = drawn.mapInArrow(run, _SAMPLE).orderBy(F.xxhash64("features")).toArrow()
-    return [(y.as_py(), f.values.to_numpy()) for y, f in zip(got.column(0), got.column(1), strict=True)]
+    # of rows that share an id the text with the smallest hash; the drawn ids are few, so texts are not shuffled before they are picked
+    picked = rows.join(F.broadcast(drawn), "doc_id").groupBy("doc_id", "kinds", "toxic").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    return c.cut(picked.mapInArrow(run, "doc_id long, kinds int, toxic int, keys array<long>, features array<int>"))
 
 
 def held_out(id_col: str = "doc_id", folds: int = 4, fold: int = 2) -> Column:
@@ -182,22 +207,47 @@ def held_out(id_col: str = "doc_id", folds: int = 4, fold: int = 2) -> Column:
 
 
 def train(docs: DataFrame, labels: DataFrame, training: Column, limits: Limits = Limits()) -> Model:  # noqa: B008
-    """docs: doc_id, text. labels: doc_id, toxic (repeated labels of a document: the largest counts). training: rows to learn from."""
+    """docs: doc_id, text. labels: doc_id, toxic. training: rows to learn from."""
     known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where(training)
-    ids = rows.select("doc_id")
-    labelled = ids.join(known, "doc_id")
-    share = labelled.agg(F.avg((F.col("toxic") == 1).cast("double"))).first()[0]
-    positives = without_copies([f for _, f in _sample(rows, labelled.where("toxic = 1"), limits.positives, limits.features)])
-    if not positives:
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where(training & F.col("doc_id").isNotNull())
+    share = rows.select("doc_id").join(known, "doc_id").agg(F.avg((F.col("toxic") == 1).cast("double"))).first()[0]
+    if not share:
         return Model(np.zeros(DIM), -40.0, 1.0, 0.0)
-    unlabelled = [f for _, f in _sample(rows, ids.withColumn("toxic", F.lit(None).cast("int")), limits.unlabelled, limits.features)]
+    sample = _sampled(rows, _drawn(rows.select("doc_id"), known, limits))
+    is_kind = lambda k: F.col("kinds").bitwiseAND(k) > 0
+    # in the order of a hash of ids, so that reruns agree
+    ordered = lambda t: t.take(np.argsort(c.mix(t.column("doc_id").to_numpy().astype(np.uint64)), kind="stable"))
+    keys = ordered(sample.where(is_kind(POSITIVE)).select("doc_id", "keys").toArrow())
+    firsts = {keys.column("doc_id")[i].as_py() for i in without_copies(list(map(tuple, keys.column("keys").to_pylist())))}
+    kept_ids = docs.sparkSession.createDataFrame([(i,) for i in firsts], "kept_id long")
+    marked = sample.join(F.broadcast(kept_ids), F.col("doc_id") == F.col("kept_id"), "left").withColumn("positive", F.col("kept_id").isNotNull())
+    m = sample.where(is_kind(UNLABELLED)).count()
+    counts = marked.select("positive", is_kind(UNLABELLED).alias("unlabelled"), F.explode("features").alias("f")).groupBy("f").agg(F.count_if("positive").alias("p"), F.count_if("unlabelled").alias("u")).where("p >= 4").toArrow()
+    p, u = np.zeros(DIM), np.zeros(DIM)
+    f = counts.column("f").to_numpy()
+    p[f], u[f] = counts.column("p").to_numpy(), counts.column("u").to_numpy()
+    kept = telling(p, u, len(firsts), m)
+    chosen = docs.sparkSession.sparkContext.broadcast(np.isin(np.arange(DIM), kept))  # of fixed size
+
+    def narrow(batches):
+        for b in batches:
+            lists = b.column(4)
+            flat, lengths = lists.flatten().to_numpy(), np.diff(lists.offsets.to_numpy())
+            row = np.repeat(np.arange(b.num_rows), lengths)
+            own = chosen.value[flat]
+            cuts = np.searchsorted(row[own], np.arange(b.num_rows + 1))
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(4)), pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(flat[own]))], names=["doc_id", "kinds", "toxic", "positive", "features"])
+
+    got = ordered(marked.select("doc_id", "kinds", "toxic", "positive", "features").mapInArrow(narrow, "doc_id long, kinds int, toxic int, positive boolean, features array<int>").toArrow())
+    x = matrix([np.array(r, np.int64) for r in got.column("features").to_pylist()], kept)
+    kinds, positive = got.column("kinds").to_numpy(), np.array(got.column("positive").to_pylist(), bool)
     prior = min(max(float(share), 1e-3), 0.9)
-    w, b = fit_nnpu(positives, unlabelled, prior)
-    seen = _sample(rows, labelled, limits.calibration, limits.features)
-    z = np.array([w[f].sum() + b for _, f in seen])
-    slope, shift = fit_slope(z, np.array([y for y, _ in seen], float))
-    return Model(w.astype(np.float32), float(b), slope, shift)
+    w, b = fit_nnpu(x[positive], x[kinds & UNLABELLED > 0], prior)
+    own = kinds & CALIBRATION > 0
+    slope, shift = fit_slope(x[own] @ w + b, np.array(got.column("toxic").to_pylist(), float)[own])
+    weights = np.zeros(DIM, np.float32)
+    weights[kept] = w
+    return Model(weights, float(b), slope, shift)
 
 
 def score(docs: DataFrame, model: Model, held: Column, threshold: float = 0.3) -> DataFrame:
