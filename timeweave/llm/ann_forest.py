@@ -280,7 +280,7 @@ def nearest(rows: DataFrame, is_query: Column, k: int = 5, forest: Forest = Fore
                     first, last = np.searchsorted(r.fences[t], low, "left"), np.searchsorted(r.fences[t], high, "right")
                     for p in np.unique(np.concatenate([np.arange(a, b + 1) for a, b in zip(first, last, strict=True)])).tolist() if len(low) else []:
                         own = (first <= p) & (p <= last)
-                        rows.append((d, t, p, 1, low[own].tobytes(), high[own].tobytes(), u[i].tobytes(), int(h1[i]), int(h2[i]), level, gathered))
+                        rows.append((d, t, p, 1, low[own].tobytes(), b"", u[i].tobytes(), int(h1[i]), int(h2[i]), level, gathered))
             if rows:
                 yield _batch(rows)
 
@@ -297,20 +297,21 @@ def nearest(rows: DataFrame, is_query: Column, k: int = 5, forest: Forest = Fore
                 elif pieces or part:
                     part = part or Part(pieces, d)
                     pieces = []
-                    e, score = part.best(np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8"), np.frombuffer(z, "<f4"), forest.keep)
+                    low = np.frombuffer(x, "<u8")
+                    e, score = part.best(low, _last(low, level), np.frombuffer(z, "<f4"), forest.keep)
                     out.append((np.full(len(e), h1), np.full(len(e), h2), e, score, np.full(len(e), level, np.int32), np.full(len(e), gathered)))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(col)) for col in zip(*out, strict=True)], names=names)
 
     # a part's own rows come before the queries that visit it
     planted = entries.mapInArrow(plant, _ROWS).unionByName(asked.mapInArrow(send, _ROWS)).repartition(tasks, "dim", "tree", "part").sortWithinPartitions("dim", "tree", "part", "kind")
-    found = planted.mapInArrow(search, "h1 long, h2 long, e long, near float, level int, gathered double").dropDuplicates(["h1", "h2", "e"])
+    found = planted.mapInArrow(search, "h1 long, h2 long, e long, near float, level int, gathered double").repartition("h1", "h2").dropDuplicates(["h1", "h2", "e"])
     by_near = Window.partitionBy("h1", "h2").orderBy(F.col("near").desc(), "e")
     found = found.withColumn("place", F.row_number().over(by_near)).where(F.col("place") <= forest.keep).drop("place", "near")
 
-    ends = entries.select(F.col("h1").alias("e"), F.col("h2").alias("e2"), _scaled(F.col("v")).alias("y"))
-    pairs = found.join(ends, "e").join(asked.select("h1", "h2", _scaled(F.col("v")).alias("x")), ["h1", "h2"])
-    scored = pairs.select("h1", "h2", "level", "gathered", "e", "e2", _cosine(F.col("x"), F.col("y")).alias("score"))
+    ends = entries.select(F.col("h1").alias("e"), F.col("h2").alias("e2"), F.col("v").alias("y"))
+    pairs = found.join(ends, "e").join(asked.select("h1", "h2", F.col("v").alias("x")), ["h1", "h2"])
+    scored = pairs.select("h1", "h2", "level", "gathered", "e", "e2", _cosine(_scaled(F.col("x")), _scaled(F.col("y"))).alias("score"))
     # of each entry the smallest ids: one more than asked for, as the query's own may be among them
     ids = keyed.select(F.col("h1").alias("e"), F.col("h2").alias("e2"), "vec_id").distinct()
     ids = ids.withColumn("place", F.row_number().over(Window.partitionBy("e", "e2").orderBy("vec_id"))).where(F.col("place") <= k + 1).drop("place")
