@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import math
 import random
 import re
 
@@ -153,9 +154,9 @@ def test_secret_network_on_held_out_findings(spark):
     docs = frame(spark, [LOREM * 3] * 5 + ['the token = "' + "0123456789abcdef" * 2 + '" fox'])
     net = secrets.train(docs)
     held = secrets.made_findings(600, [], 77)
-    x = np.stack([secrets.encode(t, a, e, net.s) for t, a, e, _ in held])
+    x = [f[:3] for f in held]
     y = np.array([f[3] for f in held])
-    p = net.scores(x)
+    p = net.probabilities(net.largest(x))
     assert (p[y == 1] >= net.threshold).mean() >= 0.9 and (p[y == 0] >= net.threshold).mean() <= 0.05
     key = "ghp_" + "a8Kd02LmQz7Xw5Rt1Yb9" * 2
     out = secrets.redact_documents(frame(spark, ["see " + key + " here", None, "plain words"]), net).orderBy("doc_id").collect()
@@ -209,3 +210,74 @@ def test_toxicity_learns_and_handles_edges(spark):
     assert len(same) == 1
     none = toxicity.train(docs, lab.where("toxic = 0"), ~held)
     assert all(x.predicted == 0 for x in toxicity.score(docs, none, held).collect())
+
+
+def test_nnpu_risk_and_gradient():
+    from timeweave.llm import toxicity
+
+    r = np.random.default_rng(8)
+    xp, xu = (r.random((30, 6)) < 0.4).astype(float), (r.random((80, 6)) < 0.2).astype(float)
+    for scale, prior in ((0.3, 0.2), (3.0, 0.9)):
+        w, b = r.normal(0, scale, 6), float(r.normal())
+        zp, zu = [float(x @ w + b) for x in xp], [float(x @ w + b) for x in xu]
+        positive = prior * sum(math.log1p(math.exp(-z)) for z in zp) / len(zp)
+        negative = sum(math.log1p(math.exp(z)) for z in zu) / len(zu) - prior * sum(math.log1p(math.exp(z)) for z in zp) / len(zp)
+        got = toxicity.risk(w, b, xp, xu, prior)
+        assert abs(got[0] - positive) < 1e-9 and abs(got[1] - negative) < 1e-9
+        # the step follows the whole risk, or the rise of a negative one
+        aim = lambda w, b: -toxicity.risk(w, b, xp, xu, prior)[1] if negative < 0 else sum(toxicity.risk(w, b, xp, xu, prior))  # noqa: B023
+        g, gb = toxicity.step(w, b, xp, xu, prior)
+        for k in range(6):
+            d = np.eye(6)[k] * 1e-6
+            assert abs((aim(w + d, b) - aim(w - d, b)) / 2e-6 - g[k]) < 1e-6
+        assert abs((aim(w, b + 1e-6) - aim(w, b - 1e-6)) / 2e-6 - gb) < 1e-6
+
+
+def test_toxicity_scores_equal_a_plain_sum_of_weights(spark):
+    from timeweave.llm import toxicity
+
+    r = np.random.default_rng(9)
+    model = toxicity.Model(r.normal(size=toxicity.DIM).astype(np.float32), -0.5, 1.5, 0.2)
+    texts = ["You ARE awful, awful, you", "", None, "x", "été 12-34 a_b", "word " * 40_000, " ".join(f"w{i}" for i in range(30_000))]
+    got = {x.doc_id: x.score for x in toxicity.score(frame(spark, texts), model, F.lit(False)).collect()}
+    for i, t in enumerate(texts):
+        data = (t or "").encode()
+        words = re.findall(rb"[0-9a-z\x80-\xff]+", data.lower())
+        own = set()
+        for w in words:
+            own |= set(toxicity.features(np.frombuffer(w, np.uint8), np.array([0, len(w)]))[1].tolist())
+        pairs = set(toxicity.features(np.frombuffer(data, np.uint8), np.array([0, len(data)]))[1].tolist()) - own
+        assert len(pairs) <= max(len(words) - 1, 0)
+        z = 1.5 * (sum(float(model.weights[k]) for k in own | pairs) - 0.5) + 0.2
+        assert abs(got[i] - 1 / (1 + math.exp(-min(max(z, -40), 40)))) < 1e-4
+
+
+def test_network_gradient_is_the_numerical_one():
+    net = secrets.Network(secrets.Settings(before=4, inside=8, after=2, embedding=3, width=3, filters=4))
+    r = np.random.default_rng(6)
+    x, y = r.integers(0, 98, (7, 14)), r.integers(0, 2, 7).astype(float)
+    loss = lambda: float(np.logaddexp(0, -(2 * y - 1) * net.margins(x)).mean())
+    for name, g in net._gradients(x, y).items():
+        flat = net.w[name].reshape(-1)
+        for k in r.choice(flat.size, min(flat.size, 12), replace=False):
+            was = flat[k]
+            flat[k] = was + 1e-6
+            up = loss()
+            flat[k] = was - 1e-6
+            down, flat[k] = loss(), was
+            assert abs((up - down) / 2e-6 - g.reshape(-1)[k]) < 1e-5, name
+
+
+def test_scan_of_many_findings_is_quick_and_whole(spark):
+    import time
+
+    net = secrets.Network(secrets.Settings())
+    net.threshold = net.threshold_value = 2.0  # nothing but the rules
+    text = " ".join(f"token = abc{i:05d} AbCdEfGh1234567{i:05d}" for i in range(20_000))
+    began = time.time()
+    (found,), (confirmed,) = secrets.judged([text], net)
+    assert len(found) == 20_000 and confirmed == 0 and time.time() - began < 60
+    assert secrets.scan(frame(spark, ["x"]).limit(0), net).count() == 0
+    a, b = "k1" + "x" * 60 + "ab12" + "y" * 60, "k1" + "x" * 60 + "zz99" + "y" * 60
+    seen = [{secrets.encode(t, lo, hi, net.s).tobytes() for lo, hi in secrets.windows(0, len(t), net.s)} for t in (a, b)]
+    assert seen[0] != seen[1]
