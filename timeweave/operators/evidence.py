@@ -2,33 +2,12 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as t
 
 
-def cue_hits(df: DataFrame, cues: list[tuple[str, str]], text: str = "text", most: int = 3) -> DataFrame:
-    """One row for each of the first `most` matches of each signal: signal, k, hit. cues: (signal, pattern) in lower case."""
-    low = F.lower(F.col(text))
-    found = F.array(*(F.struct(F.lit(s).alias("signal"), F.slice(F.regexp_extract_all(low, F.lit(p), F.lit(0)), 1, most).alias("hits")) for s, p in cues))
-    each = df.withColumn("found", F.explode(found)).select(*df.columns, "found.signal", F.posexplode("found.hits").alias("k", "hit"))
-    return each
-
-
-def signals(text: Column, cues: list[tuple[str, str]]) -> Column:
-    """The sorted names of the signals that a text holds."""
-    return F.array_sort(F.array_compact(F.array(*(F.when(F.lower(text).rlike(p), F.lit(s)) for s, p in cues))))
-
-
-def classify(present: Column, rules: list[tuple[str, tuple[str, ...]]], otherwise: str) -> Column:
-    """The first rule all of whose signals are present."""
-    out = reduce(lambda c, r: c.when(reduce(lambda a, b: a & b, [F.array_contains(present, s) for s in r[1]]), r[0]), rules, F)
-    return out.otherwise(otherwise)
-
-
 def language_mismatch(text: Column, own: tuple[str, ...], other: tuple[str, ...]) -> Column:
     """Three or more distinct marker words of another language, and more than twice as many hits as of the own one."""
     toks = t.tokens(text)

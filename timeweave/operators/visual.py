@@ -61,13 +61,3 @@ def interpolate(points: DataFrame, keyframes: DataFrame) -> DataFrame:
     both = both.withColumn("a", a).withColumn("b", b).where("side = 1")
     share = F.try_divide((F.col("t") - F.col("a.time_us")).cast("double"), F.nullif(F.col("b.time_us") - F.col("a.time_us"), F.lit(0)).cast("double"))
     return both.select("source_id", "id", F.coalesce(F.col("a.value") + share * (F.col("b.value") - F.col("a.value")), F.col("a.value"), F.col("b.value")).alias("value"))
-
-
-def commercial_blocks(segments: DataFrame, most_gap_us: int = 2_000_000) -> DataFrame:
-    """Runs of neighbouring marked segments with small gaps; one voice throughout excludes, several ask for review."""
-    w = Window.partitionBy("source_id").orderBy("start_us", "segment_id")
-    s = segments.withColumn("pos", F.row_number().over(w)).where("marked")
-    v = Window.partitionBy("source_id").orderBy("pos")
-    fresh = (F.lag("pos").over(v).isNull() | (F.col("pos") - F.lag("pos").over(v) > 1) | (F.col("start_us") - F.lag("end_us").over(v) > most_gap_us)).cast("int")
-    runs = s.withColumn("fresh", fresh).withColumn("block_no", F.sum("fresh").over(v))
-    return runs.groupBy("source_id", "block_no").agg(F.min("start_us").alias("start_us"), F.max("end_us").alias("end_us"), F.count(F.lit(1)).alias("n"), F.when(F.countDistinct("speaker") > 1, "review").otherwise("excluded").alias("state"))

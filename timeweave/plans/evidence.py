@@ -13,9 +13,6 @@ from .registry import Register
 _R = Register()
 QUERIES, ORACLES, query = _R.queries, _R.oracles, _R.query
 
-#: A small lexicon for the driver's texts.
-CUES = [("license", "license[sd]?"), ("offer", "(?:the|a) [a-z]*tion"), ("contact", r"[a-z0-9._]+@[a-z0-9.]+"), ("code", r"token = "), ("and", r"(?:^| )and(?: |\z)"), ("negation", r"(?:^| )(?:not|nicht|ne|no)(?:[ .,]|\z)")]
-RULES = [("leak", ("code", "contact")), ("legal", ("license",)), ("secret", ("code",)), ("offer", ("offer", "and"))]
 _STOP = ", ".join(f"'{w}'" for w in t.STOP_WORDS)
 _FOLD = f"translate(lower(text), '{t.ACCENTED}', '{t.PLAIN}')"
 _TOKENS = f"regexp_extract_all({_FOLD}, '[a-z0-9]+')"
@@ -70,25 +67,6 @@ def f11_video_id(spark, sf_dir):
     return d.table(spark, sf_dir, "pages").select("page_id", t.video_id(link).alias("video_id"))
 
 
-def _hits(name: str, pattern: str) -> str:
-    return f"select doc_id, '{name}' as signal, regexp_extract_all(lower(text), '{pattern}')[1:3] as l from documents"
-
-
-@query("with h as (" + " union all ".join(_hits(*c) for c in CUES) + ") select doc_id, signal, unnest(range(len(l)))::int as k, unnest(l) as hit from h")
-def c1_cue_hits(spark, sf_dir):
-    return op.cue_hits(docs(spark, sf_dir).select("doc_id", "text"), CUES).drop("text")
-
-
-_SIGNALS = "list_sort(list_filter([" + ", ".join(f"case when regexp_matches(lower(text), '{p}') then '{s}' end" for s, p in CUES) + "], lambda x: x is not null))"
-_CASES = " ".join(f"when {' and '.join(f'list_contains(s, {chr(39)}{x}{chr(39)})' for x in need)} then '{name}'" for name, need in RULES)
-
-
-@query(f"select doc_id, array_to_string(s, ',') as signals, case {_CASES} else 'editorial' end as kind from (select doc_id, {_SIGNALS} as s from documents)")
-def c2_classify_commercial(spark, sf_dir):
-    s = docs(spark, sf_dir).withColumn("s", op.signals(F.col("text"), CUES))
-    return s.select("doc_id", F.array_join("s", ",").alias("signals"), op.classify(F.col("s"), RULES, "editorial").alias("kind"))
-
-
 _WORD = r"(?:^|[ \n])(?:{})(?:[ \n.,]|\z)"
 _REASON, _OPEN, _CLOSED = "why|pourquoi|warum", "que|what|was", "is|est|ist"
 _HAS = {k: f"regexp_matches(l, '{_WORD.format(k)}')" for k in (_REASON, _OPEN, _CLOSED, f"{_OPEN}|{_REASON}")}

@@ -73,12 +73,6 @@ def w5_interpolate_keyframes(spark, sf_dir):
     return op.interpolate(d.samples(spark, sf_dir, "view"), d.samples(spark, sf_dir)).withColumn("value", F.round("value", 6))
 
 
-@query("""select source_id, block_no::bigint as block_no, min(start_us) as start_us, max(end_us) as end_us, count(*) as n, case when count(distinct speaker) > 1 then 'review' else 'excluded' end as state from (select *, sum(fresh) over (partition by source_id order by pos) as block_no from (
- select *, case when pos - lag(pos) over w = 1 and start_us - lag(end_us) over w <= 3000000 then 0 else 1 end as fresh from (select *, row_number() over (partition by source_id order by start_us, segment_id) as pos from segments) where length(text) % 3 <> 0 window w as (partition by source_id order by pos))) group by 1, 2""", "segments")
-def c3_commercial_blocks(spark, sf_dir):
-    return op.commercial_blocks(d.segments(spark, sf_dir).withColumn("marked", F.length("text") % 3 != 0), 3_000_000)
-
-
 @query("""select source_id, moment_id, array_to_string(list_sort(list_distinct(list_filter([case when n_lines = 0 then 'no_evidence' end, case when score < 0.3 then 'low_score' end, case when format = 'P' then 'pending' end], lambda x: x is not null))), ',') as reasons, n_lines > 0 and score >= 0.3 and format <> 'P' as ready from candidates""", "candidates")
 def c25_review_plan(spark, sf_dir):
     why = F.array_compact(F.array(F.when(F.col("n_lines") == 0, "no_evidence"), F.when(F.col("score") < 0.3, "low_score"), F.when(F.col("format") == "P", "pending")))
