@@ -71,6 +71,7 @@ def test_boxes_are_matched_as_many_as_can_be(spark):
 def test_hypotheses_are_aligned_by_word_and_time(spark):
     a = words(spark, [("go", 0, 1, "x"), ("go", 1, 2, "x"), ("home", 2, 3, "x")])
     b = words(spark, [("Go", 1, 2, "x"), ("Home!", 2, 3, "x"), ("now", 3, 4, "x")])
+    a, b = (x.withColumn("region_id", F.lit("r")) for x in (a, b))
     got = [(r.kind, r.a_id, r.b_id) for r in folds.hypothesis_diff(a, b).collect()]
     assert got == [("delete", "w00", None), ("equal", "w01", "w00"), ("equal", "w02", "w01"), ("insert", None, "w02")]
     assert folds.hypothesis_diff(a, b, most=2).first().kind == "abstained"

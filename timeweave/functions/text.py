@@ -2,15 +2,24 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Letters with accents and what they fold to.
+# Families of inflected verbs, and endings in the order in which they are tried.
+FAMILIES = (
+    ("grav", "^(?:gravacao|gravacoes|gravar|gravou|gravei|gravamos|gravando)$"),
+    ("comec", "^(?:comecou|comecei|comecar|comecamos|comecando)$"),
+    ("resolv", "^(?:resolveu|resolvi|resolver|resolvemos|resolvendo)$"),
+)
+SUFFIXES = ("amentos", "imento", "amento", "imentos", "adas", "ados", "ida", "ido", "ada", "ado", "ando", "endo", "aram", "eram", "iram", "ou", "ava", "iam", "es", "s")
+#: Letters with accents and what they fold to, for both engines.
 ACCENTED = "áàâãäåéèêëíìîïóòôõöúùûüçñ"
 PLAIN = "aaaaaaeeeeiiiiooooouuuucn"
-#: Words that carry no topic.
+#: Words that carry no topic in the driver's languages.
 STOP_WORDS = ("the", "and", "for", "that", "this", "with", "are", "was", "und", "der", "die", "das", "les", "des", "que", "los", "las", "una")
-#: Words that mark a language.
+#: Words that mark a language.
 ENGLISH = ("the", "and", "of", "to", "in", "is", "that", "for")
 GERMAN = ("der", "die", "das", "und", "nicht", "ein", "zu", "mit")
 
@@ -43,9 +52,21 @@ def terms(x: Column) -> Column:
     return F.array_sort(F.array_distinct(F.filter(tokens(x), lambda t: (F.length(t) >= 3) & ~F.array_contains(stop, t))))
 
 
-def stem(t: Column) -> Column:
-    """A token without the commonest endings, if four letters remain."""
-    return F.when(F.length(t) > 6, F.regexp_replace(t, "(ing|tion|ment|keit|lich|eaux)$", "")).otherwise(t)
+def stem(token: Column) -> Column:
+    """A token of five letters or more without the first of the known endings that leaves four."""
+    out = F.when(F.length(token) < 5, token)
+    for s in SUFFIXES:
+        out = out.when(token.endswith(s) & (F.length(token) - len(s) >= 4), F.substring(token, F.lit(1), F.length(token) - len(s)))
+    return out.otherwise(token)
+
+
+def qa_terms(x: Column) -> Column:
+    """The terms of a text, inflections of a few verbs by their family's name; sorted, without repeats."""
+
+    def family(term: Column) -> Column:
+        return reduce(lambda c, f: c.when(term.rlike(f[1]), f[0]), FAMILIES, F).otherwise(term)
+
+    return F.array_sort(F.array_distinct(F.transform(terms(x), family)))
 
 
 def jaccard(a: Column, b: Column) -> Column:

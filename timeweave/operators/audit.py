@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numbers import ratio
+from .lineage import cut
 
 
 def reference_audit(children: DataFrame, parents: DataFrame, child_key: str, parent_key: str, namespace: str) -> DataFrame:
@@ -23,16 +24,19 @@ def compare_runs(old: DataFrame, new: DataFrame) -> DataFrame:
     return j.withColumn("status", status).select("metric", "old", "new", F.when(F.col("status") == "compared", F.round(F.col("new") - F.col("old"), 6)).alias("delta"), "status")
 
 
-def stage_impact(spark: SparkSession, stages: DataFrame, edges: DataFrame) -> DataFrame:
-    """Every stage that a failed one reaches over edges (stage, needs): the failed causes, sorted. edges: of a DAG of stages."""
-    stages.createOrReplaceTempView("tw_stages")
-    edges.createOrReplaceTempView("tw_edges")
-    return spark.sql("""
-        WITH RECURSIVE reach(cause, stage) AS (
-          SELECT stage, stage FROM tw_stages WHERE status = 'failed'
-          UNION ALL
-          SELECT r.cause, e.stage FROM reach r JOIN tw_edges e ON e.needs = r.stage)
-        SELECT stage, array_join(array_sort(collect_set(cause)), ',') AS causes FROM reach GROUP BY stage""")
+def stage_impact(stages: DataFrame, edges: DataFrame) -> DataFrame:
+    """Every stage that a failed one reaches over edges (stage, needs): the failed causes, sorted.
+
+    Breadth first: a round follows the edges of the pairs (cause, stage) that the last one found for the first time, so many
+    ways to one stage cost no more than one, and a cycle ends.
+    """
+    found = cut(stages.where("status = 'failed'").select(F.col("stage").alias("cause"), "stage").distinct())
+    newest = found
+    while not newest.isEmpty():
+        step = newest.select("cause", F.col("stage").alias("needs")).join(edges.select("stage", "needs"), "needs").select("cause", "stage").distinct()
+        newest = cut(step.join(found, ["cause", "stage"], "left_anti"))
+        found = cut(found.union(newest))
+    return found.groupBy("stage").agg(F.array_join(F.array_sort(F.collect_set("cause")), ",").alias("causes"))
 
 
 def pairwise_identity(labels: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -91,12 +93,33 @@ def caption_checks(captions: DataFrame, least_us: int, most_us: int, most_chars:
     return captions.withColumn("issues", F.array_join(found, "+"))
 
 
-def persistent_text(ocr: DataFrame, tolerance: float = 0.025, least: int = 3) -> DataFrame:
-    """Texts seen at `least` or more instants of one moment with boxes within the tolerance: source, moment, text, id of each."""
-    b = ocr.select(F.col("source_id").alias("s2"), F.col("moment_id").alias("m2"), F.col("text").alias("t2"), F.col("observed_us").alias("o2"), F.col("x").alias("x2"), F.col("y").alias("y2"))
-    same = (F.col("source_id") == F.col("s2")) & (F.col("moment_id") == F.col("m2")) & (F.col("text") == F.col("t2"))
-    near = (F.abs(F.col("x") - F.col("x2")) <= tolerance) & (F.abs(F.col("y") - F.col("y2")) <= tolerance)
-    return ocr.join(b, same & near).groupBy("source_id", "moment_id", "text", "id").agg(F.countDistinct("o2").alias("instants")).withColumn("persistent", F.col("instants") >= least)
+def persistent_text(ocr: DataFrame, gap_us: int = 10_000_000, tolerance: float = 0.025, least: int = 3) -> DataFrame:
+    """Adds valid (a plausible box), instants (distinct times at which the same text of one moment stands within the tolerance, gap_us away at most), the time from the first to the last, and whether there are `least` or more.
+
+    Sightings meet by (source, moment, text, time bucket of gap_us), so a text seen all day meets only its neighbours in time.
+    """
+    box = ("x", "y", "width", "height")
+    finite = reduce(lambda p, q: p & q, [F.col(c).isNotNull() & ~F.isnan(c) for c in box])
+    valid = finite & (F.col("x") >= 0) & (F.col("y") >= 0) & (F.col("x") + F.col("width") <= 1) & (F.col("y") + F.col("height") <= 1) & F.col("height").between(0.005, 0.25) & F.col("width").between(0.01, 0.95) & (F.col("observed_us") >= 0)
+    seen = ocr.withColumn("valid", F.coalesce(valid, F.lit(False)))
+    said = F.trim(F.regexp_replace(F.lower("text"), r"\s+", " "))
+    own = seen.where("valid").select("id", "source_id", "moment_id", said.alias("said"), "observed_us", *box, F.explode(F.sequence(F.expr(f"observed_us div {gap_us} - 1"), F.expr(f"observed_us div {gap_us} + 1"))).alias("bucket"))
+    others = seen.where("valid").select(F.col("source_id").alias("s2"), F.col("moment_id").alias("m2"), said.alias("t2"), F.col("observed_us").alias("o2"), *(F.col(c).alias(f"{c}2") for c in box), F.expr(f"observed_us div {gap_us}").alias("b2"))
+    same = (F.col("source_id") == F.col("s2")) & F.col("moment_id").eqNullSafe(F.col("m2")) & (F.col("said") == F.col("t2")) & (F.col("bucket") == F.col("b2"))
+    near = reduce(lambda p, q: p & q, [F.round(F.abs(F.col(c) - F.col(f"{c}2")), 6) <= tolerance for c in box], F.abs(F.col("observed_us") - F.col("o2")) <= gap_us)
+    per = own.join(others, same & near).groupBy("id").agg(F.countDistinct("o2").alias("instants"), (F.max("o2") - F.min("o2")).alias("observed_for_us"))
+    return seen.join(per, "id", "left").withColumn("instants", F.coalesce("instants", F.lit(0))).withColumn("persistent", F.col("instants") >= least)
+
+
+def phrase_locate(phrases: DataFrame, segments: DataFrame) -> DataFrame:
+    """phrase_id, source_id, segment_id, first_at: where a phrase (an array of tokens) first stands as a run in a segment (tokens) of its source, counted from 1.
+
+    They meet at the phrase's first token; the run from there is compared.
+    """
+    p = phrases.where(F.size("phrase") > 0).select("source_id", "phrase_id", "phrase", F.col("phrase")[0].alias("token"))
+    t = segments.select("source_id", "segment_id", "tokens", F.posexplode("tokens").alias("pos", "token"))
+    run = t.join(p, ["source_id", "token"]).where(F.slice("tokens", F.col("pos") + 1, F.size("phrase")) == F.col("phrase"))
+    return run.groupBy("phrase_id", "source_id", "segment_id").agg((F.min("pos") + 1).alias("first_at"))
 
 
 def caption_alignment(words: DataFrame, segments: DataFrame) -> DataFrame:

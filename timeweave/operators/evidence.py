@@ -48,3 +48,15 @@ def pair_similarity(rows: DataFrame, key: str, group: str, terms: str) -> DataFr
     """Jaccard of the terms of neighbouring rows of a group, by order of key."""
     w = Window.partitionBy(group).orderBy(key)
     return rows.withColumn("before", F.lag(terms).over(w)).select(group, key, F.round(t.jaccard(F.col(terms), F.col("before")), 6).alias("similarity"))
+
+
+def entities(df: DataFrame, pattern: str, key: str = "doc_id", text: str = "text", least: int = 3) -> DataFrame:
+    """name, mentions, n_docs, first_doc of the names that the pattern's group finds; alias_of: the one longer name that begins with it, null if there are several.
+
+    A longer name meets shorter ones at its own beginnings of `least` or more letters, so no group of names is paired.
+    """
+    found = df.select(key, F.explode(F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(1))).alias("name"))
+    n = found.groupBy("name").agg(F.count(F.lit(1)).alias("mentions"), F.countDistinct(key).alias("n_docs"), F.min(key).alias("first_doc"))
+    heads = n.where(F.length("name") > least).select(F.col("name").alias("longer"), F.explode(F.expr(f"transform(sequence({least}, length(name) - 1), k -> substring(name, 1, k))")).alias("name"))
+    alias = heads.groupBy("name").agg(F.count(F.lit(1)).alias("k"), F.min("longer").alias("longer"))
+    return n.join(alias, "name", "left").select("name", "mentions", "n_docs", "first_doc", F.when(F.col("k") == 1, F.col("longer")).alias("alias_of"))

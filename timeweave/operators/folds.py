@@ -193,16 +193,17 @@ def match_boxes(truth: DataFrame, predicted: DataFrame, least: float = 0.5) -> D
 
 
 def hypothesis_diff(a: DataFrame, b: DataFrame, most: int = 512) -> DataFrame:
-    """Words of two hypotheses of one source in order, aligned at least cost: equal up to .2, replaced 1.2 up to 2, left out or put in 1.
+    """Words of two hypotheses of one region of a source in order, aligned at least cost: equal up to .2, replaced 1.2 up to 2, left out or put in 1.
 
-    a, b: source_id, word_id, word, start_us, end_us. More than `most` words on a side: one row with kind `abstained`.
+    a, b: source_id, region_id, word_id, word, start_us, end_us. A region with more than `most` words on a side gives one row
+    with kind `abstained`; so a task holds a table of `most` by `most` numbers at a time.
     """
-    schema = "source_id long, kind string, a_id string, b_id string"
+    schema = "source_id long, region_id string, kind string, a_id string, b_id string"
 
     def fold(key, x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
-        columns = ["source_id", "kind", "a_id", "b_id"]
+        columns = ["source_id", "region_id", "kind", "a_id", "b_id"]
         if max(len(x), len(y)) > most:
-            return pd.DataFrame([(key[0], "abstained", None, None)], columns=columns)
+            return pd.DataFrame([(*key, "abstained", None, None)], columns=columns)
         x, y = _ordered(x, "start_us", "word_id"), _ordered(y.rename(columns=lambda c: c.removeprefix("b_")), "start_us", "word_id")
         token = lambda w: "".join(ch for ch in w["word"].lower() if ch.isalnum())
         mid = lambda w: (w["start_us"] + w["end_us"]) / 2e6
@@ -218,18 +219,18 @@ def hypothesis_diff(a: DataFrame, b: DataFrame, most: int = 512) -> DataFrame:
         while i or j:
             if i and j and cost[i, j] == cost[i - 1, j - 1] + pair[i - 1, j - 1]:
                 i, j = i - 1, j - 1
-                out.append((key[0], "equal" if token(x[i]) == token(y[j]) else "replace", x[i]["word_id"], y[j]["word_id"]))
+                out.append((*key, "equal" if token(x[i]) == token(y[j]) else "replace", x[i]["word_id"], y[j]["word_id"]))
             elif i and cost[i, j] == cost[i - 1, j] + 1:
                 i -= 1
-                out.append((key[0], "delete", x[i]["word_id"], None))
+                out.append((*key, "delete", x[i]["word_id"], None))
             else:
                 j -= 1
-                out.append((key[0], "insert", None, y[j]["word_id"]))
+                out.append((*key, "insert", None, y[j]["word_id"]))
         return pd.DataFrame(out[::-1], columns=columns)
 
-    names = ["source_id", "word_id", "word", "start_us", "end_us"]
+    names = ["source_id", "region_id", "word_id", "word", "start_us", "end_us"]
     other = b.select(*(b[x].alias(f"b_{x}") for x in names))
-    return a.select(*names).groupBy("source_id").cogroup(other.groupBy("b_source_id")).applyInPandas(fold, schema)
+    return a.select(*names).groupBy("source_id", "region_id").cogroup(other.groupBy("b_source_id", "b_region_id")).applyInPandas(fold, schema)
 
 
 def apply_decisions(decisions: DataFrame, candidates: DataFrame) -> DataFrame:

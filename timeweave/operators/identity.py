@@ -28,12 +28,15 @@ def gallery_match(tracks: DataFrame, gallery: DataFrame, k: int = 1) -> DataFram
 
 
 def templates(tracks: DataFrame, key: list[str], n: int = 32) -> DataFrame:
-    """A template of each key: coordinate medians of at most n evenly spaced vectors, by order of track."""
+    """A template of each key: coordinate medians of at most n evenly spaced vectors of the commonest length (ties: the shorter), by order of track, scaled to length one."""
+    sizes = tracks.groupBy(*key, F.size("unit").alias("dim")).agg(F.count(F.lit(1)).alias("n")).groupBy(*key).agg(F.max_by("dim", F.struct("n", -F.col("dim"))).alias("dim"))
+    tracks = tracks.join(sizes, key).where(F.size("unit") == F.col("dim"))
     w = Window.partitionBy(*key).orderBy("track_id")
     r = tracks.withColumn("pos", F.row_number().over(w) - 1).withColumn("of", F.count(F.lit(1)).over(Window.partitionBy(*key)))
     picked = r.where(F.expr(f"of <= {n} or pos = 0 or (pos * {n}) div of <> ((pos - 1) * {n}) div of"))
     coords = picked.select(*key, F.posexplode("unit").alias("i", "x")).groupBy(*key, "i").agg(F.median("x").alias("m"))
-    return coords.groupBy(*key).agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "m"))), lambda s: s["m"]).alias("unit"))
+    middle = coords.groupBy(*key).agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "m"))), lambda s: s["m"]).alias("unit"))
+    return middle.withColumn("_norm", F.sqrt(dot(F.col("unit"), F.col("unit")))).where("_norm > 1e-8").withColumn("unit", F.transform("unit", lambda x: x / F.col("_norm"))).drop("_norm")
 
 
 def tracklet_rollup(observations: DataFrame, longest_us: int = 1_200_000) -> DataFrame:

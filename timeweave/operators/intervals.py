@@ -38,8 +38,8 @@ def interval_join(a: DataFrame, b: DataFrame, how: str = "inner", width: int = B
         return aa.join(bb, meet & near).drop("a_bucket", "b_bucket")
     # a row spread over buckets finds no pair in some of them: those that find none in any are added once
     found = aa.join(bb, meet & near).drop("a_bucket", "b_bucket")
-    key = [x for x in a.columns if not x.startswith("b_")]
-    none = a.join(found.select(*key).distinct(), key, "left_anti")
+    paired = found.select(*(F.col(x).alias(f"_{k}") for k, x in enumerate(a.columns))).distinct()
+    none = a.join(paired, reduce(lambda p, q: p & q, [F.col(x).eqNullSafe(F.col(f"_{k}")) for k, x in enumerate(a.columns)]), "left_anti")
     return found.unionByName(none, allowMissingColumns=True)
 
 

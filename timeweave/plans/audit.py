@@ -49,7 +49,7 @@ def b44_stage_impact(spark, sf_dir):
     e = d.table(spark, sf_dir, "events")
     stages = e.groupBy(F.col("user_id").alias("stage")).agg(F.when(F.count_if(F.col("event_type") == "error") > 0.2 * F.count(F.lit(1)), "failed").otherwise("ok").alias("status"))
     edges = stages.where("stage > 0").select("stage", F.expr("stage div 2").alias("needs")).union(stages.where("stage > 2").select("stage", F.expr("stage div 3"))).distinct()
-    return op.stage_impact(spark, stages.withColumn("stage", F.col("stage").cast("string")), edges.select(F.col("stage").cast("string"), F.col("needs").cast("string"))).withColumn("stage", F.col("stage").cast("long"))
+    return op.stage_impact(stages.withColumn("stage", F.col("stage").cast("string")), edges.select(F.col("stage").cast("string"), F.col("needs").cast("string"))).withColumn("stage", F.col("stage").cast("long"))
 
 
 _EVAL = "e as (select l.doc_id, l.quality as truth, case when doc_id % 9 = 4 then null when d.n_chars > 1500 then 1 else 0 end as predicted from labels l join documents d using (doc_id))"
@@ -145,10 +145,10 @@ _UNIT = "t as (select vec_id as track_id, vec_id % 5 as source_id, label as pers
 
 
 @query(f"""with {_UNIT}, r as (select *, row_number() over (partition by source_id, person order by track_id) - 1 as pos, count(*) over (partition by source_id, person) as n from t), p as (select * from r where n <= 32 or pos = 0 or pos * 32 // n <> (pos - 1) * 32 // n)
- select source_id, person, i::int as i, round(median(x), 4) as m from (select source_id, person, unnest(range(len(unit))) as i, unnest(unit) as x from p) where i < 8 group by 1, 2, 3""")
+ select source_id, person, i::int as i, round(m / sqrt(sum(m * m) over (partition by source_id, person)), 4) as m from (select source_id, person, i, median(x) as m from (select source_id, person, unnest(range(len(unit))) as i, unnest(unit) as x from p) group by 1, 2, 3)""")
 def b11_embedding_template(spark, sf_dir):
     t = identity.templates(_tracks(spark, sf_dir), ["source_id", "person"])
-    return t.select("source_id", "person", F.posexplode(F.slice("unit", 1, 8)).alias("i", "m")).withColumn("m", F.round("m", 4))
+    return t.select("source_id", "person", F.posexplode("unit").alias("i", "m")).withColumn("m", F.round("m", 4))
 
 
 @query(f"""with {_UNIT}, g as (select source_id, person, min(track_id) as track_id from t group by 1, 2), u as (select g.source_id, g.person as person_id, t.unit from g join t using (track_id)), s as (select t.track_id, u.person_id, round(list_sum(list_transform(range(1, 65), lambda i: t.unit[i] * u.unit[i])), 4) as score from t join u on t.source_id = u.source_id)

@@ -153,12 +153,12 @@ def b42_report_metrics(spark, sf_dir):
     return a.join(b, "field").withColumn("agrees", F.col("reported") == F.col("canonical"))
 
 
-@query("""with s as (select event_type as stage, case when count(*) filter (value > 19) > 0 then 'failed' when avg(value) > 5 then 'degraded' else 'ok' end as status from events group by 1), i as (select event_id as id, event_type as stage, 'E' || (value::int % 4) as code from events where event_id % 10 = 0)
+@query("""with s as (select event_type as stage, case when count(*) filter (value > 19) > 0 then 'failed' when avg(value) > 5 then 'degraded' else 'ok' end as status from events group by 1), i as (select event_id as id, event_type as stage, 'E' || (value::int % 4) as code from events)
  select i.id, i.code, i.stage, case when s.status = 'failed' then 'stage_failed' when i.code in ('E0', 'E1') then 'input' when s.status = 'degraded' then 'stage_degraded' else 'unknown' end as category from i left join s using (stage)""")
 def b45_root_causes(spark, sf_dir):
     e = _t(spark, sf_dir, "events")
     s = e.groupBy("event_type").agg(F.when(F.count_if(F.col("value") > 19) > 0, "failed").when(F.avg("value") > 5, "degraded").otherwise("ok").alias("status"))
-    i = e.where("event_id % 10 = 0").select(F.col("event_id").alias("id"), "event_type", F.concat(F.lit("E"), F.rint("value").cast("int") % 4).alias("code"))
+    i = e.select(F.col("event_id").alias("id"), "event_type", F.concat(F.lit("E"), F.rint("value").cast("int") % 4).alias("code"))
     return i.join(s, "event_type", "left").select("id", "code", F.col("event_type").alias("stage"), F.when(F.col("status") == "failed", "stage_failed").when(F.col("code").isin("E0", "E1"), "input").when(F.col("status") == "degraded", "stage_degraded").otherwise("unknown").alias("category"))
 
 

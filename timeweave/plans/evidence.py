@@ -40,10 +40,14 @@ def f3_terms(spark, sf_dir):
     return docs(spark, sf_dir).select("doc_id", F.size(k).cast("long").alias("n_terms"), F.md5(F.array_join(k, " ")).alias("terms"))
 
 
-@query(f"select doc_id, x as token, case when length(x) > 6 then regexp_replace(x, '(ing|tion|ment|keit|lich|eaux)$', '') else x end as stem from (select distinct doc_id, unnest({_TOKENS}) as x from documents where doc_id % 10 >= 0) where length(x) > 12")
+_FAMILIES = " ".join(f"when regexp_matches(x, '{p}') then '{r}'" for r, p in t.FAMILIES)
+_STEM = "case when length(x) < 5 then x " + " ".join(f"when ends_with(x, '{s}') and length(x) - {len(s)} >= 4 then left(x, length(x) - {len(s)})" for s in t.SUFFIXES) + " else x end"
+
+
+@query(f"select doc_id, len(k) as n_terms, md5(array_to_string(k, ' ')) as terms, md5(array_to_string(z, ' ')) as stems from (select doc_id, list_sort(list_distinct(list_transform({_TERMS}, lambda x: case {_FAMILIES} else x end))) as k, list_transform({_TOKENS}, lambda x: {_STEM}) as z from documents)")
 def f3_stem(spark, sf_dir):
-    e = docs(spark, sf_dir).select("doc_id", F.explode(t.tokens(F.col("text"))).alias("token")).distinct().where(F.length("token") > 12)
-    return e.select("doc_id", "token", t.stem(F.col("token")).alias("stem"))
+    e = docs(spark, sf_dir).select("doc_id", t.qa_terms(F.col("text")).alias("k"), F.transform(t.tokens(F.col("text")), t.stem).alias("z"))
+    return e.select("doc_id", F.size("k").cast("long").alias("n_terms"), F.md5(F.array_join("k", " ")).alias("terms"), F.md5(F.array_join("z", " ")).alias("stems"))
 
 
 @query("select page_id, sha256(page_id || '|' || coalesce(url, '') || '|' || coalesce(html, '')) as digest from pages")
@@ -160,12 +164,7 @@ def t16_quote_catalog(spark, sf_dir):
     return docs(spark, sf_dir).where(F.length("text") > 0).select("doc_id", q.alias("quote"), F.substring(F.sha2("text", 256), 1, 16).alias("reference"))
 
 
-@query(r"""with e as (select doc_id, unnest(regexp_extract_all(text, '(?:^|[ \n])([A-Z][a-z]{6,})', 1)) as name from documents), n as (select name, count(*) as mentions, count(distinct doc_id) as n_docs, min(doc_id) as first_doc from e group by 1)
- select a.name, a.mentions, a.n_docs, a.first_doc, case when count(b.name) = 1 then min(b.name) end as alias_of from n a left join n b on length(b.name) > length(a.name) and substr(b.name, 1, 7) = substr(a.name, 1, 7) and starts_with(b.name, a.name) where a.mentions >= 3 group by 1, 2, 3, 4""")
+@query(r"""with e as (select doc_id, unnest(regexp_extract_all(text, '(?:^|[ \n])([A-Z][a-z]{2,})', 1)) as name from documents), n as (select name, count(*) as mentions, count(distinct doc_id) as n_docs, min(doc_id) as first_doc from e group by 1)
+ select a.name, a.mentions, a.n_docs, a.first_doc, case when count(b.name) = 1 then min(b.name) end as alias_of from n a left join n b on length(b.name) > length(a.name) and starts_with(b.name, a.name) group by 1, 2, 3, 4""")
 def b32_entities(spark, sf_dir):
-    e = docs(spark, sf_dir).select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(r"(?:^|[ \n])([A-Z][a-z]{6,})"), F.lit(1))).alias("name"))
-    n = e.groupBy("name").agg(F.count(F.lit(1)).alias("mentions"), F.countDistinct("doc_id").alias("n_docs"), F.min("doc_id").alias("first_doc"))
-    longer = n.select(F.col("name").alias("other"), F.substring("name", 1, 7).alias("head2"))
-    own = n.where("mentions >= 3").withColumn("head", F.substring("name", 1, 7))
-    j = own.join(longer, (F.col("head") == F.col("head2")) & (F.length("other") > F.length("name")) & F.startswith("other", "name"), "left")
-    return j.groupBy("name", "mentions", "n_docs", "first_doc").agg(F.when(F.count("other") == 1, F.min("other")).alias("alias_of"))
+    return op.entities(docs(spark, sf_dir), r"(?:^|[ \n])([A-Z][a-z]{2,})")

@@ -52,7 +52,7 @@ def w4_trajectory_states(spark, sf_dir):
 
 @query()
 def j18_hypothesis_diff(spark, sf_dir):
-    w = d.words(spark, sf_dir).where("k < 40 and segment_id rlike '-[0-3]$'")
+    w = d.words(spark, sf_dir).withColumnRenamed("segment_id", "region_id")
     other = w.where("k % 9 <> 4").withColumn("word", F.when(F.col("k") % 7 == 2, "other").otherwise(F.col("word")))
     return op.hypothesis_diff(w, other)
 

@@ -103,12 +103,12 @@ def a5_elementary_grid(spark, sf_dir):
     return op.elementary_grid(d.intervals(spark, sf_dir), sources=d.durations(spark, sf_dir))
 
 
-@query(f""", rel as (select s.*, row_number() over (partition by source_id order by start_us) as k from scenes s), few as (select * from rel where k <= 20), base as (select source_id, min(start_us) as b, max(end_us) as e from few group by 1),
+@query(f""", few as (select * from scenes), base as (select source_id, min(start_us) as b, max(end_us) as e from few group by 1),
 frames as (select s.source_id, s.time_us from samples s join base on s.source_id = base.source_id and time_us >= b and time_us < e), mids as (select source_id, (time_us + lead(time_us) over (partition by source_id order by time_us)) // 2 as t from (select distinct * from frames)),
 ends as (select distinct source_id, unnest([start_us, end_us]) as t from few union select * from mids where t is not null), cells as ({_CELLS}), parts as (select *, (end_us - start_us + 3599999999) // 3600000000 as n from cells)
 select source_id, start_us + ((end_us - start_us) * k) // n as start_us, start_us + ((end_us - start_us) * (k + 1)) // n as end_us from (select *, unnest(range(n)) as k from parts)""", "scenes", "samples")
 def a6_camera_grid(spark, sf_dir):
-    few = d.scenes(spark, sf_dir).withColumn("k", F.row_number().over(op.Window.partitionBy("source_id").orderBy("start_us"))).where("k <= 20")
+    few = d.scenes(spark, sf_dir)
     base = few.groupBy("source_id").agg(F.min("start_us").alias("b"), F.max("end_us").alias("e"))
     frames = d.samples(spark, sf_dir).join(base, "source_id").where("time_us >= b and time_us < e").select("source_id", "time_us").distinct()
     nxt = F.lead("time_us").over(op.Window.partitionBy("source_id").orderBy("time_us"))

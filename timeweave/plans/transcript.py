@@ -101,11 +101,11 @@ def b1_speech_seconds(spark, sf_dir):
     return s.withColumn("share", numbers.ratio(F.col("speech_us"), F.sum("speech_us").over(Window.partitionBy("source_id"))))
 
 
-@query("""select w.source_id, w.word_id, string_agg(o.word_id, ',' order by o.start_us, o.word_id) as before from (select *, row_number() over (partition by source_id order by start_us, word_id) as pos from words) w left join (select *, row_number() over (partition by source_id order by start_us, word_id) as pos from words) o on o.source_id = w.source_id and o.pos between w.pos - 5 and w.pos - 1 where w.k % 5 = 0 group by 1, 2""", "words")
+@query("""select w.source_id, w.word_id, string_agg(o.word_id, ',' order by o.start_us, o.word_id) as before from (select *, row_number() over (partition by source_id order by start_us, word_id) as pos from words) w left join (select *, row_number() over (partition by source_id order by start_us, word_id) as pos from words) o on o.source_id = w.source_id and o.pos between w.pos - 5 and w.pos - 1 group by 1, 2""", "words")
 def w2_context_rows(spark, sf_dir):
     w = Window.partitionBy("source_id").orderBy("start_us", "word_id").rowsBetween(-5, -1)
     c = d.words(spark, sf_dir).withColumn("before", F.nullif(F.array_join(F.collect_list("word_id").over(w), ","), F.lit("")))
-    return c.where("k % 5 = 0").select("source_id", "word_id", "before")
+    return c.select("source_id", "word_id", "before")
 
 
 @query("""select word_id, 'WORD_' || lpad((row_number() over (partition by source_id order by start_us, word_id))::varchar, 7, '0') as stable_id, substr(sha256(word || '|' || start_us), 1, 12) as content_id from words""", "words")
@@ -114,19 +114,21 @@ def w1_stable_ids(spark, sf_dir):
     return d.words(spark, sf_dir).select("word_id", F.format_string("WORD_%07d", F.row_number().over(w)).alias("stable_id"), F.substring(F.sha2(F.concat_ws("|", "word", "start_us"), 256), 1, 12).alias("content_id"))
 
 
-@query("""select source_id, segment_id, list_position(list_transform(range(1, len(t) - 1), lambda i: t[i + 0] || ' ' || t[i + 1]), p) as first_at from (select source_id, segment_id, string_split(trim(regexp_replace(lower(text), '\\s+', ' ', 'g')), ' ') as t, 'of the' as p from segments)""", "segments")
+_TOKENS = "string_split(trim(regexp_replace(lower(text), '\\s+', ' ', 'g')), ' ')"
+
+
+@query(f"""select phrase_id, p.source_id, p.segment_id, min(i)::int as first_at from (select source_id, segment_id, {_TOKENS} as t, unnest(range(1, len({_TOKENS}) + 1)) as i from segments) p join (select source_id, segment_id as phrase_id, {_TOKENS}[-2:] as w from segments) q on p.source_id = q.source_id and list_slice(t, i, i + len(w) - 1) = w group by 1, 2, 3""", "segments")
 def j24_phrase_locate(spark, sf_dir):
-    t = F.split(F.trim(F.regexp_replace(F.lower("text"), r"\s+", " ")), " ")
-    s = d.segments(spark, sf_dir).withColumn("t", t)
-    pairs = F.expr("transform(sequence(1, greatest(size(t) - 2, 1)), i -> if(size(t) > 2, concat(t[i - 1], ' ', t[i]), ''))")
-    return s.select("source_id", "segment_id", F.nullif(F.array_position(pairs, F.lit("of the")), F.lit(0)).cast("int").alias("first_at"))
+    s = d.segments(spark, sf_dir)
+    words = F.split(F.trim(F.regexp_replace(F.lower("text"), r"\s+", " ")), " ")
+    phrases = s.select("source_id", F.col("segment_id").alias("phrase_id"), F.slice(words, F.greatest(F.size(words) - 1, F.lit(1)), 2).alias("phrase"))
+    return clean.phrase_locate(phrases, s.select("source_id", "segment_id", words.alias("tokens")))
 
 
-@query("""with t as (select event_id as id, user_id % 5 as source_id, user_id as moment_id, event_type as text, epoch_us(ts) as observed_us, round(value % 1, 2)::double as x, round((value * 7) % 1, 2)::double as y from events where user_id < 3)
- select a.source_id, a.moment_id, a.text, a.id, count(distinct b.observed_us) as instants, count(distinct b.observed_us) >= 3 as persistent from t a join t b on a.source_id = b.source_id and a.moment_id = b.moment_id and a.text = b.text and abs(a.x - b.x) <= 0.025 and abs(a.y - b.y) <= 0.025 group by 1, 2, 3, 4""")
+@query("""with t as (select event_id as id, user_id % 5 as source_id, user_id as moment_id, event_type as text, epoch_us(ts) as observed_us, round(value % 1 * 0.5, 2)::double as x, round((value * 7) % 1 * 0.5, 2)::double as y, 0.2::double as width, round(value % 3 / 10, 2)::double as height from events),
+ v as (select *, x >= 0 and y >= 0 and x + width <= 1 and y + height <= 1 and height between 0.005 and 0.25 and width between 0.01 and 0.95 as valid from t)
+ select a.id, a.valid, count(distinct b.observed_us) as instants, max(b.observed_us) - min(b.observed_us) as observed_for_us, count(distinct b.observed_us) >= 3 as persistent from v a left join v b on a.valid and b.valid and a.source_id = b.source_id and a.moment_id = b.moment_id and a.text = b.text and abs(a.observed_us - b.observed_us) <= 864000000000 and round(abs(a.x - b.x), 6) <= 0.025 and round(abs(a.y - b.y), 6) <= 0.025 and round(abs(a.width - b.width), 6) <= 0.025 and round(abs(a.height - b.height), 6) <= 0.025 group by 1, 2""")
 def j22_persistent_text(spark, sf_dir):
-    e = d.table(spark, sf_dir, "events").where("user_id < 3")
     v = F.col("value")
-    return clean.persistent_text(e.select(F.col("event_id").alias("id"), (F.col("user_id") % 5).alias("source_id"), F.col("user_id").alias("moment_id"), F.col("event_type").alias("text"), d.micros("ts").alias("observed_us"), F.round(v % 1, 2).alias("x"), F.round((v * 7) % 1, 2).alias("y")))
-
-
+    e = d.table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), (F.col("user_id") % 5).alias("source_id"), F.col("user_id").alias("moment_id"), F.col("event_type").alias("text"), d.micros("ts").alias("observed_us"), F.round(v % 1 * 0.5, 2).alias("x"), F.round((v * 7) % 1 * 0.5, 2).alias("y"), F.lit(0.2).alias("width"), F.round(v % 3 / 10, 2).alias("height"))
+    return clean.persistent_text(e, 864_000_000_000).select("id", "valid", "instants", "observed_for_us", "persistent")
