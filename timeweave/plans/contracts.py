@@ -192,11 +192,3 @@ def e2_identity_ab(spark, sf_dir):
     old = run(11).select(F.col("false_splits").alias("old_splits"), F.col("false_merges").alias("old_merges"))
     new = run(17).select(F.col("false_splits").alias("new_splits"), F.col("false_merges").alias("new_merges"))
     return old.crossJoin(new).withColumn("accepted", (F.col("new_splits") < F.col("old_splits")) & (F.col("new_merges") <= F.col("old_merges")))  # two single rows
-
-
-@query("""select l_orderkey as clip_id, count(*) filter (l_returnflag = 'A') as n_setup, count(*) filter (l_returnflag = 'R') as n_payoff, array_to_string(list_filter([case when count(*) filter (l_returnflag = 'A') = 0 then 'setup' end, case when count(*) filter (l_returnflag = 'N') = 0 then 'development' end, case when count(*) filter (l_returnflag = 'R') = 0 then 'payoff' end], lambda x: x is not null), ',') as missing from lineitem group by 1""")
-def c12_narrative_integrity(spark, sf_dir):
-    n = lambda flag: F.count_if(F.col("l_returnflag") == flag)
-    g = _t(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("clip_id")).agg(n("A").alias("n_setup"), n("N").alias("n_dev"), n("R").alias("n_payoff"))
-    gone = F.array_compact(F.array(F.when(F.col("n_setup") == 0, "setup"), F.when(F.col("n_dev") == 0, "development"), F.when(F.col("n_payoff") == 0, "payoff")))
-    return g.select("clip_id", "n_setup", "n_payoff", F.array_join(gone, ",").alias("missing"))
