@@ -2,7 +2,7 @@
 
 Counting: each task counts the distinct n-grams of its texts and deals them, as packed arrays, to shards by a hash of the
 n-gram. A shard adds them up, writes its arrays to the shared folder and passes on the (n-1)-grams with the number of
-distinct words before each (their adjusted counts), and so on down to single words. N-grams of one context go to up to 64
+distinct words before each (their adjusted counts), and so on down to single words. N-grams of one context go to up to 16
 shards, so that no frequent word fills one; what a context needs is added up in a second, small shuffle.
 
 Arrays of a level: `key` (sorted 64-bit hashes of n-grams) and `count`, cut into shards by ranges of the key; `context`
@@ -31,7 +31,7 @@ from . import common as c
 BEGIN, END = np.uint64(0x5BD1E995A1B2C3), np.uint64(0x1B873593D4E5F6)
 _LOW56 = np.uint64((1 << 56) - 1)
 #: A context's n-grams are dealt to so many key ranges.
-FAN = 64
+FAN = 16
 #: Bytes of text for each shard of the counts: shards grow with the corpus, so that none does.
 SHARD_BYTES = 4 << 20
 #: Tokens that a task counts before it hands on what it has.
@@ -76,7 +76,7 @@ def context_key(columns: list[np.ndarray]) -> np.ndarray:
 
 
 def ngram_key(columns: list[np.ndarray]) -> np.ndarray:
-    """The upper 24 bits follow from the context and 6 bits of the word, so that a context lies in few places."""
+    """The upper 24 bits follow from the context and 4 bits of the word, so that a context lies in few places."""
     if len(columns) == 1:
         return c.mix(columns[0])
     context, word = context_key(columns[:-1]), columns[-1]
@@ -204,7 +204,7 @@ def _settle(level: int, shards: int, folder: str):
                 (context,), values = _joined(blobs)
                 context, _, values = summed(context, [], values)
                 for name, x in zip(("context", "total", "n1", "n2", "n3"), (context, *values), strict=True):
-                    c.write_bytes(f"{folder}/{level + 1}-{name}-{shard}", x.astype("<u8").tobytes())
+                    c.write_bytes(f"{folder}/{level + 1}-{name}-{shard}", x.astype("<u8" if name in ("context", "total") else "<u4").tobytes())
                 continue
             columns, values = _joined(blobs)
             key, columns, (count, raw) = summed(ngram_key(columns), columns, values)
@@ -319,7 +319,7 @@ class Arrays:
         return self._spread(ngram_key(columns), f"{level}-key", names)
 
     def contexts(self, level: int, columns: list[np.ndarray]) -> list[np.ndarray]:
-        return self._spread(context_key(columns), f"{level}-context", [(f"{level}-total", "<u8"), *((f"{level}-n{k}", "<u8") for k in (1, 2, 3))])
+        return self._spread(context_key(columns), f"{level}-context", [(f"{level}-total", "<u8"), *((f"{level}-n{k}", "<u4") for k in (1, 2, 3))])
 
     def _spread(self, key: np.ndarray, name: str, values: list[tuple[str, str]]) -> list[np.ndarray]:
         known, at = np.unique(key, return_inverse=True)
