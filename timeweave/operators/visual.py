@@ -38,11 +38,6 @@ def coverage(parts: dict[str, DataFrame], durations: DataFrame) -> DataFrame:
     return out
 
 
-def quality_gate(share: Column, n: Column) -> Column:
-    """One state by severity of what is wrong."""
-    return F.when(n.isNull(), "P0_FAIL").when(share < 0.001, "P1_DEGRADED").when(share < 0.01, "PASS_WITH_WARNINGS").otherwise("PASS")
-
-
 def commercial_overlay(candidates: DataFrame, blocks: DataFrame) -> DataFrame:
     """excluded if a candidate overlaps an excluded block, review if a review block, else eligible; the strongest block by state and overlap."""
     j = interval_join(candidates.select("source_id", "moment_id", "start_us", "end_us"), blocks.select("source_id", "block_id", "start_us", "end_us", "state"))

@@ -30,12 +30,6 @@ def n5_valid_interval(spark, sf_dir):
     return d.intervals(spark, sf_dir).select("id", numbers.valid_interval(F.col("start_us"), F.col("end_us") - 300_000_000).alias("ok"))
 
 
-@query("select moment_id, coalesce(topic, 'unknown') as topic, case when score >= 0.75 then 'strong' when score >= 0.5 then 'fair' else 'weak' end as class, coalesce(n_lines, 0) > 0 as has_evidence from candidates", "candidates")
-def n7_normalize_moment(spark, sf_dir):
-    s = F.col("score")
-    return d.candidates(spark, sf_dir).select("moment_id", F.coalesce("topic", F.lit("unknown")).alias("topic"), F.when(s >= 0.75, "strong").when(s >= 0.5, "fair").otherwise("weak").alias("class"), (F.col("n_lines") > 0).alias("has_evidence"))
-
-
 _GAP = "g as (select vec_id, label, case when vec_id % 13 = 0 then 'too_small' when embedding[1] < -0.2 then 'blurred' when len(embedding) < 2 then 'no_vector' end as reason, vec_id % 3 = 0 as micro from embeddings)"
 
 
@@ -55,18 +49,6 @@ def b14_embedding_gap_audit(spark, sf_dir):
     return g.select("category", "n_micro", "n_stable", ratio(F.col("n"), F.sum("n").over(Window.partitionBy())).alias("share"))
 
 
-@query("select moment_id, case when score >= 0.5 and n_lines > 0 and format = 'F' then 'READY_FOR_REVIEW' when n_lines = 0 then 'BLOCKED' else 'DRAFT' end as state from candidates", "candidates")
-def n20_review_state(spark, sf_dir):
-    ready = (F.col("score") >= 0.5) & (F.col("n_lines") > 0) & (F.col("format") == "F")
-    return d.candidates(spark, sf_dir).select("moment_id", F.when(ready, "READY_FOR_REVIEW").when(F.col("n_lines") == 0, "BLOCKED").otherwise("DRAFT").alias("state"))
-
-
-@query("select event_id as id, case when user_id % 11 = 0 then 'excluded_interval' when event_type = 'error' then 'upstream_exclusion' when event_type = 'signup' then 'upstream_review' when value > 10 then 'speech' when value > 5 then 'visual' else 'local' end as decided_by from events")
-def n23_final_classification(spark, sf_dir):
-    k, v = F.col("event_type"), F.col("value")
-    return _t(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.when(F.col("user_id") % 11 == 0, "excluded_interval").when(k == "error", "upstream_exclusion").when(k == "signup", "upstream_review").when(v > 10, "speech").when(v > 5, "visual").otherwise("local").alias("decided_by"))
-
-
 _COLLECTIONS = "c as (select conv_id || '-' || turn as id, 1 as precedence, 'turns' as origin, text from conversations where turn % 2 = 0 union all select conv_id || '-' || turn, 2, 'review', 'R:' || text from conversations where turn % 3 = 0), links as (select distinct conv_id || '-' || (turn + 1) as id from conversations where turn % 4 = 0)"
 
 

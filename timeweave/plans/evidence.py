@@ -71,23 +71,6 @@ def f11_video_id(spark, sf_dir):
     return d.table(spark, sf_dir, "pages").select("page_id", t.video_id(link).alias("video_id"))
 
 
-_WORD = r"(?:^|[ \n])(?:{})(?:[ \n.,]|\z)"
-_REASON, _OPEN, _CLOSED = "why|pourquoi|warum", "que|what|was", "is|est|ist"
-_HAS = {k: f"regexp_matches(l, '{_WORD.format(k)}')" for k in (_REASON, _OPEN, _CLOSED, f"{_OPEN}|{_REASON}")}
-
-
-@query(f"select segment_id, case when {_HAS[_REASON]} then 'reason' when {_HAS[_OPEN]} then 'open' when {_HAS[_CLOSED]} then 'closed' else 'none' end as kind, {_HAS[f'{_OPEN}|{_REASON}']} as answer_expected from (select segment_id, lower(text) as l from segments)", "segments")
-def c7_classify_question(spark, sf_dir):
-    has = lambda p: F.lower("text").rlike(_WORD.format(p))
-    kind = F.when(has(_REASON), "reason").when(has(_OPEN), "open").when(has(_CLOSED), "closed").otherwise("none")
-    return d.segments(spark, sf_dir).select("segment_id", kind.alias("kind"), has(f"{_OPEN}|{_REASON}").alias("answer_expected"))
-
-
-@query(f"""select doc_id, len(list_distinct(e)) >= 3 and len(e) > 2 * len(g) as mismatch from (select doc_id, list_filter(k, lambda x: x in ({', '.join(f"'{w}'" for w in t.ENGLISH)})) as e, list_filter(k, lambda x: x in ({', '.join(f"'{w}'" for w in t.GERMAN)})) as g from (select doc_id, {_TOKENS} as k from documents))""")
-def n8_language_mismatch(spark, sf_dir):
-    return docs(spark, sf_dir).select("doc_id", op.language_mismatch(F.col("text"), t.GERMAN, t.ENGLISH).alias("mismatch"))
-
-
 def _private(name: str, pattern: str) -> str:
     return f"select doc_id, '{name}' as rule, regexp_extract_all(text, '{pattern}') as l from documents"
 

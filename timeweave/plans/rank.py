@@ -62,12 +62,6 @@ def t3_shortlist(spark, sf_dir):
     return op.diverse_shortlist(d.candidates(spark, sf_dir))
 
 
-@query("select source_id, moment_id, case when score < 0.5 then 'low_score' when r > 2 then 'topic_full' else 'chosen' end as reason from (select *, row_number() over (partition by source_id, topic order by score desc, moment_id) as r from candidates)", "candidates")
-def t4_explain_shortlist(spark, sf_dir):
-    r = F.row_number().over(Window.partitionBy("source_id", "topic").orderBy(F.col("score").desc(), "moment_id"))
-    return d.candidates(spark, sf_dir).withColumn("r", r).select("source_id", "moment_id", F.when(F.col("score") < 0.5, "low_score").when(F.col("r") > 2, "topic_full").otherwise("chosen").alias("reason"))
-
-
 @query("select * from (select source_id, row_number() over (partition by source_id order by score desc, moment_id)::int as rank, moment_id, score from candidates) where rank <= 12", "candidates")
 def t14_top_lists(spark, sf_dir):
     return op.top_per(d.candidates(spark, sf_dir), ["source_id"], [F.col("score").desc(), F.col("moment_id")], 12).select("source_id", "rank", "moment_id", "score")

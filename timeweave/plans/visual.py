@@ -42,13 +42,6 @@ def b19_coverage_report(spark, sf_dir):
     return op.coverage({k: i.where(F.col("kind") == k) for k in ("view", "click")}, spans)
 
 
-@query(f", {_SPANS}, u as ({_UNION}) select s.source_id, case when u.u is null then 'P0_FAIL' when round(u.u / nullif(duration_us, 0), 6) < 0.001 then 'P1_DEGRADED' when round(u.u / nullif(duration_us, 0), 6) < 0.01 then 'PASS_WITH_WARNINGS' else 'PASS' end as state from spans s left join u on u.source_id = s.source_id and u.part = 'error'", "intervals")
-def b20_quality_gate(spark, sf_dir):
-    i = d.intervals(spark, sf_dir)
-    spans = i.groupBy("source_id").agg((F.max("end_us") - F.min("start_us")).alias("duration_us"))
-    return op.coverage({"error": i.where("kind = 'error'")}, spans).select("source_id", op.quality_gate(F.col("share"), F.col("covered_us")).alias("state"))
-
-
 @query("""select kind as reason, sum(end_us - start_us)::bigint as us, round(sum(end_us - start_us) / sum(sum(end_us - start_us)) over (), 6) as share from intervals where kind <> 'view' group by 1""", "intervals")
 def b22_fallback_seconds(spark, sf_dir):
     r = d.intervals(spark, sf_dir).where("kind <> 'view'").groupBy(F.col("kind").alias("reason")).agg(F.sum(F.col("end_us") - F.col("start_us")).alias("us"))
@@ -117,15 +110,3 @@ def e5_binding_seconds(spark, sf_dir):
     us = lambda c: F.sum(F.when(c, F.col("end_us") - F.col("start_us")).otherwise(0)).cast("long")
     v, k = F.col("v") > 0, F.col("k") > 0
     return lit.groupBy("source_id").agg(us(v & k).alias("both_us"), us(v & ~k).alias("view_us"), us(~v & k).alias("click_us"))
-
-
-@query("""select doc_id, case when lower(trim(source)) in ('src0', 'src1', 'src2') then 'none' when lower(trim(source)) in ('src3', 'src4') then 'helpful' when source is null then 'unresolved' else 'required' end as context from documents""")
-def n6_normalize_context(spark, sf_dir):
-    s = F.lower(F.trim("source"))
-    return d.table(spark, sf_dir, "documents").select("doc_id", F.when(s.isin("src0", "src1", "src2"), "none").when(s.isin("src3", "src4"), "helpful").when(F.col("source").isNull(), "unresolved").otherwise("required").alias("context"))
-
-
-@query("""select event_id as id, case when event_type = 'error' and value > 15 then 'failed' when event_type = 'error' then 'partial' when value is null then 'unavailable' when value < 1 then 'disabled' else 'measured_ok' end as state from events""")
-def n17_stage_capability(spark, sf_dir):
-    v, k = F.col("value"), F.col("event_type")
-    return d.table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.when((k == "error") & (v > 15), "failed").when(k == "error", "partial").when(v.isNull(), "unavailable").when(v < 1, "disabled").otherwise("measured_ok").alias("state"))

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from .plans import audit, commercial, contracts, evidence, folds, intervals, rank, story, streams, timeline, transcript, visual
+from .plans import audit, commercial, contracts, evidence, folds, intervals, rank, review, story, streams, timeline, transcript, visual
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
-for part in (intervals, transcript, evidence, rank, audit, folds, streams, visual, contracts, timeline, commercial, story):
+for part in (intervals, transcript, evidence, rank, audit, folds, streams, visual, contracts, timeline, commercial, story, review):
     QUERIES |= part.QUERIES
     ORACLES |= part.ORACLES
