@@ -168,10 +168,73 @@ def test_files(spark, tmp_path):
     digest = hashlib.sha256((tmp_path / "a" / "two.json").read_bytes()).hexdigest()
     manifest = spark.createDataFrame([("one.json", "0" * 64), ("two.json", digest), ("three.json", digest)], io.MANIFEST)
     rows, wrong = io.read_collections(spark, f"{tmp_path}/a", manifest, "x long")
-    assert [r.x for r in rows.collect()] == [3] and sorted((r.name, r.reason) for r in wrong.collect()) == [("one.json", "digest_differs"), ("three.json", "missing")]
+    assert [r.x for r in rows.collect()] == [3] and sorted((r.file, r.reason) for r in wrong.collect()) == [("one.json", "digest_differs"), ("three.json", "missing")]
+    for folder, x in (("p", 1), ("q", 2)):
+        (tmp_path / "b" / folder).mkdir(parents=True)
+        (tmp_path / "b" / folder / "same.json").write_text(f'{{"x": {x}}}\n')
+    held = io.digests(spark, f"{tmp_path}/b").collect()
+    manifest = spark.createDataFrame([(r.path, r.sha256 if r.path.startswith("p") else "0" * 64) for r in held], io.MANIFEST)
+    rows, wrong = io.read_collections(spark, f"{tmp_path}/b", manifest, "x long")
+    assert [r.x for r in rows.collect()] == [1] and [(r.file, r.reason) for r in wrong.collect()] == [("q/same.json", "digest_differs")]
     io.write_chunked(spark.range(30).withColumn("v", F.col("id")), f"{tmp_path}/chunks", ["id"], 10)
     assert spark.read.json(f"{tmp_path}/chunks").count() == 30
     io.write_label_sheet(spark.createDataFrame([("i1", None), ("i2", "yes")], "item string, label string"), f"{tmp_path}/sheet")
     assert io.read_labels(spark, f"{tmp_path}/sheet", "item string, label string").where("label is null").count() == 1
     with pytest.raises(Exception):
         io.write_label_sheet(spark.range(1).selectExpr("cast(id as string) item"), f"{tmp_path}/sheet")
+
+
+def test_left_join_keeps_rows_with_nulls_once(spark):
+    a = spark.createDataFrame([(1, 0, 10, None), (1, 20, 30, "x"), (1, 40, 50, None), (1, 40, 50, None)], "source_id long, start_us long, end_us long, note string")
+    b = spark.createDataFrame([(1, 5, 8)], "source_id long, start_us long, end_us long")
+    got = sorted(((r.start_us, r.b_start_us) for r in intervals.interval_join(a, b, "left").collect()), key=lambda x: x[0])
+    assert got == [(0, 5), (20, None), (40, None), (40, None)]
+
+
+def test_impact_of_a_stage_over_many_paths(spark):
+    from timeweave.operators import audit
+
+    # 25 diamonds in a row: 2 ** 25 ways from the first stage to the last
+    edges = [e for i in range(25) for e in ((f"a{i}", f"s{i}"), (f"b{i}", f"s{i}"), (f"s{i + 1}", f"a{i}"), (f"s{i + 1}", f"b{i}"))] + [("s3", "s9")]
+    stages = spark.createDataFrame([("s0", "failed"), ("b24", "failed"), ("x", "ok")], "stage string, status string")
+    got = {r.stage: r.causes for r in audit.stage_impact(stages, spark.createDataFrame(edges, "stage string, needs string")).collect()}
+    assert len(got) == 76 and got["s25"] == "b24,s0" and got["s24"] == "s0"
+
+
+def test_phrases_at_a_segments_end(spark):
+    s = spark.createDataFrame([(1, "a", ["of", "the"]), (1, "b", ["out", "of", "of", "the"]), (1, "c", ["the"])], "source_id long, segment_id string, tokens array<string>")
+    p = spark.createDataFrame([(1, "p", ["of", "the"])], "source_id long, phrase_id string, phrase array<string>")
+    assert sorted((r.segment_id, r.first_at) for r in clean.phrase_locate(p, s).collect()) == [("a", 1), ("b", 3)]
+
+
+def test_commercial_cues_and_blocks(spark):
+    from timeweave.operators import commercial
+
+    t = lambda *rows: spark.createDataFrame([(i, x) for i, x in enumerate(rows)], "id long, text string")
+    kinds = {r.id: (r.content_type, r.eligibility) for r in commercial.classify_content(t("compre agora na loja com desconto", "não compre agora com desconto", "o anúncio dizia: compre com desconto", "um carro azul", "", None, "oferecido por uma marca")).collect()}
+    assert kinds == {0: ("advertisement", "excluded"), 1: ("editorial_content", "eligible"), 2: ("advertisement", "review"), 3: ("editorial_product_discussion", "eligible"), 4: ("uncertain", "review"), 5: ("uncertain", "review"), 6: ("sponsor_read", "excluded")}
+    hits = {(r.signal, r.start_char, r.end_char, r.hit) for r in commercial.cue_hits(t("Olá: Promoção! só hoje, 10 mil pés"), ["id"]).collect()}
+    assert ("discount", 5, 13, "Promoção") in hits and ("urgency", 15, 22, "só hoje") in hits and not [h for h in hits if h[0] == "price"]
+    rows = [(1, "a", 0, 4, "o sofá por apenas 300 reais na loja", "A"), (1, "b", 5, 9, "parcelas em 10 vezes, aproveite", "A"), (1, "c", 30, 34, "fim de papo", "A"), (2, "a", 0, 4, "por apenas 300 reais na loja", "A"), (2, "b", 5, 9, "parcelas em 10 vezes", "B"), (3, "a", 0, 4, "por apenas 300 reais na loja", "A"), (3, "b", 9, 12, "parcelas em 10 vezes", "A")]
+    s = spark.createDataFrame([(a, b, x * 1_000_000, y * 1_000_000, z, w) for a, b, x, y, z, w in rows], "source_id long, segment_id string, start_us long, end_us long, text string, speaker string")
+    got = {r.source_id: (r.segment_ids, r.state) for r in commercial.commercial_blocks(s).collect()}
+    # one voice: excluded; two voices: to review; too far apart: no block
+    assert got == {1: ("a,b", "excluded"), 2: ("a,b", "review")}
+
+
+def test_story_and_humour(spark):
+    from timeweave.operators import story
+
+    rows = [("a", 0, 8, "um dia eu fui ao estúdio da banda"), ("b", 9, 17, "mas tive um problema com a banda"), ("c", 18, 26, "a banda ensaiou de novo"), ("d", 27, 35, "no fim deu certo o disco da banda.")]
+    s = spark.createDataFrame([(1, "t", i, a * 1_000_000, b * 1_000_000, "A", x) for i, a, b, x in rows], "source_id long, topic_id string, segment_id string, start_us long, end_us long, speaker string, text string")
+    qas = spark.createDataFrame([], "source_id long, question_start_us long, answer_end_us long, answer_segment_id string")
+    r = story.story_arcs(s, qas).first()
+    assert (r.kind, r.setup_id, r.conflict_id, r.payoff_id, r.middle_ids, r.score) == ("complete_story", "a", "b", "d", "b,c", 0.95)
+    assert story.story_arcs(s.withColumn("speaker", F.when(F.col("segment_id") == "d", "B").otherwise("A")), qas).first().kind == "partial_story"
+    clips = spark.createDataFrame([(1, "k", 0, 10_000_000, True)], "source_id long, clip_id string, start_us long, end_us long, hinted boolean")
+    t = spark.createDataFrame([(1, "x", 0, 5_000_000, "até que ele caiu da cadeira azul"), (1, "y", 12_000_000, 14_000_000, "[risos]")], "source_id long, segment_id string, start_us long, end_us long, text string")
+    h = story.humor_integrity(clips, t).first()
+    assert (h.status, h.classification, h.blockers) == ("incomplete", "punchline_candidate", "reaction_after_clip")
+    b = story.humor_bounds(clips, t).first()
+    # the silence before the laughter is longer than five seconds
+    assert (b.proposed_start_us, b.proposed_end_us, b.unsafe) == (0, 10_000_000, True)

@@ -20,9 +20,7 @@ def con():
 
 
 def _plain(v):
-    if isinstance(v, float) and math.isnan(v):
-        return None
-    return v
+    return "nan" if isinstance(v, float) and math.isnan(v) else v
 
 
 @pytest.mark.parametrize("name", sorted(own.QUERIES))

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.lineage import shared_dir
+
 PROGRESS = "run_id string, stage string, ts timestamp, current double, total double, status string"
 
 
@@ -37,7 +40,7 @@ def progress_latest(df: DataFrame, keep: int = 12) -> DataFrame:
     def step(key: tuple, frames: Iterable[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         last_ts, last_current, times = state.get if state.exists else (None, None, [])
         times, new = list(times), None
-        for e in pd.concat(list(frames)).sort_values("ts").itertuples():
+        for e in pd.concat(list(frames)).sort_values(["ts", "current"]).itertuples():
             ts = e.ts.timestamp()
             if last_ts is not None and ts <= last_ts:
                 continue
@@ -55,11 +58,9 @@ def progress_latest(df: DataFrame, keep: int = 12) -> DataFrame:
 
 def progress_latest_batch(df: DataFrame, keep: int = 12) -> DataFrame:
     """The batch twin of progress_latest."""
-    from pyspark.sql import Window
-
     w = Window.partitionBy("run_id", "stage").orderBy("ts")
     seconds = F.unix_micros("ts") / 1e6
-    one = df.dropDuplicates(["run_id", "stage", "ts"])
+    one = df.withColumn("nth", F.row_number().over(Window.partitionBy("run_id", "stage", "ts").orderBy("current"))).where("nth = 1").drop("nth")
     d = one.withColumn("unit", F.when(F.col("current") > F.lag("current").over(w), (seconds - F.lag(seconds).over(w)) / (F.col("current") - F.lag("current").over(w))))
     known = d.withColumn("k", F.sum(F.col("unit").isNotNull().cast("int")).over(Window.partitionBy("run_id", "stage").orderBy(F.col("ts").desc())))
     units = known.where(F.col("k") <= keep).groupBy("run_id", "stage").agg(F.median("unit").alias("unit"))
@@ -68,9 +69,38 @@ def progress_latest_batch(df: DataFrame, keep: int = 12) -> DataFrame:
 
 
 def sampling_bursts(df: DataFrame, burst_us: int = 1_500_000) -> DataFrame:
-    """Whether each row (source_id, time_us, changed) lies in a burst: at or up to burst_us after a row that changed. The batch form; a stream gets it per micro-batch of whole sources."""
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("source_id").orderBy("time_us").rowsBetween(Window.unboundedPreceding, 0)
+    """The batch twin of stream_bursts."""
+    w = Window.partitionBy("source_id").orderBy("time_us", "id").rowsBetween(Window.unboundedPreceding, 0)
     last = F.last(F.when(F.col("changed"), F.col("time_us")), ignorenulls=True).over(w)
     return df.withColumn("burst", F.coalesce(F.col("time_us") - last <= burst_us, F.lit(False)))
+
+
+def stream_bursts(df: DataFrame, burst_us: int = 1_500_000) -> DataFrame:
+    """Whether each row (source_id, id, time_us, changed) lies in a burst: at or up to burst_us after a row that changed. A source's state is the time of its last change; its rows come in order of time."""
+
+    def step(key: tuple, frames: Iterable[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        last = state.get[0] if state.exists else None
+        rows = pd.concat(list(frames)).sort_values(["time_us", "id"])
+        out = []
+        for r in rows.itertuples():
+            last = r.time_us if r.changed else last
+            out.append((key[0], r.id, last is not None and r.time_us - last <= burst_us))
+        if last is not None:
+            state.update((int(last),))
+        yield pd.DataFrame(out, columns=["source_id", "id", "burst"])
+
+    return df.groupBy("source_id").applyInPandasWithState(step, "source_id long, id long, burst boolean", "last long", "append", "NoTimeout")
+
+
+def run_available(stream: DataFrame, mode: str = "append") -> DataFrame:
+    """Runs a stream over what is there, to its end, and returns what it wrote to the shared folder. Complete: the last result alone."""
+    spark = stream.sparkSession
+    base = f"{shared_dir(spark).rstrip('/')}/timeweave-stream-{uuid.uuid4().hex}"
+    path = f"{base}/out"
+
+    def write(batch: DataFrame, _: int) -> None:
+        batch.write.mode("overwrite" if mode == "complete" else "append").parquet(path)
+
+    spark.createDataFrame([], stream.schema).write.parquet(path)
+    stream.writeStream.outputMode(mode).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).foreachBatch(write).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(path)
