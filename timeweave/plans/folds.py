@@ -12,22 +12,43 @@ from .registry import Register
 _R = Register()
 QUERIES, ORACLES, query = _R.queries, _R.oracles, _R.query
 
-@query()
+
+def _fold(rows: str, begins: str, state: dict[str, tuple[str, str]], text: str) -> str:
+    """Runs by recursion over rows (source_id, i, start_us, end_us, ...): a new run where `begins` holds of the run's state r and the next row o. state: name to its value at a run's first row and at a further one."""
+    first = ", ".join(f"{a} as {k}" for k, (a, _) in state.items())
+    later = ", ".join(f"case when {begins} then {a} else {b} end as {k}" for k, (a, b) in state.items())
+    return f""", o as ({rows}), r as (select source_id, i, 0 as g, start_us as gs, end_us as pe, {first} from o where i = 1 union all
+ select o.source_id, o.i, case when {begins} then r.g + 1 else r.g end, case when {begins} then o.start_us else r.gs end, o.end_us, {later} from r join o on o.source_id = r.source_id and o.i = r.i + 1)
+ select source_id, g::int as group_no, arg_min(start_us, i) as start_us, arg_max(end_us, i) as end_us, count(*)::int as n, string_agg({text}, ' ' order by i) as text from r join o using (source_id, i) group by source_id, g"""
+
+
+def _recursive(sql: str) -> str:
+    return sql.replace("with ", "with recursive ", 1)
+
+
+_WORDS = "select source_id, word, start_us, end_us, speaker, row_number() over (partition by source_id order by start_us, word_id) as i from words"
+_ENDED = "(ends_with(r.pw, '.') or ends_with(r.pw, '?') or ends_with(r.pw, '!'))"
+
+
+@query(_fold(_WORDS, f"(o.start_us - r.pe > 100000 or o.end_us - r.gs > 3000000 or {_ENDED})", {"pw": ("o.word", "o.word")}, "word"), "words")
 def a10_regroup_words(spark, sf_dir):
     return op.regroup_words(d.words(spark, sf_dir), 100_000, 3_000_000)
 
 
-@query()
+@query(_fold("select source_id, text, start_us, end_us, row_number() over (partition by source_id order by start_us, segment_id) as i from segments", "(o.end_us - r.gs > 60000000 or r.size + length(o.text) + 150 > 3000)", {"size": ("length(o.text) + 150", "r.size + length(o.text) + 150")}, "text"), "segments")
 def a12_semantic_chunks(spark, sf_dir):
     return op.semantic_chunks(d.segments(spark, sf_dir), 60_000_000, 3_000)
 
 
-@query()
+@query(_fold(_WORDS + " where end_us > start_us", f"(r.n >= 5 or r.chars + length(o.word) > 38 or o.end_us - r.gs > 2800000 or o.start_us - r.pe > 450000 or o.speaker <> r.pv or {_ENDED})", {"pw": ("o.word", "o.word"), "pv": ("o.speaker", "o.speaker"), "n": ("1", "r.n + 1"), "chars": ("length(o.word) + 1", "r.chars + length(o.word) + 1")}, "word"), "words")
 def a11_caption_groups(spark, sf_dir):
     return op.caption_groups(d.words(spark, sf_dir))
 
 
-@query()
+@query(""", f as (select *, lower(word) as w from words), g as (select source_id, start_us, end_us from (select *, confidence < 0.05 or end_us <= start_us or coalesce(w = lag(w) over x and w = lag(w, 2) over x and w = lag(w, 3) over x, false) as bad from f window x as (partition by source_id order by start_us, word_id)) where bad), d as (select source_id, max(end_us) as duration_us from words group by 1),
+ o as (select source_id, greatest(0, start_us - 200000) as a, least(duration_us, end_us + 200000) as b, row_number() over (partition by source_id order by start_us, end_us) as i from g join d using (source_id)),
+ r as (select source_id, i, 0 as k, a as gs, b as ge from o where i = 1 union all select o.source_id, o.i, case when o.a <= r.ge and o.b - r.gs <= 30000000 then r.k else r.k + 1 end, case when o.a <= r.ge and o.b - r.gs <= 30000000 then r.gs else o.a end, o.b from r join o on o.source_id = r.source_id and o.i = r.i + 1)
+ select source_id, any_value(gs) as start_us, arg_max(ge, i) as end_us, count(*)::int as n from r group by source_id, k""", "words")
 def a13_review_regions(spark, sf_dir):
     w = d.words(spark, sf_dir)
     return op.review_regions(clean.flag_words(w, 0.05).where("needs_review"), w.groupBy("source_id").agg(F.max("end_us").alias("duration_us")), 200_000)
@@ -38,7 +59,9 @@ def t5_story_set(spark, sf_dir):
     return op.story_set(d.candidates(spark, sf_dir))
 
 
-@query()
+@query(""", o as (select source_id, moment_id as id, start_us, end_us, row_number() over (partition by source_id order by topic, start_us, moment_id) as i from candidates), z as (select source_id, 0::bigint as i, null::bigint as id, '' as state, []::struct(a bigint, b bigint)[] as taken, 0::bigint as spent from (select distinct source_id from o)),
+ r as (select * from z union all select q.source_id, q.i, q.id, q.state, case when q.state = 'taken' then list_append(q.taken, {'a': q.start_us, 'b': q.end_us}) else q.taken end, case when q.state = 'taken' then q.spent + q.end_us - q.start_us else q.spent end from (select o.*, r.taken, r.spent, case when len(list_filter(r.taken, lambda t: o.start_us < t.b and t.a < o.end_us)) > 0 then 'overlaps' when len(r.taken) >= 16 then 'region_budget' when r.spent + o.end_us - o.start_us > 600000000 then 'time_budget' else 'taken' end as state from r join o on o.source_id = r.source_id and o.i = r.i + 1) q)
+ select source_id, id, state from r where i > 0""", "candidates")
 def t6_budgeted_windows(spark, sf_dir):
     c = d.candidates(spark, sf_dir)
     return op.budgeted_windows(c.select("source_id", F.col("moment_id").alias("id"), F.col("topic").alias("priority"), "start_us", "end_us"), budget_us=600 * op.SECOND)
@@ -89,3 +112,7 @@ def c21_decisions_apply(spark, sf_dir):
     action = F.element_at(F.array(*map(F.lit, ("approve", "reject", "shrink", "commercial", "approve", "expand"))), (seq % 6 + 1).cast("int"))
     log = c.select("source_id", seq.alias("seq"), action.alias("action"), F.array(F.when(seq % 6 == 1, seq - 1).otherwise(seq)).alias("candidate_ids"), F.when(seq % 6 == 2, F.col("start_us") + 1_000_000).alias("start_us"), F.when(seq % 6 == 2, F.col("end_us") - 1_000_000).alias("end_us"))
     return op.apply_decisions(log, c)
+
+
+for _name in ("a10_regroup_words", "a11_caption_groups", "a12_semantic_chunks", "a13_review_regions", "t6_budgeted_windows"):
+    ORACLES[_name] = _recursive(ORACLES[_name])
