@@ -57,7 +57,11 @@ def t2_dedup_candidates(spark, sf_dir):
     return op.greedy_groups(op.equivalent_pairs(c), c)
 
 
-@query()
+@query(""", c as (select source_id, moment_id, score, topic, format, start_us // 600000000 as part from candidates where score >= 0.5),
+ r as (select distinct source_id, 0 as k, []::bigint[] as ids, []::varchar[] as topics, []::varchar[] as formats, []::bigint[] as parts, null::bigint as moment_id, null::double as score from c union all
+ select source_id, k + 1, list_append(ids, b.m), list_append(topics, b.topic), list_append(formats, b.format), list_append(parts, b.part), b.m, b.s from (select source_id, k, ids, topics, formats, parts, max({'f': (not list_contains(topics, topic))::int + (not list_contains(formats, format))::int + (not list_contains(parts, part))::int, 's': s, 'neg': -m, 'm': m, 'topic': topic, 'format': format, 'part': part}) as b
+  from (select r.source_id, r.k, r.ids, r.topics, r.formats, r.parts, c.moment_id as m, c.score as s, c.topic, c.format, c.part, max(c.score) over (partition by r.source_id) as best from r join c on c.source_id = r.source_id where r.k < 12 and not list_contains(r.ids, c.moment_id) and len(list_filter(r.topics, lambda t: t = c.topic)) < 2) where s >= best - 0.08::double group by all))
+ select source_id, moment_id, k::bigint as rank, score from r where k > 0""", "candidates")
 def t3_shortlist(spark, sf_dir):
     return op.diverse_shortlist(d.candidates(spark, sf_dir))
 
@@ -108,3 +112,7 @@ def t13_recovery_queue(spark, sf_dir):
 def n21_editorial_outcome(spark, sf_dir):
     state = F.when(F.max("score") >= 0.9, "selected").when(F.count(F.lit(1)) < 5, "insufficient_evidence").when(F.max(F.col("end_us") - F.col("start_us")) < 60_000_000, "video_too_short").otherwise("no_eligible_cuts")
     return d.candidates(spark, sf_dir).groupBy("source_id").agg(state.alias("state"), F.count_if(F.col("score") >= 0.9).alias("n_selected"))
+
+
+# the shortlist's twin picks one row at a time
+ORACLES["t3_shortlist"] = ORACLES["t3_shortlist"].replace("with ", "with recursive ", 1)
