@@ -67,7 +67,10 @@ def t6_budgeted_windows(spark, sf_dir):
     return op.budgeted_windows(c.select("source_id", F.col("moment_id").alias("id"), F.col("topic").alias("priority"), "start_us", "end_us"), budget_us=600 * op.SECOND)
 
 
-@query()
+@query("""with u as (select user_id as source_id, epoch_us(ts) // 86400000000 as window_no, event_type as state, round(avg(value) / 20, 6) as utility from events group by 1, 2, 3), w as (select source_id, window_no, list({'state': state, 'u': utility} order by state) as o, row_number() over (partition by source_id order by window_no) as i from u group by 1, 2),
+ r as (select source_id, i, list_transform(o, lambda x: {'s': x.state, 'v': x.u, 'path': [{'w': window_no, 's': x.state}]}) as vs from w where i = 1 union all
+ select source_id, i, list({'s': s, 'v': b.v + u, 'path': list_append(b.path, {'w': window_no, 's': s})} order by s) from (select source_id, i, window_no, s, u, min({'neg': -round(v.v + case when v.s = s then 0.28::double else -0.28::double - 0.08::double end, 9), 'q': v.s, 'v': v.v + case when v.s = s then 0.28::double else -0.28::double - 0.08::double end, 'path': v.path}) as b from (select source_id, i, window_no, x.state as s, x.u as u, unnest(vs) as v from (select w.source_id, w.i, w.window_no, unnest(w.o) as x, r.vs from r join w on w.source_id = r.source_id and w.i = r.i + 1)) group by source_id, i, window_no, s, u) group by source_id, i),
+ last as (select source_id, arg_max(vs, i) as vs from r group by 1), best as (select source_id, min({'neg': -round(v.v, 9), 's': v.s, 'path': v.path}).path as path from (select source_id, unnest(vs) as v from last) group by 1) select source_id, p.w as window_no, p.s as state from (select source_id, unnest(path) as p from best)""")
 def w4_trajectory_states(spark, sf_dir):
     e = d.table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("source_id"), F.floor(d.micros("ts") / 86_400_000_000).alias("window_no"), F.col("event_type").alias("state"))
     return op.trajectory_states(e.agg(F.round(F.avg("value") / 20, 6).alias("utility")))
@@ -99,20 +102,29 @@ def b46_simplify_tracks(spark, sf_dir):
     return op.simplify_tracks(e, 0.2, 36_000_000_000)
 
 
-@query()
+@query(""", o as (select source_id, segment_id, start_us, end_us, speaker, speaker = 'user' and length(text) % 2 = 0 as is_q, row_number() over (partition by source_id order by start_us, segment_id) as i from segments),
+ r as (select source_id, segment_id as question_id, speaker, start_us as qs, i as i0, i as j, end_us as last, []::varchar[] as answers, null::varchar as voice, null::bigint as answer_end_us, null::varchar as stop from o where is_q union all
+ select source_id, question_id, speaker, qs, i0, j + 1, case when why is null then ne else last end, case when why is null and nv <> speaker then list_append(answers, nid) else answers end, case when why is null and nv <> speaker and voice is null then nv else voice end, case when why is null and nv <> speaker then ne else answer_end_us end, why from (select r.*, o.end_us as ne, o.speaker as nv, o.segment_id as nid, case when o.end_us - qs > 125000000 then 'window' when o.start_us - last > 20000000 then 'pause' when o.speaker = r.speaker and o.is_q then 'next_question' when voice is not null and o.speaker not in (r.speaker, voice) then 'hand_off' end as why from r join o on o.source_id = r.source_id and o.i = r.j + 1 where r.stop is null and r.j - r.i0 < 32))
+ select source_id, question_id, array_to_string(answers, ',') as answer_ids, answer_end_us, case when len(answers) = 0 then 'unanswered_' else '' end || coalesce(stop, 'end') as stop from (select *, row_number() over (partition by source_id, question_id order by j desc) as k from r) where k = 1""", "segments")
 def c8_pair_questions(spark, sf_dir):
     s = d.segments(spark, sf_dir)
-    return op.pair_questions(s.withColumn("is_question", (F.col("speaker") == "user") & (F.length("text") % 2 == 0)))
+    p = op.pair_questions(s.withColumn("is_question", (F.col("speaker") == "user") & (F.length("text") % 2 == 0)))
+    return p.withColumn("answer_ids", F.array_join("answer_ids", ","))
 
 
-@query()
+@query(""", l as (select source_id, moment_id as seq, ['approve', 'reject', 'shrink', 'commercial', 'approve', 'expand'][(moment_id % 6 + 1)::int] as action, case when moment_id % 6 = 1 then moment_id - 1 else moment_id end as id, case when moment_id % 6 = 2 then start_us + 1000000 end as s, case when moment_id % 6 = 2 then end_us - 1000000 end as e from candidates),
+ k as (select l.*, c.start_us as lo, c.end_us as hi, row_number() over (partition by l.source_id order by seq) as i from l join candidates c on c.source_id = l.source_id and c.moment_id = l.id),
+ z as (select distinct source_id, 0::bigint as i, []::struct(seq bigint, id bigint, s bigint, e bigint)[] as stand, []::bigint[] as barred from k),
+ r as (select * from z union all select source_id, i, case when ok and puts then list_append(list_filter(stand, lambda x: x.id <> id), {'seq': seq, 'id': id, 's': coalesce(s, lo), 'e': coalesce(e, hi)}) when ok then list_filter(stand, lambda x: x.id <> id) else stand end, case when action = 'commercial' then list_append(barred, id) else barred end
+  from (select k.*, r.stand, r.barred, action in ('approve', 'expand', 'shrink') as puts, action in ('reject', 'commercial') or not (list_contains(r.barred, k.id) or coalesce(k.s, k.lo) >= coalesce(k.e, k.hi) or action = 'shrink' and (coalesce(k.s, k.lo) < k.lo or coalesce(k.e, k.hi) > k.hi)) as ok from r join k on k.source_id = r.source_id and k.i = r.i + 1)),
+ last as (select source_id, arg_max(stand, i) as stand from r group by 1) select source_id, x.seq as seq, x.id::varchar as candidate_ids, x.s as start_us, x.e as end_us from (select source_id, unnest(stand) as x from last)""", "candidates")
 def c21_decisions_apply(spark, sf_dir):
     c = d.candidates(spark, sf_dir)
     seq = F.col("moment_id")
     action = F.element_at(F.array(*map(F.lit, ("approve", "reject", "shrink", "commercial", "approve", "expand"))), (seq % 6 + 1).cast("int"))
     log = c.select("source_id", seq.alias("seq"), action.alias("action"), F.array(F.when(seq % 6 == 1, seq - 1).otherwise(seq)).alias("candidate_ids"), F.when(seq % 6 == 2, F.col("start_us") + 1_000_000).alias("start_us"), F.when(seq % 6 == 2, F.col("end_us") - 1_000_000).alias("end_us"))
-    return op.apply_decisions(log, c)
+    return op.apply_decisions(log, c).withColumn("candidate_ids", F.array_join(F.col("candidate_ids").cast("array<string>"), ","))
 
 
-for _name in ("a10_regroup_words", "a11_caption_groups", "a12_semantic_chunks", "a13_review_regions", "t6_budgeted_windows"):
+for _name in ("a10_regroup_words", "a11_caption_groups", "a12_semantic_chunks", "a13_review_regions", "t6_budgeted_windows", "c8_pair_questions", "c21_decisions_apply", "w4_trajectory_states"):
     ORACLES[_name] = _recursive(ORACLES[_name])
