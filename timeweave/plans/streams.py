@@ -25,12 +25,13 @@ def _folder(spark, what):
     return f"{shared_dir(spark).rstrip('/')}/timeweave-{what}-{uuid.uuid4().hex}"
 
 
-_TS = F.timestamp_micros(d.micros("ts"))
+def _ts():
+    return F.timestamp_micros(d.micros("ts"))
 
 
 @query("""select user_id as source_id, time_bucket(interval '6 hours', ts, timestamp '1970-01-01') as start, round(sqrt(avg(value * value)), 6) as rms, max(abs(value)) as peak, count(*) as n from events group by 1, 2""")
 def st4_stream_levels(spark, sf_dir):
-    e = _events(spark, sf_dir).select(F.col("user_id").alias("source_id"), _TS.alias("ts"), "value")
+    e = _events(spark, sf_dir).select(F.col("user_id").alias("source_id"), _ts().alias("ts"), "value")
     out = op.run_available(op.stream_levels(e, width="6 hours"), "complete")
     return out.withColumn("rms", F.round("rms", 6)).withColumn("start", F.col("start").cast("timestamp_ntz"))
 
@@ -38,7 +39,7 @@ def st4_stream_levels(spark, sf_dir):
 @query("""with m as (select *, case when epoch_us(ts) - lag(epoch_us(ts)) over (partition by user_id order by ts) < 3600000000 then 0 else 1 end as fresh from events), g as (select *, sum(fresh) over (partition by user_id order by ts rows unbounded preceding) as s from m)
  select user_id as source_id, min(ts) as start, max(ts) + interval '1 hour' as end_ts, count(*) as n from g group by user_id, s""")
 def st4_stream_sessions(spark, sf_dir):
-    e = _events(spark, sf_dir).select(F.col("user_id").alias("source_id"), _TS.alias("ts"))
+    e = _events(spark, sf_dir).select(F.col("user_id").alias("source_id"), _ts().alias("ts"))
     out = op.run_available(op.stream_sessions(e, gap="1 hour"), "complete")
     return out.select("source_id", F.col("start").cast("timestamp_ntz").alias("start"), F.col("end").cast("timestamp_ntz").alias("end_ts"), "n")
 
@@ -53,7 +54,7 @@ def st3_sampling_bursts(spark, sf_dir):
  u as (select *, case when current > lag(current) over w then (epoch_us(ts) - lag(epoch_us(ts)) over w) / 1e6::double / (current - lag(current) over w) end as unit from p window w as (partition by run_id, stage order by ts)), k as (select *, count(unit) over (partition by run_id, stage order by ts desc) as k from u),
  m as (select run_id, stage, median(unit) as unit from k where k <= 12 group by 1, 2), l as (select run_id, stage, arg_max(current, ts) as current from p group by 1, 2) select run_id, stage, current, round(unit * (1000 - current) / 3600, 2) as eta_hours from l left join m using (run_id, stage)""")
 def st1_progress_latest(spark, sf_dir):
-    e = _events(spark, sf_dir).select(F.col("user_id").cast("string").alias("run_id"), F.col("event_type").alias("stage"), _TS.alias("ts"), F.round("value", 3).alias("current"), F.lit(1000.0).alias("total"), F.lit("running").alias("status"))
+    e = _events(spark, sf_dir).select(F.col("user_id").cast("string").alias("run_id"), F.col("event_type").alias("stage"), _ts().alias("ts"), F.round("value", 3).alias("current"), F.lit(1000.0).alias("total"), F.lit("running").alias("status"))
     out = op.run_available(op.progress_latest(e), "update")
     newest = out.groupBy("run_id", "stage").agg(F.max_by(F.struct("current", "eta_seconds"), "ts").alias("x"))
     return newest.select("run_id", "stage", "x.current", F.round(F.col("x.eta_seconds") / 3600, 2).alias("eta_hours"))
@@ -62,7 +63,7 @@ def st1_progress_latest(spark, sf_dir):
 @query("select user_id::varchar as run_id, event_type as stage, count(*) as n, max(ts) as latest, round(sum(value), 3) as done from events group by 1, 2")
 def s8_progress_stream(spark, sf_dir):
     path = _folder(spark, "progress")
-    e = d.table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("run_id"), F.col("event_type").alias("stage"), _TS.alias("ts"), F.col("value").alias("current"), F.lit(1000.0).alias("total"), F.lit("running").alias("status"))
+    e = d.table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("run_id"), F.col("event_type").alias("stage"), _ts().alias("ts"), F.col("value").alias("current"), F.lit(1000.0).alias("total"), F.lit("running").alias("status"))
     io.write_jsonl(e, path)
     p = op.run_available(op.progress_stream(spark, path))
     return p.groupBy("run_id", "stage").agg(F.count(F.lit(1)).alias("n"), F.max("ts").cast("timestamp_ntz").alias("latest"), F.round(F.sum("current"), 3).alias("done"))
