@@ -228,7 +228,8 @@ def _total(v: Column) -> Column:
 def _scaled(v: Column) -> Column:
     """In double precision, divided by the largest component, so that no square overflows or vanishes."""
     v = F.transform(v, lambda x: x.cast("double"))
-    return F.transform(v, lambda x: x / F.array_max(F.transform(v, F.abs)))
+    largest = F.array(F.array_max(F.transform(v, F.abs)))  # once a vector, not once a component
+    return F.transform(largest, lambda m: F.transform(v, lambda x: x / m))[0]
 
 
 def _cosine(x: Column, y: Column) -> Column:
