@@ -7,10 +7,12 @@ similarity 0.8 meets with a chance of 0.9996 and one of 0.9 nearly always. Each
 similarity of its two sets of shingles, so no pair below the bound is a link. Words are those of op10 (runs without white
 space, A-Z lower); a text of fewer than five words is one shingle.
 
-A bucket of a band with more than `bucket` distinct texts is not compared pair by pair. Each of its texts meets one of them;
-then `turns` times the bucket is cut by the texts' value in another band: the smaller buckets are compared pair by pair, of
-larger ones a text of each group found so far meets one of them. A pair of similarity 0.8 that meets in crowded buckets only
-is missed with a chance of about 0.07 ** turns.
+Links by fingerprints and by crowded buckets come first. A bucket of a band with more than `bucket` distinct texts is not
+compared pair by pair: each of its texts meets one of them. Then smaller buckets are compared pair by pair, but only texts that
+no links connect yet, so a large group of near copies costs no pairs of its own. Last, `turns` times, each crowded bucket is cut
+by the texts' value in another band: smaller parts are compared pair by pair, of larger ones a text of each group found so
+far meets one of them. A pair of similarity 0.8 that meets in crowded buckets only is missed with a chance of about 0.07 **
+turns.
 
 Texts without words are copies of each other; a null text is one. Rows that share an id but not the text are documents of
 their own. Rows equal in id and text are one. Ties go to the smaller id, then to the smaller hash of the text. Rows without
@@ -111,49 +113,72 @@ def _by_fingerprint(nodes: DataFrame) -> DataFrame:
     return equal.union(_ordered(ends, "a", "b"))
 
 
-def _in_buckets(index: DataFrame, key: list[str], bucket: int, seed: int) -> tuple[DataFrame, DataFrame]:
-    """u < v of index (same, alone, key columns): all pairs of small buckets; in others each text that is not alone with one of them. And the crowded buckets."""
-    pivot = F.min(F.when(~F.col("alone"), F.struct(F.xxhash64("same", F.lit(seed)).alias("h"), "same")))
-    sizes = c.cut(index.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), pivot.alias("first")).where("n > 1").select(*key, "n", F.col("first.same").alias("pivot")))
-    small = index.join(sizes.where(F.col("n") <= bucket).select(*key), key).groupBy(*key).agg(F.sort_array(F.collect_list("same")).alias("all"))
-    pairs = small.select("all", F.posexplode("all").alias("i", "u")).select("u", F.explode(F.expr("slice(all, i + 2, size(all))")).alias("v"))
-    crowd = sizes.where(F.col("n") > bucket)
-    stars = index.where("not alone").join(crowd.select(*key, "pivot"), key)
-    return pairs.union(_ordered(stars, "same", "pivot")), crowd.select(*key)
-
-
 def _index(nodes: DataFrame, turn: int) -> DataFrame:
-    """same, alone, band, key: a row for each band; cut: the value of the band `turn` further on."""
+    """same, root, band, key: a row for each band; cut: the value of the band `turn` further on."""
     other = F.expr(f"bands[(band + {turn}) % {BANDS}]")
-    return nodes.where("same <> 0").select("same", "alone", "bands", F.posexplode("bands").alias("band", "key")).select("same", "alone", "band", "key", other.alias("cut"))
+    return nodes.where("same <> 0").select("same", "root", "bands", F.posexplode("bands").alias("band", "key")).select("same", "root", "band", "key", other.alias("cut"))
+
+
+def _sizes(index: DataFrame, key: list[str], seed: int) -> DataFrame:
+    """Buckets that hold texts of more than one group: how many, and one of them."""
+    pivot = F.min(F.struct(F.xxhash64("same", F.lit(seed)).alias("h"), "same", "root"))
+    sizes = index.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi"), pivot.alias("first"))
+    return c.cut(sizes.where("lo < hi").select(*key, "n", F.col("first.same").alias("pivot"), F.col("first.root").alias("pivot_root")))
 
 
-def _across(pairs: DataFrame, rooted: DataFrame) -> DataFrame:
-    """The pairs that no links connect yet."""
-    a, b = rooted.select(F.col("node").alias("u"), F.col("root").alias("ru")), rooted.select(F.col("node").alias("v"), F.col("root").alias("rv"))
-    both = pairs.join(a, "u", "left").join(b, "v", "left")
-    return both.where(F.coalesce("ru", "u") != F.coalesce("rv", "v")).select("u", "v")
+def _pairs(index: DataFrame, sizes: DataFrame, key: list[str], bucket: int) -> DataFrame:
+    """u < v: all pairs of different groups in small buckets."""
+    small = index.join(sizes.where(F.col("n") <= bucket).select(*key), key).groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("same", "root"))).alias("all"))
+    pairs = small.select("all", F.posexplode("all").alias("i", "a")).select("a", F.explode(F.expr("slice(all, i + 2, size(all))")).alias("b"))
+    return pairs.where("a.root <> b.root").select(F.col("a.same").alias("u"), F.col("b.same").alias("v")).distinct()
 
 
-def _sets_of(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """same, shingles and n, their number, of all texts that meet any other."""
-    asked = pairs.select(F.col("u").alias("same")).union(pairs.select("v")).distinct()
-    ids = c.cut(nodes.join(asked, "same").select("doc_id").distinct())
+def _stars(index: DataFrame, sizes: DataFrame, key: list[str], bucket: int) -> DataFrame:
+    """u, v: in crowded buckets one text of each group with the bucket's own."""
+    crowd = sizes.where(F.col("n") > bucket).drop("n")
+    return index.where("same = root").join(crowd, key).where("root <> pivot_root").select(F.col("same").alias("u"), F.col("pivot").alias("v")).distinct()
+
+
+def _sets_of(docs: DataFrame, nodes: DataFrame, asked: DataFrame) -> DataFrame:
+    """same, shingles and n, their number, of the texts asked for (same)."""
+    ids = c.cut(nodes.join(asked.distinct(), "same").select("doc_id").distinct())
     # up to 32 MB of ids are sent to the texts, which then are not shuffled
     near = docs.join(F.broadcast(ids) if ids.count() <= 4_000_000 else ids, "doc_id", "left_semi").select("text")
     return c.cut(_sets(near).dropDuplicates(["same"]).withColumn("n", F.size("shingles")))
 
 
-def _verified(sets: DataFrame, pairs: DataFrame, least: float) -> DataFrame:
-    """The pairs whose texts are similar enough; sets of too different sizes can't be."""
+def _verified(sets: DataFrame, pairs: DataFrame, least: float, few: int = 4_000_000) -> DataFrame:
+    """The pairs whose texts are similar enough; sets of too different sizes can't be. Where the texts v have no more than `few` shingles together (32 MB), they are sent to the others."""
     n = sets.select("same", "n")
     sized = pairs.join(n.select(F.col("same").alias("u"), F.col("n").alias("nu")), "u").join(n.select(F.col("same").alias("v"), F.col("n").alias("nv")), "v")
-    asked = sized.where(F.least("nu", "nv") >= F.lit(least) * F.greatest("nu", "nv") - 1e-9)
-    a, b = sets.select(F.col("same").alias("u"), F.col("shingles").alias("a")), sets.select(F.col("same").alias("v"), F.col("shingles").alias("b"))
-    both = asked.join(a, "u").join(b, "v").withColumn("shared", F.size(F.array_intersect("a", "b")))
+    asked = c.cut(sized.where(F.least("nu", "nv") >= F.lit(least) * F.greatest("nu", "nv") - 1e-9))
+    ends = asked.select("v", "nv").distinct()
+    b = sets.join(ends.select(F.col("v").alias("same")), "same", "left_semi").select(F.col("same").alias("v"), F.col("shingles").alias("b"))
+    if (ends.agg(F.sum("nv")).first()[0] or 0) <= few:
+        b = F.broadcast(b)
+    both = asked.join(sets.select(F.col("same").alias("u"), F.col("shingles").alias("a")), "u").join(b, "v").withColumn("shared", F.size(F.array_intersect("a", "b")))
     return both.where(F.col("shared") >= F.lit(least) * (F.col("nu") + F.col("nv") - F.col("shared")) - 1e-9).select("u", "v")
 
 
+class _Links:
+    """Links found so far, and the group of each text."""
+
+    def __init__(self, nodes: DataFrame):
+        self.nodes, self.edges, self.rooted = nodes, None, None
+
+    def add(self, found: DataFrame) -> None:
+        found = c.cut(found)
+        if not found.isEmpty():
+            self.edges = found if self.edges is None else self.edges.union(found)
+            self.rooted = c.cut(connected_components(self.edges))
+
+    def grouped(self) -> DataFrame:
+        """The nodes with their group's root; a text without links is its own."""
+        if self.rooted is None:
+            return self.nodes.withColumn("root", F.col("same"))
+        return self.nodes.join(self.rooted.withColumnRenamed("node", "same"), "same", "left").withColumn("root", F.coalesce("root", "same"))
+
+
 def drop(docs: DataFrame, least: float = 0.8, bucket: int = 32, turns: int = 4) -> DataFrame:
     """One document of each group stays: that with the least doc_id. Rows without an id all stay."""
     whole = F.struct(*(F.col(f"`{x}`") for x in docs.columns)).alias("row")
@@ -161,22 +186,23 @@ def drop(docs: DataFrame, least: float = 0.8, bucket: int = 32, turns: int = 4)
     known = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64("text").alias("row_key"))
     nodes = _signatures(known.select("doc_id", "text", "row_key")).groupBy("same").agg(F.min(F.struct("doc_id", "row_key")).alias("least"), F.first("fp").alias("fp"), F.first("bands").alias("bands"))
     nodes = c.cut(nodes.select("same", "least", F.col("least.doc_id").alias("doc_id"), "fp", "bands"))
-    pairs, crowd = _in_buckets(_index(nodes.withColumn("alone", F.lit(False)), 0).drop("cut"), ["band", "key"], bucket, 0)
-    pairs, crowd = c.cut(pairs.union(_by_fingerprint(nodes)).distinct()), c.cut(crowd)
-    sets = _sets_of(known, nodes, pairs)
-    edges = c.cut(_verified(sets, pairs, least))
-    rooted = c.cut(connected_components(edges))
+    links, key = _Links(nodes), ["band", "key"]
+    index = _index(links.grouped(), 0)
+    sizes = _sizes(index, key, 0)
+    stars = c.cut(_stars(index, sizes, key, bucket).union(_by_fingerprint(nodes)).distinct())
+    met = index.join(sizes.select(*key), key, "left_semi").select("same")
+    sets = _sets_of(known, nodes, met.union(stars.select("u")).union(stars.select("v")))
+    links.add(_verified(sets, stars, least))
+    index = _index(links.grouped(), 0)
+    small = _sizes(index.join(sizes.where(F.col("n") <= bucket).select(*key), key, "left_semi"), key, 0)
+    links.add(_verified(sets, c.cut(_pairs(index, small, key, bucket)), least))
+    crowd = c.cut(sizes.where(F.col("n") > bucket).select(*key))
     for turn in range(1, turns + 1 if not crowd.isEmpty() else 1):
-        # of each group found so far one text goes on into crowded buckets; pairs that links connect already are left out
-        linked = rooted.where("node <> root").select(F.col("node").alias("same"), F.lit(True).alias("alone"))
-        marked = nodes.join(linked, "same", "left").withColumn("alone", F.coalesce("alone", F.lit(False)))
-        index = c.cut(_index(marked, turn).join(crowd, ["band", "key"], "left_semi"))
-        more = c.cut(_across(_in_buckets(index, ["band", "key", "cut"], bucket, turn)[0].distinct(), rooted))
-        found = c.cut(_verified(sets, more, least))
-        if not found.isEmpty():
-            edges = edges.union(found)
-            rooted = c.cut(connected_components(edges))
-    kept = nodes.join(rooted, F.col("same") == F.col("node"), "left").groupBy(F.coalesce("root", "same").alias("root")).agg(F.min("least").alias("least")).select("least.doc_id", "least.row_key")
+        part = [*key, "cut"]
+        index = _index(links.grouped(), turn).join(crowd, key, "left_semi")
+        sizes = _sizes(index, part, turn)
+        links.add(_verified(sets, c.cut(_pairs(index, sizes, part, bucket).union(_stars(index, sizes, part, bucket)).distinct()), least))
+    kept = links.grouped().groupBy("root").agg(F.min("least").alias("least")).select("least.doc_id", "least.row_key")
     # the join leaves each partition sorted by both, so the first of equal rows costs no other sort or shuffle
     first = F.row_number().over(Window.partitionBy("doc_id", "row_key").orderBy("doc_id"))
     stay = rows.join(kept.distinct().hint("merge"), ["doc_id", "row_key"], "left_semi").withColumn("place", first).where("place = 1")
