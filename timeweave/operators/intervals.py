@@ -218,7 +218,7 @@ def aba_interruptions(runs: DataFrame, most_us: int) -> DataFrame:
 def independent_windows(windows: DataFrame, least_us: int, key: tuple[str, ...] = ("source_id",)) -> DataFrame:
     """A greedy subset by start: each window long enough that begins at or after the end of the last one taken."""
     rows = windows.where(F.col("end_us") - F.col("start_us") >= least_us).groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("start_us", "end_us", "id"))).alias("w"))
-    none = "cast(array() as array<struct<start_us:bigint,end_us:bigint,id:bigint>>)"
+    none = f"cast(array() as array<struct<start_us:bigint,end_us:bigint,id:{windows.schema['id'].dataType.simpleString()}>>)"
     fold = F.expr(f"aggregate(w, struct({none} as taken, cast(-9223372036854775807 as bigint) as until), (s, x) -> if(x.start_us >= s.until, struct(concat(s.taken, array(x)) as taken, x.end_us as until), s)).taken")
     return rows.select(*key, F.explode(fold).alias("x")).select(*key, "x.start_us", "x.end_us", "x.id")
 
