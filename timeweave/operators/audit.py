@@ -87,3 +87,24 @@ def changed_sources(new: DataFrame, ledger: DataFrame, key: str, parts: list[str
     diff = F.array_compact(F.array(*(F.when(~F.col(p).eqNullSafe(F.col(f"old_{p}")), F.lit(p)) for p in parts)))
     why = F.when(F.col("was").isNull(), "new").when(F.col("is").isNull(), "removed").otherwise(F.array_join(diff, ","))
     return j.select(key, why.alias("why")).where("why <> ''")
+
+
+def contract_audit(stages: DataFrame, counts: DataFrame, rows: DataFrame, gates: DataFrame, mandatory: tuple[str, ...], camera_only: tuple[str, ...], most: int = 32) -> DataFrame:
+    """source_id, place, code, path, expected, received: the first `most` breaches of each source's contract, by path and code.
+
+    stages: source_id, stage, status, capability. counts: source_id, name, expected, received. rows: source_id, name, row_no, id.
+    gates: source_id, status, missing (array). A stage must be usable, or known to be off; mandatory ones must be there; counts must agree;
+    rows need ids; a failed gate blocks unless only the camera is missing.
+    """
+    say = lambda code, path, expected, received: (F.lit(code).alias("code"), path.alias("path"), F.lit(expected).alias("expected") if isinstance(expected, str) else expected.alias("expected"), received.alias("received"))
+    off = F.coalesce((F.col("status") == "skipped") & (F.col("capability") == "not_measured_disabled"), F.lit(False))
+    bad = stages.where(~F.coalesce(F.col("status").isin("ok", "partial", "degraded"), F.lit(False)) & ~off).select("source_id", *say("upstream_stage_not_usable", F.concat(F.lit("stage_status."), "stage"), "ok_or_evidence_backed_partial", F.coalesce("status", F.lit("none"))))
+    asked = stages.select("source_id").distinct().withColumn("stage", F.explode(F.array(*map(F.lit, mandatory))))
+    gone = asked.join(stages.select("source_id", "stage"), ["source_id", "stage"], "left_anti").select("source_id", *say("mandatory_stage_status_missing", F.concat(F.lit("stage_status."), "stage"), "explicit_completed_stage", F.lit("missing")))
+    differ = counts.where(~F.col("expected").eqNullSafe(F.col("received"))).select("source_id", *say("count_disagreement", F.col("name"), F.col("expected").cast("string"), F.coalesce(F.col("received").cast("string"), F.lit("none"))))
+    nameless = rows.where(F.coalesce(F.trim("id"), F.lit("")) == "").select("source_id", *say("row_missing_id", F.concat("name", F.lit("["), F.col("row_no").cast("string"), F.lit("]")), "nonempty_id", F.lit("missing")))
+    only = (F.size("missing") > 0) & (F.size(F.array_except("missing", F.array(*map(F.lit, camera_only)))) == 0)
+    gate = gates.where((F.col("status") == "P0_FAIL") & ~only).select("source_id", *say("quality_gate_p0", F.lit("quality_gate.status"), "non_blocking", F.lit("P0_FAIL")))
+    every = bad.unionByName(gone).unionByName(differ).unionByName(nameless).unionByName(gate)
+    w = Window.partitionBy("source_id").orderBy("path", "code")
+    return every.withColumn("place", F.row_number().over(w)).where(F.col("place") <= most)

@@ -174,3 +174,21 @@ def e2_identity_ab(spark, sf_dir):
     old = run(11).select(F.col("false_splits").alias("old_splits"), F.col("false_merges").alias("old_merges"))
     new = run(17).select(F.col("false_splits").alias("new_splits"), F.col("false_merges").alias("new_merges"))
     return old.crossJoin(new).withColumn("accepted", (F.col("new_splits") < F.col("old_splits")) & (F.col("new_merges") <= F.col("old_merges")))  # two single rows
+
+
+@query("""with st as (select user_id as source_id, event_type as stage, case when count(*) % 5 = 0 then 'failed' when count(*) % 5 = 1 then 'skipped' when count(*) % 5 = 2 then null else 'ok' end as status, case when count(*) % 2 = 1 then 'not_measured_disabled' end as capability from events where not (user_id % 4 = 3 and event_type = 'view') group by 1, 2),
+ cn as (select user_id as source_id, count(*) as expected, case when user_id % 3 = 0 then null else count(*) + user_id % 2 end as received from events group by 1), rw as (select user_id as source_id, row_number() over (partition by user_id order by event_id) as row_no, case when event_id % 4 = 0 then ' ' else event_id::varchar end as id from events), gt as (select distinct user_id as source_id, case when user_id % 2 = 0 then 'P0_FAIL' else 'PASS' end as status, case user_id % 3 when 0 then ['visual_tracking_unavailable'] when 1 then ['x', 'visual_tracking_unavailable'] else [] end as missing from events),
+ e as (select source_id, 'upstream_stage_not_usable' as code, 'stage_status.' || stage as path, 'ok_or_evidence_backed_partial' as expected, coalesce(status, 'none') as received from st where not coalesce(status in ('ok', 'partial', 'degraded'), false) and not coalesce(status = 'skipped' and capability = 'not_measured_disabled', false)
+  union all select s.source_id, 'mandatory_stage_status_missing', 'stage_status.' || m, 'explicit_completed_stage', 'missing' from (select distinct source_id from st) s, (select unnest(['view', 'click']) as m) where not exists (select 1 from st where st.source_id = s.source_id and st.stage = m)
+  union all select source_id, 'count_disagreement', 'captions', expected::varchar, coalesce(received::varchar, 'none') from cn where expected is distinct from received union all select source_id, 'row_missing_id', 'moments[' || row_no || ']', 'nonempty_id', 'missing' from rw where trim(id) = ''
+  union all select source_id, 'quality_gate_p0', 'quality_gate.status', 'non_blocking', 'P0_FAIL' from gt where status = 'P0_FAIL' and not (len(missing) > 0 and list_has_all(['visual_tracking_unavailable', 'active_speaker_unavailable', 'camera_timeline_unavailable'], missing)))
+ select source_id, place::int as place, code, path, expected, received from (select *, row_number() over (partition by source_id order by path, code) as place from e) where place <= 32""")
+def j29_contract_audit(spark, sf_dir):
+    e, n, u = _t(spark, sf_dir, "events").withColumnRenamed("user_id", "source_id"), F.count(F.lit(1)), F.col("source_id")
+    k = F.col("n") % 5
+    st = e.where("not (source_id % 4 = 3 and event_type = 'view')").groupBy("source_id", F.col("event_type").alias("stage")).agg(n.alias("n")).select("source_id", "stage", F.when(k == 0, "failed").when(k == 1, "skipped").when(k > 2, "ok").alias("status"), F.when(F.col("n") % 2 == 1, "not_measured_disabled").alias("capability"))
+    cn = e.groupBy("source_id").agg(n.alias("expected")).select("source_id", F.lit("captions").alias("name"), "expected", F.when(u % 3 != 0, F.col("expected") + u % 2).alias("received"))
+    rw = e.select("source_id", F.lit("moments").alias("name"), F.row_number().over(Window.partitionBy("source_id").orderBy("event_id")).alias("row_no"), F.when(F.col("event_id") % 4 == 0, " ").otherwise(F.col("event_id").cast("string")).alias("id"))
+    one = F.lit("visual_tracking_unavailable")
+    gt = e.select("source_id").distinct().select("source_id", F.when(u % 2 == 0, "P0_FAIL").otherwise("PASS").alias("status"), F.when(u % 3 == 0, F.array(one)).when(u % 3 == 1, F.array(F.lit("x"), one)).otherwise(F.array().cast("array<string>")).alias("missing"))
+    return audit.contract_audit(st, cn, rw, gt, ("view", "click"), ("visual_tracking_unavailable", "active_speaker_unavailable", "camera_timeline_unavailable"))
