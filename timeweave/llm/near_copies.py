@@ -7,12 +7,11 @@ similarity 0.8 meets with a chance of 0.9996 and one of 0.9 nearly always. Each
 similarity of its two sets of shingles, so no pair below the bound is a link. Words are those of op10 (runs without white
 space, A-Z lower); a text of fewer than five words is one shingle.
 
-Links by fingerprints and by crowded buckets come first. A bucket of a band with more than `bucket` distinct texts is not
-compared pair by pair: each of its texts meets one of them. Then smaller buckets are compared pair by pair, but only texts that
-no links connect yet, so a large group of near copies costs no pairs of its own. Last, `turns` times, each crowded bucket is cut
-by the texts' value in another band: smaller parts are compared pair by pair, of larger ones a text of each group found so
-far meets one of them. A pair of similarity 0.8 that meets in crowded buckets only is missed with a chance of about 0.07 **
-turns.
+Links by fingerprints and by crowded buckets come first: of a bucket with more than `bucket` distinct texts each meets one of
+them. Then smaller buckets are compared pair by pair, and crowded ones are cut `turns` times by the texts' value in another
+band: small parts are compared pair by pair, of larger ones a text of each group found so far meets one of them. Only texts that
+no links connect yet are paired there, so a large group of near copies costs no pairs of its own. A pair of similarity 0.8 that
+meets in crowded buckets only is missed with a chance of about 0.07 ** turns.
 
 Texts without words are copies of each other; a null text is one. Rows that share an id but not the text are documents of
 their own. Rows equal in id and text are one. Ties go to the smaller id, then to the smaller hash of the text. Rows without
@@ -113,10 +112,10 @@ def _by_fingerprint(nodes: DataFrame) -> DataFrame:
     return equal.union(_ordered(ends, "a", "b"))
 
 
-def _index(nodes: DataFrame, turn: int) -> DataFrame:
-    """same, root, band, key: a row for each band; cut: the value of the band `turn` further on."""
-    other = F.expr(f"bands[(band + {turn}) % {BANDS}]")
-    return nodes.where("same <> 0").select("same", "root", "bands", F.posexplode("bands").alias("band", "key")).select("same", "root", "band", "key", other.alias("cut"))
+def _index(nodes: DataFrame, turns: int = 0) -> DataFrame:
+    """same, root, band, key: a row for each band; with turns also cuts: the values of as many further bands."""
+    cuts = [F.array(*(F.expr(f"bands[(band + {t}) % {BANDS}]") for t in range(1, turns + 1))).alias("cuts")] if turns else []
+    return nodes.where("same <> 0").select("same", "root", "bands", F.posexplode("bands").alias("band", "key")).select("same", "root", "band", "key", *cuts)
 
 
 def _sizes(index: DataFrame, key: list[str], seed: int) -> DataFrame:
@@ -187,21 +186,18 @@ def drop(docs: DataFrame, least: float = 0.8, bucket: int = 32, turns: int = 4)
     nodes = _signatures(known.select("doc_id", "text", "row_key")).groupBy("same").agg(F.min(F.struct("doc_id", "row_key")).alias("least"), F.first("fp").alias("fp"), F.first("bands").alias("bands"))
     nodes = c.cut(nodes.select("same", "least", F.col("least.doc_id").alias("doc_id"), "fp", "bands"))
     links, key = _Links(nodes), ["band", "key"]
-    index = _index(links.grouped(), 0)
+    index = _index(links.grouped())
     sizes = _sizes(index, key, 0)
     stars = c.cut(_stars(index, sizes, key, bucket).union(_by_fingerprint(nodes)).distinct())
     met = index.join(sizes.select(*key), key, "left_semi").select("same")
     sets = _sets_of(known, nodes, met.union(stars.select("u")).union(stars.select("v")))
     links.add(_verified(sets, stars, least))
-    index = _index(links.grouped(), 0)
-    small = _sizes(index.join(sizes.where(F.col("n") <= bucket).select(*key), key, "left_semi"), key, 0)
-    links.add(_verified(sets, c.cut(_pairs(index, small, key, bucket)), least))
-    crowd = c.cut(sizes.where(F.col("n") > bucket).select(*key))
-    for turn in range(1, turns + 1 if not crowd.isEmpty() else 1):
-        part = [*key, "cut"]
-        index = _index(links.grouped(), turn).join(crowd, key, "left_semi")
-        sizes = _sizes(index, part, turn)
-        links.add(_verified(sets, c.cut(_pairs(index, sizes, part, bucket).union(_stars(index, sizes, part, bucket)).distinct()), least))
+    # small buckets as they are (turn 0), crowded ones once for each turn
+    each = F.when(F.col("n") <= bucket, F.array(F.lit(0))).otherwise(F.sequence(F.lit(1), F.lit(turns)))
+    index = _index(links.grouped(), turns).join(sizes.select(*key, "n"), key).withColumn("turn", F.explode(each)).withColumn("cut", F.when(F.col("turn") > 0, F.try_element_at("cuts", F.col("turn"))).otherwise(0)).drop("n", "cuts")
+    part = [*key, "turn", "cut"]
+    sizes = _sizes(index, part, 1)
+    links.add(_verified(sets, c.cut(_pairs(index, sizes, part, bucket).union(_stars(index, sizes, part, bucket)).distinct()), least))
     kept = links.grouped().groupBy("root").agg(F.min("least").alias("least")).select("least.doc_id", "least.row_key")
     # the join leaves each partition sorted by both, so the first of equal rows costs no other sort or shuffle
     first = F.row_number().over(Window.partitionBy("doc_id", "row_key").orderBy("doc_id"))
