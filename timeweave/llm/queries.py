@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann_forest, bpe, mixing, ngram_lm, quality, secrets, simhash, toxicity, url_filters, warc
+from . import ann_forest, bpe, languages, mixing, ngram_lm, quality, secrets, simhash, spelling, toxicity, url_filters, warc, whitening
 from .common import read
 
 
@@ -60,7 +60,24 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_compression_bands, op2_kneser_ney, op3_prefix_forest, op4_warc_zstd, op5_byte_bpe, op6_secret_scan, op7_source_mix, op8_pu_toxicity, op9_temporal_url_filter, op10_simhash)}
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return whitening.apply(rows, whitening.fit(rows)).withColumnRenamed("id", "vec_id")
+
+
+def op12_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held = F.coalesce(languages.held_out(), F.lit(True))
+    found = languages.predict(docs, languages.train(docs.where(~held)), held)
+    return found.withColumn("n_languages", F.size("languages")).drop("languages")
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = spelling.vocabulary(read(spark, sf_dir, "documents"))
+    return spelling.variants(words).select("word", "form", "root", "n", "n_near", "form_n")
+
+
+QUERIES = {f.__name__: f for f in (op1_compression_bands, op2_kneser_ney, op3_prefix_forest, op4_warc_zstd, op5_byte_bpe, op6_secret_scan, op7_source_mix, op8_pu_toxicity, op9_temporal_url_filter, op10_simhash, op11_whitening, op12_language_mixture, op13_spelling_variants)}
 
 ORACLES = {
     "op4_warc_zstd": """
