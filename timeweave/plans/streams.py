@@ -10,6 +10,7 @@ from ..operators.lineage import shared_dir
 from ..sources import derived as d
 from ..sources import io
 from ..streaming import streams as op
+from ..streaming import tracking
 from .registry import Register
 
 _R = Register()
@@ -95,3 +96,25 @@ def s3_read_collections(spark, sf_dir):
     rows, bad = io.read_collections(spark, root, held, "event_id long, kind string")
     per = rows.groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.lit(None).cast("string").alias("reason"))
     return per.unionByName(bad.select(F.regexp_extract("file", "folder=([a-z_]+)/", 1).alias("kind"), F.lit(0).cast("long").alias("n"), "reason").distinct())
+
+
+_KINDS = ("click", "error", "purchase", "signup", "view")
+
+
+def detections_of(e):
+    """Events of six hours are a frame, frames are 0.4 s apart, 24 frames a shot; a kind keeps to its column and drifts with the value; two of three events show a face."""
+    frame = F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts) div 21600000000")
+    kind = sum((F.when(F.col("event_type") == k, i).otherwise(0) for i, k in enumerate(_KINDS)), F.lit(0))
+    face = F.transform(F.sequence(F.lit(0), F.lit(4)), lambda j: F.when(j == kind, 0.9).otherwise(0.0) + F.when(j == F.col("event_id") % 5, 0.1).otherwise(0.0))
+    time = frame * 400_000
+    return e.select(F.col("user_id").alias("source_id"), F.col("event_id").alias("id"), time.alias("time_us"), F.timestamp_micros(time).alias("ts"), F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts) div 518400000000").alias("scene_id"), (0.05 + 0.18 * kind + F.col("value") % 7 * 0.004).alias("x"), (0.2 + F.col("value") % 5 * 0.01).alias("y"), F.lit(0.12).alias("w"), (0.3 + F.col("value") % 3 * 0.02).alias("h"), F.lit("body").alias("kind"), F.when(F.col("event_id") % 3 != 0, face).alias("embedding"))
+
+
+@query()
+def st2_track_stream(spark, sf_dir):
+    held = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", tracking.ROCKS)
+    try:
+        return op.run_available(tracking.track_stream(detections_of(_events(spark, sf_dir))))
+    finally:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", held)

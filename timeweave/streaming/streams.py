@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -92,15 +92,20 @@ def stream_bursts(df: DataFrame, burst_us: int = 1_500_000) -> DataFrame:
     return df.groupBy("source_id").applyInPandasWithState(step, "source_id long, id long, burst boolean", "last long", "append", "NoTimeout")
 
 
+def batch_writer(path: str, complete: bool = False) -> Callable[[DataFrame, int], None]:
+    """Writes each batch to a folder of its own number, replacing what an earlier try of the batch left: rows come once even if a batch is repeated."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={0 if complete else number}")
+
+    return write
+
+
 def run_available(stream: DataFrame, mode: str = "append") -> DataFrame:
     """Runs a stream over what is there, to its end, and returns what it wrote to the shared folder. Complete: the last result alone."""
     spark = stream.sparkSession
     base = f"{shared_dir(spark).rstrip('/')}/timeweave-stream-{uuid.uuid4().hex}"
     path = f"{base}/out"
-
-    def write(batch: DataFrame, _: int) -> None:
-        batch.write.mode("overwrite" if mode == "complete" else "append").parquet(path)
-
-    spark.createDataFrame([], stream.schema).write.parquet(path)
-    stream.writeStream.outputMode(mode).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).foreachBatch(write).start().awaitTermination()
-    return spark.read.schema(stream.schema).parquet(path)
+    spark.createDataFrame([], stream.schema).write.parquet(f"{path}/batch=-1")
+    stream.writeStream.outputMode(mode).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).foreachBatch(batch_writer(path, mode == "complete")).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{path}/batch=*")
