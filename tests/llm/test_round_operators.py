@@ -249,7 +249,7 @@ def test_bound_of_affected_grams(spark):
     edits = {w: [w[:i] + ch + w[i:] for i in range(len(w) + 1) for ch in "abc"] + [w[:i] + w[i + 1 :] for i in range(len(w))] + [w[:i] + ch + w[i + 1 :] for i in range(len(w)) for ch in "abc"] for w in base}
     every = sorted({*base, *(x for xs in edits.values() for x in xs)})
     frame = spark.createDataFrame([(w, 1) for w in every], "word string, n long")
-    parts = {r.word: r for r in spelling.decompose(frame, spelling.gram_dictionary(frame, 5, 400), 5).collect()}
+    parts = {r.word: r for r in spelling.decompose(frame, spelling.frequent_grams(frame, 5, 400), 5).collect()}
     for w, xs in edits.items():
         mine = parts[w]
         for x in xs:

@@ -18,12 +18,16 @@ names, are not read.
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common as c
 
 SHORT = 2
+#: Most inner grams of the dictionary, and most words that are sent to all tasks.
+MOST_GRAMS = 1 << 20
+FEW = 50_000
 #: Forms grow at least fivefold at each step, so five doublings outlast any 64-bit count.
 DOUBLINGS = 5
 
@@ -46,63 +50,102 @@ def vocabulary(docs: DataFrame, key: str = "doc_id", text: str = "text", least_l
     return found.groupBy("word").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least_count)
 
 
-def _substrings(words: DataFrame, longest: int) -> DataFrame:
-    """words with p (from 0), q and gram of every place and length."""
-    size = F.char_length("word")
-    at = words.withColumn("p", F.explode(F.sequence(F.lit(0), size - SHORT)))
-    lengths = F.sequence(F.lit(SHORT), F.least(F.lit(longest), size - F.col("p")))
-    return at.withColumn("q", F.explode(lengths)).withColumn("gram", F.substring(F.col("word"), F.col("p") + 1, F.col("q")))
-
-
-def gram_dictionary(words: DataFrame, longest: int = 6, frequent: int = 1000) -> DataFrame:
-    """gram, found (its occurrences): all of SHORT code points; longer ones whose gram without the last occurs over `frequent` times."""
-    counts = _substrings(words.where(F.char_length("word") >= SHORT), longest).groupBy("gram").agg(F.count(F.lit(1)).alias("found"))
-    parents = counts.where(F.col("found") > frequent).select(F.col("gram").alias("parent"))
-    longer = counts.where(F.char_length("gram") > SHORT)
-    longer = longer.join(parents, F.expr("substring(gram, 1, char_length(gram) - 1)") == F.col("parent"), "left_semi")
-    return counts.where(F.char_length("gram") == SHORT).union(longer)
-
-
-def decompose(words: DataFrame, dictionary: DataFrame, longest: int = 6) -> DataFrame:
-    """words with grams: p, q, gram, found of the longest dictionary gram at each place, and affected: the most that one edit can change."""
-    kept = _substrings(words.where(F.char_length("word") >= SHORT), longest).join(dictionary, "gram")
-    # one exchange: per word all grams found, then the longest at each place
-    listed = kept.groupBy("word", "n").agg(F.collect_list(F.struct("p", F.col("q"), "gram", "found")).alias("all"))
-    best = F.transform(
-        F.sequence(F.lit(0), F.char_length("word") - SHORT),
-        lambda p: F.array_max(F.transform(F.filter("all", lambda g: g["p"] == p), lambda g: F.struct(g["q"].alias("q"), g["p"].alias("p"), g["gram"].alias("gram"), g["found"].alias("found")))),
-    )
-    listed = listed.select("word", "n", best.alias("grams"))
-    reach = lambda i: F.size(F.filter("grams", lambda g: (g["p"] <= i) & (g["p"] + g["q"] >= i)))
-    affected = F.array_max(F.transform(F.sequence(F.lit(0), F.char_length("word")), reach))
-    return listed.withColumn("affected", affected).withColumn("weak", F.col("affected") >= F.size("grams"))
+def _places(words: DataFrame, q: int) -> DataFrame:
+    """gram: the q code points at every place of every word."""
+    long = words.where(F.char_length("word") >= q)
+    return long.select(F.explode(F.transform(F.sequence(F.lit(1), F.char_length("word") - (q - 1)), lambda p: F.substring(F.col("word"), p, F.lit(q)))).alias("gram"))
+
+
+def frequent_grams(words: DataFrame, longest: int = 5, frequent: int = 4000) -> dict[str, int]:
+    """The dictionary's inner grams: those of SHORT to longest - 1 code points that occur over `frequent` times, with their counts.
+
+    The dictionary is all grams of SHORT code points and all whose gram without the last is one of these. As at most (places of
+    all words) / `frequent` grams of a length are frequent, `frequent` rises where MOST_GRAMS would be passed: the set is bounded.
+    """
+    places = words.agg(F.sum(F.greatest(F.char_length("word") - 1, F.lit(0)))).first()[0] or 0
+    least, found = max(frequent, places * max(longest - SHORT, 1) // MOST_GRAMS), {}
+    for q in range(SHORT, longest):
+        at = _places(words, q)
+        if q > SHORT:
+            inner = words.sparkSession.createDataFrame([(g,) for g in found if len(g) == q - 1], "parent string")
+            at = at.join(F.broadcast(inner), F.substring("gram", 1, q - 1) == F.col("parent"), "left_semi")
+        level = {r["gram"]: r["k"] for r in at.groupBy("gram").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") > least).collect()}
+        found |= level
+        if not level:
+            break
+    return found
+
+
+def longest_grams(word: str, inner: dict[str, int], longest: int) -> tuple[list[int], int]:
+    """The length of the longest dictionary gram at each place of a word, and how many of them one edit can change at most."""
+    n, lengths = len(word), []
+    for p in range(n - SHORT + 1):
+        q = SHORT
+        while q < longest and p + q < n and word[p : p + q] in inner:
+            q += 1
+        lengths.append(q)
+    # the gram at p is read up to p + q, so edits at p to p + q may change it
+    hits = [0] * (n + 2)
+    for p, q in enumerate(lengths):
+        hits[p] += 1
+        hits[p + q + 1] -= 1
+    most = at = 0
+    for h in hits:
+        at += h
+        most = max(most, at)
+    return lengths, most
+
+
+def decompose(words: DataFrame, inner: dict[str, int], longest: int = 5) -> DataFrame:
+    """word, n, affected, weak, and grams (p, gram) of the words of SHORT code points or more, by how rare they may be: those that end the dictionary's paths first, by the count of the gram that they extend; then frequent ones."""
+    shared = words.sparkSession.sparkContext.broadcast(inner)  # at most MOST_GRAMS
+
+    def run(batches):
+        own = shared.value
+        for b in batches:
+            texts, out, affected = b.column(0).to_pylist(), [], []
+            for w in texts:
+                lengths, most = longest_grams(w, own, longest)
+                cuts = [(p, w[p : p + q]) for p, q in enumerate(lengths)]
+                cuts.sort(key=lambda x: (own.get(x[1], 0), own.get(x[1][:-1], 0), x[0]))
+                out.append([{"p": p, "gram": g} for p, g in cuts])
+                affected.append(most)
+            grams = pa.array(out, pa.list_(pa.struct([("p", pa.int32()), ("gram", pa.string())])))
+            weak = [a >= len(g) for a, g in zip(affected, out, strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(affected, pa.int32()), pa.array(weak, pa.bool_()), grams], ["word", "n", "affected", "weak", "grams"])
+
+    return words.where(F.char_length("word") >= SHORT).select("word", "n").mapInArrow(run, "word string, n long, affected int, weak boolean, grams array<struct<p:int,gram:string>>")
 
 
 def _one_edit(a: Column, b: Column) -> Column:
     return F.levenshtein(a, b, 1) == 1
 
 
-def near_pairs(words: DataFrame, longest: int = 6, frequent: int = 1000) -> DataFrame:
+def near_pairs(words: DataFrame, longest: int = 5, frequent: int = 4000) -> DataFrame:
     """a, na, b, nb of all pairs of words (word, n; each word once) one edit apart, each pair once, a < b in length and then in order."""
     words = c.cut(words.select("word", "n"))
-    parts = c.cut(decompose(words, gram_dictionary(words, longest, frequent), longest))
+    parts = c.cut(decompose(words, frequent_grams(words, longest, frequent), longest))
     size = F.char_length("word")
-    index = parts.select("word", "n", "weak", size.alias("size"), F.explode("grams").alias("g"))
-    index = index.select(F.col("word").alias("b"), F.col("n").alias("nb"), F.col("weak").alias("wb"), F.col("size").alias("key_size"), F.col("g.gram").alias("key_gram"), F.col("g.p").alias("key_p"))
-    rarest = F.slice(F.array_sort(F.transform("grams", lambda g: F.struct(g["found"].alias("found"), g["p"].alias("p"), g["gram"].alias("gram")))), F.lit(1), F.col("affected") + 1)
-    asked = parts.where("not weak").select("word", "n", size.alias("size"), F.explode(rarest).alias("g"))
-    # lengths and places where a near word can hold the gram; of shorter words only those that can't ask themselves
-    ways = [(0, 0, False), (0, 0, True), (1, 0, False), (1, 0, True), (1, 1, False), (1, 1, True), (-1, 0, True), (-1, -1, True)]
-    probes = asked.select(
-        F.col("word").alias("a"),
-        F.col("n").alias("na"),
-        "size",
-        F.col("g.gram").alias("gram"),
-        F.explode(F.array(*(F.struct((F.col("size") + d).alias("s"), (F.col("g.p") + m).alias("p"), F.lit(w).alias("w")) for d, m, w in ways))).alias("to"),
-    )
-    met = probes.join(index, (F.col("gram") == F.col("key_gram")) & (F.col("to.s") == F.col("key_size")) & (F.col("to.p") == F.col("key_p")) & (F.col("to.w") == F.col("wb")))
-    once = F.col("wb") | (F.col("key_size") > F.col("size")) | (F.col("a") < F.col("b"))
-    by_index = met.where(once & _one_edit(F.col("a"), F.col("b"))).select("a", "na", "b", "nb")
+    # a key stands for a gram, the length of a word that has it and its place there; equal keys of unequal grams are only more to verify
+    key = lambda gram, length, place: F.xxhash64(gram, length.cast("int"), place.cast("int"))
+    index = lambda rows: rows.select(F.col("word").alias("b"), F.col("n").alias("nb"), F.explode(F.transform("grams", lambda g: key(g["gram"], size, g["p"]))).alias("key"))
+    asking = parts.where("not weak")
+    rarest = F.slice("grams", F.lit(1), F.col("affected") + 1)
+
+    def probes(ways: list[tuple[int, int]]) -> DataFrame:
+        """Keys of the rarest grams in near words whose length and place differ by so much."""
+        to = lambda d, m: F.transform(rarest, lambda g: key(g["gram"], size + d, g["p"] + m))
+        return asking.select(F.col("word").alias("a"), F.col("n").alias("na"), F.explode(F.concat(*(to(d, m) for d, m in ways))).alias("key"))
+
+    longer = F.char_length("a") < F.char_length("b")
+    strong = probes([(0, 0), (1, 0), (1, 1)]).join(index(asking), "key").where((longer | (F.col("a") < F.col("b"))) & _one_edit(F.col("a"), F.col("b")))
+    by_index = strong.select("a", "na", "b", "nb")
+    unable = parts.where("weak")
+    if n_weak := unable.count():
+        # few as a rule; they can't ask, so all others ask for them
+        held = index(unable)
+        met = probes([(0, 0), (1, 0), (1, 1), (-1, 0), (-1, -1)]).join(F.broadcast(held) if n_weak <= FEW else held, "key").where(_one_edit(F.col("a"), F.col("b")))
+        by_index = by_index.union(met.select("a", "na", "b", "nb"))
     weak = parts.where("weak").select("word", "n").union(words.where(size < SHORT))
     # a near pair agrees once one code point is left out of the longer or of both
     short = weak.select("word", "n", F.explode(F.array_distinct(F.concat(F.array("word"), F.transform(F.sequence(F.lit(1), size), lambda i: F.concat(F.substring(F.col("word"), F.lit(1), i - 1), F.substring(F.col("word"), i + 1, size)))))).alias("rest"))
@@ -113,7 +156,7 @@ def near_pairs(words: DataFrame, longest: int = 6, frequent: int = 1000) -> Data
     return both.select(flip("a", "b").alias("a"), flip("na", "nb").alias("na"), flip("b", "a").alias("b"), flip("nb", "na").alias("nb")).distinct()
 
 
-def variants(words: DataFrame, ratio: int = 5, longest: int = 6, frequent: int = 1000) -> DataFrame:
+def variants(words: DataFrame, ratio: int = 5, longest: int = 5, frequent: int = 4000) -> DataFrame:
     """word, n, n_near, form, form_n, root of each word: form is its most frequent near word (ties: the smallest) if it occurs `ratio` times as often or more, root the last of the forms."""
     words = c.cut(words.select("word", "n"))
     pairs = c.cut(near_pairs(words, longest, frequent))
