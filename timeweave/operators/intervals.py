@@ -216,13 +216,41 @@ def aba_interruptions(runs: DataFrame, most_us: int) -> DataFrame:
 
 
 def independent_windows(windows: DataFrame, least_us: int, key: tuple[str, ...] = ("source_id",)) -> DataFrame:
-    """A greedy subset by start: each window long enough that begins at or after the end of the last one taken."""
-    rows = windows.where(F.col("end_us") - F.col("start_us") >= least_us).groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("start_us", "end_us", "id"))).alias("w"))
+    """A greedy subset by start: each window long enough that begins at or after the end of the last one taken.
+
+    A window that overlaps none before it is always taken, so each island of overlapping windows is read on its own.
+    """
+    long = windows.where(F.col("end_us") - F.col("start_us") >= least_us).select(*key, "start_us", "end_us", "id")
+    before = F.max("end_us").over(_before(Window, list(key)))
+    order = Window.partitionBy(*key).orderBy("start_us", "end_us").rowsBetween(Window.unboundedPreceding, 0)
+    isles = long.withColumn("fresh", (before.isNull() | (F.col("start_us") >= before)).cast("int")).withColumn("island", F.sum("fresh").over(order))
+    rows = isles.groupBy(*key, "island").agg(F.array_sort(F.collect_list(F.struct("start_us", "end_us", "id"))).alias("w"))
     none = f"cast(array() as array<struct<start_us:bigint,end_us:bigint,id:{windows.schema['id'].dataType.simpleString()}>>)"
     fold = F.expr(f"aggregate(w, struct({none} as taken, cast(-9223372036854775807 as bigint) as until), (s, x) -> if(x.start_us >= s.until, struct(concat(s.taken, array(x)) as taken, x.end_us as until), s)).taken")
     return rows.select(*key, F.explode(fold).alias("x")).select(*key, "x.start_us", "x.end_us", "x.id")
 
 
+def coalesce_runs(cells: DataFrame, key: list[str], state: list[str], width: int = BUCKET_US) -> DataFrame:
+    """Touching cells of a key with equal state (nulls equal) become one. No cell may cross a bucket's edge.
+
+    Runs are found bucket by bucket; only those that touch an edge meet again by key, so a long source is not sorted in one task.
+    """
+
+    def merged(rows: DataFrame, by: list[str]) -> DataFrame:
+        w = Window.partitionBy(*by).orderBy("start_us", "end_us")
+        same = F.coalesce(F.lag("end_us").over(w) == F.col("start_us"), F.lit(False))
+        for x in state:
+            same = same & F.lag(x).over(w).eqNullSafe(F.col(x))
+        fresh = rows.withColumn("_fresh", (~same).cast("int"))
+        run = F.sum("_fresh").over(w.rowsBetween(Window.unboundedPreceding, 0))
+        return fresh.withColumn("_run", run).groupBy(*by, "_run", *state).agg(F.min("start_us").alias("start_us"), F.max("end_us").alias("end_us")).drop("_run")
+
+    own = cells.select(*key, *state, "start_us", "end_us").withColumn("_bucket", F.floor(F.col("start_us") / width))
+    runs = merged(own, [*key, "_bucket"])
+    edge = (F.col("start_us") == F.col("_bucket") * width) | (F.col("end_us") == (F.col("_bucket") + 1) * width)
+    return merged(runs.where(edge).drop("_bucket"), key).unionByName(runs.where(~edge).drop("_bucket"))
+
+
 def relative_time(pieces: DataFrame, key: tuple[str, ...] = ("clip_id",)) -> DataFrame:
     """Pieces of a clip with their times on the clip's own clock: laid end to end by order of start."""
     w = Window.partitionBy(*key).orderBy("start_us").rowsBetween(Window.unboundedPreceding, 0)

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from .plans import audit, commercial, contracts, dossier, evidence, folds, intervals, narrative, rank, recovery, review, signals, story, streams, timeline, transcript, visual
+from .plans import audit, commercial, contracts, dossier, evidence, folds, intervals, narrative, rank, recovery, review, signals, speaking, story, streams, timeline, transcript, visual
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
-for part in (intervals, transcript, evidence, rank, audit, folds, streams, visual, contracts, timeline, commercial, story, review, dossier, signals, narrative, recovery):
+for part in (intervals, transcript, evidence, rank, audit, folds, streams, visual, contracts, timeline, commercial, story, review, dossier, signals, narrative, recovery, speaking):
     QUERIES |= part.QUERIES
     ORACLES |= part.ORACLES
