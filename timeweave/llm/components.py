@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from . import common as c
 
+#: Up to so many links are joined in one task, without exchanges; more are dealt out.
+FEW = 100_000
+
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     """large: every node's larger neighbours are linked to the least of it and its neighbours; else its smaller ones are.
@@ -26,9 +29,10 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
 def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """node, root (the component's least node) of every node that has an edge (u, v). Self links and repeated links do no harm."""
     edges = c.cut(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    before = None
+    before, n = None, edges.count()
     for _ in range(most_rounds):
-        edges = c.cut(_star(_star(edges, large=True), large=False))
+        # links never grow in number, so few stay few
+        edges = c.cut(_star(_star(edges.coalesce(1) if n <= FEW else edges, large=True), large=False))
         # a round that changes nothing ends it; each link counts with its two ends
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:

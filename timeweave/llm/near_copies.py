@@ -30,6 +30,7 @@ from . import simhash
 from .components import connected_components
 
 WIDTH, BANDS, ROWS = 5, 20, 5
+FEW_KEYS = 1_000_000
 _RNG = np.random.default_rng(20240711)
 _MULTIPLY = _RNG.integers(1, 2**63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ADD = _RNG.integers(0, 2**63, BANDS * ROWS, dtype=np.uint64)
@@ -118,6 +119,11 @@ def _index(nodes: DataFrame, turns: int = 0) -> DataFrame:
     return nodes.where("same <> 0").select("same", "root", "bands", F.posexplode("bands").alias("band", "key")).select("same", "root", "band", "key", *cuts)
 
 
+def _at(index: DataFrame, keys: DataFrame, key: list[str]) -> DataFrame:
+    """The rows of the index that lie at these keys, with the keys' columns; few keys (24 MB) are sent to the index, which then is not shuffled."""
+    return index.join(F.broadcast(keys) if keys.count() <= FEW_KEYS else keys, key)
+
+
 def _sizes(index: DataFrame, key: list[str], seed: int) -> DataFrame:
     """Buckets that hold texts of more than one group: how many, and one of them."""
     pivot = F.min(F.struct(F.xxhash64("same", F.lit(seed)).alias("h"), "same", "root"))
@@ -186,15 +192,21 @@ def drop(docs: DataFrame, least: float = 0.8, bucket: int = 32, turns: int = 4)
     nodes = _signatures(known.select("doc_id", "text", "row_key")).groupBy("same").agg(F.min(F.struct("doc_id", "row_key")).alias("least"), F.first("fp").alias("fp"), F.first("bands").alias("bands"))
     nodes = c.cut(nodes.select("same", "least", F.col("least.doc_id").alias("doc_id"), "fp", "bands"))
     links, key = _Links(nodes), ["band", "key"]
-    index = _index(links.grouped())
-    sizes = _sizes(index, key, 0)
-    stars = c.cut(_stars(index, sizes, key, bucket).union(_by_fingerprint(nodes)).distinct())
-    met = index.join(sizes.select(*key), key, "left_semi").select("same")
+    # without links each text is its own group: a bucket's number and least text are all that is dealt out
+    index = nodes.where("same <> 0").select("same", F.posexplode("bands").alias("band", "key"))
+    sizes = index.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.min("same").alias("pivot")).where("n > 1")
+    sizes = c.cut(sizes.select(*key, "n", "pivot"))
+    crowd = sizes.where(F.col("n") > bucket).drop("n")
+    first = _ordered(_at(index, crowd, key), "same", "pivot")
+    stars = c.cut(first.union(_by_fingerprint(nodes)).distinct())
+    met = _at(index, sizes.select(*key), key).select("same")
     sets = _sets_of(known, nodes, met.union(stars.select("u")).union(stars.select("v")))
     links.add(_verified(sets, stars, least))
-    # small buckets as they are (turn 0), crowded ones once for each turn
+    # small buckets as they are (turn 0), crowded ones once for each turn; only what lies in buckets of several groups is dealt out
+    own = _index(links.grouped())
+    several = c.cut(_at(own, sizes.select(*key), key).groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select(*key, "n"))
     each = F.when(F.col("n") <= bucket, F.array(F.lit(0))).otherwise(F.sequence(F.lit(1), F.lit(turns)))
-    index = _index(links.grouped(), turns).join(sizes.select(*key, "n"), key).withColumn("turn", F.explode(each)).withColumn("cut", F.when(F.col("turn") > 0, F.try_element_at("cuts", F.col("turn"))).otherwise(0)).drop("n", "cuts")
+    index = _at(_index(links.grouped(), turns), several, key).withColumn("turn", F.explode(each)).withColumn("cut", F.when(F.col("turn") > 0, F.try_element_at("cuts", F.col("turn"))).otherwise(0)).drop("n", "cuts")
     part = [*key, "turn", "cut"]
     sizes = _sizes(index, part, 1)
     links.add(_verified(sets, c.cut(_pairs(index, sizes, part, bucket).union(_stars(index, sizes, part, bucket)).distinct()), least))
