@@ -414,3 +414,15 @@ def test_majority_of_hashes():
     for k, fp in enumerate(simhash.majority(row, h, 10).tolist()):
         own = [int(x) for x in h[row == k]]
         assert fp == sum((2 * sum(x >> b & 1 for x in own) > len(own)) << b for b in range(64))
+
+
+def test_equal_scores_of_multiples_go_by_id(spark):
+    """A hundred lengths of one direction, more than are scored exactly, beside other directions and a mirror image."""
+    base = np.array([1.0, -2.0, 3.0, 0.0, 5.0, 7.0])
+    rows = [(k, (base * k).tolist()) for k in range(1, 101)] + [(200 + k, np.random.default_rng(k).standard_normal(6).tolist()) for k in range(60)] + [(0, (-base).tolist()), (-5, (base * 0.5).tolist())]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {}
+    for r in ann_forest.nearest(frame, F.col("vec_id").isin(50, 1, 0), k=5).collect():
+        got.setdefault(r.query_id, {})[r.rank] = (r.vec_id, r.score)
+    assert [got[50][k][0] for k in range(1, 6)] == [-5, 1, 2, 3, 4] and [got[1][k][0] for k in range(1, 6)] == [-5, 2, 3, 4, 5]
+    assert all(abs(got[50][k][1] - 1) < 1e-12 for k in range(1, 6)) and got[0][1][1] < 1

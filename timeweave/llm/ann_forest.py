@@ -11,7 +11,8 @@ of a bounded random sample, so each query knows its prefixes before it is sent t
 answers by binary search; the matches lie side by side, with 8-bit copies of their vectors, and are scored where they
 are. The best `keep` of a query over all trees are scored again in double precision on the given vectors.
 
-Equal vectors are one entry with its smallest ids, so a hot group of copies is one row; equal queries are one search. Equal
+Vectors of one direction (equal ones, and exact multiples) are one entry with its smallest ids, so a hot group of copies is one row;
+equal queries are one search. Equal
 strings may be split over parts. Vectors that are null, zero or hold null or non-finite components take no part, nor do rows
 without id. Equal scores are ranked by smaller id. A row repeated with the same id and vector counts once; of an id with
 several vectors each is a candidate and the best counts, as a query the one with the smallest hash does. Only vectors of one
@@ -241,7 +242,9 @@ def nearest(rows: DataFrame, is_query: Column, k: int = 5, forest: Forest = Fore
     """query_id, rank, vec_id, score of the k nearest found of each query among all other rows; level, the symbols of the shortest prefix that the ascent reached; gathered, the rows that it expected there."""
     spark = rows.sparkSession
     given = rows.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("v"), is_query.alias("is_query")).where(F.col("vec_id").isNotNull() & usable(F.col("v")))
-    keyed = given.select("vec_id", "v", "is_query", F.xxhash64("v").alias("h1"), F.xxhash64(F.lit(1), "v").alias("h2"))
+    # exact multiples of a vector have the same quotients, so they are one entry, and their equal scores go by id; x + 0 has no minus zero
+    way = F.transform(_scaled(F.col("v")), lambda x: x + F.lit(0.0))
+    keyed = given.withColumn("way", way).select("vec_id", "v", "is_query", F.xxhash64("way").alias("h1"), F.xxhash64(F.lit(1), "way").alias("h2"))
     entries = c.cut(keyed.groupBy("h1", "h2").agg(F.first("v").alias("v")).select(F.size("v").alias("dim"), "h1", "h2", "v"))
     queries = keyed.where("is_query").groupBy(F.col("vec_id").alias("query_id")).agg(F.min(F.struct("h1", "h2")).alias("h")).select("query_id", "h.h1", "h.h2")
     queries = c.cut(queries)
