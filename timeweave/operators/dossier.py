@@ -57,23 +57,31 @@ def graphic_zones(clips: DataFrame, graphics: DataFrame) -> DataFrame:
     return g.select("source_id", "clip_id", F.when(F.col("low") & F.col("top"), "dynamic_safe_zone").when(F.col("low"), "upper_middle").otherwise("lower_middle").alias("position"), "n_regions")
 
 
-def participants(people: DataFrame, speakers: DataFrame, mapping: DataFrame, least_speech: float = 3.0, least_seen: float = 8.0, least_observations: int = 12, least_shots: int = 2) -> DataFrame:
-    """Who takes part: every person whose voices speak long enough, and every such voice without a person; role by questions and answers, significance from what is known.
+def participants(people: DataFrame, speakers: DataFrame, mapping: DataFrame, names: DataFrame | None = None, background: bool = True, least_speech: float = 3.0, least_seen: float = 8.0, least_observations: int = 12, least_shots: int = 2) -> DataFrame:
+    """Who takes part: every person with the voices mapped to them, and every voice without a person; role by questions and answers, significance from what is known, status and category.
 
-    people: source_id, person_id, seen_s, observations, shots. speakers: source_id, speaker, speech_s, questions, answers. mapping: source_id, speaker, person_id.
+    Who speaks long enough is an editorial participant; others who are seen are visual, incidental or background people, and stay only with background.
+    people: source_id, person_id, seen_s, observations, shots. speakers: source_id, speaker, speech_s, questions, answers. mapping: source_id, speaker, person_id. names: source_id, speaker,
+    possible_name, what a voice is introduced as; of a person's voices the first that has one counts.
     """
-    voices = speakers.join(mapping.where("person_id is not null"), ["source_id", "speaker"], "left")
-    own = voices.where("person_id is not null").groupBy("source_id", "person_id").agg(F.array_join(F.array_sort(F.collect_set("speaker")), ",").alias("speakers"), F.sum("speech_s").alias("speech_s"), F.sum("questions").alias("questions"), F.sum("answers").alias("answers"))
-    known = people.join(own, ["source_id", "person_id"])
-    alone = voices.where("person_id is null").select("source_id", F.lit(None).cast("string").alias("person_id"), F.col("speaker").alias("speakers"), "speech_s", "questions", "answers")
-    p = known.unionByName(alone, allowMissingColumns=True).where(F.col("speech_s") >= least_speech)
+    none = speakers.select("source_id", "speaker").limit(0).withColumn("possible_name", F.lit(None).cast("string"))
+    voices = speakers.join(mapping.where("person_id is not null"), ["source_id", "speaker"], "left").join(none if names is None else names.where("possible_name is not null").select("source_id", "speaker", "possible_name"), ["source_id", "speaker"], "left")
+    own = voices.where("person_id is not null").groupBy("source_id", "person_id").agg(F.array_join(F.array_sort(F.collect_set("speaker")), ",").alias("speakers"), F.sum("speech_s").alias("speech_s"), F.sum("questions").alias("questions"), F.sum("answers").alias("answers"), F.min(F.when(F.col("possible_name").isNotNull(), F.struct("speaker", "possible_name")))["possible_name"].alias("possible_name"))
+    zero = {c: F.coalesce(c, F.lit(0)) for c in ("questions", "answers")}
+    known = people.join(own, ["source_id", "person_id"], "left").withColumns({"speakers": F.coalesce("speakers", F.lit("")), **zero})
+    alone = voices.where("person_id is null").select("source_id", F.lit(None).cast("string").alias("person_id"), F.col("speaker").alias("speakers"), "speech_s", "questions", "answers", "possible_name")
+    p = known.unionByName(alone, allowMissingColumns=True)
+    heard, seen = F.coalesce(F.col("speech_s") >= least_speech, F.lit(False)), F.coalesce(F.col("seen_s") >= 1, F.lit(False))
     host = (F.col("questions") >= 3) & (F.col("questions") >= F.greatest(F.lit(2), F.col("answers") * 2))
     guest = (F.col("answers") >= 3) & (F.col("answers") >= F.greatest(F.lit(2), F.col("questions") * 2))
-    upto = lambda c, n: F.least(F.lit(1.0), c / n)
-    parts = [0.35 * upto(F.col("speech_s"), 60), F.coalesce(0.25 * upto(F.col("seen_s"), 60), F.lit(0.0)), F.coalesce(0.15 * upto(F.col("shots"), 3), F.lit(0.0)), 0.15 * upto(F.col("questions") + F.col("answers"), 3)]
-    p = p.withColumn("significance", F.round(reduce(lambda a, b: a + b, parts), 3)).withColumn("role", F.when(host, "likely_host").when(guest, "likely_guest").otherwise("unknown"))
-    clear = (F.col("seen_s") >= least_seen) & (F.col("observations") >= least_observations) & ((F.col("shots") >= least_shots) | (F.col("seen_s") >= 4 * least_seen))
-    return p.select("source_id", "person_id", "speakers", "speech_s", "questions", "answers", "role", "significance", F.coalesce(clear, F.lit(False)).alias("clearly_seen"), F.when(F.col("significance") >= 0.65, "main_participant").otherwise("editorial_participant").alias("category"))
+    part = lambda weight, c, n: F.coalesce(weight * F.least(F.lit(1.0), c / n), F.lit(0.0))
+    parts = [part(0.35, F.col("speech_s"), 60), part(0.25, F.col("seen_s"), 60), part(0.15, F.col("shots"), 3), part(0.15, F.col("questions") + F.col("answers"), 3), F.when(F.col("possible_name").isNotNull(), 0.1).otherwise(0.0)]
+    clear = F.coalesce((F.col("seen_s") >= least_seen) & (F.col("observations") >= least_observations) & ((F.col("shots") >= least_shots) | (F.col("seen_s") >= 4 * least_seen)), F.lit(False))
+    p = p.withColumn("significance", F.round(reduce(lambda a, b: a + b, parts), 3)).withColumn("role", F.when(host, "likely_host").when(guest, "likely_guest").otherwise("unknown")).withColumn("clearly_seen", clear)
+    status = F.when(heard, "confirmed_editorial_participant").when(F.col("person_id").isNull(), "insufficient_evidence").when(F.col("clearly_seen"), "likely_visual_participant").when(seen, "background_person").otherwise("insufficient_evidence")
+    category = F.when(heard & (F.col("significance") >= 0.65), "main_participant").when(heard, "editorial_participant").when(F.col("clearly_seen"), "visual_participant").when(seen, "incidental_person").otherwise("background_person")
+    out = p if background else p.where(heard)
+    return out.select("source_id", "person_id", "speakers", "speech_s", "questions", "answers", "possible_name", "role", "significance", "clearly_seen", status.alias("status"), category.alias("category"))
 
 
 def shot_features(shots: DataFrame, frames: DataFrame) -> DataFrame:

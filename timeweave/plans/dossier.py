@@ -11,12 +11,12 @@ from .registry import Register
 _R = Register()
 QUERIES, ORACLES, query = _R.queries, _R.oracles, _R.query
 
-_CLIPS = """clips as (select source_id, segment_id as clip_id, 0 as alternate, start_us + 1000000 as start_us, start_us + 14000000 as end_us from segments where turn % 2 = 1 union all select source_id, segment_id, 1, start_us - 3000000, start_us + 5000000 from segments where turn % 2 = 1 and turn % 3 = 0),
+_CLIPS = """clips as (select source_id, segment_id as clip_id, 0 as alternate, start_us + 1000000 as start_us, start_us + 14000000 as end_us from segments union all select source_id, segment_id, 1, start_us - 3000000, start_us + 5000000 from segments where turn % 3 = 0),
  seen as (select source_id, p as person_id, time_us - 2000000 as start_us, time_us + 2000000 as end_us from (select source_id, time_us, unnest(people) as p from pictures)), loud as (select source_id, turn * 10000000 as start_us, turn * 10000000 + 10000000 as end_us, case when turn % 6 = 5 then null else -20.0 - length(text) % 17 end as rms from segments)"""
 
 
 def _clips(spark, sf_dir):
-    s = d.segments(spark, sf_dir).where("turn % 2 = 1")
+    s = d.segments(spark, sf_dir)
     alternate = F.when(F.col("turn") % 3 == 0, F.array(F.struct((F.col("start_us") - 3_000_000).alias("start_us"), (F.col("start_us") + 5_000_000).alias("end_us"))))
     return s.select("source_id", F.col("segment_id").alias("clip_id"), (F.col("start_us") + 1_000_000).alias("start_us"), (F.col("start_us") + 14_000_000).alias("end_us"), alternate.alias("alternates"))
 
@@ -49,18 +49,20 @@ def j32_graphic_zones(spark, sf_dir):
     return op.graphic_zones(_clips(spark, sf_dir), g)
 
 
-@query(""", p as (select source_id, p as person_id, count(*) * 10.0::double as seen_s, count(*) as observations, count(distinct scene_id) as shots from (select source_id, scene_id, unnest(people) as p from pictures) group by 1, 2),
- v as (select source_id, speaker, sum(end_us - start_us) / 1e6::double as speech_s, case when speaker = 'user' then count(*) else 0 end as questions, case when speaker <> 'user' then count(*) else 0 end as answers from segments group by 1, 2),
+@query(""", p as (select source_id, p as person_id, count(*) * case p when 'p2' then 3.0 else 10.0 end::double as seen_s, count(*) as observations, count(distinct scene_id) as shots from (select source_id, scene_id, unnest(people) as p from pictures) group by 1, 2),
+ v as (select source_id, speaker, sum(end_us - start_us) / 1e6::double as speech_s, case when speaker = 'user' then count(*) else 0 end as questions, case when speaker <> 'user' then count(*) else 0 end as answers, case when source_id % 3 = 0 then 'Nome ' || speaker end as possible_name from segments group by 1, 2),
  m as (select source_id, speaker, case when speaker = 'user' then 'p0' when source_id % 2 = 0 then 'p1' end as person_id from v), j as (select v.*, m.person_id from v join m using (source_id, speaker)),
- o as (select source_id, person_id, string_agg(speaker, ',' order by speaker) as speakers, sum(speech_s) as speech_s, sum(questions)::bigint as questions, sum(answers)::bigint as answers from j where person_id is not null group by 1, 2),
- a as (select o.*, p.seen_s, p.observations, p.shots from o join p using (source_id, person_id) union all select source_id, null, speaker, speech_s, questions, answers, null, null, null from j where person_id is null)
- select source_id, person_id, speakers, round(speech_s, 6) as speech_s, questions, answers, case when questions >= 3 and questions >= greatest(2, answers * 2) then 'likely_host' when answers >= 3 and answers >= greatest(2, questions * 2) then 'likely_guest' else 'unknown' end as role, round(0.35 * least(1, speech_s / 60) + coalesce(0.25 * least(1, seen_s / 60), 0) + coalesce(0.15 * least(1, shots / 3.0::double), 0) + 0.15 * least(1, (questions + answers) / 3.0::double), 3) as significance,
- coalesce(seen_s >= 8 and observations >= 12 and (shots >= 2 or seen_s >= 32), false) as clearly_seen, case when round(0.35 * least(1, speech_s / 60) + coalesce(0.25 * least(1, seen_s / 60), 0) + coalesce(0.15 * least(1, shots / 3.0::double), 0) + 0.15 * least(1, (questions + answers) / 3.0::double), 3) >= 0.65 then 'main_participant' else 'editorial_participant' end as category from a where speech_s >= 3""", "segments", "pictures")
+ o as (select source_id, person_id, string_agg(speaker, ',' order by speaker) as speakers, sum(speech_s) as speech_s, sum(questions)::bigint as questions, sum(answers)::bigint as answers, arg_min(possible_name, speaker) filter (possible_name is not null) as possible_name from j where person_id is not null group by 1, 2),
+ a as (select p.source_id, p.person_id, coalesce(speakers, '') as speakers, speech_s, coalesce(questions, 0) as questions, coalesce(answers, 0) as answers, possible_name, p.seen_s, p.observations, p.shots from p left join o using (source_id, person_id) union all select source_id, null, speaker, speech_s, questions, answers, possible_name, null, null, null from j where person_id is null),
+ s as (select *, coalesce(speech_s, 0) >= 3 as heard, coalesce(seen_s >= 8 and observations >= 12 and (shots >= 2 or seen_s >= 32), false) as clearly_seen, round(coalesce(0.35 * least(1, speech_s / 60), 0) + coalesce(0.25 * least(1, seen_s / 60), 0) + coalesce(0.15 * least(1, shots / 3.0::double), 0) + 0.15 * least(1, (questions + answers) / 3.0::double) + case when possible_name is not null then 0.1 else 0 end, 3) as significance from a)
+ select source_id, person_id, speakers, round(speech_s, 6) as speech_s, questions, answers, possible_name, case when questions >= 3 and questions >= greatest(2, answers * 2) then 'likely_host' when answers >= 3 and answers >= greatest(2, questions * 2) then 'likely_guest' else 'unknown' end as role, significance, clearly_seen,
+ case when heard then 'confirmed_editorial_participant' when person_id is null then 'insufficient_evidence' when clearly_seen then 'likely_visual_participant' when coalesce(seen_s >= 1, false) then 'background_person' else 'insufficient_evidence' end as status, case when heard and significance >= 0.65 then 'main_participant' when heard then 'editorial_participant' when clearly_seen then 'visual_participant' when coalesce(seen_s >= 1, false) then 'incidental_person' else 'background_person' end as category from s""", "segments", "pictures")
 def b31_participants(spark, sf_dir):
-    people = d.pictures(spark, sf_dir).select("source_id", "scene_id", F.explode("people").alias("person_id")).groupBy("source_id", "person_id").agg((F.count(F.lit(1)) * 10.0).alias("seen_s"), F.count(F.lit(1)).alias("observations"), F.countDistinct("scene_id").alias("shots"))
+    people = d.pictures(spark, sf_dir).select("source_id", "scene_id", F.explode("people").alias("person_id")).groupBy("source_id", "person_id").agg((F.count(F.lit(1)) * F.when(F.col("person_id") == "p2", 3.0).otherwise(10.0)).alias("seen_s"), F.count(F.lit(1)).alias("observations"), F.countDistinct("scene_id").alias("shots"))
     v = d.segments(spark, sf_dir).groupBy("source_id", "speaker").agg((F.sum(F.col("end_us") - F.col("start_us")) / 1e6).alias("speech_s"), F.count(F.lit(1)).alias("n")).withColumn("questions", F.when(F.col("speaker") == "user", F.col("n")).otherwise(0)).withColumn("answers", F.when(F.col("speaker") != "user", F.col("n")).otherwise(0)).drop("n")
     m = v.select("source_id", "speaker", F.when(F.col("speaker") == "user", "p0").when(F.col("source_id") % 2 == 0, "p1").alias("person_id"))
-    return op.participants(people, v, m).withColumn("speech_s", F.round("speech_s", 6))
+    names = v.where("source_id % 3 = 0").select("source_id", "speaker", F.concat(F.lit("Nome "), "speaker").alias("possible_name"))
+    return op.participants(people, v, m, names).withColumn("speech_s", F.round("speech_s", 6))
 
 
 @query(""", f as (select source_id, start_us + 2000000 as t, ['p0', 'p1', 'p2'][1:(length(text) % 4)::int] as people, case when length(text) % 5 > 0 then length(text) % 50 / 100.0::double end as face, case when turn % 4 <> 3 then (length(text) % 90 + 10)::double end as sharp, length(text) % 4 = 0 as black from segments),
@@ -73,7 +75,7 @@ def b15_shot_features(spark, sf_dir):
     return op.shot_features(d.scene_cells(spark, sf_dir).withColumnRenamed("scene_id", "shot_id"), f)
 
 
-@query(r""", x as (select *, source_id || '-T' || (turn // 5) as topic_id, case turn % 4 when 0 then 'mas ' || text when 1 then text || '.' when 2 then text || '...' else text end as said from segments), c as (select source_id, segment_id as clip_id, turn as a, turn + 1 as b, case turn % 3 when 0 then false end as opening, case turn % 5 when 0 then false end as ending from x where turn % 2 = 0),
+@query(r""", x as (select *, source_id || '-T' || (turn // 5) as topic_id, case turn % 4 when 0 then 'mas ' || text when 1 then text || '.' when 2 then text || '...' else text end as said from segments), c as (select source_id, segment_id as clip_id, turn as a, turn + 1 as b, case turn % 3 when 0 then false end as opening, case turn % 5 when 0 then false end as ending from x),
  k as (select c.*, f.start_us as fs, f.said as ft, l.end_us as le, l.said as lt, p.start_us as ps, p.end_us as pe, p.segment_id as pid, p.topic_id as pt, n.start_us as ns, n.end_us as ne, n.segment_id as nid, n.topic_id as nt, [f.topic_id, l.topic_id] as topics from c join x f on f.source_id = c.source_id and f.turn = a join x l on l.source_id = c.source_id and l.turn = b left join x p on p.source_id = c.source_id and p.turn = a - 1 left join x n on n.source_id = c.source_id and n.turn = b + 1),
  u as (select source_id, clip_id, 'canonical_segment_edges' as kind, fs as start_us, le as end_us, null as added from k union all select source_id, clip_id, 'inspect_preceding_context', ps, le, pid from k where fs - pe between 0 and 5000000 and list_contains(topics, pt) and (regexp_matches(lower(ft), '^(?:que|e|mas|porque|assim|ent[aã]o|a[ií]|inclusive)\b') or coalesce(opening = false, false)) union all select source_id, clip_id, 'inspect_following_continuation', fs, ne, nid from k where ns - le between 0 and 5000000 and list_contains(topics, nt) and (coalesce(ending = false, false) or not regexp_matches(rtrim(lt), '[.!?]$') or regexp_matches(rtrim(lt), '\.\.\.$')))
  select * from u where end_us - start_us between 8000000 and 28000000""", "segments")
@@ -81,7 +83,7 @@ def c16_boundary_proposals(spark, sf_dir):
     turn = F.col("turn")
     said = F.when(turn % 4 == 0, F.concat(F.lit("mas "), "text")).when(turn % 4 == 1, F.concat("text", F.lit("."))).when(turn % 4 == 2, F.concat("text", F.lit("..."))).otherwise(F.col("text"))
     s = d.segments(spark, sf_dir).withColumn("topic_id", F.concat("source_id", F.lit("-T"), F.expr("turn div 5"))).withColumn("text", said).withColumn("pos", turn)
-    c = s.where("turn % 2 = 0").select("source_id", F.col("segment_id").alias("clip_id"), turn.alias("first_pos"), (turn + 1).alias("last_pos"), F.lit(8_000_000).alias("least_us"), F.lit(28_000_000).alias("most_us"), F.when(turn % 3 == 0, False).alias("clean_opening"), F.when(turn % 5 == 0, False).alias("clean_ending"))
+    c = s.select("source_id", F.col("segment_id").alias("clip_id"), turn.alias("first_pos"), (turn + 1).alias("last_pos"), F.lit(8_000_000).alias("least_us"), F.lit(28_000_000).alias("most_us"), F.when(turn % 3 == 0, False).alias("clean_opening"), F.when(turn % 5 == 0, False).alias("clean_ending"))
     return op.boundary_proposals(c, s)
 
 
@@ -99,9 +101,9 @@ def c24_apply_caption_review(spark, sf_dir):
     return op.apply_caption_review(caps, sheet, ("overlap", "interrupted"))
 
 
-@query(""", w as (select source_id, count(*)::double as a, round(avg((confidence < 0.6)::int), 6) as b from words group by 1), s as (select source_id, count(*)::double as a, count(distinct speaker)::double as b, median(end_us - start_us)::double as c from segments where turn % 2 = 0 group by 1), p as (select source_id, count(*)::double as a from pictures where len(people) > 2 group by 1), k as (select source_id, w.a as wa, w.b as wb, s.a as sa, s.b as sb, s.c as sc, p.a as pa from spans left join w using (source_id) left join s using (source_id) left join p using (source_id))
+@query(""", w as (select source_id, count(*)::double as a, round(avg((confidence < 0.6)::int), 6) as b from words group by 1), s as (select source_id, count(*)::double as a, count(distinct speaker)::double as b, median(end_us - start_us)::double as c from segments group by 1), p as (select source_id, count(*)::double as a from pictures where len(people) > 2 group by 1), k as (select source_id, w.a as wa, w.b as wb, s.a as sa, s.b as sb, s.c as sc, p.a as pa from spans left join w using (source_id) left join s using (source_id) left join p using (source_id))
  select source_id, unnest(['words.n', 'words.doubtful_share', 'segments.n', 'segments.speakers', 'segments.median_us', 'groups.n']) as metric, unnest([wa, wb, sa, sb, sc, pa]) as value from k""", "words", "pictures", "spans")
 def b40_run_metrics(spark, sf_dir):
     one = F.count(F.lit(1))
-    tables = {"words": (d.words(spark, sf_dir), {"n": one, "doubtful_share": F.avg((F.col("confidence") < 0.6).cast("int"))}), "segments": (d.segments(spark, sf_dir).where("turn % 2 = 0"), {"n": one, "speakers": F.countDistinct("speaker"), "median_us": F.median(F.col("end_us") - F.col("start_us"))}), "groups": (d.pictures(spark, sf_dir).where("size(people) > 2"), {"n": one})}
+    tables = {"words": (d.words(spark, sf_dir), {"n": one, "doubtful_share": F.avg((F.col("confidence") < 0.6).cast("int"))}), "segments": (d.segments(spark, sf_dir), {"n": one, "speakers": F.countDistinct("speaker"), "median_us": F.median(F.col("end_us") - F.col("start_us"))}), "groups": (d.pictures(spark, sf_dir).where("size(people) > 2"), {"n": one})}
     return op.run_metrics(tables, d.spans(spark, sf_dir))

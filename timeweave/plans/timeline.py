@@ -38,14 +38,14 @@ def a7_build_timeline(spark, sf_dir):
     return t.withColumn("speakers", F.array_join("speakers", ",")).withColumn("visible", F.array_join("visible", ","))
 
 
-_MOMENTS = "moments as (select source_id, segment_id as moment_id, start_us, end_us + 8000000 as end_us from segments where turn % 2 = 0)"
+_MOMENTS = "moments as (select source_id, segment_id as moment_id, start_us, end_us + 8000000 as end_us from segments)"
 
 
 @query(f""", {_TIMELINE}, {_MOMENTS}, hit as (select m.source_id, m.moment_id, t.* exclude (source_id) from moments m left join timeline t on t.source_id = m.source_id and t.start_us < m.end_us and m.start_us < t.end_us),
  per as (select source_id, moment_id, coalesce(list_sort(list_distinct(flatten(list(speakers) filter (speakers is not null)))), []) as speakers, coalesce(list(distinct primary_person order by primary_person) filter (primary_person is not null), []) as people, coalesce(list_sort(list_distinct(flatten(list(visible) filter (visible is not null)))), []) as seen, count(start_us) as n_windows from hit group by 1, 2)
  select source_id, moment_id, array_to_string(speakers, ',') as speakers, array_to_string(people, ',') as people, array_to_string(seen, ',') as seen, n_windows, case when len(speakers) = 2 and len(people) = 2 then 'split_screen_candidate' when len(people) > 0 then 'speaker_follow' else 'unknown' end as layout from per""", *_TIMELINE_OF)
 def j31_enrich_moments(spark, sf_dir):
-    m = d.segments(spark, sf_dir).where("turn % 2 = 0").select("source_id", F.col("segment_id").alias("moment_id"), "start_us", (F.col("end_us") + 8_000_000).alias("end_us"))
+    m = d.segments(spark, sf_dir).select("source_id", F.col("segment_id").alias("moment_id"), "start_us", (F.col("end_us") + 8_000_000).alias("end_us"))
     e = op.enrich_moments(m, _timeline(spark, sf_dir))
     return e.select("source_id", "moment_id", *(F.array_join(x, ",").alias(x) for x in ("speakers", "people", "seen")), "n_windows", "layout")
 
