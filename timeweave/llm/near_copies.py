@@ -81,7 +81,7 @@ def _signatures(docs: DataFrame) -> DataFrame:
                 fp = simhash.majority(row, s, hi - lo)
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), b.column(2).slice(lo, hi - lo), pa.array(same.view(np.int64)), pa.array(fp.view(np.int64)), listed], names=["doc_id", "row_key", "same", "fp", "bands"])
 
-    return docs.mapInArrow(run, "doc_id long, row_key long, same long, fp long, bands array<long>")
+    return docs.mapInArrow(c.lean(run), "doc_id long, row_key long, same long, fp long, bands array<long>")
 
 
 def _sets(docs: DataFrame) -> DataFrame:
@@ -96,7 +96,7 @@ def _sets(docs: DataFrame) -> DataFrame:
                 sets = [np.unique(s[x:y]).view(np.int64) for x, y in zip(cuts[:-1], cuts[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(same.view(np.int64)), pa.array(sets, pa.list_(pa.int64()))], names=["same", "shingles"])
 
-    return docs.mapInArrow(run, "same long, shingles array<long>")
+    return docs.mapInArrow(c.lean(run), "same long, shingles array<long>")
 
 
 def _ordered(pairs: DataFrame, a: str, b: str) -> DataFrame:

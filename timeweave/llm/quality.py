@@ -127,4 +127,4 @@ def keep_good(docs: DataFrame, bands: Bands = Bands()) -> DataFrame:  # noqa: B0
                 kept = pa.concat_arrays([m.column(7) for m in _measure(pa.nulls(n, pa.int64()), c.texts(b.column(at)), z, bands)])
                 yield b.filter(kept)
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(c.lean(run), schema)
