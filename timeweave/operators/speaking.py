@@ -35,6 +35,9 @@ def pair_votes(candidates: DataFrame, turns: DataFrame) -> DataFrame:
     c = c.where(~((F.col("lower_bound") <= 0) & (F.col("correlation") >= 0)) | F.col("lower_bound").isNull())
     score = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("correlation") * F.coalesce(F.col("track_stability").cast("double"), F.lit(1.0))))
     c = c.select("source_id", "window_id", "speaker", "person_id", "start_us", "end_us", F.round(score, 6).alias("score"), F.round(_unit("face_fraction") * _unit("visibility"), 6).alias("visual"), (F.col("upper_bound").isNull() | (F.col("upper_bound") < 0)).alias("denies"))
+    # a pair has one row a window: of repeated ones the earliest
+    one = ["source_id", "speaker", "person_id", "window_id"]
+    c = c.groupBy(*one).agg(F.min(F.struct("start_us", "end_us", "score", "visual", "denies")).alias("x")).select(*one, "x.*")
     w = c.select("source_id", "window_id", "speaker", "start_us", "end_us").distinct()
     met = interval_join(w, turns.select("source_id", "speaker", "start_us", "end_us"))
     mixed = met.where(F.col("b_speaker") != F.col("speaker")).select("source_id", "window_id", "speaker").distinct()
