@@ -201,3 +201,58 @@ def active_speaker_metrics(cells: DataFrame, turns: DataFrame, quantiles: tuple[
     j = speech.join(sums, "source_id", "left").join(q, "source_id", "left")
     share = lambda k: F.round(F.try_divide(F.coalesce(F.col(f"{k}_us"), F.lit(0)).cast("double"), F.nullif(F.col("speech_us"), F.lit(0)).cast("double")), 6).alias(f"{k}_share")
     return j.select("source_id", "speech_us", *(share(k) for k in ("known", "confirmed", "probable", "offscreen", "unknown")), F.coalesce("ambiguous_us", F.lit(0)).alias("ambiguous_us"), F.coalesce("unframed_us", F.lit(0)).alias("unframed_us"), *(f"age_p{int(x * 100)}_us" for x in quantiles))
+
+
+# ---------------------------------------------------------------- diagnostics
+
+
+def window_codes(candidates: DataFrame, manual: DataFrame, consensus: DataFrame) -> DataFrame:
+    """source_id, speaker, window_id, start_us, end_us, code: why each window of evidence helps or does not. manual windows are those with the same voice and times."""
+    person = consensus.select("source_id", "speaker", F.col("person_id").alias("mapped"))
+    told = manual.select("source_id", "speaker", "start_us", "end_us", F.lit(True).alias("told")).distinct()
+    w = candidates.where("speaker is not null").join(person, ["source_id", "speaker"], "left").groupBy("source_id", "speaker", "window_id", "start_us", "end_us").agg(
+        F.bool_or(F.coalesce("overlap", F.lit(False))).alias("overlap"),
+        F.count("person_id").alias("n"),
+        F.bool_or(F.coalesce(F.col("person_id").isNotNull() & (F.col("lower_bound") > 0), F.lit(False))).alias("bounded"),
+        F.bool_and(F.col("person_id").isNull() | F.col("correlation").isNull() | (F.col("correlation") < UP)).alias("low"),
+        F.bool_or(F.coalesce(F.col("person_id") == F.col("mapped"), F.lit(False))).alias("local"),
+        F.max("mapped").alias("mapped"),
+    )
+    code = F.when(F.col("told"), "USER_VERIFIED").when(F.col("overlap"), "OVERLAPPING_AUDIO").when(F.col("n") == 0, "NO_MOUTH_AUDIO_CANDIDATE").when(~F.col("bounded"), "NO_BOUNDED_POSITIVE_SYNC")
+    code = code.when(F.col("mapped").isNull() & F.col("low"), "CORRELATION_BELOW_CONSENSUS_MINIMUM").when(F.col("mapped").isNull(), "NO_ACCEPTED_GLOBAL_MAPPING").when(~F.col("local"), "MAPPED_PERSON_NOT_IN_LOCAL_CANDIDATES").otherwise("BOUNDED_SYNC_CANDIDATE")
+    return w.join(told, ["source_id", "speaker", "start_us", "end_us"], "left").select("source_id", "speaker", "window_id", "start_us", "end_us", code.alias("code"))
+
+
+def review_windows(codes: DataFrame, most: int = 16) -> DataFrame:
+    """The first windows of each voice (by time) that are no bounded candidate: those to look at."""
+    order = Window.partitionBy("source_id", "speaker").orderBy("start_us", "end_us", "window_id")
+    return codes.where("code <> 'BOUNDED_SYNC_CANDIDATE'").withColumn("place", F.row_number().over(order)).where(F.col("place") <= most)
+
+
+def speaker_diagnostics(turns: DataFrame, sightings: DataFrame, candidates: DataFrame, consensus: DataFrame, cells: DataFrame, lags: DataFrame) -> DataFrame:
+    """source_id, speaker, reasons (why the voice's person is not known or not sure, sorted), speech_us, seen, faces, mouths, people, tracks, confirmed, probable, offscreen (cells of each).
+
+    sightings: source_id, time_us, person_id, track_id, face_visible, mouth, embedded. lags: source_id, speaker, status, consistent. A sighting counts once however many turns of the voice hold it.
+    """
+    key = ["source_id", "speaker"]
+    said = turns.where("speaker is not null and end_us > start_us").select(*key, "start_us", "end_us")
+    own = ["time_us", "person_id", "track_id"]
+    once = stab_join(sightings.select("source_id", *own, *(F.coalesce(x, F.lit(False)).alias(x) for x in ("face_visible", "mouth", "embedded"))), said).groupBy("source_id", F.col("b_speaker").alias("speaker"), *own).agg(*(F.bool_or(x).alias(x) for x in ("face_visible", "mouth", "embedded")))
+    face = F.col("face_visible")
+    seen = once.groupBy(*key).agg(F.count(F.lit(1)).alias("seen"), F.count_if(face).alias("faces"), F.count_if(face & F.col("mouth")).alias("mouths"), F.count_if(face & F.col("embedded")).alias("embedded"), F.countDistinct("person_id").alias("people"), F.countDistinct("track_id").alias("tracks"))
+    w = candidates.where("speaker is not null").groupBy(*key).agg(F.bool_or(F.coalesce("overlap", F.lit(False))).alias("mixed"), F.bool_or(F.coalesce(F.col("track_stability") < 0.5, F.lit(False))).alias("shaky"))
+    state = F.col("active_state")
+    c = cells.groupBy(*key).agg(F.count_if(state == "CONFIRMED").alias("confirmed"), F.count_if(state == "PROBABLE").alias("probable"), F.count_if(state == "OFFSCREEN").alias("offscreen"))
+    j = consensus.select(*key, "person_id", "reason").join(union_duration(said, ("source_id", "speaker")).withColumnRenamed("union_us", "speech_us"), key, "left")
+    for other in (seen, w, c, lags.select(*key, "status", "consistent")):
+        j = j.join(other, key, "left")
+    counts = ("seen", "faces", "mouths", "embedded", "people", "tracks", "confirmed", "probable", "offscreen")
+    j = j.withColumns({x: F.coalesce(x, F.lit(0)) for x in counts}).withColumn("consistent", F.coalesce("consistent", F.lit(False)))
+    is_ = lambda c: F.coalesce(c, F.lit(False))
+    torn = is_(F.col("reason").isin("ambiguous_global_affinity", "simultaneous_speaker_person_conflict"))
+    rules = [
+        (F.col("seen") == 0, "NO_VISUAL_OVERLAP"), (F.col("faces") == 0, "INSUFFICIENT_FACE_OBSERVATION"), (F.col("mouths") == 0, "MOUTH_SIGNAL_UNAVAILABLE"), (F.col("embedded") == 0, "EMBEDDING_UNAVAILABLE"), (F.col("tracks") > 2 * F.col("people"), "TRACK_FRAGMENTATION"),
+        (is_(F.col("reason") == "ambiguous_global_affinity"), "MULTIPLE_CANDIDATES"), (is_(F.col("reason") == "simultaneous_speaker_person_conflict"), "SIMULTANEOUS_CONFLICT"), (is_(F.col("mixed")), "OVERLAPPING_AUDIO_UNATTRIBUTABLE"), (F.col("offscreen") > 0, "OFFSCREEN_SPEAKER"), (is_(F.col("shaky")), "SHOT_INSTABILITY"),
+        (F.col("person_id").isNull() & ~torn, "LOW_AFFINITY"), (is_(F.col("status") == "measured") & ~F.col("consistent"), "AUDIO_VIDEO_LAG_INCONSISTENT"), (F.col("person_id").isNotNull() & ~F.col("consistent"), "CONTEMPORARY_SYNC_NOT_VERIFIED"), (F.col("probable") > 0, "GLOBAL_IDENTITY_NOT_CURRENT_SPEECH"),
+    ]
+    return j.select(*key, F.array_sort(F.array_compact(F.array(*(F.when(c, r) for c, r in rules)))).alias("reasons"), F.coalesce("speech_us", F.lit(0)).alias("speech_us"), "seen", "faces", "mouths", "people", "tracks", "confirmed", "probable", "offscreen")

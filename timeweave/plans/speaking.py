@@ -82,11 +82,16 @@ _CELLS = f"""{_CONSENSUS}, cr as (select a.*, {_REASONS} as reasons, exists (sel
   case when method0 = 'user_verified' and valid and person_id is not null then 'user_verified' when confirmed then 'contemporary_mouth_audio_and_temporal_consensus' when n > 1 then 'simultaneous_audio_ambiguous' when person_id is not null and not there then case when lag_us is not null then 'no_same_shot_face_at_lag_adjusted_time' else 'no_contemporary_bounded_mouth_audio_evidence' end when person_id is not null and not stable then 'insufficient_or_inconsistent_temporal_consensus' when active_state = 'PROBABLE' then 'global_identity_prior_not_local_speech' when active_state = 'OFFSCREEN' then 'mapped_person_offscreen' else coalesce(unresolved, state) end as reason, unresolved, observed_us, abs(mid - observed_us) as age_us from j8)"""
 
 
-def _cells(spark, sf_dir):
+def _all(spark, sf_dir):
+    """cells, turns, candidates, manual, sightings, consensus, lags."""
     turns, cand, manual, frames, seen, scenes = _data(spark, sf_dir)
     consensus = cut(op.speaker_consensus(cand, turns))
     lags = lag_consistency(cand, consensus.select("source_id", "speaker", "person_id").where("person_id is not null"))
-    return op.active_speaker(turns, frames, seen, scenes, cand, manual, consensus, lags), turns
+    return op.active_speaker(turns, frames, seen, scenes, cand, manual, consensus, lags), turns, cand, manual, seen, consensus, lags
+
+
+def _cells(spark, sf_dir):
+    return _all(spark, sf_dir)[:2]
 
 
 _STATE = ", ".join(op.STATE)
@@ -107,3 +112,27 @@ def b28_active_speaker_intervals(spark, sf_dir):
 def b28_active_speaker_metrics(spark, sf_dir):
     cells, turns = _cells(spark, sf_dir)
     return op.active_speaker_metrics(cells, turns)
+
+
+@query(f""", {_CELLS}, obs as (select seen.*, person_id || '-' || (time_us // 5000000 % 3) as track_id, time_us // 100000 % 4 <> 1 as mouth, time_us // 1000000 % 2 = 0 as embedded from seen),
+ once as (select t.source_id, t.speaker, o.time_us, o.person_id, o.track_id, bool_or(o.face_visible) as face, bool_or(o.mouth) as mouth, bool_or(o.embedded) as embedded from t join obs o on o.source_id = t.source_id and o.time_us >= t.start_us and o.time_us < t.end_us group by 1, 2, 3, 4, 5),
+ s as (select source_id, speaker, count(*) as seen, count(*) filter (face) as faces, count(*) filter (face and mouth) as mouths, count(*) filter (face and embedded) as embedded, count(distinct person_id) as people, count(distinct track_id) as tracks from once group by 1, 2),
+ w as (select source_id, speaker, bool_or(overlap) as mixed, bool_or(coalesce(track_stability < 0.5, false)) as shaky from cand group by 1, 2), ct as (select source_id, speaker, count(*) filter (active_state = 'CONFIRMED') as confirmed, count(*) filter (active_state = 'PROBABLE') as probable, count(*) filter (active_state = 'OFFSCREEN') as offscreen from cells group by 1, 2),
+ sp as (select source_id, speaker, sum(greatest(0, end_us - greatest(start_us, coalesce(before, start_us))))::bigint as speech_us from (select *, max(end_us) over (partition by source_id, speaker order by start_us, end_us rows between unbounded preceding and 1 preceding) as before from t) group by 1, 2),
+ lg as (select q.source_id, q.speaker, count(*) as n from q join consensus c using (source_id, speaker, person_id) where fine and end_us - start_us >= 500000 group by 1, 2),
+ j as (select c.source_id, c.speaker, c.person_id, c.reason, speech_us, coalesce(seen, 0) as seen, coalesce(faces, 0) as faces, coalesce(mouths, 0) as mouths, coalesce(embedded, 0) as embedded, coalesce(people, 0) as people, coalesce(tracks, 0) as tracks, coalesce(confirmed, 0) as confirmed, coalesce(probable, 0) as probable, coalesce(offscreen, 0) as offscreen, mixed, shaky, coalesce(lg.n, 0) >= 2 as measured, coalesce(lag.consistent, false) as consistent from consensus c left join s using (source_id, speaker) left join w using (source_id, speaker) left join ct using (source_id, speaker) left join sp using (source_id, speaker) left join lg using (source_id, speaker) left join lag using (source_id, speaker))
+ select source_id, speaker, array_to_string(list_sort(list_filter([case when seen = 0 then 'NO_VISUAL_OVERLAP' end, case when faces = 0 then 'INSUFFICIENT_FACE_OBSERVATION' end, case when mouths = 0 then 'MOUTH_SIGNAL_UNAVAILABLE' end, case when embedded = 0 then 'EMBEDDING_UNAVAILABLE' end, case when tracks > 2 * people then 'TRACK_FRAGMENTATION' end, case when reason = 'ambiguous_global_affinity' then 'MULTIPLE_CANDIDATES' end, case when reason = 'simultaneous_speaker_person_conflict' then 'SIMULTANEOUS_CONFLICT' end, case when mixed then 'OVERLAPPING_AUDIO_UNATTRIBUTABLE' end, case when offscreen > 0 then 'OFFSCREEN_SPEAKER' end, case when shaky then 'SHOT_INSTABILITY' end,
+  case when person_id is null and coalesce(reason, '') not in ('ambiguous_global_affinity', 'simultaneous_speaker_person_conflict') then 'LOW_AFFINITY' end, case when measured and not consistent then 'AUDIO_VIDEO_LAG_INCONSISTENT' end, case when person_id is not null and not consistent then 'CONTEMPORARY_SYNC_NOT_VERIFIED' end, case when probable > 0 then 'GLOBAL_IDENTITY_NOT_CURRENT_SPEECH' end], lambda x: x is not null)), ',') as reasons, speech_us, seen, faces, mouths, people, tracks, confirmed, probable, offscreen from j""", "segments", "scene_cells")
+def b30_speaker_diagnostics(spark, sf_dir):
+    cells, turns, cand, _, seen, consensus, lags = _all(spark, sf_dir)
+    track = F.concat_ws("-", "person_id", F.expr("time_us div 5000000 % 3"))
+    obs = seen.select("source_id", "time_us", "person_id", track.alias("track_id"), "face_visible", F.expr("time_us div 100000 % 4 <> 1").alias("mouth"), F.expr("time_us div 1000000 % 2 = 0").alias("embedded"))
+    return op.speaker_diagnostics(turns, obs, cand, consensus, cells, lags).withColumn("reasons", F.array_join("reasons", ","))
+
+
+@query(f""", {_CONSENSUS}, g as (select c.source_id, c.speaker, c.window_id, c.start_us, c.end_us, bool_or(overlap) as overlap, bool_or(coalesce(lower_bound > 0, false)) as bounded, bool_and(correlation is null or correlation < 0.55) as low, bool_or(coalesce(c.person_id = s.person_id, false)) as local, max(s.person_id) as mapped from cand c left join consensus s on s.source_id = c.source_id and s.speaker = c.speaker group by 1, 2, 3, 4, 5),
+ k as (select *, case when exists (select 1 from manual m where m.source_id = g.source_id and m.speaker = g.speaker and m.start_us = g.start_us and m.end_us = g.end_us) then 'USER_VERIFIED' when overlap then 'OVERLAPPING_AUDIO' when not bounded then 'NO_BOUNDED_POSITIVE_SYNC' when mapped is null and low then 'CORRELATION_BELOW_CONSENSUS_MINIMUM' when mapped is null then 'NO_ACCEPTED_GLOBAL_MAPPING' when not local then 'MAPPED_PERSON_NOT_IN_LOCAL_CANDIDATES' else 'BOUNDED_SYNC_CANDIDATE' end as code from g)
+ select * from (select source_id, speaker, window_id, start_us, end_us, code, row_number() over (partition by source_id, speaker order by start_us, end_us, window_id)::int as place from k where code <> 'BOUNDED_SYNC_CANDIDATE') where place <= 16""", "segments")
+def b30_review_windows(spark, sf_dir):
+    turns, cand, manual, *_ = _data(spark, sf_dir)
+    return op.review_windows(op.window_codes(cand, manual, op.speaker_consensus(cand, turns)))
