@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -108,3 +110,45 @@ def contract_audit(stages: DataFrame, counts: DataFrame, rows: DataFrame, gates:
     every = bad.unionByName(gone).unionByName(differ).unionByName(nameless).unionByName(gate)
     w = Window.partitionBy("source_id").orderBy("path", "code")
     return every.withColumn("place", F.row_number().over(w)).where(F.col("place") <= most)
+
+
+def detector_runs(boxes: DataFrame, labels: DataFrame, bindings: DataFrame) -> DataFrame:
+    """Of each run against people's labels: run, true_positive, false_positive, false_negative, precision, recall, instances, false_merge, false_split, abstentions, bindings, false_bindings, binding_abstentions; null where nothing was measured.
+
+    boxes: run, instance_id (null: a prediction that no true box matched), matched, person_id (of the matched prediction). labels: instance_id, label; null, empty and
+    unknown ones don't count. bindings: run, label (who speaks), person_id (who the run says it is). An instance has a person if all of its boxes have one and the same. Pairs of instances are
+    counted from the sizes of groups, none is made.
+    """
+    of = F.lower(F.trim("label"))
+    known = labels.where(F.coalesce(~of.isin("", "unknown", "?", "uncertain"), F.lit(False))).select("instance_id", "label").distinct()
+    seen, hit = F.col("instance_id").isNotNull(), F.coalesce(F.col("matched"), F.lit(False))
+    body = boxes.groupBy("run").agg(F.count_if(seen & hit).alias("true_positive"), F.count_if(~seen).alias("false_positive"), F.count_if(seen & ~hit).alias("false_negative"))
+    person = F.when(hit & (F.trim("person_id") != ""), F.col("person_id"))
+    own = boxes.join(known, "instance_id").groupBy("run", "instance_id", "label").agg(F.count(F.lit(1)).alias("n"), F.count(person).alias("has"), F.min(person).alias("lo"), F.max(person).alias("hi"))
+    own = own.select("run", "instance_id", "label", F.when((F.col("n") == F.col("has")) & (F.col("lo") == F.col("hi")), F.col("lo")).alias("person_id"))
+    total = own.groupBy("run").agg(F.count(F.lit(1)).alias("instances"), F.count_if(F.col("person_id").isNull()).alias("abstentions"))
+    cells = own.where("person_id is not null").groupBy("run", "person_id", "label").agg(F.count(F.lit(1)).alias("k"))
+    pairs = lambda c: F.sum(c * (c - 1) / 2).cast("long")
+    same = cells.groupBy("run").agg(pairs(F.col("k")).alias("same"))
+    by = lambda g, name: cells.groupBy("run", g).agg(F.sum("k").alias("k")).groupBy("run").agg(pairs(F.col("k")).alias(name))
+    clusters = cells.groupBy("run", "person_id").agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
+    b = bindings.join(clusters, ["run", "person_id"], "left").groupBy("run").agg(F.count(F.lit(1)).alias("bindings"), F.count_if(F.col("lo").isNotNull() & ((F.col("lo") != F.col("label")) | (F.col("hi") != F.col("label")))).alias("false_bindings"), F.count_if(F.col("lo").isNull()).alias("binding_abstentions"))
+    j = body
+    for other in (total, same, by("person_id", "merged"), by("label", "alike"), b):
+        j = j.join(other, "run", "left")
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0))
+    measured = lambda c: F.when(F.col("instances") >= 2, c)
+    share = lambda a, b: F.round(F.try_divide(F.col(a).cast("double"), F.nullif(F.col(a) + F.col(b), F.lit(0)).cast("double")), 6)
+    return j.select("run", "true_positive", "false_positive", "false_negative", share("true_positive", "false_positive").alias("precision"), share("true_positive", "false_negative").alias("recall"), zero("instances").alias("instances"), measured(zero("merged") - zero("same")).alias("false_merge"), measured(zero("alike") - zero("same")).alias("false_split"), measured(F.col("abstentions")).alias("abstentions"), "bindings", "false_bindings", "binding_abstentions")
+
+
+def detector_ab(runs: DataFrame, baseline: str, candidate: str) -> DataFrame:
+    """accepted: whether the candidate merges no two people and binds no voice wrongly, is nowhere worse and somewhere better; null unless both are fully measured."""
+    keys = ("false_merge", "false_split", "abstentions", "false_bindings", "binding_abstentions", "false_positive", "false_negative")
+    side = lambda name, mark: runs.where(F.col("run") == name).select(*(F.col(k).alias(f"{mark}_{k}") for k in keys))
+    j = side(baseline, "a").crossJoin(side(candidate, "b"))  # a row each
+    no_worse, better = F.lit(True), F.lit(False)
+    for k in keys:
+        no_worse, better = no_worse & (F.col(f"b_{k}") <= F.col(f"a_{k}")), better | (F.col(f"b_{k}") < F.col(f"a_{k}"))
+    measured = reduce(lambda a, c: a & F.col(c).isNotNull(), [f"{m}_{k}" for m in "ab" for k in keys], F.lit(True))
+    return j.select(F.when(measured, (F.col("b_false_merge") == 0) & (F.col("b_false_bindings") == 0) & no_worse & better).alias("accepted"), *(F.col(f"b_{k}").alias(k) for k in keys))

@@ -256,3 +256,44 @@ def n1_finite_or_null(spark, sf_dir):
 @query("""select event_id as id, lpad((ms // 3600000)::varchar, greatest(2, length((ms // 3600000)::varchar))::int, '0') || ':' || lpad((ms // 60000 % 60)::varchar, 2, '0') || ':' || lpad((ms // 1000 % 60)::varchar, 2, '0') || '.' || lpad((ms % 1000)::varchar, 3, '0') as stamp from (select event_id, (round(value * 1e9)::bigint + 500) // 1000 as ms from events)""")
 def f4_stamp(spark, sf_dir):
     return d.table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), numbers.stamp(F.round(F.col("value") * 1e9).cast("long"), ".").alias("stamp"))
+
+
+# ---------------------------------------------------------------- two detectors
+
+_BOXES = """b0 as (select vec_id, vec_id % 97 as i, r as k, case r when 0 then 'baseline' else 'candidate' end as run from embeddings, range(2) t(r)),
+ boxes as (select run, i as instance_id, (vec_id + 3 * k) % 7 <> 0 as matched, case when i % 11 = 4 - k then null when i % 10 = 3 and k = 0 then 'P' || (vec_id % 2) else 'P' || (i % (13 + 26 * k)) end as person_id from b0 where not ((vec_id + 3 * k) % 7 = 0 and i % 3 > 0) union all select run, null, null, 'X' from b0 where vec_id % 9 = 2 * k and vec_id % (2 + k) = 0),
+ names as (select distinct vec_id % 97 as instance_id, case vec_id % 97 % 17 when 16 then 'Unknown ' when 15 then null else 'L' || (vec_id % 97 % 13) end as label from embeddings), bound as (select run, 'L' || (vec_id % 13) as label, 'P' || ((vec_id + case when vec_id % 29 = 0 then 1 else 0 end) % (13 + 26 * k)) as person_id from b0 where vec_id < 60)"""
+
+
+def _boxes_of_runs(spark, sf_dir):
+    v = d.table(spark, sf_dir, "embeddings").select("vec_id", F.explode(F.array(F.lit(0), F.lit(1))).alias("k"))
+    i, k, vec = F.col("vec_id") % 97, F.col("k"), F.col("vec_id")
+    run = F.when(k == 0, "baseline").otherwise("candidate").alias("run")
+    miss = (vec + 3 * k) % 7 == 0
+    person = F.when(i % 11 == 4 - k, F.lit(None)).when((i % 10 == 3) & (k == 0), F.concat(F.lit("P"), vec % 2)).otherwise(F.concat(F.lit("P"), i % (13 + 26 * k)))
+    hits = v.where(~(miss & (i % 3 > 0))).select(run, i.alias("instance_id"), (~miss).alias("matched"), person.alias("person_id"))
+    extra = v.where((vec % 9 == 2 * k) & (vec % (2 + k) == 0)).select(run, F.lit(None).cast("long").alias("instance_id"), F.lit(None).cast("boolean").alias("matched"), F.lit("X").alias("person_id"))
+    names = v.select(i.alias("instance_id"), F.when(i % 17 == 16, "Unknown ").when(i % 17 == 15, F.lit(None)).otherwise(F.concat(F.lit("L"), i % 13)).alias("label")).distinct()
+    bound = v.where("vec_id < 60").select(run, F.concat(F.lit("L"), vec % 13).alias("label"), F.concat(F.lit("P"), (vec + F.when(vec % 29 == 0, 1).otherwise(0)) % (13 + 26 * k)).alias("person_id"))
+    return hits.union(extra), names, bound
+
+
+_RUNS = f"""with {_BOXES}, body as (select run, count(*) filter (instance_id is not null and matched) as true_positive, count(*) filter (instance_id is null) as false_positive, count(*) filter (instance_id is not null and not matched) as false_negative from boxes group by 1),
+ own as (select run, instance_id, label, case when bool_and(matched and person_id is not null) and min(person_id) = max(person_id) then min(person_id) end as person_id from boxes join names using (instance_id) where lower(trim(label)) not in ('', 'unknown', '?', 'uncertain') group by 1, 2, 3),
+ pr as (select a.run, count(*) filter (a.label <> b.label and a.person_id = b.person_id) as false_merge, count(*) filter (a.label = b.label and a.person_id <> b.person_id) as false_split from own a join own b on a.run = b.run and a.instance_id < b.instance_id where a.person_id is not null and b.person_id is not null group by 1),
+ tot as (select run, count(*) as instances, count(*) filter (person_id is null) as abstentions from own group by 1), cl as (select run, person_id, list(distinct label) as labels from own where person_id is not null group by 1, 2),
+ bd as (select b.run, count(*) as bindings, count(*) filter (labels is not null and labels <> [b.label]) as false_bindings, count(*) filter (labels is null) as binding_abstentions from bound b left join cl on cl.run = b.run and cl.person_id = b.person_id group by 1),
+ runs as (select run, true_positive, false_positive, false_negative, round(true_positive / nullif(true_positive + false_positive, 0)::double, 6) as precision, round(true_positive / nullif(true_positive + false_negative, 0)::double, 6) as recall, coalesce(instances, 0) as instances, case when instances >= 2 then coalesce(false_merge, 0) end as false_merge, case when instances >= 2 then coalesce(false_split, 0) end as false_split, case when instances >= 2 then abstentions end as abstentions, bindings, false_bindings, binding_abstentions from body left join tot using (run) left join pr using (run) left join bd using (run))"""
+
+
+@query(f"{_RUNS} select * from runs")
+def e4_detector_runs(spark, sf_dir):
+    return op.detector_runs(*_boxes_of_runs(spark, sf_dir))
+
+
+_KEYS = ("false_merge", "false_split", "abstentions", "false_bindings", "binding_abstentions", "false_positive", "false_negative")
+
+
+@query(f"{_RUNS} select case when {' and '.join(f'{m}.{k} is not null' for m in 'ab' for k in _KEYS)} then b.false_merge = 0 and b.false_bindings = 0 and {' and '.join(f'b.{k} <= a.{k}' for k in _KEYS)} and ({' or '.join(f'b.{k} < a.{k}' for k in _KEYS)}) end as accepted, {', '.join(f'b.{k}' for k in _KEYS)} from runs a, runs b where a.run = 'baseline' and b.run = 'candidate'")
+def e4_detector_ab(spark, sf_dir):
+    return op.detector_ab(op.detector_runs(*_boxes_of_runs(spark, sf_dir)), "baseline", "candidate")
