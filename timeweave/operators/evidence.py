@@ -60,3 +60,19 @@ def entities(df: DataFrame, pattern: str, key: str = "doc_id", text: str = "text
     heads = n.where(F.length("name") > least).select(F.col("name").alias("longer"), F.explode(F.expr(f"transform(sequence({least}, length(name) - 1), k -> substring(name, 1, k))")).alias("name"))
     alias = heads.groupBy("name").agg(F.count(F.lit(1)).alias("k"), F.min("longer").alias("longer"))
     return n.join(alias, "name", "left").select("name", "mentions", "n_docs", "first_doc", F.when(F.col("k") == 1, F.col("longer")).alias("alias_of"))
+
+
+# Methods whose text was read from a picture.
+OCR_METHODS = ("tesseract_keyframe", "tesseract_candidate_frame_s8")
+
+
+def normalize_ocr(rows: DataFrame) -> DataFrame:
+    """Adds measured, original_text and normalized_text (lower case, single spaces), both null unless the text was read by a known method and not by hand; rows without a time of zero or more go.
+
+    rows: observed_at (seconds), text, method, state, by_hand. Compatibility forms of characters stay as they are: Spark has no function for them.
+    """
+    when = F.col("observed_at").cast("double")
+    good = F.coalesce(~F.isnan(when) & (when >= 0) & (when < float("inf")), F.lit(False))
+    measured = F.coalesce(F.col("method").isin(*OCR_METHODS), F.lit(False)) & (F.coalesce("state", F.lit("")) != "not_measured") & ~F.coalesce("by_hand", F.lit(False))
+    text = F.when(F.col("measured"), F.coalesce("text", F.lit("")))
+    return rows.where(good).withColumn("measured", measured).withColumn("original_text", text).withColumn("normalized_text", t.squeeze(F.lower("original_text")))

@@ -84,3 +84,27 @@ def speaker_affinity(windows: DataFrame, least: int = 2, share: float = 0.67) ->
     per = per.withColumn("of", F.sum("n_for").over(w)).withColumn("rank", F.row_number().over(w.orderBy(F.col("weight").desc(), "person_id"))).withColumn("best", F.max("weight").over(w)).withColumn("ties", F.count_if(F.col("weight") == F.col("best")).over(w))
     ok = (F.col("n_for") >= least) & (F.col("n_for") >= share * F.col("of")) & (F.col("ties") == 1) & (F.col("weight") > 0)
     return per.where("rank = 1").select("source_id", "speaker", F.when(ok, F.col("person_id")).alias("person_id"), "n_for", "n_against", "weight")
+
+
+def tracking_profile(observations: DataFrame, shots: DataFrame, durations: DataFrame, bin_us: int = 60_000_000, near_us: int = 1_200_000, least: int = 3, least_us: int = 1_000_000) -> DataFrame:
+    """source_id, start_us, end_us, created_per_minute, micro_per_minute, face_only, body_only, face_body, missing_rate (of embeddings; null without tracks), cuts of every bin of a source.
+
+    A track counts in the bin of its first sample; it is micro with fewer than `least` times or less than least_us seen (gaps up to near_us). Samples after the end, and shots, count in the last bin.
+    observations: source_id, track_id, time_us, face_visible, body_visible, embedded. shots: source_id, start_us. durations: source_id, duration_us.
+    """
+    key = ["source_id", "track_id"]
+    o = observations.where("track_id is not null and time_us is not null").groupBy(*key, "time_us").agg(*(F.bool_or(F.coalesce(x, F.lit(False))).alias(x) for x in ("face_visible", "body_visible", "embedded")))
+    gap = F.col("time_us") - F.lag("time_us").over(Window.partitionBy(*key).orderBy("time_us"))
+    t = o.withColumn("gap", gap).groupBy(*key).agg(F.min("time_us").alias("first"), F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.when(F.col("gap") <= near_us, F.col("gap"))), F.lit(0)).alias("seen"), *(F.bool_or(x).alias(x) for x in ("face_visible", "body_visible", "embedded")))
+    last = F.floor((F.greatest(F.col("duration_us"), F.lit(1)) - 1) / bin_us)
+    at = lambda x: F.least(last, F.floor(F.col(x) / bin_us)).alias("bin")
+    per = t.join(durations, "source_id").withColumn("micro", (F.col("n") < least) | (F.col("seen") < least_us)).select("source_id", at("first"), "micro", "face_visible", "body_visible", "embedded").groupBy("source_id", "bin")
+    face, body = F.col("face_visible"), F.col("body_visible")
+    per = per.agg(F.count(F.lit(1)).alias("n"), F.count_if("micro").alias("micro"), F.count_if(face & ~body).alias("face_only"), F.count_if(~face).alias("body_only"), F.count_if(face & body).alias("face_body"), F.count_if(~F.col("embedded")).alias("missing"))
+    cuts = shots.where("start_us > 0").join(durations, "source_id").select("source_id", at("start_us")).groupBy("source_id", "bin").agg(F.count(F.lit(1)).alias("cuts"))
+    bins = durations.select("source_id", "duration_us", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("bin"))
+    j = bins.join(per, ["source_id", "bin"], "left").join(cuts, ["source_id", "bin"], "left")
+    start, end = F.col("bin") * bin_us, F.least("duration_us", (F.col("bin") + 1) * bin_us)
+    rate = lambda c: F.round(F.coalesce(F.col(c), F.lit(0)) * 60 / F.greatest(F.lit(1.0), (end - start) / 1e6), 6)
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0)).alias(c)
+    return j.select("source_id", start.alias("start_us"), end.alias("end_us"), rate("n").alias("created_per_minute"), rate("micro").alias("micro_per_minute"), zero("face_only"), zero("body_only"), zero("face_body"), F.round(F.try_divide(F.col("missing").cast("double"), F.col("n").cast("double")), 6).alias("missing_rate"), zero("cuts"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import numbers
 from ..functions.numbers import ratio
-from ..operators import audit, intervals
+from ..operators import audit, identity, intervals
 from ..sources import derived as d
 from .registry import Register
 
@@ -105,11 +105,23 @@ def j30_clip_tracks(spark, sf_dir):
     return j.select("source_id", F.col("b_id").alias("clip_id"), F.col("id").alias("sample_id"), (F.col("time_us") - F.col("b_start_us")).alias("clip_us"), (F.col("time_us") - F.lag("time_us").over(w) > 60_000_000).alias("after_gap"))
 
 
-@query("""with t as (select user_id as track_id, min(epoch_us(ts)) // 86400000000 as day, count(*) < 60 as micro, count(*) filter (event_type = 'error') as bad, count(*) as n from events group by 1) select day, count(*) as n_tracks, count(*) filter (micro) as n_micro, round(sum(bad) / sum(n), 6) as missing_rate from t group by 1""")
+_SIGHTS = """o as (select user_id as source_id, f * 1000000 as time_us, user_id || '-' || event_type || '-' || (f // 40) as track_id, event_id % 3 <> 0 as face, event_id % 4 <> 0 as body, event_id % 5 = 0 as embedded, event_type from (select *, epoch_us(ts) // 7200000000 - 236676 as f from events)),
+ d as (select source_id, max(time_us) + 1000000 as duration_us from o group by 1)"""
+
+
+@query(f"""with {_SIGHTS}, u as (select source_id, track_id, time_us, bool_or(face) as face, bool_or(body) as body, bool_or(embedded) as embedded from o group by 1, 2, 3), g as (select *, time_us - lag(time_us) over (partition by source_id, track_id order by time_us) as gap from u),
+ t as (select source_id, track_id, min(time_us) as first, count(*) < 3 or coalesce(sum(gap) filter (gap <= 1200000), 0) < 1000000 as micro, bool_or(face) as face, bool_or(body) as body, bool_or(embedded) as embedded from g group by 1, 2),
+ p as (select t.source_id, least((duration_us - 1) // 60000000, first // 60000000) as bin, count(*) as n, count(*) filter (micro) as micro, count(*) filter (face and not body) as face_only, count(*) filter (not face) as body_only, count(*) filter (face and body) as face_body, count(*) filter (not embedded) as missing from t join d using (source_id) group by 1, 2),
+ c as (select o.source_id, least((duration_us - 1) // 60000000, time_us // 60000000) as bin, count(*) as cuts from o join d using (source_id) where event_type = 'view' and time_us > 0 group by 1, 2), b as (select source_id, duration_us, unnest(range((duration_us - 1) // 60000000 + 1)) as bin from d)
+ select source_id, bin * 60000000 as start_us, least(duration_us, (bin + 1) * 60000000) as end_us, {', '.join(f"round(coalesce({k}, 0) * 60 / greatest(1.0::double, (least(duration_us, (bin + 1) * 60000000) - bin * 60000000) / 1e6::double), 6) as {n}_per_minute" for k, n in (('n', 'created'), ('micro', 'micro')))}, coalesce(face_only, 0) as face_only, coalesce(body_only, 0) as body_only, coalesce(face_body, 0) as face_body, round(missing / n::double, 6) as missing_rate, coalesce(cuts, 0) as cuts from b left join p using (source_id, bin) left join c using (source_id, bin)""")
 def b8_tracking_profile(spark, sf_dir):
-    n = F.count(F.lit(1))
-    t = _t(spark, sf_dir, "events").withColumn("us", d.micros("ts")).groupBy("user_id").agg(F.expr("min(us) div 86400000000").alias("day"), (n < 60).alias("micro"), F.count_if(F.col("event_type") == "error").alias("bad"), n.alias("n"))
-    return t.groupBy("day").agg(F.count(F.lit(1)).alias("n_tracks"), F.count_if("micro").alias("n_micro"), ratio(F.sum("bad"), F.sum("n")).alias("missing_rate"))
+    f = d.micros("ts")
+    e = _t(spark, sf_dir, "events").withColumn("us", f).withColumn("f", F.expr("us div 7200000000 - 236676"))
+    i = F.col("event_id")
+    o = e.select(F.col("user_id").alias("source_id"), (F.col("f") * 1_000_000).alias("time_us"), F.concat_ws("-", "user_id", "event_type", F.expr("f div 40")).alias("track_id"), (i % 3 != 0).alias("face_visible"), (i % 4 != 0).alias("body_visible"), (i % 5 == 0).alias("embedded"), "event_type")
+    spans = o.groupBy("source_id").agg((F.max("time_us") + 1_000_000).alias("duration_us"))
+    shots = o.where("event_type = 'view'").select("source_id", F.col("time_us").alias("start_us"))
+    return identity.tracking_profile(o, shots, spans)
 
 
 @query("""with n as (select o_custkey % 50 as scene_id, o_orderpriority as person, count(*) as n, min(o_orderkey) as first from orders group by 1, 2) select scene_id, count(*) as n_people, max_by(person, (n, -first)) as predominant, case when count(*) = 1 then 'single' when count(*) <= 3 then 'group' else 'crowd' end as kind from n group by 1""")

@@ -93,9 +93,15 @@ def n10_redact(spark, sf_dir):
     return docs(spark, sf_dir).select("doc_id", F.md5(r).alias("redacted"), (r != F.col("text")).alias("changed"))
 
 
-@query("""select doc_id, trim(regexp_replace(text, '[ \\t\\n\\r]+', ' ', 'g')) = text as squeezed, md5(trim(regexp_replace(lower(text), '[ \\t\\n\\r]+', ' ', 'g'))) as normal, case when lang in ('en', 'de') then 'measured' else 'unknown' end as method from documents""")
+_METHODS = ("tesseract_keyframe", "tesseract_candidate_frame_s8", "legacy_hint", "manual")
+
+
+@query(f"""with r as (select doc_id, text, case when doc_id % 23 = 22 then null else doc_id * 1.5::double - 3 end as observed_at, {list(_METHODS)}[(doc_id % 4 + 1)::int] as method, case when doc_id % 9 = 8 then 'not_measured' end as state, doc_id % 7 = 6 as by_hand from documents), m as (select *, method in ('tesseract_keyframe', 'tesseract_candidate_frame_s8') and coalesce(state, '') <> 'not_measured' and not by_hand as measured from r where observed_at >= 0)
+ select doc_id, observed_at, measured, case when measured then md5(coalesce(text, '')) end as original_text, case when measured then md5(trim(regexp_replace(lower(coalesce(text, '')), '[ \\t\\n\\r]+', ' ', 'g'))) end as normalized_text from m""")
 def n12_normalize_text(spark, sf_dir):
-    return docs(spark, sf_dir).select("doc_id", (t.squeeze(F.col("text")) == F.col("text")).alias("squeezed"), F.md5(t.squeeze(F.lower("text"))).alias("normal"), F.when(F.col("lang").isin("en", "de"), "measured").otherwise("unknown").alias("method"))
+    i = F.col("doc_id")
+    r = docs(spark, sf_dir).select("doc_id", "text", F.when(i % 23 != 22, i * 1.5 - 3).alias("observed_at"), F.array(*map(F.lit, _METHODS))[(i % 4).cast("int")].alias("method"), F.when(i % 9 == 8, "not_measured").alias("state"), (i % 7 == 6).alias("by_hand"))
+    return op.normalize_ocr(r).select("doc_id", "observed_at", "measured", F.md5("original_text").alias("original_text"), F.md5("normalized_text").alias("normalized_text"))
 
 
 @query(f"""with k as (select doc_id, unnest(l) as term, unnest(range(len(l))) as pos from (select doc_id, {_TOKENS} as l from documents)), n as (select doc_id, term, count(*) as n, min(pos) as first from k where length(term) >= 3 and term not in ({_STOP}) group by 1, 2)
