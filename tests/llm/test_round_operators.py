@@ -266,3 +266,21 @@ def test_spelling_edges(spark):
     want = {w: k for w, k in plain_words(rows).items() if len(w) >= 6 and k >= 5}
     got = {r.word: r.n for r in spelling.vocabulary(frame(rows)).collect()}
     assert got == want
+
+
+def test_extra_columns_and_empty_tables_of_earlier_operators(spark):
+    """Columns that clash with the operators' own names, and tables without rows."""
+    import public_tokenizers
+
+    from timeweave.llm import bpe, ngram_lm, quality, simhash, toxicity
+
+    docs = spark.createDataFrame([(1, "a b c d " * 20, "x", 1, 2, 3, 4, 5, 6), (2, None, "y", 1, 2, 3, 4, 5, 6)], "doc_id long, text string, kept string, n_words int, fp int, held_out int, score int, ids int, root int")
+    tokens = (public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    known = spark.createDataFrame([(1, 1)], "doc_id long, toxic int")
+    yes = F.lit(True)
+    for rows, n in ((docs, 2), (docs.limit(0), 0)):
+        assert quality.compression_bands(rows).count() == n
+        assert bpe.digests(rows, *tokens).count() == n
+        assert simhash.components(rows).count() == n
+        assert ngram_lm.score(rows, ngram_lm.train(rows, 2, shards=2), yes).count() == n
+        assert toxicity.score(rows, toxicity.train(rows, known, yes), yes).count() == n

@@ -4,7 +4,8 @@ For every prefix of a piece exactly one token can be the last of the prefix's en
 that ends a prefix is the valid one if it and the last token before it stay apart when their bytes are merged. So bytes
 can be appended without encoding anew, and after an edit only the prefixes near it change.
 
-A null text is empty: no tokens. Every row stands for itself, so repeated rows and ties give repeated rows.
+A null text is empty: no tokens. Every row stands for itself, so repeated rows and ties give repeated rows; an empty table gives none. A
+text of any length is encoded whole, piece by piece. Other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations

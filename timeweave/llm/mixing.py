@@ -7,7 +7,8 @@ stretch of the schedule holds the sources in about their shares. A source's slot
 that the points favour the surplus slots are left out, those that another lacks stand at the schedule's end.
 
 A null text has no words; documents without words are taken with zero words. The null source comes last. Repeated rows are
-documents of their own; equal hashes are ordered by id and size.
+documents of their own; equal hashes are ordered by id and size. A very long text is cut into blocks like any other; an empty table gives
+an empty mix. Other columns go along under their own names.
 """
 
 from __future__ import annotations

@@ -13,7 +13,8 @@ the counts of counts of each level; the lowest level is interpolated with a unif
 unknown word.
 
 Words are hashed to 56 bits where they travel. Texts that are null are empty: one end token. Training on no text gives a
-model in which each token has probability 1. Documents are scored row by row: repeated rows get equal scores.
+model in which each token has probability 1. Documents are scored row by row: repeated rows get equal scores, ties need no order. Texts of any
+length are counted and scored whole; other columns, whatever their names, are not read; an empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -2,7 +2,8 @@
 
 A text is kept if it passes the base counts and its ratio (bytes / compressed bytes) lies in the band of its length,
 and no more than half of its chunks lie outside the band of a chunk. Repetitive text is above a band, noise below it.
-A null text has no words; it is rejected. Rows are independent: ties and repeated rows give repeated rows.
+A null text has no words; it is rejected. Rows are independent: ties and repeated rows give repeated rows, an empty table gives none.
+A text of any length is read whole, a very long one as a step of its own. Columns of the counts' names among the given ones are not read.
 """
 
 from __future__ import annotations

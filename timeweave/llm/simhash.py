@@ -7,7 +7,8 @@ partition the threshold for which the fewest candidates are expected, by statist
 
 Only distinct fingerprints are probed. A bucket with more than `bucket` of them is not compared pair by pair: there each
 fingerprint meets others at the 64 fingerprints one bit away and at its own; two meet exactly when 2 or fewer bits differ.
-A null or wordless text has the fingerprint zero, linked like any other. Repeated rows get the same component.
+A null or wordless text has the fingerprint zero, linked like any other. Repeated rows get the same component. A text of any
+length has one fingerprint of all its shingles; an empty table gives no rows; other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations

@@ -6,7 +6,8 @@ by frame, and checks headers, lengths and digests.
 
 A null payload is empty. Repeated rows (same id, same payload) are records of their own: one of them is the response, the
 others revisit it. Rows without an id are never the response if a row with one has their payload. No rows: no archives,
-no records. What is wrong with a record is said in `error`; such records are kept.
+no records. What is wrong with a record is said in `error`; such records are kept. A payload of any length is one record, larger than an
+archive's size if need be. Other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
