@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numbers import ratio
-from .commercial import COMMERCIAL_TYPES, folded
+from .commercial import COMMERCIAL_TYPES, folded, let
 
 # Names of states and the words that stand for them.
 NO_CONTEXT = ("none", "nao", "nenhum", "nenhuma", "sem contexto", "nao precisa", "nao necessario")
@@ -106,11 +106,21 @@ STORY = r"\b(?:um dia|naquela epoca|quando comecei|aconteceu comigo)\b"
 FILLER = r"^(?:bom|entao|assim|tipo|olha)[, .]*$"
 
 
+def question_kind(low: Column) -> Column:
+    """What a folded text asks: statement if nothing."""
+
+    def kind(v: Column) -> Column:
+        n = F.size(F.filter(F.split(v, r"\s+"), lambda w: w != ""))
+        return F.when(~(v.contains("?") | v.rlike(ASKS)), "statement").when(v.rlike(GREETING), "greeting_question").when(v.rlike(SELF), "self_question").when(v.rlike(RHETORICAL) & (n <= 12), "rhetorical_question").when(v.rlike(TAG) & ~v.rlike(OPEN_WORD), "tag_question").when((n <= 2) & ~v.rlike(ASK_WORD), "banter").when(v.rlike(YES_NO), "yes_no_question").otherwise("direct_question")
+
+    return let(F.trim(low), kind)
+
+
 def classify_question(df: DataFrame, text: str = "text") -> DataFrame:
     """Adds question_type, answer_expected, hook_type and hook_strength (null if nothing tells)."""
     v = F.trim(folded(F.col(text)))
     n = F.size(F.filter(F.split(v, r"\s+"), lambda w: w != ""))
-    kind = F.when(~(v.contains("?") | v.rlike(ASKS)), "statement").when(v.rlike(GREETING), "greeting_question").when(v.rlike(SELF), "self_question").when(v.rlike(RHETORICAL) & (n <= 12), "rhetorical_question").when(v.rlike(TAG) & ~v.rlike(OPEN_WORD), "tag_question").when((n <= 2) & ~v.rlike(ASK_WORD), "banter").when(v.rlike(YES_NO), "yes_no_question").otherwise("direct_question")
+    kind = question_kind(v)
     df = df.withColumn("question_type", kind).withColumn("answer_expected", F.col("question_type").isin("direct_question", "yes_no_question"))
     q = F.col("question_type")
     hooks = [(q.isin("greeting_question", "banter", "tag_question"), "generic_question", 0.1), (q.isin("rhetorical_question", "self_question"), "rhetorical_question", 0.25), (v.rlike(REVEAL), "reveal", 0.8), (v.rlike(EMOTION), "emotional_statement", 0.75), (v.rlike(CLAIM) & (n >= 5), "strong_claim", 0.65), (F.col("answer_expected"), "genuine_question", 0.6), (v.rlike(STORY), "story_opening", 0.6), (v.rlike(FILLER), "filler", 0.0)]
