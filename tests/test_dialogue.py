@@ -3,6 +3,7 @@
 import pytest
 
 from timeweave.operators import dialogue as op
+from timeweave.plans.dialogue import talks
 
 S = 1_000_000
 SEG = "source_id long, segment_id string, start_us long, end_us long, speaker string, text string, kind string, r string"
@@ -109,3 +110,10 @@ def test_repeated_ids_nulls_and_empty_tables(spark):
     assert (r.question_id, r.reason, r.answer_ids) == ("d", "missing_speaker_evidence", [])
     empty = s.limit(0)
     assert op.recover_dialogue(empty, op.read_answers(empty)).count() == 0
+
+
+def test_the_same_however_time_is_cut(spark):
+    s = talks(spark, "/root/testdata/sf0.01").where("source_id < 4").checkpoint()
+    rows = lambda b: sorted(map(repr, op.recover_dialogue(s, op.read_answers(s, b * S), b * S).collect()))
+    want = rows(600)
+    assert rows(11) == want and len(want) > 50

@@ -21,17 +21,17 @@ SCRIPTS = ((0, 1, 3, 2, 3, 16, 10, 11), (4, 15, 5, 6, 7, 7, 16, 18), (0, 9, 1, 2
 VOICES = ("AABBABCA", "ABCABABA", "ABABBABA", "AAABBCCB")
 _FLAT, _WHO = [k for s in SCRIPTS for k in s], [v for s in VOICES for v in s]
 _N = len(PHRASES)
-_TALKS = f"""talks as (select *, case when n % 29 = 4 then null when n % 9 = 0 then ['A', 'B', 'C'][(n % 3 + 1)::int] else {_WHO}[slot] end as speaker, [{', '.join(repr(p) for p in PHRASES)}][(case when n % 9 = 0 then (n + turn) % {_N} else {_FLAT}[slot] end + 1)::int] as text from (select source_id // 10 as source_id, segment_id, turn, length(text) as n, (source_id % 4 * 8 + turn % 8 + 1)::int as slot, (source_id % 10) * 80000000 + start_us as start_us, (source_id % 10) * 80000000 + start_us + case when length(text) % 7 = 3 then 2000000 when length(text) % 11 = 5 then 10500000 else 8000000 end as end_us from segments))"""
+_TALKS = f"""talks as (select *, case when n % 29 = 4 then null when n % 9 = 0 then ['A', 'B', 'C'][(n % 3 + 1)::int] else {_WHO}[slot] end as speaker, [{', '.join(repr(p) for p in PHRASES)}][(case when n % 9 = 0 then (n + turn) % {_N} else {_FLAT}[slot] end + 1)::int] as text from (select source_id // 10 as source_id, segment_id, turn, length(text) as n, (source_id % 4 * 8 + turn % 8 + 1)::int as slot, (source_id % 10) * 48000000 + turn * 6000000 as start_us, (source_id % 10) * 48000000 + turn * 6000000 + case when length(text) % 7 = 3 then 1500000 when length(text) % 11 = 5 then 6300000 else 5500000 end as end_us from segments))"""
 
 
 def talks(spark, sf_dir):
     n, turn, source = F.length("text"), F.col("turn"), F.col("source_id")
-    offset = source % 10 * 80_000_000 + F.col("start_us")
+    offset = source % 10 * 48_000_000 + turn * 6_000_000
     lit = lambda x: F.array(*map(F.lit, x))
     at = (source % 4 * 8 + turn % 8).cast("int")
     speaker = F.when(n % 29 == 4, F.lit(None)).when(n % 9 == 0, lit("ABC")[(n % 3).cast("int")]).otherwise(lit(_WHO)[at])
     text = lit(PHRASES)[F.when(n % 9 == 0, (n + turn) % _N).otherwise(lit(_FLAT)[at]).cast("int")]
-    end = offset + F.when(n % 7 == 3, 2_000_000).when(n % 11 == 5, 10_500_000).otherwise(8_000_000)
+    end = offset + F.when(n % 7 == 3, 1_500_000).when(n % 11 == 5, 6_300_000).otherwise(5_500_000)
     return d.segments(spark, sf_dir).select(F.expr("source_id div 10").alias("source_id"), "segment_id", offset.alias("start_us"), end.alias("end_us"), speaker.alias("speaker"), text.alias("text"))
 
 
