@@ -26,6 +26,11 @@ def ratio(n: Column, of: Column, places: int = 6) -> Column:
     return F.round(F.try_divide(n.cast("double"), F.nullif(of, F.lit(0)).cast("double")), places)
 
 
+def decibels(power: Column, places: int = 4) -> Column:
+    """Ten times the common logarithm, rounded; minus infinity of silence (Spark's logarithm of 0 is null), null without a level."""
+    return F.when(power == 0, F.lit(float("-inf"))).otherwise(F.round(10 * F.log10(power), places))
+
+
 def mean_of(*xs: Column) -> Column:
     """The mean of those that are not null; null if none is."""
     n = reduce(lambda a, b: a + b, [x.isNotNull().cast("int") for x in xs])

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.numbers import decibels
 from ..operators import intervals as op
 from ..sources import derived as d
 from ..sources.derived import with_tables
@@ -182,7 +183,7 @@ _LEVELS = "levels as (select user_id as source_id, epoch_us(ts) // 3600000000 as
 def _levels(spark, sf_dir):
     e = d.table(spark, sf_dir, "events")
     h = F.floor(d.micros("ts") / 3_600_000_000)
-    return e.groupBy(F.col("user_id").alias("source_id"), h.alias("h")).agg(F.round(10 * F.log10(F.avg(F.col("value") * F.col("value"))), 4).alias("db"), F.max(F.abs("value")).alias("peak"), F.round(F.avg((F.abs("value") >= 10).cast("int")), 6).alias("clipped"))
+    return e.groupBy(F.col("user_id").alias("source_id"), h.alias("h")).agg(decibels(F.avg(F.col("value") * F.col("value"))).alias("db"), F.max(F.abs("value")).alias("peak"), F.round(F.avg((F.abs("value") >= 10).cast("int")), 6).alias("clipped"))
 
 
 @query(f"with {_LEVELS} select * from levels")
