@@ -2,10 +2,11 @@
 
 import math
 
+import duckdb
 from pyspark.sql import functions as F
 
-from timeweave.functions import numbers
-from timeweave.operators import intervals
+from timeweave.functions import numbers, text
+from timeweave.operators import intervals, story
 
 S = 1_000_000
 
@@ -16,3 +17,20 @@ def test_silence_has_a_level_and_makes_runs(spark):
     assert got[0] == -math.inf and got[1] == 0.0 and got[2] is None and got[3] == 20.0
     levels = rows.select("source_id", F.col("h").alias("start_us"), (F.col("h") + 1).alias("end_us"), numbers.decibels(F.col("power")).alias("db"))
     assert [(r.start_us, r.end_us) for r in intervals.flag_runs(levels, F.col("db") < 15, 2).collect()] == [(0, 2)]
+
+
+def test_word_edges_and_ends_are_those_of_sql(spark):
+    texts = ["queê", "aque", "ßque", "que.", "que\n", "a-que", "QUE", "que_"]
+    df = spark.createDataFrame([(x,) for x in texts], "x string")
+    for p in (r"^que\b", r"\bque\b", r"\bque$", r"que[^a-z]$", r"[$e]$"):
+        got = {r.x for r in df.where(F.col("x").rlike(text.sql_pattern(p))).collect()}
+        want = {x for x in texts if duckdb.execute("select regexp_matches(?, ?)", [x, p]).fetchone()[0]}
+        assert got == want, p
+    assert text.sql_pattern(r"[a$]\$") == r"[a$]\$"
+
+
+def test_laughter_before_a_sharp_s_is_a_word(spark):
+    s = spark.createDataFrame([(1, 0, 9 * S, "so que ele caiu da escada ße")], "source_id long, start_us long, end_us long, text string")
+    c = spark.createDataFrame([(1, "c", 0, 9 * S, True)], "source_id long, clip_id string, start_us long, end_us long, hinted boolean")
+    r = story.humor_integrity(c, s).first()
+    assert (r.status, r.blockers) == ("incomplete", "punchline_not_grounded")

@@ -11,6 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import sql_pattern
 from .commercial import classification, folded
 from .intervals import SECOND, interval_join
 from .lineage import cut
@@ -32,8 +33,8 @@ def edge_quality(segments: DataFrame) -> DataFrame:
     """
     text = F.trim(F.coalesce("text", F.lit("")))
     low = folded(text)
-    s = segments.withColumn("low", low).withColumn("mute", text == "").withColumn("done", text.rlike(DONE)).withColumn("whole", text.rlike(DONE) & ~text.rlike(TRAILS) & ~low.rlike(HANGS))
-    flags = s.select("source_id", "segment_id", "start_us", "end_us", "speaker", "mute", "done", "whole", F.col("low").rlike(CONTINUES).alias("continues"), F.col("low").rlike(PREAMBLE).alias("preamble"), F.col("low").rlike(REFERS).alias("refers"), F.col("low").rlike(CHANGE).alias("change"), F.col("low").rlike(UNHEARD).alias("unheard"), (classification(F.col("text"))["eligibility"] == "excluded").alias("ad"))
+    s = segments.withColumn("low", low).withColumn("mute", text == "").withColumn("done", text.rlike(sql_pattern(DONE))).withColumn("whole", text.rlike(sql_pattern(DONE)) & ~text.rlike(sql_pattern(TRAILS)) & ~low.rlike(sql_pattern(HANGS)))
+    flags = s.select("source_id", "segment_id", "start_us", "end_us", "speaker", "mute", "done", "whole", F.col("low").rlike(sql_pattern(CONTINUES)).alias("continues"), F.col("low").rlike(sql_pattern(PREAMBLE)).alias("preamble"), F.col("low").rlike(sql_pattern(REFERS)).alias("refers"), F.col("low").rlike(sql_pattern(CHANGE)).alias("change"), F.col("low").rlike(sql_pattern(UNHEARD)).alias("unheard"), (classification(F.col("text"))["eligibility"] == "excluded").alias("ad"))
     w = Window.partitionBy("source_id").orderBy("start_us", "end_us", "segment_id")
     before = [F.lag(F.struct("end_us", "speaker", "done"), k).over(w) for k in (1, 2, 3)]
     flags = flags.withColumns({"pos": F.row_number().over(w), "gap": F.col("start_us") - F.lag("end_us").over(w), **{f"b{k}": b for k, b in enumerate(before)}})

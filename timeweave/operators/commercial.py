@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import fold
+from ..functions.text import fold, sql_pattern
 from .intervals import SECOND
 
 # Signals and their patterns, the signals that a negation cancels, exceptions (signal, match, what follows),
@@ -52,6 +52,7 @@ CONTEXT_NEGATION = r"\b(?:nao|nunca|sem|nenhum|nenhuma)\s+(?:\w+\s+){0,4}$"
 
 def scan(text: Column, pattern: str, start: Column, step: Callable[[Column, Column, Column], Column]) -> Column:
     """Folds over all matches of a pattern: step(state, offset of the match, match); start gives the state. Linear in the text."""
+    pattern = sql_pattern(pattern)
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     parts = F.split(text, pattern, -1)
     both = F.zip_with(F.slice(parts, 1, F.size(found)), found, lambda p, m: F.struct(p.alias("p"), m.alias("m")))
@@ -79,14 +80,14 @@ def _hits(low: Column, signal: str, pattern: str, most: int) -> Column:
 
     def step(hits: Column, at: Column, m: Column) -> Column:
         end = at + F.length(m)
-        skip = [m.rlike(own) & F.substring(low, end + 1, F.lit(60)).rlike(after) for s, own, after in EXCEPTIONS if s == signal]
+        skip = [m.rlike(sql_pattern(own)) & F.substring(low, end + 1, F.lit(60)).rlike(sql_pattern(after)) for s, own, after in EXCEPTIONS if s == signal]
         full = reduce(lambda a, b: a | b, skip, F.size(hits) >= most)
         return F.when(full, hits).otherwise(F.concat(hits, F.array(F.struct(at.alias("start"), F.length(m).alias("length")))))
 
     found = scan(low, pattern, none, step)
     if signal in NEGATABLE:
-        found = F.filter(found, lambda h: ~before(low, h["start"], 24).rlike(NEGATION))
-    return F.when(low.rlike(pattern), found).otherwise(none)
+        found = F.filter(found, lambda h: ~before(low, h["start"], 24).rlike(sql_pattern(NEGATION)))
+    return F.when(low.rlike(sql_pattern(pattern)), found).otherwise(none)
 
 
 def _spans(low: Column, most: int = 3) -> Column:
@@ -125,17 +126,17 @@ def _typed(low: Column, signals: Column) -> Column:
     cases = [
         (has("sponsor"), "sponsor_read", F.lit(0.85)),
         (strong & has("event"), "event_promotion", F.least(F.lit(0.96), 0.7 + 0.04 * n)),
-        (strong & low.rlike(OWN_WORK), "self_promotion", F.lit(0.8)),
+        (strong & low.rlike(sql_pattern(OWN_WORK)), "self_promotion", F.lit(0.8)),
         (health, "commercial_promotion", F.lit(0.85)),
         (strong, "advertisement", F.least(F.lit(0.96), 0.65 + 0.05 * n)),
-        (low.rlike(HOUSEKEEPING), "housekeeping", F.lit(0.0)),
-        (low.rlike(INTRO), "intro_outro", F.lit(0.0)),
+        (low.rlike(sql_pattern(HOUSEKEEPING)), "housekeeping", F.lit(0.0)),
+        (low.rlike(sql_pattern(INTRO)), "intro_outro", F.lit(0.0)),
         (weak, "uncertain", F.lit(0.35)),
         (some("product", "price", "sponsorship_mention"), "editorial_product_discussion", F.lit(0.0)),
         (F.trim(low) == "", "uncertain", F.lit(None).cast("double")),
     ]
     pick = lambda k, last: reduce(lambda c, x: c.when(x[0], x[k]), cases, F).otherwise(last)
-    return F.struct(signals.alias("signals"), pick(1, "editorial_content").alias("content_type"), F.round(pick(2, 0.0), 6).alias("commercial_score"), low.rlike(REPORTED).alias("reported"), (strong | has("sponsor")).alias("strong"))
+    return F.struct(signals.alias("signals"), pick(1, "editorial_content").alias("content_type"), F.round(pick(2, 0.0), 6).alias("commercial_score"), low.rlike(sql_pattern(REPORTED)).alias("reported"), (strong | has("sponsor")).alias("strong"))
 
 
 def _judged(c: Column) -> Column:
@@ -160,15 +161,15 @@ def commercial_context(df: DataFrame, text: str = "text") -> DataFrame:
     """What kind of mention a text makes, and what speaks against taking it for an offer. Scores and gates stay as they are."""
     low = folded(F.col(text))
     df = classify_content(df, text)
-    ok = lambda p: scan(low, p, F.lit(False), lambda s, at, m: s | ~before(low, at, 48).rlike(CONTEXT_NEGATION))
-    negated = lambda p: scan(low, p, F.lit(False), lambda s, at, m: s | before(low, at, 48).rlike(CONTEXT_NEGATION))
+    ok = lambda p: scan(low, p, F.lit(False), lambda s, at, m: s | ~before(low, at, 48).rlike(sql_pattern(CONTEXT_NEGATION)))
+    negated = lambda p: scan(low, p, F.lit(False), lambda s, at, m: s | before(low, at, 48).rlike(sql_pattern(CONTEXT_NEGATION)))
     has = lambda x: F.array_contains("signals", x)
     df = df.withColumn("affiliate", ok(AFFILIATE)).withColumn("quoted", F.col("reported") & ((F.col("commercial_kind") == "reported_offer") | has("sales_cta") | F.col("affiliate")))
     empty = F.trim(low) == ""
     named = F.when(empty | F.col("quoted"), "uncertain").when(F.col("affiliate"), "affiliate").when(has("sponsor"), "sponsorship").when(F.col("content_type").isin(*COMMERCIAL_TYPES), "advertisement").when(has("sales_cta"), "call_to_purchase").when(has("price"), "factual_price_mention").when(has("domain"), "contextual_website_reference").when(has("product"), "product_discussion").otherwise("uncertain")
     df = df.withColumn("classification", named)
     nothing = (F.col("classification") == "uncertain") & ~empty & ~F.col("quoted")
-    flags = [(low.rlike(MEASUREMENT), "physical_quantity"), (F.col("quoted"), "reported_offer"), (negated(AFFILIATE) | negated(MEASUREMENT), "negated_mention"), (empty, "no_text"), (nothing, "no_cue")]
+    flags = [(low.rlike(sql_pattern(MEASUREMENT)), "physical_quantity"), (F.col("quoted"), "reported_offer"), (negated(AFFILIATE) | negated(MEASUREMENT), "negated_mention"), (empty, "no_text"), (nothing, "no_cue")]
     return df.withColumn("flags", F.array_compact(F.array(*(F.when(c, F.lit(x)) for c, x in flags)))).drop("affiliate", "quoted")
 
 
@@ -290,9 +291,9 @@ def editorial_potential(df: DataFrame, text: str = "text", context: str | None =
     """Adds requests (kinds that are asked for directly), interests and potential: requests alone, mixed with interest, content to review, or unresolved. It grants nothing."""
     low = folded(F.col(text))
     after = folded(F.col(context)) if context else F.lit("")
-    direct = lambda p: scan(low, p, F.lit(False), lambda s, at, m: s | ~(before(low, at, 100).rlike(SAID) | before(low, at, 100).rlike(NEVER)))
-    df = df.withColumn("requests", F.array_compact(F.array(*(F.when(direct(p), F.lit(k)) for k, p in REQUESTS)))).withColumn("interests", F.array_compact(F.array(*(F.when(low.rlike(p), F.lit(k)) for k, p in INTEREST))))
-    closing = low.rlike(CLOSING) | after.rlike(CLOSING)
+    direct = lambda p: scan(low, p, F.lit(False), lambda s, at, m: s | ~(before(low, at, 100).rlike(sql_pattern(SAID)) | before(low, at, 100).rlike(sql_pattern(NEVER))))
+    df = df.withColumn("requests", F.array_compact(F.array(*(F.when(direct(p), F.lit(k)) for k, p in REQUESTS)))).withColumn("interests", F.array_compact(F.array(*(F.when(low.rlike(sql_pattern(p)), F.lit(k)) for k, p in INTEREST))))
+    closing = low.rlike(sql_pattern(CLOSING)) | after.rlike(sql_pattern(CLOSING))
     house = (F.size("requests") >= 2) | ((F.size("requests") > 0) & closing)
     interest = F.size("interests") > 0
     return df.withColumn("potential", F.when(house & interest, "MIXED_CTA_CONTENT").when(house, "CTA_HOUSEKEEPING").when(interest, "CONTENT_REVIEW").otherwise("UNRESOLVED")).withColumn("interest_state", F.when(F.col("potential").isin("CONTENT_REVIEW", "MIXED_CTA_CONTENT"), "INTERESTING_CANDIDATE").when(F.col("potential") == "UNRESOLVED", "INTEREST_UNRESOLVED").otherwise("HOUSEKEEPING_REVIEW"))

@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import FAMILIES
+from ..functions.text import FAMILIES, sql_pattern
 from .commercial import folded, let
 from .intervals import SECOND
 from .lineage import cut
@@ -51,7 +51,7 @@ _NONE = "array<string>"
 def topic_terms(low: Column) -> tuple[Column, Column]:
     """Of folded text: distinct words of three characters or more that carry a topic; the same with inflections of a few verbs by their family's name."""
     plain = F.array_distinct(F.filter(F.regexp_extract_all(low, F.lit(r"[\p{L}\p{N}_]+"), F.lit(0)), lambda w: (F.length(w) >= 3) & ~w.isin(*GENERIC)))
-    family = lambda w: reduce(lambda c, f: c.when(w.rlike(f[1]), f[0]), FAMILIES, F).otherwise(w)
+    family = lambda w: reduce(lambda c, f: c.when(w.rlike(sql_pattern(f[1])), f[0]), FAMILIES, F).otherwise(w)
     return plain, F.array_distinct(F.transform(plain, family))
 
 
@@ -62,7 +62,7 @@ def _prepared(segments: DataFrame) -> DataFrame:
     s = s.select("source_id", "segment_id", "start_us", "end_us", F.when(F.col("speaker") != "", F.col("speaker")).alias("speaker"), text.alias("text"), F.trim(folded(text)).alias("low"))
     s = s.withColumn("kind", question_kind(F.col("low"))).withColumn("words", F.size(F.filter(F.split("text", r"\s+"), lambda w: w != "")))
     plain, qa = topic_terms(F.col("low"))
-    is_ = lambda p: F.col("low").rlike(p)
+    is_ = lambda p: F.col("low").rlike(sql_pattern(p))
     ends = lambda *x: reduce(Column.__or__, (F.col("text").endswith(e) for e in x))
     facts = {
         "plain": plain, "qa": qa, "asks": F.col("kind").isin("direct_question", "yes_no_question"), "marked": F.col("text").contains("?"), "firm": ends(".", "!"), "done": ends(".", "?", "!"), "trails": ends("...", "…"),
@@ -106,7 +106,7 @@ def _remark(a: Column, r: Column) -> Column:
 def _cue(r: Column, prompt: Column, words: Column) -> Column:
     """How a first answer takes up the question; null if nothing shows."""
     polar = r["polar"] & ((words <= 2) | (question_kind(prompt) == "yes_no_question"))
-    return reduce(lambda c, k: c.when(r["replies"][k] & prompt.rlike(REPLIES[k][1]), REPLIES[k][2]), range(len(REPLIES)), F.when(polar, "polar_response_cue"))
+    return reduce(lambda c, k: c.when(r["replies"][k] & prompt.rlike(sql_pattern(REPLIES[k][1])), REPLIES[k][2]), range(len(REPLIES)), F.when(polar, "polar_response_cue"))
 
 
 _STATE = {
@@ -126,7 +126,7 @@ def _read(q: Column, rows: Column) -> Column:
         gap, length = r["start_us"] - a["to"], F.greatest(r["end_us"] - r["start_us"], F.lit(0))
         spoken = F.array_union(a["asked_plain"], a["answer_plain"])
         prompt = F.concat(a["asked"], a["context"])
-        because = ~r["marked"] & r["replies"][0] & a["asked"].rlike(REPLIES[0][1])
+        because = ~r["marked"] & r["replies"][0] & a["asked"].rlike(sql_pattern(REPLIES[0][1]))
         seen = F.struct(
             (r["asks"] & ~because).alias("asks"),
             _remark(spoken, r).alias("remark"),

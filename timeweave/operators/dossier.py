@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numbers import mean_of
+from ..functions.text import sql_pattern
 from .intervals import SECOND, interval_join
 from .timeline import tagged, tagged_words
 
@@ -109,8 +110,8 @@ def boundary_proposals(clips: DataFrame, segments: DataFrame, gap_us: int = 5 *
     for name, pos in (("f", F.col("first_pos")), ("l", F.col("last_pos")), ("p", F.col("first_pos") - 1), ("n", F.col("last_pos") + 1)):
         s = at(name).withColumnRenamed("source_id", f"{name}_source")
         j = j.join(s, (F.col("source_id") == F.col(f"{name}_source")) & (pos == F.col(f"{name}_pos")), "left")
-    hanging = F.lower("f_text").rlike(r"^(?:que|e|mas|porque|assim|ent[aã]o|a[ií]|inclusive)\b") | (F.col("clean_opening") == F.lit(False))
-    loose = F.coalesce(F.col("clean_ending") == F.lit(False), F.lit(False)) | ~F.rtrim("l_text").rlike(r"[.!?]$") | F.rtrim("l_text").rlike(r"\.\.\.$")
+    hanging = F.lower("f_text").rlike(sql_pattern(r"^(?:que|e|mas|porque|assim|ent[aã]o|a[ií]|inclusive)\b")) | (F.col("clean_opening") == F.lit(False))
+    loose = F.coalesce(F.col("clean_ending") == F.lit(False), F.lit(False)) | ~F.rtrim("l_text").rlike(sql_pattern(r"[.!?]$")) | F.rtrim("l_text").rlike(sql_pattern(r"\.\.\.$"))
     may = lambda gap, topic: gap.between(0, gap_us) & F.coalesce(F.array_contains("topics", topic), F.lit(False))
     before = may(F.col("f_start_us") - F.col("p_end_us"), F.col("p_topic_id")) & F.coalesce(hanging, F.lit(False))
     after = may(F.col("n_start_us") - F.col("l_end_us"), F.col("n_topic_id")) & F.coalesce(loose, F.lit(False))

@@ -10,7 +10,7 @@ from ..functions import text as t
 
 def language_mismatch(text: Column, own: tuple[str, ...], other: tuple[str, ...]) -> Column:
     """Three or more distinct marker words of another language, and more than twice as many hits as of the own one."""
-    toks = F.regexp_extract_all(t.fold(F.coalesce(text, F.lit(""))), F.lit(r"\b[a-z]+\b"), F.lit(0))
+    toks = F.regexp_extract_all(t.fold(F.coalesce(text, F.lit(""))), F.lit(t.sql_pattern(r"\b[a-z]+\b")), F.lit(0))
     hits = lambda ws: F.filter(toks, lambda x: F.array_contains(F.array(*map(F.lit, ws)), x))
     a, b = hits(own), hits(other)
     return (F.size(F.array_distinct(b)) >= 3) & (F.size(b) > 2 * F.size(a))

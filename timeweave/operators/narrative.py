@@ -13,6 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import sql_pattern
 from .commercial import folded
 from .intervals import SECOND
 from .lineage import cut
@@ -42,7 +43,7 @@ def _role(ids: Column, low: Column) -> tuple[Column, Column]:
     held = lambda name: (F.size(F.coalesce(F.col(name), F.array().cast("array<string>"))) > 0) & (F.size(F.array_except(ids, F.coalesce(F.col(name), F.array().cast("array<string>")))) == 0)
     role = reduce(lambda c, x: c.when(held(x[0]), x[1]), COMPONENTS, F)
     named = reduce(lambda a, b: a | b, [held(x) for x, _ in COMPONENTS])
-    explains = low.rlike(EXPLANATION)
+    explains = low.rlike(sql_pattern(EXPLANATION))
     return role.when(explains, "explanation").otherwise("context"), F.when(named, "recorded_component_requires_review").when(explains, "literal_explanation_cue_requires_review").otherwise("source_context_only_not_narrative_completion")
 
 
@@ -68,7 +69,7 @@ def narrative_units(arcs: DataFrame, segments: DataFrame, candidates: DataFrame,
     """
     s = places(segments).join(segments.select("source_id", "segment_id", "text", "speaker", F.coalesce("uncertain", F.lit(False)).alias("uncertain")), ["source_id", "segment_id"])
     member = arcs.select("source_id", "arc_id", F.explode(F.array_distinct("evidence")).alias("segment_id"), F.size(F.array_distinct("evidence")).alias("n"), *(x for x, _ in COMPONENTS))
-    row = F.struct("pos", "segment_id", "start_us", "end_us", F.rtrim("text").rlike(ENDS).alias("ends"), "role", "text", "speaker", "uncertain")
+    row = F.struct("pos", "segment_id", "start_us", "end_us", F.rtrim("text").rlike(sql_pattern(ENDS)).alias("ends"), "role", "text", "speaker", "uncertain")
     low = folded(F.col("text"))
     known = member.join(s, ["source_id", "segment_id"]).withColumn("role", _role(F.array("segment_id"), low)[0])
     per = known.groupBy("source_id", "arc_id", "n").agg(F.array_sort(F.collect_list(row)).alias("rows")).where(F.size("rows") == F.col("n"))
@@ -93,7 +94,7 @@ def narrative_units(arcs: DataFrame, segments: DataFrame, candidates: DataFrame,
     met = met.groupBy("source_id", "unit_id").agg(F.array_sort(F.collect_set("candidate_id")).alias("candidate_ids"), F.bool_or("excluded").alias("ad"), F.bool_or(~F.col("verified")).alias("unverified"))
     u = units.join(met, ["source_id", "unit_id"], "left")
     ad, none = F.coalesce("ad", F.lit(False)), F.array().cast("array<string>")
-    found = [F.when(F.size("uncertain") > 0, "source_transcript_uncertain"), F.when(ad, "recorded_commercial_exclusion"), F.when(F.col("unverified"), "commercial_review_pending"), F.when(~F.col("tail").rlike(ENDS) | F.col("tail").rlike(TRAILS), "ending_requires_context_review"), F.when(F.col("end_us") - F.col("start_us") > long_us, "long_source_unit_requires_curator_split")]
+    found = [F.when(F.size("uncertain") > 0, "source_transcript_uncertain"), F.when(ad, "recorded_commercial_exclusion"), F.when(F.col("unverified"), "commercial_review_pending"), F.when(~F.col("tail").rlike(sql_pattern(ENDS)) | F.col("tail").rlike(sql_pattern(TRAILS)), "ending_requires_context_review"), F.when(F.col("end_us") - F.col("start_us") > long_us, "long_source_unit_requires_curator_split")]
     blockers = F.array_sort(F.array_compact(F.array(*map(F.lit, ALWAYS), *found)))
     kind = F.when(F.col("first.role") == "explanation", "explanation_candidate").when(F.col("first.kind") == "discussion_segment", "discussion_context").otherwise("narrative_fragment")
     return u.select("source_id", "unit_id", "arc_ids", "segment_ids", "start_us", "end_us", "literal", "first.role", "first.role_status", kind.alias("unit_type"), F.coalesce("candidate_ids", none).alias("candidate_ids"), "speakers", "uncertain", blockers.alias("blockers"), F.when(ad, BLOCKED).otherwise(READY).alias("eligibility"))

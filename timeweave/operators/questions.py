@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import squeeze
+from ..functions.text import sql_pattern, squeeze
 from .commercial import folded
 from .lineage import cut
 from .review import classify_question
@@ -69,7 +69,7 @@ def qa_audit(collections: list[DataFrame], segments: DataFrame, exports: DataFra
     j = j.join(sides, key, "left")
     is_, no = lambda c: F.coalesce(c, F.lit(False)), lambda c: ~F.coalesce(c, F.lit(False))
     kind, yes = F.when(worded, F.col("question_type")), is_(F.col("associated"))
-    categories = [(is_(kind.isin("direct_question", "yes_no_question")), "direct_question_candidate"), (is_(kind.isin("rhetorical_question", "self_question")), "rhetorical_question_candidate"), (worded & F.col("low").rlike(REFORMULATION), "reformulation_cue"), (worded & F.col("low").rlike(OPEN_END), "truncated_phrase_cue"), (is_(F.col("expected")) & ~yes, "question_without_observed_answer_span"), (F.col("expected") == F.lit(False), "answer_not_expected")]
+    categories = [(is_(kind.isin("direct_question", "yes_no_question")), "direct_question_candidate"), (is_(kind.isin("rhetorical_question", "self_question")), "rhetorical_question_candidate"), (worded & F.col("low").rlike(sql_pattern(REFORMULATION)), "reformulation_cue"), (worded & F.col("low").rlike(sql_pattern(OPEN_END)), "truncated_phrase_cue"), (is_(F.col("expected")) & ~yes, "question_without_observed_answer_span"), (F.col("expected") == F.lit(False), "answer_not_expected")]
     reasons = [
         (~F.col("recorded"), F.lit("question_record_missing")),
         (F.col("conflicting_fields").isNotNull(), F.lit("source_record_conflict")),
@@ -77,7 +77,7 @@ def qa_audit(collections: list[DataFrame], segments: DataFrame, exports: DataFra
         (F.lit(exports is not None) & (F.col("n_links") > 0) & F.col("n_exports").isNull(), F.lit("candidate_reference_not_exported")),
         (is_(F.col("export_clash")), F.lit("export_record_conflict")),
         (worded & F.col("low").startswith("porque ") & ~F.col("low").contains("?"), F.lit("porque_without_question_mark_ambiguous")),
-        (is_(kind == "banter") & F.col("low").contains("?") & F.col("low").rlike(SHORT_ASK), F.lit("short_interrogative_classified_as_banter")),
+        (is_(kind == "banter") & F.col("low").contains("?") & F.col("low").rlike(sql_pattern(SHORT_ASK)), F.lit("short_interrogative_classified_as_banter")),
         (~worded, F.lit("question_text_unavailable")),
         (is_(F.col("expected")) & ~yes, F.coalesce("unresolved_reason", F.lit("no_observed_answer_span"))),
         (is_(F.col("question_answer_complete")), F.lit("heuristic_completeness_not_audio_verified")),

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import sql_pattern
 from .commercial import classification, folded
 from .intervals import SECOND
 from .story import ACTION, CONFLICT, TOPIC_SHIFT, event_terms, literal_outcome
@@ -25,7 +26,7 @@ def _prepared(segments: DataFrame) -> DataFrame:
     low = folded(F.col("text"))
     s = segments.withColumn("low", low)
     terms = event_terms(F.col("low"))
-    return s.select("source_id", "segment_id", "start_us", "end_us", "speaker", F.coalesce("topic_ids", F.array().cast("array<string>")).alias("topics"), F.coalesce("text", F.lit("")).alias("text"), "low", F.col("low").rlike(ACTION).alias("acts"), F.col("low").rlike(CONFLICT).alias("conflicts"), F.col("low").rlike(TOPIC_SHIFT).alias("shifts"), literal_outcome(F.col("low")).alias("outcome"), terms.alias("terms"))
+    return s.select("source_id", "segment_id", "start_us", "end_us", "speaker", F.coalesce("topic_ids", F.array().cast("array<string>")).alias("topics"), F.coalesce("text", F.lit("")).alias("text"), "low", F.col("low").rlike(sql_pattern(ACTION)).alias("acts"), F.col("low").rlike(sql_pattern(CONFLICT)).alias("conflicts"), F.col("low").rlike(sql_pattern(TOPIC_SHIFT)).alias("shifts"), literal_outcome(F.col("low")).alias("outcome"), terms.alias("terms"))
 
 
 _ROW = ("start_us", "end_us", "segment_id", "speaker", "topics", "text", "low", "acts", "conflicts", "shifts", "outcome", "terms")
@@ -49,8 +50,8 @@ def _continues(r: Column, told: Column, trouble: Column) -> Column:
     """Whether an outcome takes up what the same voice has told: a shared word, the event's end, a solved trouble, a recording."""
     music = F.array(*map(F.lit, MUSIC))
     low = F.trim(r["low"])
-    recorded = (F.size(F.array_intersect(told, music)) >= 2) & F.arrays_overlap(r["terms"], music) & r["low"].rlike(RECORDED) & trouble
-    return F.arrays_overlap(r["terms"], told) | (r["low"].rlike(CLOSING) & r["low"].rlike(APPLAUSE)) | (low.rlike(RESOLUTION) & trouble) | recorded
+    recorded = (F.size(F.array_intersect(told, music)) >= 2) & F.arrays_overlap(r["terms"], music) & r["low"].rlike(sql_pattern(RECORDED)) & trouble
+    return F.arrays_overlap(r["terms"], told) | (r["low"].rlike(sql_pattern(CLOSING)) & r["low"].rlike(sql_pattern(APPLAUSE))) | (low.rlike(sql_pattern(RESOLUTION)) & trouble) | recorded
 
 
 def _read(opening: Column, longest_us: int, gap_us: int, interruption_us: int) -> Column:
@@ -105,7 +106,7 @@ def recover_arcs(segments: DataFrame, longest_us: int = 360 * SECOND, gap_us: in
     near = spread.select("*", brief.alias("r0"), *(F.lead(brief, k).over(w).alias(f"r{k}") for k in (1, 2, 3)))
     a = near.where("own = bucket and speaker is not null").withColumn("opening", _opening(bucket_us, gap_us, opening_us))
     said = F.array_join(F.transform(F.slice(F.array(*(F.col(f"r{k}") for k in range(4))), F.lit(1), F.col("opening")), lambda r: r["low"]), " ")
-    a = a.where((F.col("opening") > 0) & said.rlike(ACTION)).select(F.col("source_id").alias("a_source"), F.col("bucket").alias("a_bucket"), F.struct("start_us", "end_us", "segment_id").alias("key"), "opening")
+    a = a.where((F.col("opening") > 0) & said.rlike(sql_pattern(ACTION))).select(F.col("source_id").alias("a_source"), F.col("bucket").alias("a_bucket"), F.struct("start_us", "end_us", "segment_id").alias("key"), "opening")
     after = F.struct("start_us", "end_us", "segment_id")
     j = a.join(spread.select("source_id", "bucket", F.struct(*_ROW).alias("r"), after.alias("at")), (F.col("a_source") == F.col("source_id")) & (F.col("a_bucket") == F.col("bucket")) & (F.col("at") >= F.col("key")) & (F.col("at.start_us") <= F.col("key.start_us") + longest_us))
     g = j.groupBy("source_id", "key", "opening").agg(F.array_sort(F.collect_list("r")).alias("rows")).join(last, "source_id")

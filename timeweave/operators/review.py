@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numbers import ratio
+from ..functions.text import sql_pattern
 from .commercial import COMMERCIAL_TYPES, folded, let
 
 # Names of states and the words that stand for them.
@@ -45,7 +46,7 @@ def context_reason(given: Column, legacy: Column) -> Column:
 
 def normalize_moments(moments: DataFrame) -> DataFrame:
     """Defaults of moments: complete_sentence from the text's end, standalone_class of the known ones, needs_review unless said otherwise, how far the method's confidence goes."""
-    ends = F.coalesce(F.rtrim(F.coalesce("text", F.lit(""))).rlike(r"[.?!]$"), F.lit(False))
+    ends = F.coalesce(F.rtrim(F.coalesce("text", F.lit(""))).rlike(sql_pattern(r"[.?!]$")), F.lit(False))
     known = F.when(_in(F.col("standalone_class"), STANDALONE), F.col("standalone_class")).otherwise("needs_context")
     return moments.withColumn("complete_sentence", F.coalesce("complete_sentence", ends)).withColumn("standalone_class", known).withColumn("needs_review", F.coalesce("needs_review", F.lit(True))).withColumn("confidence_method", F.when(F.col("method").eqNullSafe(F.lit("ollama")), "subjective_llm_judgment").otherwise("lexical_heuristic"))
 
@@ -111,7 +112,7 @@ def question_kind(low: Column) -> Column:
 
     def kind(v: Column) -> Column:
         n = F.size(F.filter(F.split(v, r"\s+"), lambda w: w != ""))
-        return F.when(~(v.contains("?") | v.rlike(ASKS)), "statement").when(v.rlike(GREETING), "greeting_question").when(v.rlike(SELF), "self_question").when(v.rlike(RHETORICAL) & (n <= 12), "rhetorical_question").when(v.rlike(TAG) & ~v.rlike(OPEN_WORD), "tag_question").when((n <= 2) & ~v.rlike(ASK_WORD), "banter").when(v.rlike(YES_NO), "yes_no_question").otherwise("direct_question")
+        return F.when(~(v.contains("?") | v.rlike(sql_pattern(ASKS))), "statement").when(v.rlike(sql_pattern(GREETING)), "greeting_question").when(v.rlike(sql_pattern(SELF)), "self_question").when(v.rlike(sql_pattern(RHETORICAL)) & (n <= 12), "rhetorical_question").when(v.rlike(sql_pattern(TAG)) & ~v.rlike(sql_pattern(OPEN_WORD)), "tag_question").when((n <= 2) & ~v.rlike(sql_pattern(ASK_WORD)), "banter").when(v.rlike(sql_pattern(YES_NO)), "yes_no_question").otherwise("direct_question")
 
     return let(F.trim(low), kind)
 
@@ -123,7 +124,7 @@ def classify_question(df: DataFrame, text: str = "text") -> DataFrame:
     kind = question_kind(v)
     df = df.withColumn("question_type", kind).withColumn("answer_expected", F.col("question_type").isin("direct_question", "yes_no_question"))
     q = F.col("question_type")
-    hooks = [(q.isin("greeting_question", "banter", "tag_question"), "generic_question", 0.1), (q.isin("rhetorical_question", "self_question"), "rhetorical_question", 0.25), (v.rlike(REVEAL), "reveal", 0.8), (v.rlike(EMOTION), "emotional_statement", 0.75), (v.rlike(CLAIM) & (n >= 5), "strong_claim", 0.65), (F.col("answer_expected"), "genuine_question", 0.6), (v.rlike(STORY), "story_opening", 0.6), (v.rlike(FILLER), "filler", 0.0)]
+    hooks = [(q.isin("greeting_question", "banter", "tag_question"), "generic_question", 0.1), (q.isin("rhetorical_question", "self_question"), "rhetorical_question", 0.25), (v.rlike(sql_pattern(REVEAL)), "reveal", 0.8), (v.rlike(sql_pattern(EMOTION)), "emotional_statement", 0.75), (v.rlike(sql_pattern(CLAIM)) & (n >= 5), "strong_claim", 0.65), (F.col("answer_expected"), "genuine_question", 0.6), (v.rlike(sql_pattern(STORY)), "story_opening", 0.6), (v.rlike(sql_pattern(FILLER)), "filler", 0.0)]
     pick = lambda k, last: reduce(lambda c, r: c.when(r[0], F.lit(r[k])), hooks, F).otherwise(last)
     return df.withColumn("hook_type", pick(1, "unresolved")).withColumn("hook_strength", pick(2, F.lit(None).cast("double")))
 
@@ -202,7 +203,7 @@ def wrap_text(text: Column, most: int = 38) -> Column:
 
     def lines(t: Column) -> Column:
         left, right = lambda i: join(F.slice(t, F.lit(1), i)), lambda i: join(F.slice(t, i + 1, F.size(t)))
-        cut = lambda i: F.struct((~F.element_at(t, i).rlike("[.,;:!?]$")).alias("plain"), F.abs(F.length(left(i)) - F.length(right(i))).alias("apart"), i.alias("i"))
+        cut = lambda i: F.struct((~F.element_at(t, i).rlike(sql_pattern("[.,;:!?]$"))).alias("plain"), F.abs(F.length(left(i)) - F.length(right(i))).alias("apart"), i.alias("i"))
         fit = F.filter(F.sequence(F.lit(1), F.greatest(F.size(t) - 1, F.lit(1))), lambda i: (i < F.size(t)) & (F.length(left(i)) <= most) & (F.length(right(i)) <= most))
         best = F.array_min(F.transform(fit, cut))["i"]
         first = F.struct(F.lit("").alias("done"), F.lit("").alias("line"))

@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import qa_terms
+from ..functions.text import qa_terms, sql_pattern
 from .commercial import classification, folded
 from .intervals import SECOND, interval_join
 
@@ -38,7 +38,7 @@ SUBJECT_CHANGE = r"\b(?:mudando de assunto|outro assunto|agora vamos falar)\b"
 
 def literal_outcome(low: Column) -> Column:
     """An affirmative outcome that no doubt, question or loose end leaves open."""
-    return low.rlike(OUTCOME) & ~low.rlike(OPEN_OUTCOME) & ~low.contains("?") & ~low.rlike(UNFINISHED)
+    return low.rlike(sql_pattern(OUTCOME)) & ~low.rlike(sql_pattern(OPEN_OUTCOME)) & ~low.contains("?") & ~low.rlike(sql_pattern(UNFINISHED))
 
 
 def event_terms(low: Column) -> Column:
@@ -61,7 +61,7 @@ def story_arcs(segments: DataFrame, qas: DataFrame, longest_us: int = 360 * SECO
     """
     low = folded(F.col("text"))
     s = segments.withColumn("low", low)
-    row = F.struct("start_us", "segment_id", "end_us", "speaker", "text", F.col("low").rlike(SETUP).alias("is_setup"), F.col("low").rlike(TENSION).alias("is_tension"), literal_outcome(F.col("low")).alias("is_outcome"), F.col("low").rlike(ACTION).alias("acts"), F.col("low").rlike(TOPIC_SHIFT).alias("shifts"), event_terms(F.col("low")).alias("terms"))
+    row = F.struct("start_us", "segment_id", "end_us", "speaker", "text", F.col("low").rlike(sql_pattern(SETUP)).alias("is_setup"), F.col("low").rlike(sql_pattern(TENSION)).alias("is_tension"), literal_outcome(F.col("low")).alias("is_outcome"), F.col("low").rlike(sql_pattern(ACTION)).alias("acts"), F.col("low").rlike(sql_pattern(TOPIC_SHIFT)).alias("shifts"), event_terms(F.col("low")).alias("terms"))
     t = s.groupBy("source_id", "topic_id").agg(F.array_sort(F.collect_list(row)).alias("rows")).where(F.size("rows") >= 3)
     t = t.withColumn("from_us", F.col("rows")[0]["start_us"]).withColumn("to_us", F.array_max(F.transform("rows", lambda x: x["end_us"])))
     q = qas.select("source_id", F.col("question_start_us").alias("q"), F.col("answer_end_us").alias("a"), "answer_segment_id")
@@ -94,7 +94,7 @@ def story_arcs(segments: DataFrame, qas: DataFrame, longest_us: int = 360 * SECO
     t = t.withColumn("kind", F.when(hollow, "partial_story").otherwise(F.col("kind"))).withColumn("marked", F.col("marked") & ~hollow)
     t = t.withColumn("ending", F.element_at("rows", -1)).withColumn("start_us", F.coalesce("setup.start_us", "from_us")).where(F.col("ending.end_us") - F.col("start_us") >= shortest_us)
     t = t.withColumn("ad", classification(F.array_join(F.transform("rows", lambda x: x["text"]), " "))["eligibility"]).where("ad <> 'excluded'")
-    done = F.rtrim(F.col("ending.text")).rlike(r"[.?!]$")
+    done = F.rtrim(F.col("ending.text")).rlike(sql_pattern(r"[.?!]$"))
     between = F.size(F.filter(F.slice("rows", 2, F.greatest(F.size("rows") - 2, F.lit(0))), lambda x: F.col("payoff").isNull() | (x["start_us"] < F.col("payoff.start_us")))) > 0
     developed = F.when(answer & ~F.col("marked"), between).otherwise(F.size("middle") > 0)
     score = F.when(F.col("marked") | answer, F.round(F.least(F.lit(1.0), 0.55 + 0.1 * F.col("setup").isNotNull().cast("int") + 0.15 * developed.cast("int") + 0.15 * done.cast("int")), 6))
@@ -110,7 +110,7 @@ def arc_resumptions(arcs: DataFrame, segments: DataFrame, most_segments: int = 2
     w = Window.partitionBy("source_id").orderBy("pos")
     low = folded(F.col("text"))
     s = segments.withColumn("broken", F.when(F.col("start_us") < F.lag("end_us").over(w), F.col("pos")))
-    s = s.withColumn("broken", F.coalesce(F.max("broken").over(w), F.lit(-1))).where(low.rlike(RESUMPTION) & ~low.rlike(TOPIC_SHIFT))
+    s = s.withColumn("broken", F.coalesce(F.max("broken").over(w), F.lit(-1))).where(low.rlike(sql_pattern(RESUMPTION)) & ~low.rlike(sql_pattern(TOPIC_SHIFT)))
     s = s.select("source_id", "segment_id", "pos", "end_us", "speaker", "broken", qa_terms(F.col("text")).alias("own"))
     j = arcs.join(s, ["source_id", "speaker"]).where((F.col("pos") > F.col("last_pos")) & (F.col("pos") <= F.col("last_pos") + most_segments) & (F.col("end_us") - F.col("last_end_us") <= most_us) & (F.col("broken") <= F.col("last_pos")))
     j = j.withColumn("shared", F.array_sort(F.array_intersect("terms", "own"))).where(F.size("shared") >= 2)
@@ -161,10 +161,10 @@ def humor_integrity(clips: DataFrame, segments: DataFrame, after_us: int = 16 *
     """source_id, clip_id, status, classification, blockers from laughter, punch lines, setups and interruptions inside a clip, right after and right before it. clips: source_id, clip_id, start_us, end_us, hinted."""
     low = folded(F.col("text"))
     s = segments.select("source_id", "start_us", "end_us", low.alias("low"))
-    rest = F.regexp_replace(F.regexp_replace("low", LAUGHTER, ""), PUNCHLINE, "")
-    payoff = F.col("low").rlike(PUNCHLINE) & ~F.col("low").rlike(ASR_GAP) & ~F.col("low").rlike(TEASER) & (F.regexp_count(rest, F.lit("[a-z0-9_]+")) >= 2) & ~F.col("low").rlike(HANGING)
-    spoken = F.regexp_replace(F.regexp_replace("low", LAUGHTER, ""), ASR_GAP, "").rlike("[a-z0-9_]")
-    s = s.select("source_id", "start_us", "end_us", F.col("low").rlike(LAUGHTER).alias("laugh"), (spoken & F.col("low").rlike(PUNCHLINE)).alias("punch"), payoff.alias("payoff"), F.col("low").rlike(INTERRUPT).alias("cut"), F.col("low").rlike(JOKE_SETUP).alias("setup"), F.col("low").rlike(ASR_GAP).alias("gap"))
+    rest = F.regexp_replace(F.regexp_replace("low", sql_pattern(LAUGHTER), ""), sql_pattern(PUNCHLINE), "")
+    payoff = F.col("low").rlike(sql_pattern(PUNCHLINE)) & ~F.col("low").rlike(sql_pattern(ASR_GAP)) & ~F.col("low").rlike(sql_pattern(TEASER)) & (F.regexp_count(rest, F.lit("[a-z0-9_]+")) >= 2) & ~F.col("low").rlike(sql_pattern(HANGING))
+    spoken = F.regexp_replace(F.regexp_replace("low", sql_pattern(LAUGHTER), ""), sql_pattern(ASR_GAP), "").rlike("[a-z0-9_]")
+    s = s.select("source_id", "start_us", "end_us", F.col("low").rlike(sql_pattern(LAUGHTER)).alias("laugh"), (spoken & F.col("low").rlike(sql_pattern(PUNCHLINE))).alias("punch"), payoff.alias("payoff"), F.col("low").rlike(sql_pattern(INTERRUPT)).alias("cut"), F.col("low").rlike(sql_pattern(JOKE_SETUP)).alias("setup"), F.col("low").rlike(sql_pattern(ASR_GAP)).alias("gap"))
     wide = clips.select("source_id", "clip_id", "hinted", F.col("start_us").alias("c0"), F.col("end_us").alias("c1"), (F.col("start_us") - before_us - 1).alias("start_us"), (F.col("end_us") + after_us + 1).alias("end_us"))
     j = interval_join(wide, s, "left")
     inside = (F.col("b_end_us") > F.col("c0")) & (F.col("b_start_us") < F.col("c1"))
@@ -187,7 +187,7 @@ def humor_bounds(clips: DataFrame, segments: DataFrame, most_us: int = 5 * SECON
     A change of subject, a gap above most_us or a segment that reaches beyond 0 or the source's end makes it unsafe; then the clip stays as it is.
     """
     low = folded(F.col("text"))
-    s = segments.select("source_id", "segment_id", "start_us", "end_us", low.rlike(JOKE_SETUP).alias("setup"), (low.rlike(PUNCHLINE) | low.rlike(LAUGHTER)).alias("laugh"), low.rlike(SUBJECT_CHANGE).alias("change"))
+    s = segments.select("source_id", "segment_id", "start_us", "end_us", low.rlike(sql_pattern(JOKE_SETUP)).alias("setup"), (low.rlike(sql_pattern(PUNCHLINE)) | low.rlike(sql_pattern(LAUGHTER))).alias("laugh"), low.rlike(sql_pattern(SUBJECT_CHANGE)).alias("change"))
     end = segments.groupBy("source_id").agg(F.max("end_us").alias("upper"))
     c = clips.select("source_id", "clip_id", F.col("start_us").alias("c0"), F.col("end_us").alias("c1"), (F.col("start_us") - most_us - 1).alias("start_us"), (F.col("end_us") + most_us + 1).alias("end_us"))
     row = F.struct("b_start_us", "b_end_us", "b_segment_id", "b_setup", "b_laugh", "b_change")

@@ -144,7 +144,7 @@ def j12_forward_links(spark, sf_dir):
 def n18_opening_ending(spark, sf_dir):
     first = F.substring(F.ltrim("text"), 1, 1)
     low = F.lower("text")
-    return d.segments(spark, sf_dir).select("segment_id", ((F.lower(first) == first) | low.rlike("^(?:and|but|et|und|or) ")).alias("dangling"), (F.col("text").rlike(r"[.?!]\s*$") & ~low.rlike(r"\b(?:and|et|und)[.?!]?\s*$")).alias("clean_ending"))
+    return d.segments(spark, sf_dir).select("segment_id", ((F.lower(first) == first) | low.rlike("^(?:and|but|et|und|or) ")).alias("dangling"), (F.col("text").rlike(t.sql_pattern(r"[.?!]\s*$")) & ~low.rlike(t.sql_pattern(r"\b(?:and|et|und)[.?!]?\s*$"))).alias("clean_ending"))
 
 
 @query("""select doc_id, case when length(text) <= 300 then text else regexp_replace(substr(text, 1, 300), '[ \\n]+[^ \\n]*\\z', '') end as quote, substr(sha256(text), 1, 16) as reference from documents where length(text) > 0""")
