@@ -1,12 +1,14 @@
 """Edges that the given tables hold only at larger sizes: operators against plain versions, queries against their SQL."""
 
 import math
+import time
 
 import duckdb
+import numpy as np
 from pyspark.sql import functions as F
 
 from timeweave.functions import numbers, text
-from timeweave.operators import intervals, story
+from timeweave.operators import clean, folds, intervals, story
 
 S = 1_000_000
 
@@ -34,3 +36,13 @@ def test_laughter_before_a_sharp_s_is_a_word(spark):
     c = spark.createDataFrame([(1, "c", 0, 9 * S, True)], "source_id long, clip_id string, start_us long, end_us long, hinted boolean")
     r = story.humor_integrity(c, s).first()
     assert (r.status, r.blockers) == ("incomplete", "punchline_not_grounded")
+
+
+def test_phrases_with_a_common_first_word_make_no_pairs(spark):
+    n = 3_000
+    s = spark.createDataFrame([(1, f"s{k}", ["a", f"x{k}"] * 40) for k in range(n)], "source_id long, segment_id string, tokens array<string>")
+    p = spark.createDataFrame([(1, f"p{k}", ["a", f"x{k}"]) for k in range(n)] + [(1, "long", ["x7", "a", "x7"]), (1, "one", ["x8"]), (1, "none", [])], "source_id long, phrase_id string, phrase array<string>")
+    began = time.time()
+    got = {(r.phrase_id, r.segment_id, r.first_at) for r in clean.phrase_locate(p, s).collect()}
+    assert got == {(f"p{k}", f"s{k}", 1) for k in range(n)} | {("long", "s7", 2), ("one", "s8", 2)}
+    assert time.time() - began < 30  # 360 million comparisons otherwise

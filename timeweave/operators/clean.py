@@ -114,12 +114,15 @@ def persistent_text(ocr: DataFrame, gap_us: int = 10_000_000, tolerance: float =
 def phrase_locate(phrases: DataFrame, segments: DataFrame) -> DataFrame:
     """phrase_id, source_id, segment_id, first_at: where a phrase (an array of tokens) first stands as a run in a segment (tokens) of its source, counted from 1.
 
-    They meet at the phrase's first token; the run from there is compared.
+    They meet at the whole run: every segment is read once for each length that its source's phrases have, and equal phrases and
+    runs come together once, so the join makes no row that is not a result.
     """
-    p = phrases.where(F.size("phrase") > 0).select("source_id", "phrase_id", "phrase", F.col("phrase")[0].alias("token"))
-    t = segments.select("source_id", "segment_id", "tokens", F.posexplode("tokens").alias("pos", "token"))
-    run = t.join(p, ["source_id", "token"]).where(F.slice("tokens", F.col("pos") + 1, F.size("phrase")) == F.col("phrase"))
-    return run.groupBy("phrase_id", "source_id", "segment_id").agg((F.min("pos") + 1).alias("first_at"))
+    p = phrases.where(F.size("phrase") > 0).select("source_id", "phrase_id", "phrase")
+    lengths = p.groupBy("source_id").agg(F.collect_set(F.size("phrase")).alias("lengths"))
+    runs = F.expr("transform(sequence(1, size(tokens) - n + 1), i -> struct(slice(tokens, i, n) as phrase, i as first_at))")
+    t = segments.join(lengths, "source_id").withColumn("n", F.explode("lengths")).where("n <= size(tokens)").select("source_id", "segment_id", F.explode(runs).alias("r"))
+    first = t.groupBy("source_id", "segment_id", "r.phrase").agg(F.min("r.first_at").alias("first_at"))
+    return first.join(p, ["source_id", "phrase"]).groupBy("phrase_id", "source_id", "segment_id").agg(F.min("first_at").alias("first_at"))
 
 
 def caption_alignment(words: DataFrame, segments: DataFrame) -> DataFrame:
