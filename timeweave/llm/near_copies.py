@@ -10,8 +10,9 @@ space, A-Z lower); a text of fewer than five words is one shingle.
 Links by fingerprints and by crowded buckets come first: of a bucket with more than `bucket` distinct texts each meets one of
 them. Then smaller buckets are compared pair by pair, and crowded ones are cut `turns` times by the texts' value in another
 band: small parts are compared pair by pair, of larger ones a text of each group found so far meets one of them. Only texts that
-no links connect yet are paired there, so a large group of near copies costs no pairs of its own. A pair of similarity 0.8 that
-meets in crowded buckets only is missed with a chance of about 0.07 ** turns.
+no links connect yet are paired there, so a large group of near copies costs no pairs of its own. What is still of several groups in
+a crowded bucket then meets by an exact prefix filter: of two similar texts the rarest shingles of each, a fifth of them and one,
+hold a common one. So every pair of similarity 0.8 among those texts is found, at whatever size of buckets and of shingles' lists.
 
 Texts without words are copies of each other; a null text is one. Rows that share an id but not the text are documents of
 their own. Rows equal in id and text are one. Ties go to the smaller id, then to the smaller hash of the text. Rows without
@@ -144,6 +145,31 @@ def _stars(index: DataFrame, sizes: DataFrame, key: list[str], bucket: int) -> D
     return index.where("same = root").join(crowd, key).where("root <> pivot_root").select(F.col("same").alias("u"), F.col("pivot").alias("v")).distinct()
 
 
+def _by_prefix(sets: DataFrame, texts: DataFrame, least: float, block: int = 512) -> DataFrame:
+    """u < v: pairs of different groups among the texts (same, root) that hold all whose similarity is `least` or more.
+
+    Shingles of one group alone come first in the order of rarity and need no list. A long list is cut into blocks of about `block`
+    texts by hash, and each pair of blocks is a group of its own, so no task holds a list whole.
+    """
+    own = texts.join(sets, "same").select("same", "root", "n", F.explode("shingles").alias("s"))
+    many = c.cut(own.groupBy("s").agg(F.count(F.lit(1)).alias("c"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("s", "c"))
+    shared = own.join(many, "s").groupBy("same", "root", "n").agg(F.sort_array(F.collect_list(F.struct("c", "s"))).alias("all"))
+    # places count from 0 over all shingles of a text, those of one group alone before the others
+    alone = F.col("n") - F.size("all")
+    first = (F.col("n") - F.ceil(F.lit(least) * F.col("n") - 1e-9) + 1 - alone).cast("int")
+    lists = shared.where(first > 0).select("same", "root", "n", alone.alias("alone"), F.posexplode(F.slice("all", F.lit(1), first)).alias("at", "x"))
+    lists = c.cut(lists.select(F.col("x.s").alias("s"), "same", "root", "n", (F.col("alone") + F.col("at")).alias("at")))
+    sizes = lists.groupBy("s").agg(F.count(F.lit(1)).alias("m"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi")
+    cut = lists.join(sizes.select("s", F.ceil(F.col("m") / block).cast("int").alias("blocks")), "s").withColumn("b", F.pmod(F.xxhash64("same", F.lit(5)), "blocks").cast("int"))
+    dealt = cut.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("i", F.least("b", "o")).withColumn("j", F.greatest("b", "o"))
+    met = dealt.groupBy("s", "i", "j").agg(F.sort_array(F.collect_list(F.struct("same", "root", "n", "at", "b"))).alias("all"))
+    pairs = met.select("i", "j", "all", F.posexplode("all").alias("k", "x")).select("i", "j", "x", F.explode(F.expr("slice(all, k + 2, size(all))")).alias("y"))
+    # two texts whose first common shingle this is share no more than what follows it in either
+    most = F.least(F.col("x.n") - F.col("x.at"), F.col("y.n") - F.col("y.at"))
+    enough = (F.col("x.root") != F.col("y.root")) & (F.least("x.n", "y.n") >= F.lit(least) * F.greatest("x.n", "y.n") - 1e-9) & (most * (1 + F.lit(least)) >= F.lit(least) * (F.col("x.n") + F.col("y.n")) - 1e-9)
+    return pairs.where(((F.col("i") == F.col("j")) | (F.col("x.b") != F.col("y.b"))) & enough).select(F.col("x.same").alias("u"), F.col("y.same").alias("v")).distinct()
+
+
 def _sets_of(docs: DataFrame, nodes: DataFrame, asked: DataFrame) -> DataFrame:
     """same, shingles and n, their number, of the texts asked for (same)."""
     ids = c.cut(nodes.join(asked.distinct(), "same").select("doc_id").distinct())
@@ -210,6 +236,13 @@ def drop(docs: DataFrame, least: float = 0.8, bucket: int = 32, turns: int = 4)
     part = [*key, "turn", "cut"]
     sizes = _sizes(index, part, 1)
     links.add(_verified(sets, c.cut(_pairs(index, sizes, part, bucket).union(_stars(index, sizes, part, bucket)).distinct()), least))
+    # crowded buckets that still hold several groups: their texts meet exactly
+    if not (crowd := several.where(F.col("n") > bucket).select(*key)).isEmpty():
+        index = _at(_index(links.grouped()), crowd, key)
+        torn = index.groupBy(*key).agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select(*key)
+        texts = c.cut(index.join(torn, key).select("same", "root").distinct())
+        if not texts.isEmpty():
+            links.add(_verified(sets, c.cut(_by_prefix(sets, texts, least)), least))
     kept = links.grouped().groupBy("root").agg(F.min("least").alias("least")).select("least.doc_id", "least.row_key")
     # the join leaves each partition sorted by both, so the first of equal rows costs no other sort or shuffle
     first = F.row_number().over(Window.partitionBy("doc_id", "row_key").orderBy("doc_id"))
