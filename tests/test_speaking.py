@@ -85,3 +85,16 @@ def test_moments_of_each_state(spark):
     assert length(runs) == length(cells) == 13 * S and runs.count() < len(rows)
     (m,) = op.active_speaker_metrics(cells, ts).collect()
     assert m.speech_us == 12 * S and abs(m.known_share + m.unknown_share - 1) < 0.2 and m.ambiguous_us == S and m.age_p50_us <= op.GAP_US
+
+
+def test_cells_of_speech_hold_no_steps_of_silence(spark):
+    """One turn of two seconds in a bucket of ten minutes, and one over a bucket's edge: only steps of speech are made, and cells end where they did."""
+    rows = spark.createDataFrame([(1, "a", 250_000, 2_250_000), (1, "b", 1_000_000, 1_000_000 + 200), (2, "a", 599_900_000, 600_600_000), (3, "a", 100, 200)], "source_id long, speaker string, start_us long, end_us long")
+    frames = spark.createDataFrame([(1, 300_000, 300_000_000)], "source_id long, start_us long, end_us long")
+    cells = op.speech_cells(rows, frames)
+    got = sorted((x.source_id, x.start_us, x.end_us, ",".join(x.speakers)) for x in cells.collect())
+    a = [(1, 250_000, 300_000, "a"), (1, 300_000, 500_000, "a"), (1, 500_000, 1_000_000, "a"), (1, 1_000_000, 1_000_200, "a,b"), (1, 1_000_200, 1_500_000, "a"), (1, 1_500_000, 2_000_000, "a"), (1, 2_000_000, 2_250_000, "a")]
+    assert got == [*a, (2, 599_900_000, 600_000_000, "a"), (2, 600_000_000, 600_500_000, "a"), (2, 600_500_000, 600_600_000, "a"), (3, 100, 200, "a")]
+    # a bucket as long as 63 years would have two thousand million steps
+    wide = op.speech_cells(rows, frames, width=10**15)
+    assert sorted((x.source_id, x.start_us, x.end_us) for x in wide.where("source_id <> 2").collect()) == [x[:3] for x in a] + [(3, 100, 200)]

@@ -102,12 +102,16 @@ def speech_cells(turns: DataFrame, *others: DataFrame, step_us: int = STEP_US, w
     t = turns.where("source_id is not null and speaker is not null and end_us > start_us").select("source_id", "speaker", "start_us", "end_us")
     per = t.withColumn("bucket", F.explode(F.sequence(F.floor(F.col("start_us") / width), F.floor((F.col("end_us") - 1) / width))))
     used = per.select("source_id", "bucket").distinct()
-    steps = used.select("source_id", "bucket", F.explode(F.sequence(F.col("bucket") * width, (F.col("bucket") + 1) * width - 1, F.lit(step_us))).alias("t"))
+    # steps count from the bucket's edge; only those inside speech begin a cell of it, the others would be no more than rows to hold
+    edge = F.col("bucket") * width
+    first = edge + F.ceil((F.greatest("start_us", edge) - edge) / step_us) * step_us
+    last = F.least("end_us", edge + width) - 1
+    steps = per.select("source_id", "bucket", F.explode(F.when(first <= last, F.sequence(first, last, F.lit(step_us)))).alias("t"))
     ends = reduce(DataFrame.unionByName, [x.select("source_id", F.explode(F.array("start_us", "end_us")).alias("t")) for x in (t, *others)])
     ends = ends.where("t is not null").withColumn("bucket", F.floor(F.col("t") / width)).join(used, ["source_id", "bucket"], "left_semi")
-    points = steps.unionByName(ends).distinct()
+    # of equal points all but the last begin empty cells: sorting drops them, no table of all distinct points is held
     lead = F.lead("t").over(Window.partitionBy("source_id", "bucket").orderBy("t"))
-    cells = points.select("source_id", "bucket", F.col("t").alias("start_us"), F.coalesce(lead, (F.col("bucket") + 1) * width).alias("end_us"))
+    cells = steps.unionByName(ends).select("source_id", "bucket", F.col("t").alias("start_us"), F.coalesce(lead, (F.col("bucket") + 1) * width).alias("end_us")).where("end_us > start_us")
     alive = per.withColumnsRenamed({"source_id": "s", "bucket": "b", "start_us": "t0", "end_us": "t1"})
     j = cells.join(alive, (F.col("source_id") == F.col("s")) & (F.col("bucket") == F.col("b")) & (F.col("t0") <= F.col("start_us")) & (F.col("start_us") < F.col("t1")))
     return j.groupBy("source_id", "start_us", "end_us").agg(F.array_sort(F.collect_set("speaker")).alias("speakers"))
