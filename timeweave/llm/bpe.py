@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from . import common as c
 
 #: Encoded pieces that a worker keeps; beyond it the store starts anew. It only saves time.
-KEPT_PIECES = 250_000
+KEPT_PIECES = 150_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -220,7 +220,7 @@ def encode_column(docs: DataFrame, ranks_path: str, pattern: str, id_col: str =
                 encoded = list(codec.encode_all(column.slice(lo, hi - lo).to_pylist()))
                 yield pa.RecordBatch.from_arrays([ids.slice(lo, hi - lo), pa.array(encoded, pa.list_(pa.int32()))], names=["doc_id", "ids"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, ids array<int>")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(c.lean(run), "doc_id long, ids array<int>")
 
 
 def decode_column(encoded: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
@@ -232,7 +232,7 @@ def decode_column(encoded: DataFrame, ranks_path: str, pattern: str) -> DataFram
             decoded = [codec.decode(x or ()) for x in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(decoded, pa.binary())], names=["doc_id", "ids", "decoded"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids array<int>, decoded binary")
+    return encoded.select("doc_id", "ids").mapInArrow(c.lean(run), "doc_id long, ids array<int>, decoded binary")
 
 
 def digests(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False) -> DataFrame:
@@ -258,4 +258,4 @@ def digests(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_i
                 arrays = [ids.slice(lo, hi - lo), pa.array(n, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_text, pa.string())]
                 yield pa.RecordBatch.from_arrays(arrays + [pa.array(kept, pa.list_(pa.int32()))] * keep_ids, names=names)
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(c.lean(run), schema)

@@ -158,16 +158,27 @@ def _by_prefix(sets: DataFrame, texts: DataFrame, least: float, block: int = 512
     alone = F.col("n") - F.size("all")
     first = (F.col("n") - F.ceil(F.lit(least) * F.col("n") - 1e-9) + 1 - alone).cast("int")
     lists = shared.where(first > 0).select("same", "root", "n", alone.alias("alone"), F.posexplode(F.slice("all", F.lit(1), first)).alias("at", "x"))
-    lists = c.cut(lists.select(F.col("x.s").alias("s"), "same", "root", "n", (F.col("alone") + F.col("at")).alias("at")))
+    lists = lists.select(F.col("x.s").alias("s"), "same", "root", "n", (F.col("alone") + F.col("at")).alias("at"))
+    # a text whose first common shingle lies here meets none of more shingles than `most`: rows that no other of the list can meet are left out
+    lists = c.cut(lists.withColumn("most", (F.col("n") - F.col("at")) * ((1 + least) / least) - F.col("n") + 1e-6))
+    bounds = lists.groupBy("s").agg(F.min("n").alias("fewest"), F.max("most").alias("widest"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi")
+    lists = lists.join(bounds.select("s", "fewest", "widest"), "s").where("most >= fewest and n <= widest").select("s", "same", "root", "n", "at")
+    # two texts whose first common shingle this is share no more than what follows it in either
+    most = F.least(F.col("x.n") - F.col("x.at"), F.col("y.n") - F.col("y.at"))
+    enough = (F.least("x.n", "y.n") >= F.lit(least) * F.greatest("x.n", "y.n") - 1e-9) & (most * (1 + F.lit(least)) >= F.lit(least) * (F.col("x.n") + F.col("y.n")) - 1e-9)
+    return _across(lists, block).where(enough).select(F.col("x.same").alias("u"), F.col("y.same").alias("v")).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+
+
+def _across(lists: DataFrame, block: int) -> DataFrame:
+    """x, y (same, n, at, b): pairs of different groups (root) in each list (s). Those of one group are never made."""
     sizes = lists.groupBy("s").agg(F.count(F.lit(1)).alias("m"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi")
     cut = lists.join(sizes.select("s", F.ceil(F.col("m") / block).cast("int").alias("blocks")), "s").withColumn("b", F.pmod(F.xxhash64("same", F.lit(5)), "blocks").cast("int"))
     dealt = cut.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("i", F.least("b", "o")).withColumn("j", F.greatest("b", "o"))
-    met = dealt.groupBy("s", "i", "j").agg(F.sort_array(F.collect_list(F.struct("same", "root", "n", "at", "b"))).alias("all"))
-    pairs = met.select("i", "j", "all", F.posexplode("all").alias("k", "x")).select("i", "j", "x", F.explode(F.expr("slice(all, k + 2, size(all))")).alias("y"))
-    # two texts whose first common shingle this is share no more than what follows it in either
-    most = F.least(F.col("x.n") - F.col("x.at"), F.col("y.n") - F.col("y.at"))
-    enough = (F.col("x.root") != F.col("y.root")) & (F.least("x.n", "y.n") >= F.lit(least) * F.greatest("x.n", "y.n") - 1e-9) & (most * (1 + F.lit(least)) >= F.lit(least) * (F.col("x.n") + F.col("y.n")) - 1e-9)
-    return pairs.where(((F.col("i") == F.col("j")) | (F.col("x.b") != F.col("y.b"))) & enough).select(F.col("x.same").alias("u"), F.col("y.same").alias("v")).distinct()
+    own = dealt.groupBy("s", "i", "j", "root").agg(F.collect_list(F.struct("same", "n", "at", "b")).alias("own"))
+    met = own.groupBy("s", "i", "j").agg(F.sort_array(F.collect_list(F.struct("root", "own"))).alias("all")).where(F.size("all") > 1)
+    rest = met.select("i", "j", "all", F.posexplode("all").alias("k", "g")).select("i", "j", "g.own", F.expr("flatten(transform(slice(all, k + 2, size(all)), z -> z.own))").alias("rest"))
+    pairs = rest.select("i", "j", "rest", F.explode("own").alias("x")).select("i", "j", "x", F.explode("rest").alias("y"))
+    return pairs.where((F.col("i") == F.col("j")) | (F.col("x.b") != F.col("y.b"))).select("x", "y")
 
 
 def _sets_of(docs: DataFrame, nodes: DataFrame, asked: DataFrame) -> DataFrame:

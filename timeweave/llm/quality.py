@@ -110,7 +110,7 @@ def compression_bands(docs: DataFrame, bands: Bands = Bands(), id_col: str = "do
         for b in batches:
             yield from _measure(b.column(0), c.texts(b.column(1)), z, bands)
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, SCHEMA)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(c.lean(run), SCHEMA)
 
 
 def keep_good(docs: DataFrame, bands: Bands = Bands()) -> DataFrame:  # noqa: B008
