@@ -31,6 +31,7 @@ OUT = "source_id long, id long, time_us long, person_id long, track_id long, met
 _COLUMNS = [c.split()[0] for c in OUT.split(", ")]
 _TRACK = "track_id long, scene_id long, time_us long, first_us long, hits int, x double, y double, w double, h double, kind string, vx double, vy double, embedding array<double>"
 _TRACK_COLUMNS = [c.split()[0] for c in _TRACK.split(", ")]
+_STATE = f"next_person long, next_track long, last_us long, timer_ms long, tracks array<struct<person_id: long, {_TRACK.replace(' ', ': ').replace(',: ', ', ')}>>, gallery array<struct<person_id: long, embedding: array<double>, seen_us: long>>"
 
 
 # Gaps, gates and weights of the association.
@@ -57,6 +58,10 @@ def best_matching(score: np.ndarray) -> list[tuple[int, int]]:
     n, m = score.shape
     if not n or not m:
         return []
+    if n == 1:
+        # what the steps below come to: the first of the largest scores, unless alone is better
+        j = int(np.where(np.isnan(score[0]), -np.inf, score[0]).argmax())
+        return [(0, j)] if score[0, j] >= 0 else []
     # columns m.. are rows' own places to stay alone
     cost = np.hstack([np.where(np.isnan(score), 1e6, -score), np.zeros((n, n))])
     u, v, owner = np.zeros(n + 1), np.zeros(m + n + 1), np.full(m + n + 1, -1)
@@ -207,53 +212,45 @@ def rows_in_order(source, state: SourceState, rows: pd.DataFrame, rules: Rules)
     return out
 
 
+_TYPES = {"long": "Int64", "int": "Int32", "double": "Float64", "string": object}
+
+
 def _frame(rows: list[tuple]) -> pd.DataFrame:
     """Rows as the output columns, whole numbers kept whole beside nulls."""
-    df = pd.DataFrame(rows, columns=_COLUMNS, dtype=object)
-    for name in ("source_id", "id", "time_us", "person_id", "track_id"):
-        df[name] = df[name].astype("Int64")
-    return df.assign(hits=df["hits"].astype("Int32"), overlap=df["overlap"].astype("Float64"), similarity=df["similarity"].astype("Float64"))
+    columns = zip(*rows, strict=True) if rows else [()] * len(_COLUMNS)
+    kinds = (_TYPES[c.split()[1]] for c in OUT.split(", "))
+    return pd.DataFrame({name: pd.Series(list(x), dtype=kind) for name, x, kind in zip(_COLUMNS, columns, kinds, strict=True)})
 
 
 class Tracker(StatefulProcessor):
-    """Keeps each source's SourceState in map and value state; one event-time timer a source wakes it when something may expire."""
+    """Keeps each source's SourceState in one value, read and written once a call; one event-time timer a source wakes it when something may expire."""
 
     def __init__(self, rules: Rules):
         self.rules = rules
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.tracks = handle.getMapState("tracks", "person_id long", _TRACK)
-        self.gallery = handle.getMapState("gallery", "person_id long", "embedding array<double>, seen_us long")
-        self.counters = handle.getValueState("counters", "next_person long, next_track long, last_us long, timer_ms long")
+        self.held = handle.getValueState("source", _STATE)
 
     def _load(self) -> tuple[SourceState, int | None]:
         state, timer = SourceState({}, {}), None
-        if self.counters.exists():
-            state.next_person, state.next_track, state.last_us, timer = self.counters.get()
-        for (person,), values in self.tracks.iterator():
-            state.tracks[person] = dict(zip(_TRACK_COLUMNS, values, strict=True))
-        for (person,), (embedding, seen) in self.gallery.iterator():
-            state.gallery[person] = (list(embedding), seen)
+        if (held := self.held.get()) is not None:
+            state.next_person, state.next_track, state.last_us, timer, tracks, gallery = held
+            state.tracks = {person: dict(zip(_TRACK_COLUMNS, values, strict=True)) for person, *values in tracks}
+            state.gallery = {person: (list(embedding), seen) for person, embedding, seen in gallery}
         return state, timer
 
     def _store(self, state: SourceState, timer: int | None) -> None:
         """Writes the state, and sets the timer to when the next track or face may go."""
-        for held, new in ((self.tracks, state.tracks), (self.gallery, state.gallery)):
-            for (person,) in [tuple(k) for k in held.keys()]:
-                if person not in new:
-                    held.removeKey((person,))
-        for person, t in state.tracks.items():
-            self.tracks.updateValue((person,), tuple(t[k] for k in _TRACK_COLUMNS))
-        for person, (embedding, seen) in state.gallery.items():
-            self.gallery.updateValue((person,), (embedding, seen))
         ends = [t["time_us"] + self.rules.limit_us(t["hits"]) for t in state.tracks.values()] or [seen + self.rules.gallery_us for _, seen in state.gallery.values()]
         due = min(ends) // 1000 + 2 if ends else None
         if timer is not None and timer != due:
             self.handle.deleteTimer(timer)
         if due is not None and timer != due:
             self.handle.registerTimer(due)
-        self.counters.update((state.next_person, state.next_track, state.last_us, due))
+        tracks = [(person, *(t[k] for k in _TRACK_COLUMNS)) for person, t in state.tracks.items()]
+        gallery = [(person, embedding, seen) for person, (embedding, seen) in state.gallery.items()]
+        self.held.update((state.next_person, state.next_track, state.last_us, due, tracks, gallery))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         state, timer = self._load()
