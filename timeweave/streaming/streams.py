@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import math
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -35,25 +37,35 @@ _LATEST = "run_id string, stage string, ts timestamp, current double, total doub
 
 
 def progress_latest(df: DataFrame, keep: int = 12) -> DataFrame:
-    """Each (run, stage)'s newest state with the time left by the median of its last `keep` unit times. Events older than the newest are passed over."""
+    """Each (run, stage)'s newest state with the time left by the median of its last `keep` unit times. Events without a time or older than the newest are passed over.
+
+    A run's stages are one state, so that a call and its frames serve all of them.
+    """
 
     def step(key: tuple, frames: Iterable[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        last_ts, last_current, times = state.get if state.exists else (None, None, [])
-        times, new = list(times), None
-        for e in pd.concat(list(frames)).sort_values(["ts", "current"]).itertuples():
-            ts = e.ts.timestamp()
+        held = {stage: (ts, math.nan if current is None else current, list(times)) for stage, ts, current, times in zip(*state.get, strict=True)} if state.exists else {}
+        newest = {}
+        given = list(frames)
+        e = given[0] if len(given) == 1 else pd.concat(given)
+        when, current = e["ts"].to_numpy().astype("datetime64[us]"), e["current"].to_numpy(float)
+        order = np.lexsort((current, when))[: len(when) - np.isnat(when).sum()]
+        stages = e["stage"].tolist()
+        for i, ts, now in zip(order.tolist(), when[order].astype(np.int64).tolist(), current[order].tolist(), strict=True):
+            last_ts, last, times = held.get(stages[i], (None, math.nan, []))
             if last_ts is not None and ts <= last_ts:
                 continue
-            if last_current is not None and e.current is not None and e.current > last_current:
-                times = [*times, (ts - last_ts) / (e.current - last_current)][-keep:]
-            last_ts, last_current, new = ts, e.current, e
-        state.update((last_ts, last_current, times))
-        if new is not None:
-            unit = float(pd.Series(times).median()) if times else None
-            eta = unit * (new.total - new.current) if unit is not None and new.total is not None else None
-            yield pd.DataFrame([(key[0], key[1], new.ts, new.current, new.total, new.status, eta)], columns=["run_id", "stage", "ts", "current", "total", "status", "eta_seconds"])
-
-    return df.groupBy("run_id", "stage").applyInPandasWithState(step, _LATEST, "ts double, current double, times array<double>", "update", "NoTimeout")
+            if now > last:
+                times = [*times, (ts - last_ts) / 1e6 / (now - last)][-keep:]
+            held[stages[i]] = ts, now, times
+            newest[stages[i]] = i
+        if newest:
+            rows = e.iloc[list(newest.values())]
+            unit = [float(np.median(held[x][2])) if held[x][2] else math.nan for x in newest]
+            eta = np.array(unit) * (rows["total"].to_numpy(float) - rows["current"].to_numpy(float))
+            state.update((list(held), *map(list, zip(*held.values(), strict=True))))
+            yield rows[["run_id", "stage", "ts", "current", "total", "status"]].assign(eta_seconds=eta)
+
+    return df.groupBy("run_id").applyInPandasWithState(step, _LATEST, "stages array<string>, ts array<long>, current array<double>, times array<array<double>>", "update", "NoTimeout")
 
 
 def progress_latest_batch(df: DataFrame, keep: int = 12) -> DataFrame:
