@@ -100,3 +100,15 @@ def test_trajectory_equals_the_best_of_all_paths(spark):
     total = lambda p: sum(options[w][s] for w, s in enumerate(p)) + sum(0.28 if a == b else -0.36 for a, b in zip(p[:-1], p[1:]))
     got = folds.trajectory_states(spark.createDataFrame(rows, "source_id long, window_no long, state string, utility double")).orderBy("window_no").collect()
     assert abs(total([x.state for x in got]) - max(map(total, paths))) < 1e-9
+
+
+def test_sentences_of_a_text_without_ends_take_one_pass(spark):
+    """A run of 400,000 letters that nothing ends: tried from each of its places, it would take minutes."""
+    import time
+
+    from timeweave.operators import evidence
+
+    df = spark.createDataFrame([(1, "First. " + "word " * 80_000 + "\nLast one! no end")], "doc_id long, text string")
+    start = time.time()
+    assert [r.sentence for r in evidence.sentences(df, "doc_id").orderBy("rank").collect()] == ["First.", "Last one!"]
+    assert time.time() - start < 20

@@ -40,7 +40,8 @@ def claim_check(claims: DataFrame) -> DataFrame:
 
 def sentences(df: DataFrame, key: str, text: str = "text", most_chars: int = 100, most_words: int = 14, k: int = 4) -> DataFrame:
     """The first k complete sentences that are short enough for a title."""
-    each = df.select(key, F.posexplode(F.regexp_extract_all(F.col(text), F.lit(r"[^.!?\n]+[.!?]"), F.lit(0))).alias("pos", "s")).withColumn("s", F.trim("s"))
+    # a run without an end is matched too, and passed over: else each of its places would be tried as a start, up to its end
+    each = df.select(key, F.posexplode(F.regexp_extract_all(F.col(text), F.lit(r"[^.!?\n]++[.!?]?"), F.lit(0))).alias("pos", "s")).where(F.col("s").rlike("[.!?]$")).withColumn("s", F.trim("s"))
     fit = each.where((F.length("s") <= most_chars) & (F.size(F.split("s", " +")) <= most_words) & (F.length("s") > 1))
     return fit.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy("pos"))).where(F.col("rank") <= k).select(key, "rank", F.col("s").alias("sentence"))
 
