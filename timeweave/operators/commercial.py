@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import fold, sql_pattern
 from .intervals import SECOND
+from .lineage import cut, spread
 
 # Signals and their patterns, the signals that a negation cancels, exceptions (signal, match, what follows),
 # signals of selling, content types that are commercial.
@@ -184,16 +185,20 @@ def commercial_blocks(segments: DataFrame, gap_us: int = 1_500_000, merge_us: in
     order = Window.partitionBy("source_id").orderBy("start_us", "end_us", "segment_id")
     voice = F.when(F.upper(F.trim("speaker")).isin("", "UNKNOWN", "UNASSIGNED"), None).otherwise(F.col("speaker"))
     sale = F.array(*map(F.lit, SALE_SIGNALS))
-    s = classify_content(segments.select("source_id", "segment_id", "start_us", "end_us", F.coalesce("text", F.lit("")).alias("text"), voice.alias("voice")))
-    s = s.withColumn("selling", F.array_intersect("signals", sale)).withColumn("pos", F.row_number().over(order)).select("source_id", "segment_id", "start_us", "end_us", "text", "voice", "signals", "selling", "eligibility", "reported", "pos")
+    s = classify_content(spread(segments.select("source_id", "segment_id", "start_us", "end_us", F.coalesce("text", F.lit("")).alias("text"), voice.alias("voice")), "source_id", "segment_id"))
+    # cues are looked for once: what follows reads the segments and the seeds more than once
+    s = cut(s.withColumn("selling", F.array_intersect("signals", sale)).withColumn("pos", F.row_number().over(order)).select("source_id", "segment_id", "start_us", "end_us", "text", "voice", "signals", "selling", "eligibility", "reported", "pos"))
     me = F.struct("pos", "start_us", "end_us", "text", "voice", (F.size("selling") > 0).alias("marked"), (F.col("eligibility") == "excluded").alias("excluded"))
     w = s.withColumn("me", me)
     w = w.select("source_id", "pos", F.array("me", *(F.lead("me", k).over(order) for k in (1, 2, 3))).alias("next"))
     near = lambda k: F.coalesce(F.col("next")[k]["start_us"] - F.col("next")[k - 1]["end_us"] <= gap_us, F.lit(False))
     reach = F.when(~near(1), 1).when(~near(2), 2).when(~near(3), 3).otherwise(4)
-    tried = w.withColumn("n", F.explode(F.sequence(F.lit(2), F.lit(4)))).where(F.col("n") <= reach).withColumn("own", F.slice("next", 1, F.col("n")))
-    tried = classify_content(tried.withColumn("text", F.array_join(F.transform("own", lambda x: x["text"]), " "))).where("eligibility = 'excluded'")
-    shortest = tried.groupBy("source_id", "pos").agg(F.min_by("own", "n").alias("own"))
+    w = spread(w.withColumn("reach", reach).where("reach > 1"), "source_id", "pos")
+    # longer windows are only looked at where the shorter ones are not excluded
+    excluded = lambda n: classification(F.array_join(F.transform(F.slice("next", F.lit(1), n), lambda x: x["text"]), " "))["eligibility"] == "excluded"
+    shortest = F.aggregate(F.sequence(F.lit(2), "reach"), F.lit(None).cast("int"), lambda found, n: F.when(found.isNotNull(), found).when(excluded(n), n))
+    own = F.transform(F.slice("next", F.lit(1), F.col("n")), lambda x: F.struct(*(x[f].alias(f) for f in ("pos", "voice", "marked", "excluded"))))
+    shortest = cut(w.select("source_id", "next", shortest.alias("n")).select("source_id", own.alias("own"))).where("own is not null")
     seeds = shortest.select("source_id", F.filter("own", lambda x: x["marked"]).alias("marked"), F.size(F.array_compact(F.array_distinct(F.transform("own", lambda x: x["voice"])))).alias("voices"))
     split = (F.col("voices") > 1) & ~F.exists("marked", lambda x: x["excluded"])
     seeds = seeds.select("source_id", split.alias("split"), F.explode("marked").alias("m")).select("source_id", "m.pos", "split").unionByName(s.where("eligibility = 'excluded'").select("source_id", "pos", F.lit(False).alias("split")))
@@ -205,7 +210,7 @@ def commercial_blocks(segments: DataFrame, gap_us: int = 1_500_000, merge_us: in
     run = run.withColumn("fresh", F.coalesce((F.col("start_us") > ended + merge_us).cast("int"), F.lit(1)))
     run = run.withColumn("block_no", F.sum("fresh").over(by))
     row = F.struct("pos", "segment_id", "text")
-    blocks = run.groupBy("source_id", "block_no").agg(F.min("pos").alias("first"), F.min("start_us").alias("start_us"), F.max("end_us").alias("end_us"), F.array_sort(F.collect_list(row)).alias("rows"), F.array_distinct(F.flatten(F.collect_list("signals"))).alias("signals"), F.collect_set("voice").alias("voices"), F.bool_or("split").alias("split"))
+    blocks = cut(run.groupBy("source_id", "block_no").agg(F.min("pos").alias("first"), F.min("start_us").alias("start_us"), F.max("end_us").alias("end_us"), F.array_sort(F.collect_list(row)).alias("rows"), F.array_distinct(F.flatten(F.collect_list("signals"))).alias("signals"), F.collect_set("voice").alias("voices"), F.bool_or("split").alias("split")))
     # the segment that ends right before a block
     b = blocks.withColumn("second", F.explode(F.sequence(F.floor((F.col("start_us") - lead_us) / SECOND), F.floor(F.col("start_us") / SECOND)))).select("source_id", "block_no", "second", F.col("start_us").alias("b_start"), "voices")
     p = s.withColumn("second", F.floor(F.col("end_us") / SECOND))
@@ -215,7 +220,7 @@ def commercial_blocks(segments: DataFrame, gap_us: int = 1_500_000, merge_us: in
     takes = F.coalesce((F.size("lead.selling") >= 2) & (F.col("lead.eligibility") != "excluded") & ~F.col("lead.reported") & ~other, F.lit(False))
     lead_row = F.struct(F.col("lead.pos").alias("pos"), F.col("lead.segment_id").alias("segment_id"), F.col("lead.text").alias("text"))
     j = j.withColumn("rows", F.when(takes, F.concat(F.array(lead_row), "rows")).otherwise(F.col("rows"))).withColumn("start_us", F.when(takes, F.col("lead.start_us")).otherwise(F.col("start_us"))).withColumn("all_signals", F.array_sort(F.when(takes, F.array_union("signals", "lead.selling")).otherwise(F.col("signals"))))
-    done = classify_content(j.withColumn("text", F.array_join(F.transform("rows", lambda x: x["text"]), " ")).drop("signals"))
+    done = classify_content(spread(j.withColumn("text", F.array_join(F.transform("rows", lambda x: x["text"]), " ")).drop("signals"), "source_id", "block_no"))
     state = F.when(F.col("split"), "review").otherwise(F.col("eligibility"))
     return done.select("source_id", "block_no", "start_us", "end_us", F.array_join(F.transform("rows", lambda x: x["segment_id"]), ",").alias("segment_ids"), F.array_join("all_signals", ",").alias("signals"), state.alias("state"))
 

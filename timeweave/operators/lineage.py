@@ -1,4 +1,4 @@
-"""Cutting lineage in the folder that all executors share."""
+"""Cutting lineage in the folder that all executors share; dealing rows out for costly columns."""
 
 from __future__ import annotations
 
@@ -22,3 +22,8 @@ def cut(df: DataFrame) -> DataFrame:
     """The same rows, read from the shared folder."""
     shared_dir(df.sparkSession)
     return df.checkpoint()
+
+
+def spread(df: DataFrame, *key: str) -> DataFrame:
+    """The same rows dealt out by a key to spark.sql.shuffle.partitions tasks, which stay as many however few bytes they read."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *key)
