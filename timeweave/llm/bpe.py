@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from . import common as c
 
 #: Encoded pieces that a worker keeps; beyond it the store starts anew. It only saves time.
-KEPT_PIECES = 150_000
+KEPT_PIECES = 100_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -143,36 +143,144 @@ class Prefixes:
         return tuple(reversed(out))
 
 
+class _Places:
+    """Keys of 64 bits to numbers, looked up many at a time."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray, bits: int):
+        self.shift, self.last = np.uint64(64 - bits), (1 << bits) - 1
+        self.keys, self.values = np.full(1 << bits, -1, np.int64), np.full(1 << bits, -1, np.int32)
+        at, left = self._first(keys), np.arange(len(keys))
+        while len(left):
+            slots, one = np.unique(at[left], return_index=True)
+            one = left[one[self.keys[slots] == -1]]
+            self.keys[at[one]], self.values[at[one]] = keys[one], values[one]
+            left = left[self.keys[at[left]] != keys[left]]
+            at[left] = (at[left] + 1) & self.last
+
+    def _first(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The numbers of the keys, -1 for those that are not there."""
+        at = self._first(keys)
+        out, left = self.values[at], np.flatnonzero((self.keys[at] != keys) & (self.keys[at] != -1))
+        while len(left):
+            at[left] = (at[left] + 1) & self.last
+            out[left] = self.values[at[left]]
+            left = left[(self.keys[at[left]] != keys[left]) & (self.keys[at[left]] != -1)]
+        # a slot that holds nothing has the number -1
+        return out
+
+
+class _Together:
+    """Settles the prefixes of many pieces at once, one more byte of all of them in each step."""
+
+    def __init__(self, bpe: Bpe):
+        self.bpe, ranks = bpe, bpe.ranks
+        # beginnings of tokens by length: where a byte leads, the longest beginning at each one's end, the longest token there
+        begun = {b"": 0}
+        for n in range(1, bpe.longest + 1):
+            for t in {t[:n] for t in ranks if len(t) >= n}:
+                begun[t] = len(begun)
+        keys = np.array([begun[t[:-1]] << 8 | t[-1] for t in begun if t], np.int64)
+        self.leads = _Places(keys, np.arange(1, len(begun), dtype=np.int32), max(10, (2 * len(begun)).bit_length()))
+        self.inner, self.ending = np.zeros(len(begun), np.int32), np.full(len(begun), -1, np.int32)
+        most = max(ranks.values()) + 1
+        self.size, self.shorter = np.zeros(most, np.int32), np.full(most, -1, np.int32)
+        for t, i in begun.items():
+            if t:
+                k = next((begun[t[x:]] for x in range(1, len(t)) if t[x:] in begun), 0)
+                self.inner[i], self.ending[i] = k, ranks.get(t, self.ending[k])
+                if t in ranks:
+                    self.size[ranks[t]], self.shorter[ranks[t]] = len(t), self.ending[k]
+        #: pairs known to stay apart or not, each at its place, with the answer as the lowest bit; it only saves time
+        self.known = np.full(1 << 20, -1, np.int64)
+
+    def _apart(self, a: np.ndarray, t: np.ndarray) -> np.ndarray:
+        """stay_apart of each two tokens."""
+        pair = a.astype(np.int64) << 32 | t
+        at = (a * np.int64(40503) + t) & (len(self.known) - 1)
+        x = self.known[at]
+        new = np.flatnonzero(x >> 1 != pair)
+        if len(new):
+            asked, back = np.unique(pair[new], return_inverse=True)
+            told = np.array([p << 1 | self.bpe.stay_apart(p >> 32, p & 0xFFFFFFFF) for p in asked.tolist()], np.int64)
+            x[new] = told[back]
+            self.known[at[new]] = x[new]
+        return (x & 1).astype(bool)
+
+    def encode(self, pieces: list[bytes]) -> list[tuple[int, ...]]:
+        """The ids of each piece; none is empty. They are sorted: each goes on from the prefix that it shares with the one before it."""
+        n, length = len(pieces), np.array([len(x) for x in pieces])
+        wide = int(length.max())
+        chars = np.zeros((n, wide), np.uint8)
+        chars[np.arange(wide) < length[:, None]] = np.frombuffer(b"".join(pieces), np.uint8)
+        differ = chars[1:] != chars[:-1]
+        same = np.zeros(n, np.int64)
+        same[1:] = np.minimum(np.where(differ.any(axis=1), differ.argmax(axis=1), wide), np.minimum(length[1:], length[:-1]))
+        # the row where each prefix of a row stands
+        rows = np.arange(n, dtype=np.int32)
+        row = np.maximum.accumulate(np.where(np.arange(wide + 1) > same[:, None], rows[:, None], 0), axis=0)
+        last, states = np.full((n, wide + 1), -1, np.int32), np.zeros((n, wide + 1), np.int32)
+        for end in range(1, wide + 1):
+            own = np.flatnonzero((length >= end) & (same < end))
+            state, byte = states[row[own, end - 1], end - 1].astype(np.int64), chars[own, end - 1]
+            to = self.leads.find(state << 8 | byte)
+            left = np.flatnonzero((to < 0) & (state > 0))
+            while len(left):
+                state[left] = self.inner[state[left]]
+                to[left] = self.leads.find(state[left] << 8 | byte[left])
+                left = left[(to[left] < 0) & (state[left] > 0)]
+            states[own, end] = np.maximum(to, 0)
+            token = np.where(to < 0, -1, self.ending[np.maximum(to, 0)])
+            left = np.arange(len(own))
+            while True:
+                if (token[left] < 0).any():
+                    raise ValueError("the ranks do not hold every byte")
+                at = end - self.size[token[left]]
+                left, at = left[at > 0], at[at > 0]
+                left = left[~self._apart(last[row[own[left], at], at], token[left])]
+                if not len(left):
+                    break
+                token[left] = self.shorter[token[left]]
+            last[own, end] = token
+        steps, at, left = [], length.copy(), rows
+        while len(left):
+            token = last[row[left, at[left]], at[left]]
+            steps.append((left, token))
+            at[left] -= self.size[token]
+            left = left[at[left] > 0]
+        many = np.bincount(np.concatenate([x for x, _ in steps]), minlength=n)
+        ends = np.cumsum(many)
+        ids = np.empty(int(ends[-1]), np.int32)
+        for k, (x, token) in enumerate(steps):
+            ids[ends[x] - 1 - k] = token
+        flat, ends = ids.tolist(), ends.tolist()
+        return [tuple(flat[a:b]) for a, b in zip([0, *ends], ends, strict=False)]
+
+
 class _Pieces(dict):
     """Piece -> its ids, made when first asked for."""
 
     def __init__(self, bpe: Bpe):
         super().__init__()
-        self.bpe = bpe
+        self.bpe, self.together = bpe, _Together(bpe)
 
     def __missing__(self, piece: str) -> tuple[int, ...]:
         return self.bpe.encode_piece(piece.encode())
 
     def learn(self, pieces: set[str]) -> None:
-        """Encodes the unknown ones in order: each goes on from the prefix that it shares with the one before it."""
+        """Encodes the unknown ones, which are sorted, some thousands at a time."""
         if len(self) > KEPT_PIECES:
             self.clear()
-        ranks, size, last, before = self.bpe.ranks, self.bpe.size, [-1], b""
+        ranks, new = self.bpe.ranks, []
         for text in sorted(p for p in pieces if p not in self and len(p) <= 64):
-            piece = text.encode()
-            if (whole := ranks.get(piece)) is not None:
+            if (whole := ranks.get(text.encode())) is not None:
                 self[text] = (whole,)
-                continue
-            same, most = 0, min(len(piece), len(before))
-            while same < most and piece[same] == before[same]:
-                same += 1
-            del last[same + 1 :]
-            self.bpe.extend(piece, last)
-            before, out, i = piece, [], len(piece)
-            while i:
-                out.append(last[i])
-                i -= size[last[i]]
-            self[text] = tuple(reversed(out))
+            else:
+                new.append(text)
+        for k in range(0, len(new), 8192):
+            self.update(zip(new[k : k + 8192], self.together.encode([x.encode() for x in new[k : k + 8192]]), strict=True))
 
 
 _CODECS: dict = {}
