@@ -21,6 +21,19 @@ def test_silence_has_a_level_and_makes_runs(spark):
     assert [(r.start_us, r.end_us) for r in intervals.flag_runs(levels, F.col("db") < 15, 2).collect()] == [(0, 2)]
 
 
+def test_levels_equal_sql_below_one_and_before_1970(spark, tmp_path):
+    from timeweave import queries
+
+    # 0.2 and 1.4: their mean power is 1 less a rounding, so SQL's level is -0.0
+    duckdb.execute(f"""copy (select i as event_id, make_timestamp(us) as ts, u as user_id, 'view' as event_type, v::double as value, '' as props
+        from (values (1, 5, 1, 0.2), (2, 6, 1, 1.4), (3, -1, 2, 1.0), (4, -3600000001, 2, 3.5), (5, 1, 3, 0.0), (6, 1, null, null), (7, 9, 4, 1.0)) t(i, us, u, v)) to '{tmp_path}/events.parquet' (format parquet)""")
+    con = duckdb.connect()
+    con.execute(f"set timezone = 'UTC'; create view events as select * from '{tmp_path}/events.parquet'")
+    want = con.execute(queries.ORACLES["b37_level_windows"]).fetchall()
+    got = [tuple(r) for r in queries.QUERIES["b37_level_windows"](spark, str(tmp_path)).collect()]
+    assert sorted(map(repr, got)) == sorted(map(repr, want)) and "-0.0" in repr(want)
+
+
 def test_word_edges_and_ends_are_those_of_sql(spark):
     texts = ["queê", "aque", "ßque", "que.", "que\n", "a-que", "QUE", "que_"]
     df = spark.createDataFrame([(x,) for x in texts], "x string")

@@ -27,8 +27,12 @@ def ratio(n: Column, of: Column, places: int = 6) -> Column:
 
 
 def decibels(power: Column, places: int = 4) -> Column:
-    """Ten times the common logarithm, rounded; minus infinity of silence (Spark's logarithm of 0 is null), null without a level."""
-    return F.when(power == 0, F.lit(float("-inf"))).otherwise(F.round(10 * F.log10(power), places))
+    """Ten times the common logarithm, rounded; minus infinity of silence (Spark's logarithm of 0 is null), null without a level.
+
+    As SQL's, a level a little below 0 is rounded to -0.0, which Spark's round has no sign for.
+    """
+    level = F.round(10 * F.log10(power), places)
+    return F.when(power == 0, F.lit(float("-inf"))).when((level == 0) & (power < 1), F.lit(-0.0)).otherwise(level)
 
 
 def mean_of(*xs: Column) -> Column:

@@ -182,7 +182,8 @@ _LEVELS = "levels as (select user_id as source_id, epoch_us(ts) // 3600000000 as
 
 def _levels(spark, sf_dir):
     e = d.table(spark, sf_dir, "events")
-    h = F.floor(d.micros("ts") / 3_600_000_000)
+    # whole hours as SQL's // counts them: towards zero, in whole numbers
+    h = F.call_function("div", d.micros("ts"), F.lit(3_600_000_000))
     return e.groupBy(F.col("user_id").alias("source_id"), h.alias("h")).agg(decibels(F.avg(F.col("value") * F.col("value"))).alias("db"), F.max(F.abs("value")).alias("peak"), F.round(F.avg((F.abs("value") >= 10).cast("int")), 6).alias("clipped"))
 
 
