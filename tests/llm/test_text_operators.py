@@ -186,6 +186,20 @@ def test_plain_words_are_drawn_from_whole_texts(spark):
     assert sorted(drawn) == sorted(words)
 
 
+def test_all_windows_of_the_corpus_are_learned_from(spark):
+    r = random.Random(16)
+    words = ["".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=20)) for _ in range(2_400)]
+    keys = [f"token={i:06d}aZ9" for i in range(1_100)]
+    docs = frame(spark, [" ".join(words[k::8] + keys[k::8]) for k in range(8)] + [" ".join(words[:8])])
+    s = secrets.Settings(epochs=2, together=1, made=60, passwords=30)
+    drawn = list(secrets.corpus_findings(docs, s))
+    assert {t[a:e] for t, a, e, y in drawn if not y} == set(words) and {t[a:e] for t, a, e, y in drawn if y} == set(keys)
+    # dealt into two parts by hash: the same network however the documents are dealt
+    one = secrets.train(docs.coalesce(1), s)
+    other = secrets.train(docs.repartition(5), s)
+    assert all((one.w[k] == other.w[k]).all() for k in one.w) and one.threshold == other.threshold and one.slope == other.slope
+
+
 def test_toxicity_learns_and_handles_edges(spark):
     r = random.Random(3)
     bad = ["idiot", "scum", "moron"]
