@@ -1,6 +1,7 @@
 """Language model, near-duplicates, neighbours, archives, mixing, URL filters and the pipeline."""
 
 import math
+import os
 import random
 import zlib
 from collections import Counter, defaultdict
@@ -72,6 +73,21 @@ def test_kneser_ney(spark, order):
         assert abs(g.base_score - sum(math.log10((raw[w] + 1) / (total + len(raw) + 1)) for w in ts[order - 1 :])) < 1e-8
 
 
+def test_a_model_of_many_shards_holds_no_file_open(spark):
+    docs = spark.createDataFrame(list(enumerate(corpus())), "doc_id long, text string")
+    few, many = (ngram_lm.train(docs, 2, shards=k) for k in (2, 120))
+    text = np.frombuffer(" ".join(t or "" for t in corpus()).encode(), np.uint8)
+    rows, toks = ngram_lm.tokens(text, np.array([0, len(text)]))
+    want, _ = ngram_lm.token_scores(ngram_lm.Arrays(few), rows, toks)
+    arrays, before = ngram_lm.Arrays(many), len(os.listdir("/proc/self/fd"))
+    got, _ = ngram_lm.token_scores(arrays, rows, toks)
+    assert (got == want).all() and len({k for _, k in arrays.opened}) > 30
+    # a shard's arrays were some ten files, each with a handle that stayed open
+    assert len(os.listdir("/proc/self/fd")) - before < 20
+    kept = {name.rsplit("-", 1)[0] for name in os.listdir(many.folder.removeprefix("file:"))}
+    assert kept == {"1-ngrams", "2-ngrams", "2-contexts"}
+
+
 def test_language_model_without_text(spark):
     docs = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
     model = ngram_lm.train(docs.limit(0), 2, shards=2)

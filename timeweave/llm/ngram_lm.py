@@ -204,18 +204,14 @@ def _settle(level: int, shards: int, folder: str):
             if kind == "contexts":
                 (context,), values = _joined(blobs)
                 context, _, values = summed(context, [], values)
-                for name, x in zip(("context", "total", "n1", "n2", "n3"), (context, *values), strict=True):
-                    c.write_bytes(f"{folder}/{level + 1}-{name}-{shard}", x.astype("<u8" if name in ("context", "total") else "<u4").tobytes())
+                write_arrays(f"{folder}/{level + 1}-contexts-{shard}", *(x.astype("<u8" if k < 2 else "<u4") for k, x in enumerate((context, *values))))
                 continue
             columns, values = _joined(blobs)
             key, columns, (count, raw) = summed(ngram_key(columns), columns, values)
-            c.write_bytes(f"{folder}/{level}-key-{shard}", key.astype("<u8").tobytes())
             small = np.minimum(count, 255).astype(np.uint8)
             big = np.flatnonzero(small == 255)
-            c.write_bytes(f"{folder}/{level}-count-{shard}", small.tobytes())
-            c.write_bytes(f"{folder}/{level}-big-{shard}", np.stack([key[big], count[big]]).astype("<u8").tobytes())
-            if level == 1:
-                c.write_bytes(f"{folder}/1-raw-{shard}", raw.astype("<u8").tobytes())
+            large = np.stack([key[big], count[big]]).astype("<u8")
+            write_arrays(f"{folder}/{level}-ngrams-{shard}", key.astype("<u8"), small, large, raw.astype("<u8") if level == 1 else np.empty(0, "<u8"))
             facts = [len(key), int(count.sum()), *(int((count == k).sum()) for k in (1, 2, 3, 4)), int(raw.sum()), int((count >= 3).sum())]
             yield _row_batch("facts", level, shard, np.array(facts, "<u8").tobytes())
             if level > 1:
@@ -230,6 +226,16 @@ def _settle(level: int, shards: int, folder: str):
     return run
 
 
+#: The arrays of a shard's files, in order.
+FILES = {"ngrams": ("key", "count", "big", "raw"), "contexts": ("context", "total", "n1", "n2", "n3")}
+
+
+def write_arrays(uri: str, *arrays: np.ndarray) -> None:
+    """One file: the arrays' sizes in bytes, then each at a multiple of eight bytes."""
+    parts = [x.tobytes() for x in arrays]
+    c.write_bytes(uri, np.array([len(x) for x in parts], "<u8").tobytes(), *(x + bytes(-len(x) % 8) for x in parts))
+
+
 @dataclass(frozen=True)
 class Level:
     n: int
@@ -290,11 +296,18 @@ class Arrays:
 
     def array(self, name: str, shard: int, dtype: str) -> np.ndarray:
         if (name, shard) not in self.opened:
+            level, what = name.split("-")
+            kind = next(k for k, names in FILES.items() if what in names)
             try:
-                self.opened[name, shard] = c.mapped(f"{self.model.folder}/{name}-{shard}", dtype)
+                raw = c.mapped(f"{self.model.folder}/{level}-{kind}-{shard}", np.uint8)
+                sizes = raw[: 8 * len(FILES[kind])].view("<u8").astype(np.int64)
             except FileNotFoundError:  # a range of keys without any
-                self.opened[name, shard] = np.empty(0, dtype)
-        return self.opened[name, shard]
+                raw, sizes = np.empty(0, np.uint8), np.zeros(len(FILES[kind]), np.int64)
+            ends = 8 * len(sizes) + np.cumsum(-(-sizes // 8) * 8)
+            for own, n, end in zip(FILES[kind], sizes.tolist(), ends.tolist(), strict=True):
+                at = end - -(-n // 8) * 8
+                self.opened[f"{level}-{own}", shard] = raw[at : at + n]
+        return self.opened[name, shard].view(dtype)
 
     def look_up(self, keys: np.ndarray, name: str, values: list[tuple[str, str]]) -> list[np.ndarray]:
         """The values at each of the sorted keys; zero where there is none."""
