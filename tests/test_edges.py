@@ -44,6 +44,25 @@ def test_word_edges_and_ends_are_those_of_sql(spark):
     assert text.sql_pattern(r"[a$]\$") == r"[a$]\$"
 
 
+def test_edges_of_words_are_looked_at_on_one_side_where_that_will_do(spark):
+    import re
+
+    from timeweave.operators import commercial
+
+    both = r"(?:(?<!\w)(?=\w)|(?<=\w)(?!\w))"
+    assert text.sql_pattern(r"\bque\b|\bqual\b") == r"(?<!\w)(?:que(?!\w)|qual(?!\w))" and text.sql_pattern(r"\b[.a]\b") == f"{both}[.a]{both}"
+    # no edge of a cue's word has to be looked at from both sides, but for those beside marks
+    assert sum(text.sql_pattern(p).count(both) for _, p in commercial.CUES) <= 3
+    plain = lambda p: p.replace(r"\b", both)
+    texts = ["por 10,50 reais", "pre\u00e7o x 9", "a 5 x 3 vezes", "xcompre", "\u00dfcompre ja", "www.a-b.com.br", "a_b@c.de", "produtos, produto1", "use o abc", "alivia a dor", "de cento e dez por noventa"]
+    for _, p in commercial.CUES:
+        for t in texts:
+            assert [m.span() for m in re.finditer(text.sql_pattern(p), t, re.A)] == [m.span() for m in re.finditer(plain(p), t, re.A)], (p, t)
+    # a cue beside a letter that is no ASCII letter stands at a word's edge, as in SQL
+    df = spark.createDataFrame([("\u00dfcompre",)], "text string")
+    assert [r.signal for r in commercial.cue_hits(df, []).collect()] == ["sales_cta"]
+
+
 def test_laughter_before_a_sharp_s_is_a_word(spark):
     s = spark.createDataFrame([(1, 0, 9 * S, "so que ele caiu da escada ße")], "source_id long, start_us long, end_us long, text string")
     c = spark.createDataFrame([(1, "c", 0, 9 * S, True)], "source_id long, clip_id string, start_us long, end_us long, hinted boolean")

@@ -95,7 +95,7 @@ def _spans(low: Column, most: int = 3) -> Column:
     named = lambda signal: lambda h: F.struct(F.lit(signal).alias("signal"), h["start"].alias("start"), h["length"].alias("length"))
     each = [F.transform(_hits(low, s, p, most), named(s)) for s, p in CUES]
     # one pass over the text tells whether any cue is there at all
-    any_cue = low.rlike("|".join(f"(?:{p})" for _, p in CUES))
+    any_cue = low.rlike(sql_pattern("|".join(p for _, p in CUES)))
     return F.when(any_cue, F.concat(*each)).otherwise(F.array().cast("array<struct<signal:string,start:int,length:int>>"))
 
 
